@@ -1,0 +1,8 @@
+"""Streaming.
+
+The workload this library re-expresses has no streams, watermarks, windows or
+state: every input is a finite table and every result a batch DataFrame.
+Nothing is implemented here on purpose; a fitted model saved with
+``concord.sources.models.save_model`` can score a ``readStream`` DataFrame
+with Spark's own ``model.transform`` if that is ever needed.
+"""
