@@ -15,17 +15,19 @@ Rules (the DuckDB oracle in ``concord.plans.oracles`` spells the same ones):
   ties to the smaller cluster id;
 * update: per-dimension mean rounded to ``digits``; an empty cluster keeps
   its center.
+
+Distances are plain column arithmetic over one broadcast row of centers per
+run (k * d columns), so the assign step stays inside whole-stage codegen.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.functions.sampling import sample_mask
 from concord.functions.masks import run_bit
-from concord.functions.vectors import nearest_center
+from concord.functions.sampling import sample_mask
 from concord.session import materialize
 
 
@@ -36,62 +38,99 @@ def _dims(points: DataFrame) -> int:
     return int(row[0]["d"])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a narrow input (one small file = one partition) at least one
+    partition per core, so the per-step work is not serialised in one task.
+    A wide input keeps its own partitioning (no shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, "point_id")
+
+
+def _centers_table(spark: SparkSession, centers: dict, k: int, d: int) -> DataFrame:
+    """One row per run: (run, c{j}_{i}) as an inline table.
+
+    At most runs * k * d numbers (a bound independent of N).  An inline table
+    is planned as a local relation, so the values travel as data, not as
+    generated code, and the broadcast is of a known tiny size.  Doubles are
+    written with their shortest round-trip repr and a D suffix: exact.
+    """
+    cols = ["run"] + [f"c{j}_{i}" for j in range(k) for i in range(d)]
+    rows = []
+    for run in sorted({r for r, _ in centers}):
+        vals = [str(run)]
+        for j in range(k):
+            x = centers.get((run, j))
+            vals += ([repr(float(v)) + "D" for v in x] if x is not None
+                     else ["CAST(NULL AS DOUBLE)"] * d)
+        rows.append("(" + ", ".join(vals) + ")")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({', '.join(cols)})")
+
+
+def _nearest(k: int, d: int, digits: int) -> F.Column:
+    cands = []
+    for j in range(k):
+        dist = None
+        for i in range(d):
+            diff = F.col(f"x{i}") - F.col(f"c{j}_{i}")
+            dist = diff * diff if dist is None else dist + diff * diff
+        cand = F.struct(F.round(dist, digits).alias("d"), F.lit(j).alias("cluster"))
+        cands.append(F.when(F.col(f"c{j}_0").isNotNull(), cand))
+    # least() skips nulls (missing centers); structs compare by d, then id
+    return (F.least(*cands) if k > 1 else cands[0])["cluster"]
+
+
 def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int = 1,
                          steps: int = 8, fraction: float = 0.9, digits: int = 9,
                          dims: int | None = None) -> DataFrame:
     """points(point_id, x array<double>) -> assignments(run int, point_id, cluster int).
 
-    The result is written to the shared scratch folder and read back.  The sampled
-    points are persisted once (N rows plus one bigint of run bits) and
+    The result is written to the shared scratch folder and read back.  The
+    sampled points are persisted once (N rows plus one bigint of run bits) and
     re-exploded into (run, point) rows inside every step, so the R-times
-    larger stacked table never needs to be stored.
+    larger stacked table is never stored.  Between steps only the R * k
+    centers come back to the driver, as in MLlib's k-means.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
+    spark = points.sparkSession
     d = dims or _dims(points)
-    base = (points.select("point_id", F.col("x").cast("array<double>").alias("x"),
-                          sample_mask(seed, "point_id", runs, fraction).alias("smask"))
-            .where(F.col("smask") != 0)
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    xs = [F.col("x")[i].cast("double").alias(f"x{i}") for i in range(d)]
+    base = spread(points).select("point_id", *xs,
+                                 sample_mask(seed, "point_id", runs, fraction).alias("smask"))
+    base = base.where(F.col("smask") != 0).persist(StorageLevel.MEMORY_AND_DISK)
+    xcols = [f"x{i}" for i in range(d)]
 
     def stacked() -> DataFrame:
         runs_of_point = F.filter(F.sequence(F.lit(0), F.lit(runs - 1)),
                                  lambda r: F.col("smask").bitwiseAND(run_bit(r)) != 0)
-        return base.select("point_id", "x", F.explode(runs_of_point).alias("run"))
+        return base.select("point_id", *xcols, F.explode(runs_of_point).alias("run"))
 
     init_hash = F.md5(F.concat_ws(":", F.lit("init"), F.lit(str(seed)),
                                   F.col("run").cast("string"), F.col("point_id").cast("string")))
-    # row_number() <= k is planned with a partial per-partition group limit,
-    # so only k rows per run and map task reach the shuffle.
+    # row_number() <= k is planned with a per-partition group limit before the
+    # shuffle, so only k rows per run and map task are exchanged.
     w = Window.partitionBy("run").orderBy(init_hash, F.col("point_id"))
-    centers = (stacked().withColumn("rn", F.row_number().over(w))
-               .where(F.col("rn") <= k)
-               .select("run", (F.col("rn") - 1).cast("int").alias("cluster"), "x"))
-
-    spark = points.sparkSession
-    schema = "run int, cluster int, x array<double>"
+    init = (stacked().withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+            .select("run", (F.col("rn") - 1).alias("cluster"), *xcols))
+    current = {(r["run"], r["cluster"]): [r[x] for x in xcols] for r in init.collect()}
 
-    def to_local(rows) -> DataFrame:
-        # At most runs * k rows of d numbers, like the centers MLlib returns to
-        # the driver every iteration: a proven bound, independent of N.
-        return spark.createDataFrame([(r["run"], r["cluster"], list(r["x"])) for r in rows], schema)
+    nearest = _nearest(k, d, digits)
 
-    def assign(cent: DataFrame) -> DataFrame:
-        packed = cent.groupBy("run").agg(
-            F.collect_list(F.struct("cluster", "x")).alias("centers"))
-        return (stacked().join(F.broadcast(packed), "run")
-                .select("run", "point_id", "x",
-                        nearest_center("x", "centers", digits).alias("cluster")))
+    def assign(cent: dict) -> DataFrame:
+        table = _centers_table(spark, cent, k, d)
+        return (stacked().join(F.broadcast(table), "run")
+                .select("run", "point_id", *xcols, nearest.alias("cluster")))
 
-    current = {(r["run"], r["cluster"]): r for r in centers.collect()}
     for _ in range(steps):
-        means = assign(to_local(current.values())).groupBy("run", "cluster").agg(
-            F.array(*[F.round(F.avg(F.col("x")[i]), digits) for i in range(d)]).alias("x"))
+        means = assign(current).groupBy("run", "cluster").agg(
+            *[F.round(F.avg(x), digits).alias(x) for x in xcols])
         # an empty cluster keeps its previous center
-        current.update({(r["run"], r["cluster"]): r for r in means.collect()})
+        current.update({(r["run"], r["cluster"]): [r[x] for x in xcols] for r in means.collect()})
 
-    out = assign(to_local(current.values())).select(
-        F.col("run").cast("int").alias("run"), "point_id", F.col("cluster").cast("int").alias("cluster"))
+    out = assign(current).select(F.col("run").cast("int").alias("run"), "point_id",
+                                 F.col("cluster").cast("int").alias("cluster"))
     out = materialize(out, "portable-assignments")
     base.unpersist()
     return out

@@ -13,10 +13,23 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.operators import cluster as C
 from concord.operators import consensus as cons
+from concord.operators import evaluate as E
+from concord.operators import features as FT
+from concord.operators import importance as I
+from concord.operators import points as P
+from concord.operators import resample as RS
 from concord.operators.portable import portable_assignments
 from concord.plans import oracles as O
-from concord.plans.fixtures import PART, SUPPLIER
+from concord.plans.fixtures import PART, PURCHASE, PURCHASE_GROUP, SUPPLIER, USAGE_FEATURES, usage_table
+from concord.session import scratch_path
+from concord.sources import csv as CSV
+from concord.sources import libsvm as LIBSVM
+from concord.sources import models as MODELS
+from concord.sources import profile as PROFILE
+from concord.sources import views as VIEWS
+from concord.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,3 +86,396 @@ def consensus_histogram_cumulative(spark: SparkSession, sf_dir: str) -> DataFram
     """K8: histogram re-binned after every run and summed (total R N(N-1)), suppliers."""
     pts, asg = _portable(spark, sf_dir, SUPPLIER)
     return cons.consensus_histogram(asg, pts.count(), K_CONSENSUS, RUNS, mode="cumulative")
+
+
+@query("pair_cosample", f"""WITH {O.portable_sql(SUPPLIER, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=PORTABLE_STEPS)},
+per AS (SELECT a.point_id, count(DISTINCT a.run) AS runs_sampled, count(b.point_id) AS cosampled_pairs
+        FROM asg a LEFT JOIN asg b ON a.run = b.run AND a.point_id <> b.point_id GROUP BY 1)
+SELECT p.point_id, CAST(coalesce(runs_sampled, 0) AS BIGINT) AS runs_sampled,
+       CAST(coalesce(cosampled_pairs, 0) AS BIGINT) AS cosampled_pairs
+FROM pts p LEFT JOIN per USING (point_id)""")
+def pair_cosample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 (re-aimed): per point, the row sum of the co-sample count table -- how
+    many (partner, run) co-samplings it had -- from run sizes, without pairs."""
+    pts, asg = _portable(spark, sf_dir, SUPPLIER)
+    return cons.item_totals(asg, pts).select("point_id", "runs_sampled", "cosampled_pairs")
+
+
+@query("pair_cocluster", f"""WITH {O.portable_sql(SUPPLIER, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=PORTABLE_STEPS)},
+per AS (SELECT a.point_id, count(b.point_id) AS coclustered_pairs
+        FROM asg a JOIN asg b ON a.run = b.run AND a.cluster = b.cluster AND a.point_id <> b.point_id GROUP BY 1)
+SELECT p.point_id, CAST(coalesce(coclustered_pairs, 0) AS BIGINT) AS coclustered_pairs
+FROM pts p LEFT JOIN per USING (point_id)""")
+def pair_cocluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4 (re-aimed): per point, the row sum of the co-cluster count table, from
+    (run, cluster) sizes."""
+    pts, asg = _portable(spark, sf_dir, SUPPLIER)
+    return cons.item_totals(asg, pts).select("point_id", "coclustered_pairs")
+
+
+@query("pair_consensus", f"""WITH {O.portable_sql(SUPPLIER, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=PORTABLE_STEPS)},
+per AS (SELECT a.point_id, count(*) AS s, sum(CASE WHEN a.cluster = b.cluster THEN 1 ELSE 0 END) AS c
+        FROM asg a JOIN asg b ON a.run = b.run AND a.point_id <> b.point_id GROUP BY 1)
+SELECT p.point_id, CASE WHEN coalesce(s, 0) = 0 THEN 0.0 ELSE round(CAST(c AS DOUBLE) / s, 9) END AS consensus
+FROM pts p LEFT JOIN per USING (point_id)""")
+def pair_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5 (re-aimed): per point, co-clustered / co-sampled partner counts
+    (0 when never co-sampled) -- its pooled consensus with everyone else."""
+    pts, asg = _portable(spark, sf_dir, SUPPLIER)
+    return cons.item_totals(asg, pts).select("point_id", "consensus")
+
+
+@query("consensus_compare")
+def consensus_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 + K11 with MLlib: KMeans, bisecting k-means and Gaussian mixture, 20
+    subsample fits each (k=5, maxIter=125, seed 1), final histograms side by side."""
+    pts = PART.load(spark, sf_dir)
+    n = pts.count()
+    hists = {}
+    for alg in C.ALGORITHMS:
+        asg = cons.mllib_assignments(pts, alg, K_CONSENSUS, MAX_ITER_CONSENSUS, FIT_SEED, RUNS,
+                                     SAMPLE_SEED, FRACTION)
+        hists[alg] = cons.consensus_histogram(asg, n, K_CONSENSUS, RUNS, mode="final")
+    return cons.consensus_compare(hists)
+
+
+# ------------------------------------------------------------ sources (S)
+
+@query("src_parquet_points", PART.sql())
+def src_parquet_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parquet scan to points; only the three needed columns are read."""
+    return PART.load_wide(spark, sf_dir)
+
+
+@query("src_csv_typed", "SELECT * FROM part")
+def src_csv_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV with an explicit schema (the table is written as CSV to the shared
+    folder first, then read back typed)."""
+    part = read_table(spark, sf_dir, "part")
+    path = scratch_path(spark, "part-csv")
+    CSV.write_csv(part, path)
+    return CSV.read_csv_typed(spark, path, part.schema)
+
+
+_VIEW_SQL = """SELECT p_brand, CAST(count(*) AS BIGINT) AS n_parts, round(avg(p_retailprice), 6) AS avg_price,
+       min(p_size) AS min_size, max(p_size) AS max_size
+FROM {view} GROUP BY p_brand"""
+
+
+@query("src_temp_view", _VIEW_SQL.format(view="part"))
+def src_temp_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: register the table as a temp view and query it with SQL."""
+    VIEWS.register_view(read_table(spark, sf_dir, "part"), "concord_parts")
+    return VIEWS.query_view(spark, _VIEW_SQL.format(view="concord_parts"))
+
+
+@query("src_libsvm", "SELECT CAST(p_size AS DOUBLE) AS label, CAST(p_size AS DOUBLE) / 50 AS f0, "
+                     "(p_retailprice - 900) / 1200 AS f1 FROM part")
+def src_libsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIBSVM round trip (label = size, features = the two part features)."""
+    from pyspark.ml.functions import vector_to_array
+    pts = FT.to_features(PART.load(spark, sf_dir))
+    labeled = pts.join(read_table(spark, sf_dir, "part", ["p_partkey", "p_size"])
+                       .withColumnRenamed("p_partkey", "point_id"), "point_id")
+    path = scratch_path(spark, "part-libsvm")
+    LIBSVM.write_libsvm(labeled, path, "p_size", "features")
+    back = LIBSVM.read_libsvm(spark, path, 2)
+    arr = vector_to_array("features")
+    return back.select("label", arr[0].alias("f0"), arr[1].alias("f1"))
+
+
+_CUSTOMER_COLS = (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"),
+                  ("c_acctbal", "double"), ("c_mktsegment", "string"))
+
+
+@query("profile_columns", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS data_type, CAST(count(*) AS BIGINT) AS n_rows, "
+    f"CAST(count(*) - count({c}) AS BIGINT) AS n_nulls, CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct, "
+    f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM customer"
+    for c, t in _CUSTOMER_COLS))
+def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per column count, nulls, distinct, min, max -- one aggregate pass."""
+    return PROFILE.profile_columns(read_table(spark, sf_dir, "customer"))
+
+
+@query("model_save_load", f"SELECT {PURCHASE_GROUP} AS cluster, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def model_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 + S6: fit, save to the shared folder, load, predict; sizes of the
+    loaded model's predictions (a loaded model has no summary)."""
+    pts = PURCHASE.load(spark, sf_dir)
+    f = C.fit(pts, "kmeans", 2, 30, FIT_SEED)
+    path = MODELS.save_model(f.model, scratch_path(spark, "model-kmeans"))
+    loaded = MODELS.load_model("kmeans", path)
+    g = C.Fit("kmeans", 2, loaded, loaded.transform(f.predictions.select("point_id", "features")))
+    return (C.canonical_predictions(g, ["point_id"]).groupBy("cluster")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
+
+
+# ------------------------------------------------------------ features (F)
+
+@query("feat_assemble", "SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS f0, c_acctbal AS f1 FROM customer")
+def feat_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VectorAssembler over two customer columns."""
+    from pyspark.ml.functions import vector_to_array
+    df = FT.assemble(read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal"]),
+                     ["c_nationkey", "c_acctbal"])
+    arr = vector_to_array("features")
+    return df.select("c_custkey", arr[0].alias("f0"), arr[1].alias("f1"))
+
+
+_SEGMENT_RANK = """WITH f AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1),
+r AS (SELECT c_mktsegment, CAST(row_number() OVER (ORDER BY n DESC, c_mktsegment) - 1 AS DOUBLE) AS segment_idx FROM f)
+"""
+
+
+@query("feat_string_index", _SEGMENT_RANK +
+       "SELECT c.c_custkey, c.c_mktsegment, r.segment_idx FROM customer c JOIN r USING (c_mktsegment)")
+def feat_string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """StringIndexer, most frequent first, ties alphabetical."""
+    df, _ = FT.string_index(read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"]),
+                            "c_mktsegment", "segment_idx")
+    return df.select("c_custkey", "c_mktsegment", "segment_idx")
+
+
+@query("feat_index_to_string", _SEGMENT_RANK +
+       "SELECT c.c_custkey, r.segment_idx, c.c_mktsegment AS segment_back FROM customer c JOIN r USING (c_mktsegment)")
+def feat_index_to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """index back to the string with the fitted indexer's labels."""
+    df, model = FT.string_index(read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"]),
+                                "c_mktsegment", "segment_idx")
+    return FT.index_to_string(df, "segment_idx", model.labels, "segment_back").select(
+        "c_custkey", "segment_idx", "segment_back")
+
+
+@query("feat_vector_index", """SELECT c_custkey,
+  CAST(dense_rank() OVER (ORDER BY c_nationkey <> 0, c_nationkey) - 1 AS DOUBLE) AS nation_idx,
+  c_acctbal AS acctbal FROM customer""")
+def feat_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VectorIndexer(maxCategories=32): the nation slot becomes categorical
+    (values sorted, 0 first), the balance slot stays continuous."""
+    from pyspark.ml.functions import vector_to_array
+    df = FT.assemble(read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal"]),
+                     ["c_nationkey", "c_acctbal"])
+    out, _ = FT.vector_index(df, "features", "indexed", 32)
+    arr = vector_to_array("indexed")
+    return out.select("c_custkey", arr[0].alias("nation_idx"), arr[1].alias("acctbal"))
+
+
+# ---------------------------------------------------------- relational (R)
+
+@query("points_distinct", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+def points_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct rows of the projected columns."""
+    return P.distinct_points(read_table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"])
+
+
+@query("points_count", """SELECT (SELECT CAST(count(*) AS BIGINT) FROM customer) AS n_rows,
+  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)) AS n_distinct""")
+def points_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: rows before and after distinct, one row."""
+    return P.count_points(read_table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"])
+
+
+@query("points_keyed", "SELECT DISTINCT p_partkey AS point_id, p_size, p_retailprice FROM part")
+def points_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R5 with a natural key."""
+    return P.keyed_points(read_table(spark, sf_dir, "part"), ["p_size", "p_retailprice"], "p_partkey")
+
+
+_LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("points_keyed_digest", f"""SELECT (SELECT CAST(count(*) AS BIGINT) FROM lineitem) AS n_rows,
+  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT {', '.join(_LINEITEM_COLS)} FROM lineitem)) AS n_points,
+  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT {', '.join(_LINEITEM_COLS)} FROM lineitem)) AS n_ids""")
+def points_keyed_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R5 with the row digest (lineitem has no unique key): one id per distinct row."""
+    li = read_table(spark, sf_dir, "lineitem", _LINEITEM_COLS)
+    keyed = P.keyed_points(li, _LINEITEM_COLS)
+    zero = F.lit(0).cast("bigint")
+    n_rows = li.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), zero.alias("n_points"), zero.alias("n_ids"))
+    ids = keyed.agg(zero.alias("n_rows"), F.count(F.lit(1)).cast("bigint").alias("n_points"),
+                    F.count_distinct("point_id").cast("bigint").alias("n_ids"))
+    # two one-row aggregates side by side: a union and a sum, no join needed
+    return n_rows.unionByName(ids).agg(*[F.sum(c).cast("bigint").alias(c) for c in ("n_rows", "n_points", "n_ids")])
+
+
+@query("resample_membership", f"WITH {O.sampled_sql(PART, RUNS, SAMPLE_SEED, FRACTION)}\nSELECT run, point_id FROM mem")
+def resample_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run, point_id) of the 20 reproducible 90 % subsamples."""
+    return RS.membership(PART.load(spark, sf_dir), RUNS, SAMPLE_SEED, FRACTION)
+
+
+@query("resample_sizes", f"WITH {O.sampled_sql(PART, RUNS, SAMPLE_SEED, FRACTION)}\n"
+                         "SELECT run, CAST(count(*) AS BIGINT) AS n FROM mem GROUP BY run")
+def resample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subsample size per run."""
+    return RS.sample_sizes(PART.load(spark, sf_dir), RUNS, SAMPLE_SEED, FRACTION)
+
+
+@query("train_test_split", "SELECT p_partkey AS point_id, "
+       "substr(md5(concat_ws(':', 'split', '5043', CAST(p_partkey AS VARCHAR))), 1, 8) < 'cccccccc' AS is_train FROM part")
+def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stable 80 / 20 split by id hash (seed 5043)."""
+    return RS.train_test_split(PART.load(spark, sf_dir), "point_id", 5043, 0.8).select("point_id", "is_train")
+
+
+# ------------------------------------------------------------ clustering (C)
+
+_PURCHASE_SQL = f"SELECT event_id AS point_id, {PURCHASE_GROUP} AS g, {PURCHASE.features[0]} AS x0 FROM events"
+
+
+def _purchase_fit(spark: SparkSession, sf_dir: str, algorithm: str, max_iter: int = 30) -> C.Fit:
+    return C.fit(PURCHASE.load(spark, sf_dir), algorithm, 2, max_iter, FIT_SEED)
+
+
+def _sizes_and_centers(f: C.Fit) -> DataFrame:
+    ids = C.canonical_ids(f)
+    cent = C.centers_table(f.predictions.sparkSession, f.model)
+    sizes = C.cluster_sizes(f)
+    return (sizes.join(ids, "cluster").join(cent, "cluster")
+            .select(F.col("rank").alias("cluster"), "n", F.round(F.col("center")[0], 6).alias("center")))
+
+
+_SIZES_CENTERS_SQL = (f"SELECT g AS cluster, CAST(count(*) AS BIGINT) AS n, round(avg(x0), 6) AS center "
+                      f"FROM ({_PURCHASE_SQL}) GROUP BY g")
+
+
+@query("kmeans_fit", _SIZES_CENTERS_SQL)
+def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KMeans k=2 on two far-apart groups: sizes and centers are exact."""
+    return _sizes_and_centers(_purchase_fit(spark, sf_dir, "kmeans"))
+
+
+@query("bisecting_fit", _SIZES_CENTERS_SQL)
+def bisecting_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bisecting k-means k=2, same exact answer."""
+    return _sizes_and_centers(_purchase_fit(spark, sf_dir, "bisecting"))
+
+
+@query("gmm_fit", f"SELECT g AS cluster, CAST(count(*) AS BIGINT) AS n FROM ({_PURCHASE_SQL}) GROUP BY g")
+def gmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaussian mixture k=2; hard assignments give the exact group sizes
+    (means and covariances are soft estimates, not compared)."""
+    f = _purchase_fit(spark, sf_dir, "gmm", 20)
+    return C.canonical_predictions(f, ["point_id"]).groupBy("cluster").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@query("cluster_centers", f"SELECT g AS cluster, 0 AS dim, round(avg(x0), 6) AS value FROM ({_PURCHASE_SQL}) GROUP BY g")
+def cluster_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: centers as long rows (cluster, dim, value)."""
+    f = _purchase_fit(spark, sf_dir, "kmeans")
+    ids = C.canonical_ids(f)
+    return (C.cluster_centers(f).join(ids, "cluster")
+            .select(F.col("rank").alias("cluster"), "dim", F.round("value", 6).alias("value")))
+
+
+@query("cluster_sizes", """SELECT CAST(row_number() OVER (ORDER BY n DESC, event_type) - 1 AS INTEGER) AS cluster,
+  CAST(n AS BIGINT) AS n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)""")
+def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KMeans k=5 on the indexed event type (five values): each value is
+    its own cluster; sizes listed for every id, empty ones as 0."""
+    ev, _ = FT.string_index(read_table(spark, sf_dir, "events", ["event_id", "event_type"]),
+                            "event_type", "type_idx")
+    pts = ev.select(F.col("event_id").alias("point_id"), F.array("type_idx").alias("x"))
+    f = C.fit(pts, "kmeans", 5, 30, FIT_SEED)
+    ids = C.canonical_ids(f)
+    return C.cluster_sizes(f).join(ids, "cluster").select(F.col("rank").alias("cluster"), "n")
+
+
+@query("cluster_wcss", f"""WITH p AS ({_PURCHASE_SQL}), m AS (SELECT g, avg(x0) AS mx FROM p GROUP BY g),
+w AS (SELECT round(sum((x0 - mx) * (x0 - mx)), 6) AS wcss FROM p JOIN m USING (g))
+SELECT 'kmeans' AS algorithm, wcss FROM w UNION ALL SELECT 'bisecting', wcss FROM w""")
+def cluster_wcss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within-cluster sum of squares from predictions and final centers."""
+    out = None
+    for alg in ("kmeans", "bisecting"):
+        w = C.wcss(_purchase_fit(spark, sf_dir, alg)).select("algorithm", F.round("wcss", 6).alias("wcss"))
+        out = w if out is None else out.unionByName(w)
+    return out
+
+
+@query("gmm_loglik")
+def gmm_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixture log-likelihood (k=3, maxIter=20, seed 1) on part."""
+    return C.gmm_loglik(C.fit(PART.load(spark, sf_dir), "gmm", 3, 20, FIT_SEED))
+
+
+@query("gmm_parameters")
+def gmm_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, mean and covariance of each component (k=3, maxIter=20) on part."""
+    return C.gmm_parameters(C.fit(PART.load(spark, sf_dir), "gmm", 3, 20, FIT_SEED))
+
+
+@query("assign_clusters", f"SELECT event_id AS point_id, {PURCHASE_GROUP} AS cluster FROM events")
+def assign_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions appended to the input (one cluster per event)."""
+    return C.canonical_predictions(_purchase_fit(spark, sf_dir, "kmeans"), ["point_id"])
+
+
+@query("k_sweep")
+def k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k = 2..6 for the three algorithms on part, cost and its change per k."""
+    return E.k_sweep(PART.load(spark, sf_dir), [2, 3, 4, 5, 6], C.ALGORITHMS, max_iter=30, seed=FIT_SEED)
+
+
+@query("silhouette", f"""WITH p AS ({_PURCHASE_SQL}),
+st AS (SELECT g, count(*) AS n, sum(x0) AS fs, sum(x0 * x0) AS qs FROM p GROUP BY g),
+d AS (SELECT p.g, s.g AS h, s.n,
+             x0 * x0 + s.qs / s.n - 2 * (x0 * s.fs) / s.n AS dist, p.point_id FROM p JOIN st s ON TRUE),
+pt AS (SELECT point_id,
+              max(CASE WHEN g = h THEN dist * n / (n - 1) END) AS a,
+              min(CASE WHEN g <> h THEN dist END) AS b,
+              max(CASE WHEN g = h THEN n END) AS own_n FROM d GROUP BY point_id),
+sc AS (SELECT CASE WHEN own_n = 1 THEN 0.0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0.0 END AS s FROM pt)
+SELECT 'kmeans' AS algorithm, 2 AS k, round(avg(s), 6) AS silhouette FROM sc""")
+def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11: squared-Euclidean silhouette of the k=2 fit."""
+    s = E.silhouette(_purchase_fit(spark, sf_dir, "kmeans"))
+    return s.select("algorithm", "k", F.round("silhouette", 6).alias("silhouette"))
+
+
+# ------------------------------------------------------------ importance (I)
+
+@query("relabel_clusters", f"SELECT event_id AS point_id, CAST({PURCHASE_GROUP} AS DOUBLE) AS label FROM events")
+def relabel_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bisecting k-means clusters renamed to the class label."""
+    f = _purchase_fit(spark, sf_dir, "bisecting")
+    return I.relabel(C.canonical_predictions(f, ["point_id"]), "cluster").select("point_id", "label")
+
+
+def _usage_labeled(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:
+    usage = FT.assemble(usage_table(spark, sf_dir), list(USAGE_FEATURES))
+    f = C.fit(usage, "kmeans", k, MAX_ITER_CONSENSUS, FIT_SEED)
+    return I.relabel(f.predictions, "prediction", "label", list(USAGE_FEATURES))
+
+
+@query("rf_importance")
+def rf_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-user usage -> KMeans k=4 -> forest (20 trees, depth 5,
+    seed 5043) -> named importances."""
+    imp = I.rf_importance(_usage_labeled(spark, sf_dir))
+    return imp.select("feature_idx", "feature", F.round("importance", 6).alias("importance"))
+
+
+@query("rf_importance_separable", """SELECT 0 AS feature_idx, 'is_purchase' AS feature,
+  CAST(CASE WHEN count(DISTINCT event_type = 'purchase') = 2 THEN 1 ELSE 0 END AS DOUBLE) AS importance FROM events
+UNION ALL SELECT 1, 'constant', CAST(0 AS DOUBLE)""")
+def rf_importance_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I2 / I3 with a known answer: a feature equal to the label and a
+    constant get importances exactly 1 and 0."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "event_type"]).select(
+        F.col("event_id").alias("point_id"),
+        F.expr(PURCHASE_GROUP).cast("double").alias("is_purchase"),
+        F.lit(3.0).alias("constant"))
+    df = FT.assemble(ev, ["is_purchase", "constant"]).withColumn("label", F.col("is_purchase"))
+    imp = I.rf_importance(df)
+    return imp.select("feature_idx", "feature", F.round("importance", 6).alias("importance"))
+
+
+@query("rf_holdout_score")
+def rf_holdout_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4: forest trained on a stable 80 % of users, accuracy and F1 on the rest."""
+    return I.rf_holdout_score(_usage_labeled(spark, sf_dir), "user_id")

@@ -64,6 +64,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path under the shared scratch folder."""
+    return os.path.join(scratch_dir(spark), f"{tag}-{uuid.uuid4().hex}")
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as parquet under the shared scratch folder and read it back.
 
@@ -72,6 +77,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     filter push-down for the readers.
     """
     spark = df.sparkSession
-    path = os.path.join(scratch_dir(spark), f"{tag}-{uuid.uuid4().hex}")
+    path = scratch_path(spark, tag)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
