@@ -8,22 +8,27 @@ j).  For two points a, b
     s = popcount(a.smask & b.smask)              times co-sampled
     c = sum_j popcount(a.m_j & b.m_j)            times co-clustered
 
-and their bin is ``least(9, 10c div s)`` (0 when s = 0).  Points with equal
-masks are interchangeable, so they are grouped into weighted *signatures*.
-
-Only pairs with c >= 1 can land above bin 0, and such a pair shares at least
-one (run, cluster).  Candidates therefore come from an equi-join of signature
-memberships on (run, cluster); a pair sharing c slots is kept once, in the
-slot of its first co-clustered run (``lowest_bit(y) = bit(run)``).  Every
-other ordered pair is in bin 0 and is counted by subtraction from the known
-total N(N-1) (R N(N-1) for the cumulative form), which also covers points
-never sampled at all.
-
-A (run, cluster) slot may hold a large share of all signatures.  Each slot is
-split into ``nb = ceil(rows / bucket_rows)`` hash buckets and the join runs
-over bucket pairs (i <= j) on the key (run, cluster, i, j), so no task holds
-more than ``bucket_rows`` rows of either side.  Pairs are folded into bin
-counts inside the join's stage; only per-bin partial sums are shuffled.
+and their bin is ``least(9, 10c div s)`` (0 when s = 0).
+
+The histogram is over all N(N-1) ordered point pairs, so its cost is pairwise
+by definition; the plan keeps that cost as small and as evenly spread as it
+can, and never materialises pairs:
+
+* Points with equal masks are interchangeable, so they collapse into weighted
+  *signatures* (one row, weight w).  A group of identical points, however
+  large, is one row -- this is where hot keys disappear.
+* Signature pairs are enumerated once each, in a triangular block layout:
+  signatures are hashed into nb blocks and tile (i <= j) is the grouping key,
+  so a task holds at most about 2 x ``block_rows`` signatures, whatever N.
+  Spark shuffles the tiles; inside a task a small numpy kernel folds the
+  tile's pairs into ten bin counts (``engine="sql"`` does the same with a
+  shuffled hash join and built-in bit functions).  Pairs never become rows.
+* Pairs involving points never sampled (no assignment rows) are all in bin 0
+  and are counted by difference from the known total N(N-1) (R N(N-1) for the
+  cumulative form).
+
+Work is M(M+1)/2 signature pairs for M signatures; M depends on how stable the
+clustering is (a stable one has few), not only on N.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.masks import lowest_bit, popcount, prefix_mask, run_bit
+from concord.functions.masks import popcount, prefix_mask, run_bit
 from concord.functions.ratio import N_BINS, consensus_ratio, ratio_bin
 from concord.functions.sampling import in_sample
 from concord.session import materialize
@@ -130,82 +135,153 @@ def signatures(assignments: DataFrame, k: int) -> DataFrame:
     return point_masks(assignments, k).groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
 
 
-def _candidates(sigs: DataFrame, k: int, runs: int, bucket_rows: int) -> DataFrame:
-    """Signature pairs with c >= 1, once each, with their ordered-pair weight."""
+def _tiles(sigs: DataFrame, k: int, block_rows: int, min_blocks: int) -> DataFrame:
+    """Copy each signature into the tiles of the triangular block layout.
+
+    Signatures are hashed into ``nb`` blocks; tile (i, j), i <= j, pairs
+    block i (side 0) with block j (side 1).  A signature lands in nb + 1
+    tiles, and a tile holds at most about 2 x ``block_rows`` rows.
+    """
+    cols = ["smask"] + _mcols(k)
+    m = sigs.count()
+    nb = max(1, min_blocks, -(-m // block_rows))
+    keyed = sigs.select(*cols, "w", "sid", F.pmod(F.xxhash64(*cols), F.lit(nb)).cast("int").alias("t"))
+    keep = ["t", "sid", "w"] + cols
+    left = keyed.select(*keep, F.lit(0).alias("side"), F.col("t").alias("ba"),
+                        F.explode(F.sequence(F.col("t"), F.lit(nb - 1))).alias("bb"))
+    right = keyed.select(*keep, F.lit(1).alias("side"),
+                         F.explode(F.sequence(F.lit(0), F.col("t"))).alias("ba"), F.col("t").alias("bb"))
+    return left.unionByName(right)
+
+
+def _tile_kernel(k: int, runs: int, mode: str, chunk: int = 256):
+    """Histogram of one tile with numpy: every (a in block i, b in block j)
+    pair once (on the diagonal tile only sid_a <= sid_b), ordered-pair
+    weights w_a w_b (both orders) or w (w - 1) for a signature with itself.
+    Works on ``chunk`` rows of side 0 at a time, so memory stays at
+    chunk x block_rows cells whatever the tile."""
+    import numpy as np
+    import pandas as pd
+
     ms = _mcols(k)
-    cols = ["smask"] + ms
-    bit = run_bit("run")
-    keyed = sigs.select(*cols, "w", F.struct(*cols).alias("key"),
-                        F.xxhash64(*cols).alias("kh"))
-    runs_of_sig = F.filter(F.sequence(F.lit(0), F.lit(runs - 1)),
-                           lambda r: F.col("smask").bitwiseAND(run_bit(r)) != 0)
-    mem = keyed.select("*", F.explode(runs_of_sig).alias("run"))
-    mem = mem.withColumn("cluster", F.coalesce(*[
-        F.when(F.col(m).bitwiseAND(bit) != 0, F.lit(j)) for j, m in enumerate(ms)]))
-    # rows per (run, cluster) slot: at most runs * k rows, a proven small side
-    slots = (mem.groupBy("run", "cluster").agg(F.count(F.lit(1)).alias("slot_rows"))
-             .select("run", "cluster",
-                     F.greatest(F.lit(1), F.ceil(F.col("slot_rows") / F.lit(bucket_rows))).cast("int").alias("nb")))
-    mem = mem.join(F.broadcast(slots), ["run", "cluster"]).withColumn(
-        "t", F.pmod(F.col("kh"), F.col("nb")).cast("int"))
-    keep = ["run", "cluster", "t", "key", "w"] + cols
-    left = mem.select(*keep, F.col("t").alias("ba"),
-                      F.explode(F.sequence(F.col("t"), F.col("nb") - 1)).alias("bb"))
-    right = mem.select(*keep, F.explode(F.sequence(F.lit(0), F.col("t"))).alias("ba"),
-                       F.col("t").alias("bb"))
-    a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns])
-    b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns])
-    on = [a.a_run == b.b_run, a.a_cluster == b.b_cluster, a.a_ba == b.b_ba, a.a_bb == b.b_bb,
-          (a.a_t < b.b_t) | (a.a_key <= b.b_key)]
-    pairs = a.join(b, on, "inner")
-    y = None
-    for m in ms:
-        term = F.col(f"a_{m}").bitwiseAND(F.col(f"b_{m}"))
-        y = term if y is None else y.bitwiseOR(term)
-    pairs = pairs.where(lowest_bit(y) == run_bit("a_run"))
-    weight = F.when(F.col("a_key") == F.col("b_key"), F.col("a_w") * (F.col("a_w") - 1)).otherwise(
+    prefixes = [np.uint64((1 << p) - 1) for p in range(1, runs + 1)]
+
+    def u64(series):
+        return series.to_numpy(dtype=np.int64).view(np.uint64)
+
+    def add(out, b, w):
+        # exact integer sums per bin: a float64 bincount is exact while every
+        # partial sum stays below 2^53; otherwise add 21-bit limbs separately
+        b, w = b.ravel(), w.ravel()
+        small = int(w.max(initial=0)) * w.size < 2 ** 53
+        for shift in ((0,) if small else (0, 21, 42)):
+            limb = w if small else (w >> shift) & ((1 << 21) - 1)
+            part = np.rint(np.bincount(b, weights=limb.astype(np.float64), minlength=N_BINS))
+            for i in range(N_BINS):
+                out[i] += int(part[i]) << shift
+
+    def kernel(pdf: "pd.DataFrame") -> "pd.DataFrame":
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        out = [0] * N_BINS
+        if len(left) and len(right):
+            rt, rsid = right["t"].to_numpy()[None, :], right["sid"].to_numpy()[None, :]
+            rw = right["w"].to_numpy(dtype=np.int64)[None, :]
+            rs = u64(right["smask"])[None, :]
+            rm = [u64(right[m])[None, :] for m in ms]
+            for lo in range(0, len(left), chunk):
+                part = left.iloc[lo:lo + chunk]
+                lt, lsid = part["t"].to_numpy()[:, None], part["sid"].to_numpy()[:, None]
+                lw = part["w"].to_numpy(dtype=np.int64)[:, None]
+                keep = (lt < rt) | (lsid <= rsid)
+                w = np.where(lsid == rsid, lw * (lw - 1), 2 * lw * rw) * keep
+                both = u64(part["smask"])[:, None] & rs          # runs co-sampled
+                same = np.zeros_like(both)                       # runs co-clustered
+                for m, r in zip(ms, rm):
+                    same |= u64(part[m])[:, None] & r
+                for pm in ([None] if mode == "final" else prefixes):
+                    sb, cb = (both, same) if pm is None else (both & pm, same & pm)
+                    s = np.bitwise_count(sb).astype(np.int64)
+                    c = np.bitwise_count(cb).astype(np.int64)
+                    b = np.where(s == 0, 0, np.minimum(N_BINS - 1, (10 * c) // np.maximum(s, 1)))
+                    add(out, b, w)
+        return pd.DataFrame({"bin": np.arange(N_BINS, dtype=np.int32),
+                             "n": np.array(out, dtype=np.int64)})
+
+    return kernel
+
+
+def _tile_pairs_sql(tiles: DataFrame, k: int) -> DataFrame:
+    """The same tiles joined with built-in operators (no Python): one row per
+    signature pair, for engines without Arrow or for checking the kernel."""
+    cols = ["t", "sid", "w", "smask"] + _mcols(k)
+    a = tiles.where("side = 0").select("ba", "bb", *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = tiles.where("side = 1").select(F.col("ba").alias("b_ba"), F.col("bb").alias("b_bb"),
+                                       *[F.col(c).alias(f"b_{c}") for c in cols])
+    on = [a.ba == b.b_ba, a.bb == b.b_bb, (a.a_t < b.b_t) | (a.a_sid <= b.b_sid)]
+    pairs = a.join(b.hint("shuffle_hash"), on, "inner")
+    weight = F.when(F.col("a_sid") == F.col("b_sid"), F.col("a_w") * (F.col("a_w") - 1)).otherwise(
         F.lit(2) * F.col("a_w") * F.col("b_w"))
-    return pairs.select(F.col("a_run").alias("first_run"), weight.cast("bigint").alias("weight"),
-                        *[F.col(f"a_{c}") for c in cols], *[F.col(f"b_{c}") for c in cols])
+    return pairs.select(weight.cast("bigint").alias("weight"),
+                        *[F.col(f"a_{c}") for c in cols[3:]], *[F.col(f"b_{c}") for c in cols[3:]])
 
 
 def _pair_counts(k: int, mask: F.Column | None = None) -> tuple[F.Column, F.Column]:
-    def m(c):
-        return c if mask is None else c.bitwiseAND(mask)
-    c = None
+    """(c, s) of a joined signature pair; a point has one cluster per run, so the
+    per-cluster co-membership masks are disjoint and can be OR-ed first."""
+    same = None
     for j in _mcols(k):
-        t = popcount(m(F.col(f"a_{j}").bitwiseAND(F.col(f"b_{j}"))))
-        c = t if c is None else c + t
-    s = popcount(m(F.col("a_smask").bitwiseAND(F.col("b_smask"))))
-    return c, s
+        t = F.col(f"a_{j}").bitwiseAND(F.col(f"b_{j}"))
+        same = t if same is None else same.bitwiseOR(t)
+    both = F.col("a_smask").bitwiseAND(F.col("b_smask"))
+    if mask is not None:
+        same, both = same.bitwiseAND(mask), both.bitwiseAND(mask)
+    return popcount(same), popcount(both)
+
+
+def _default_blocks(spark) -> int:
+    # enough block pairs, nb (nb + 1) / 2, to give every core a few tasks
+    cores = spark.sparkContext.defaultParallelism
+    nb = 1
+    while nb * (nb + 1) // 2 < 4 * cores:
+        nb += 1
+    return nb
 
 
 def consensus_histogram(assignments: DataFrame, n_points: int, k: int, runs: int,
-                        mode: str = "final", bucket_rows: int = 4096) -> DataFrame:
+                        mode: str = "final", block_rows: int = 2048,
+                        min_blocks: int | None = None, engine: str = "numpy") -> DataFrame:
     """Ten rows (bin int, n bigint) over all ordered pairs of the ``n_points`` points.
 
     ``final``: ratios after all runs, total N(N-1).
     ``cumulative``: the sum over r = 1..R of the histogram after the first r
     runs, total R N(N-1) (what re-binning after every run accumulates).
+    ``engine``: ``numpy`` evaluates each tile in a vectorised kernel inside
+    the task; ``sql`` joins the tiles with built-in operators.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if not 1 <= runs <= 63:
         raise ValueError("runs must be between 1 and 63")
+    total = n_points * (n_points - 1) * (runs if mode == "cumulative" else 1)
+    if total >= 2 ** 63:
+        raise ValueError(f"{total} ordered pairs do not fit a bigint count")
     spark = assignments.sparkSession
-    cand = _candidates(signatures(assignments, k), k, runs, bucket_rows)
-    if mode == "final":
-        c, s = _pair_counts(k)
-        per_bin = cand.select(ratio_bin(c, s).alias("bin"), "weight")
-        total = n_points * (n_points - 1)
+    sigs = materialize(signatures(assignments, k).withColumn("sid", F.monotonically_increasing_id()),
+                       "signatures")
+    tiles = _tiles(sigs, k, block_rows, min_blocks or _default_blocks(spark))
+    if engine == "numpy":
+        hist = tiles.groupBy("ba", "bb").applyInPandas(_tile_kernel(k, runs, mode), "bin int, n bigint") \
+            .groupBy("bin").agg(F.sum("n").cast("bigint").alias("n"))
     else:
-        # the pair is co-clustered in every prefix that contains its first such run
-        p = F.explode(F.sequence(F.col("first_run") + 1, F.lit(runs))).alias("p")
-        pref = cand.select("*", p)
-        c, s = _pair_counts(k, prefix_mask(F.col("p")))
-        per_bin = pref.select(ratio_bin(c, s).alias("bin"), "weight")
-        total = runs * n_points * (n_points - 1)
-    hist = per_bin.groupBy("bin").agg(F.sum("weight").cast("bigint").alias("n"))
+        pairs = _tile_pairs_sql(tiles, k)
+        if mode == "final":
+            c, s = _pair_counts(k)
+            per_bin = pairs.select(ratio_bin(c, s).alias("bin"), "weight")
+        else:
+            p = F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("p")
+            c, s = _pair_counts(k, prefix_mask(F.col("p")))
+            per_bin = pairs.select("*", p).select(ratio_bin(c, s).alias("bin"), "weight")
+        hist = per_bin.groupBy("bin").agg(F.sum("weight").cast("bigint").alias("n"))
     rest = hist.agg((F.lit(total).cast("bigint") - F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")).alias("n")) \
         .select(F.lit(0).cast("int").alias("bin"), "n")
     zeros = spark.range(N_BINS).select(F.col("id").cast("int").alias("bin"), F.lit(0).cast("bigint").alias("n"))
