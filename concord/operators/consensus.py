@@ -83,38 +83,56 @@ def fixed_layout(points: DataFrame, rows_per_partition: int = 1_000_000) -> Data
     return materialize(laid, "points-layout")
 
 
-def mllib_assignments(points: DataFrame, algorithm: str | Clusterer, k: int = 5,
-                      max_iter: int = 125, seed: int = 1, runs: int = 20,
-                      sample_seed: int = 1, fraction: float = 0.9,
-                      parallel_fits: int | None = None) -> DataFrame:
-    """R subsample fits -> assignments(run int, point_id, cluster int), written once.
+def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_iter: int = 125,
+                           seed: int = 1, runs: int = 20, sample_seed: int = 1, fraction: float = 0.9,
+                           parallel_fits: int | None = None) -> dict:
+    """R subsample fits per algorithm -> {algorithm: assignments(run, point_id, cluster)}.
 
     ``points`` needs ``point_id`` and ``x`` (array<double>) or ``features``
-    (vector).  Fits run from a driver thread pool so the cluster works on
-    several runs at once; each run reads the fixed-layout points through the
-    hash filter, so a run is the same rows however often it is evaluated.
+    (vector).  The points are laid out once; every (algorithm, run) fit is
+    submitted to one driver thread pool, so the cluster works on many fits at
+    once.  Each run reads the fixed layout through the hash filter, so a run
+    is the same rows however often it is evaluated.  Each algorithm's
+    assignments are written once to the shared folder.
     """
     from pyspark.ml.functions import array_to_vector
 
     if k < 2:
         raise ValueError("k must be at least 2")
-    fit = _mllib_clusterer(algorithm) if isinstance(algorithm, str) else algorithm
     if "features" not in points.columns:
         points = points.withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
     laid = fixed_layout(points.select("point_id", "features"))
+    fits = {(a if isinstance(a, str) else getattr(a, "__name__", "custom")):
+            (_mllib_clusterer(a) if isinstance(a, str) else a) for a in algorithms}
 
-    def one(run: int) -> DataFrame:
+    def one(job) -> DataFrame:
+        name, run = job
         sample = laid.where(in_sample(sample_seed, run, "point_id", fraction))
-        return fit(sample, k, max_iter, seed).select(F.lit(run).cast("int").alias("run"), "point_id",
-                                                     F.col("cluster").cast("int").alias("cluster"))
+        return fits[name](sample, k, max_iter, seed).select(
+            F.lit(run).cast("int").alias("run"), "point_id", F.col("cluster").cast("int").alias("cluster"))
 
-    workers = parallel_fits or min(runs, max(1, points.sparkSession.sparkContext.defaultParallelism))
+    jobs = [(name, r) for name in fits for r in range(runs)]
+    workers = parallel_fits or min(len(jobs), max(1, 2 * points.sparkSession.sparkContext.defaultParallelism))
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        per_run = list(pool.map(one, range(runs)))
-    out = per_run[0]
-    for df in per_run[1:]:
-        out = out.unionByName(df)
-    return materialize(out, f"assignments-{algorithm if isinstance(algorithm, str) else 'custom'}")
+        done = dict(zip(jobs, pool.map(one, jobs)))
+    out = {}
+    for name in fits:
+        per_run = [done[(name, r)] for r in range(runs)]
+        u = per_run[0]
+        for df in per_run[1:]:
+            u = u.unionByName(df)
+        out[name] = materialize(u, f"assignments-{name}")
+    return out
+
+
+def mllib_assignments(points: DataFrame, algorithm: str | Clusterer, k: int = 5,
+                      max_iter: int = 125, seed: int = 1, runs: int = 20,
+                      sample_seed: int = 1, fraction: float = 0.9,
+                      parallel_fits: int | None = None) -> DataFrame:
+    """K1 for one algorithm (MLlib name or a ``Clusterer``)."""
+    res = mllib_assignments_many(points, [algorithm], k, max_iter, seed, runs, sample_seed, fraction,
+                                 parallel_fits)
+    return next(iter(res.values()))
 
 
 # --------------------------------------------------------------------- masks

@@ -131,11 +131,10 @@ def consensus_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     subsample fits each (k=5, maxIter=125, seed 1), final histograms side by side."""
     pts = PART.load(spark, sf_dir)
     n = pts.count()
-    hists = {}
-    for alg in C.ALGORITHMS:
-        asg = cons.mllib_assignments(pts, alg, K_CONSENSUS, MAX_ITER_CONSENSUS, FIT_SEED, RUNS,
-                                     SAMPLE_SEED, FRACTION)
-        hists[alg] = cons.consensus_histogram(asg, n, K_CONSENSUS, RUNS, mode="final")
+    runs = cons.mllib_assignments_many(pts, list(C.ALGORITHMS), K_CONSENSUS, MAX_ITER_CONSENSUS, FIT_SEED,
+                                       RUNS, SAMPLE_SEED, FRACTION)
+    hists = {alg: cons.consensus_histogram(asg, n, K_CONSENSUS, RUNS, mode="final")
+             for alg, asg in runs.items()}
     return cons.consensus_compare(hists)
 
 
