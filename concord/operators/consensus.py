@@ -70,8 +70,8 @@ def _mllib_clusterer(algorithm: str) -> Clusterer:
     return fit
 
 
-def fixed_layout(points: DataFrame, rows_per_partition: int = 1_000_000) -> DataFrame:
-    """Range-partition and sort points by id, then write them once.
+def fixed_layout(points: DataFrame, rows_per_partition: int = 1_000_000) -> tuple[DataFrame, int]:
+    """Range-partition and sort points by id, then write them once; returns (table, N).
 
     MLlib fits depend on partitioning (k-means|| samples per partition), so
     every run must see the same layout: this makes fits reproducible, and the
@@ -80,7 +80,18 @@ def fixed_layout(points: DataFrame, rows_per_partition: int = 1_000_000) -> Data
     n = points.count()
     parts = max(1, -(-n // rows_per_partition))
     laid = points.repartitionByRange(parts, "point_id").sortWithinPartitions("point_id")
-    return materialize(laid, "points-layout")
+    return materialize(laid, "points-layout"), n
+
+
+def default_fit_pool(spark, n_points: int, jobs: int, small: int = 5_000_000) -> int:
+    """How many MLlib fits to run at once.
+
+    Each fit caches its own 90 % sample.  For small inputs many concurrent
+    fits hide per-job latency; for large ones every fit already spans the
+    cluster, so a few at a time keep the cached samples within memory.
+    """
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    return max(1, min(jobs, 2 * cores if n_points <= small else 4))
 
 
 def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_iter: int = 125,
@@ -101,7 +112,7 @@ def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_
         raise ValueError("k must be at least 2")
     if "features" not in points.columns:
         points = points.withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
-    laid = fixed_layout(points.select("point_id", "features"))
+    laid, n = fixed_layout(points.select("point_id", "features"))
     fits = {(a if isinstance(a, str) else getattr(a, "__name__", "custom")):
             (_mllib_clusterer(a) if isinstance(a, str) else a) for a in algorithms}
 
@@ -112,7 +123,7 @@ def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_
             F.lit(run).cast("int").alias("run"), "point_id", F.col("cluster").cast("int").alias("cluster"))
 
     jobs = [(name, r) for name in fits for r in range(runs)]
-    workers = parallel_fits or min(len(jobs), max(1, 2 * points.sparkSession.sparkContext.defaultParallelism))
+    workers = parallel_fits or default_fit_pool(points.sparkSession, n, len(jobs))
     with ThreadPoolExecutor(max_workers=workers) as pool:
         done = dict(zip(jobs, pool.map(one, jobs)))
     out = {}
@@ -266,7 +277,7 @@ def _default_blocks(spark) -> int:
 
 
 def consensus_histogram(assignments: DataFrame, n_points: int, k: int, runs: int,
-                        mode: str = "final", block_rows: int = 2048,
+                        mode: str = "final", block_rows: int = 8192,
                         min_blocks: int | None = None, engine: str = "numpy") -> DataFrame:
     """Ten rows (bin int, n bigint) over all ordered pairs of the ``n_points`` points.
 

@@ -173,9 +173,9 @@ def src_temp_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_libsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LIBSVM round trip (label = size, features = the two part features)."""
     from pyspark.ml.functions import vector_to_array
-    pts = FT.to_features(PART.load(spark, sf_dir))
-    labeled = pts.join(read_table(spark, sf_dir, "part", ["p_partkey", "p_size"])
-                       .withColumnRenamed("p_partkey", "point_id"), "point_id")
+    part = read_table(spark, sf_dir, "part", ["p_size", "p_retailprice"])
+    labeled = FT.to_features(part.select(
+        "p_size", F.array(*[F.expr(e).cast("double") for e in PART.features]).alias("x")))
     path = scratch_path(spark, "part-libsvm")
     LIBSVM.write_libsvm(labeled, path, "p_size", "features")
     back = LIBSVM.read_libsvm(spark, path, 2)
