@@ -83,7 +83,7 @@ def _nearest(k: int, d: int, digits: int) -> F.Column:
 
 def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int = 1,
                          steps: int = 8, fraction: float = 0.9, digits: int = 9,
-                         dims: int | None = None) -> DataFrame:
+                         dims: int | None = None, tol: float | None = None) -> DataFrame:
     """points(point_id, x array<double>) -> assignments(run int, point_id, cluster int).
 
     The result is written to the shared scratch folder and read back.  The
@@ -91,6 +91,10 @@ def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int =
     re-exploded into (run, point) rows inside every step, so the R-times
     larger stacked table is never stored.  Between steps only the R * k
     centers come back to the driver, as in MLlib's k-means.
+
+    ``steps`` is the number of update steps; with ``tol`` the loop also stops
+    once no center moved by more than ``tol`` (Euclidean), saving scans.  The
+    oracle runs the fixed-step form.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
@@ -127,7 +131,12 @@ def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int =
         means = assign(current).groupBy("run", "cluster").agg(
             *[F.round(F.avg(x), digits).alias(x) for x in xcols])
         # an empty cluster keeps its previous center
-        current.update({(r["run"], r["cluster"]): [r[x] for x in xcols] for r in means.collect()})
+        moved = {(r["run"], r["cluster"]): [r[x] for x in xcols] for r in means.collect()}
+        shift = max((sum((a - b) ** 2 for a, b in zip(v, current[key])) ** 0.5
+                     for key, v in moved.items()), default=0.0)
+        current.update(moved)
+        if tol is not None and shift <= tol:
+            break
 
     out = assign(current).select(F.col("run").cast("int").alias("run"), "point_id",
                                  F.col("cluster").cast("int").alias("cluster"))

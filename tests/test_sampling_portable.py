@@ -61,3 +61,19 @@ def test_split_is_stable(spark):
     assert sorted(a.collect()) == sorted(b.collect())
     frac = a.agg(F.avg(F.col("is_train").cast("double"))).first()[0]
     assert 0.65 < frac < 0.95
+
+
+def test_portable_tolerance_stops_at_fixed_point(spark):
+    pts = SUPPLIER.load(spark, SF001)
+    fixed = sorted(tuple(r) for r in portable_assignments(pts, k=3, runs=4, steps=30).collect())
+    early = sorted(tuple(r) for r in portable_assignments(pts, k=3, runs=4, steps=30, tol=0.0).collect())
+    assert fixed == early
+
+
+def test_mllib_consensus_is_reproducible(spark):
+    from concord.operators import consensus as cons
+    pts = PART.load(spark, SF001)
+    a = cons.mllib_assignments(pts, "kmeans", k=3, max_iter=10, runs=3)
+    b = cons.mllib_assignments(pts.repartition(3), "kmeans", k=3, max_iter=10, runs=3)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert sorted(r["run"] for r in a.select("run").distinct().collect()) == [0, 1, 2]
