@@ -17,9 +17,18 @@ def run_bit(run) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), r.cast("int"))
 
 
+def low_bits(n) -> Column:
+    """Bits 0 .. n-1 set, for 0 <= n <= 63, without overflowing a bigint
+    (all ones shifted right, unsigned)."""
+    n = F.lit(n) if isinstance(n, int) else _col(n)
+    ones = F.lit(-1).cast("bigint")
+    return F.when(n <= 0, F.lit(0).cast("bigint")).otherwise(
+        F.call_function("shiftrightunsigned", ones, (F.lit(64) - n).cast("int")))
+
+
 def prefix_mask(p) -> Column:
-    """Bits 0 .. p-1 set (runs of the first p runs)."""
-    return run_bit(p) - F.lit(1).cast("bigint")
+    """Bits 0 .. p-1 set (runs of the first p runs), p <= 63."""
+    return low_bits(p)
 
 
 def lowest_bit(x) -> Column:
@@ -30,3 +39,47 @@ def lowest_bit(x) -> Column:
 
 def popcount(x) -> Column:
     return F.bit_count(_col(x)).cast("bigint")
+
+
+class RunWords:
+    """Run bits spread over several bigint words when there are more runs than
+    one word holds: run r lives in word r div ``bits`` at bit r mod ``bits``.
+    ``bits`` <= 63 keeps the sign bit unused."""
+
+    def __init__(self, runs: int, bits: int = 63):
+        if runs < 1:
+            raise ValueError("runs must be at least 1")
+        if not 1 <= bits <= 63:
+            raise ValueError("bits per word must be between 1 and 63")
+        self.runs, self.bits = runs, bits
+        self.n = -(-runs // bits)
+
+    def names(self, prefix: str) -> list[str]:
+        return [f"{prefix}_{w}" for w in range(self.n)]
+
+    def word_runs(self, w: int) -> tuple[int, int]:
+        """First run and number of runs held by word w."""
+        lo = w * self.bits
+        return lo, min(self.bits, self.runs - lo)
+
+    def word_of(self, run) -> Column:
+        r = _col(run).cast("int")
+        return ((r - F.pmod(r, F.lit(self.bits))) / F.lit(self.bits)).cast("int")
+
+    def bit_of(self, run) -> Column:
+        return run_bit(F.pmod(_col(run).cast("int"), F.lit(self.bits)))
+
+    def runs_set(self, mask_cols: list[str]) -> Column:
+        """array of the runs whose bit is set in the given word columns."""
+        words = F.array(*[F.col(c) for c in mask_cols])
+        return F.filter(F.sequence(F.lit(0), F.lit(self.runs - 1)),
+                        lambda r: F.element_at(words, self.word_of(r) + 1).bitwiseAND(self.bit_of(r)) != 0)
+
+    def prefix_word(self, p: int, w: int) -> int:
+        """Bits of word w that belong to the first p runs (python int)."""
+        lo, _ = self.word_runs(w)
+        return (1 << max(0, min(self.bits, p - lo))) - 1
+
+    def prefix_word_col(self, p, w: int) -> Column:
+        lo, _ = self.word_runs(w)
+        return low_bits(F.least(F.lit(self.bits), F.greatest(F.lit(0), _col(p) - F.lit(lo))))

@@ -39,18 +39,28 @@ def in_sample(seed: int, run, point_id, fraction: float = 0.9) -> Column:
     return F.substring(F.md5(key), 1, 8) < F.lit(hash_threshold(fraction))
 
 
-def sample_mask(seed: int, point_id, runs: int, fraction: float = 0.9) -> Column:
-    """Bit r set when the point is in the subsample of run r (runs <= 63)."""
-    if not 1 <= runs <= 63:
-        raise ValueError("runs must be between 1 and 63 (one bigint of run bits)")
+def sample_mask(seed: int, point_id, runs: int, fraction: float = 0.9, word: int = 0,
+                bits: int = 63) -> Column:
+    """Run bits of one word: bit i set when the point is in the subsample of
+    run ``word * bits + i``.  With runs <= 63 the single word holds them all."""
+    lo = word * bits
+    hi = min(runs, lo + bits) - 1
+    if not 0 <= lo <= hi:
+        raise ValueError("word out of range")
     pid = _col(point_id).cast("string")
     thr = F.lit(hash_threshold(fraction))
 
     def step(acc, r):
         hit = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), r.cast("string"), pid)), 1, 8) < thr
-        return acc.bitwiseOR(F.when(hit, run_bit(r)).otherwise(F.lit(0).cast("bigint")))
+        return acc.bitwiseOR(F.when(hit, run_bit(r - F.lit(lo))).otherwise(F.lit(0).cast("bigint")))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(runs - 1)), F.lit(0).cast("bigint"), step)
+    return F.aggregate(F.sequence(F.lit(lo), F.lit(hi)), F.lit(0).cast("bigint"), step)
+
+
+def sample_masks(seed: int, point_id, runs: int, fraction: float = 0.9, bits: int = 63) -> list[Column]:
+    """All words of run bits, named smask_0, smask_1, ..."""
+    n = -(-runs // bits)
+    return [sample_mask(seed, point_id, runs, fraction, w, bits).alias(f"smask_{w}") for w in range(n)]
 
 
 def split_is_train(seed: int, point_id, train_fraction: float = 0.8, salt: str = "split") -> Column:

@@ -3,7 +3,7 @@ their ten-bin histogram, computed without an N x N table.
 
 Assignments ``(run, point_id, cluster)`` are folded per point into bit masks:
 ``smask`` (runs the point was sampled in) and ``m_j`` (runs it sat in cluster
-j).  For two points a, b
+j), one bigint word per 63 runs.  For two points a, b
 
     s = popcount(a.smask & b.smask)              times co-sampled
     c = sum_j popcount(a.m_j & b.m_j)            times co-clustered
@@ -39,7 +39,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.masks import popcount, prefix_mask, run_bit
+from concord.functions.masks import RunWords, popcount
 from concord.functions.ratio import N_BINS, consensus_ratio, ratio_bin
 from concord.functions.sampling import in_sample
 from concord.session import materialize
@@ -47,10 +47,6 @@ from concord.session import materialize
 MODES = ("final", "cumulative")
 
 
-def _mcols(k: int) -> list[str]:
-    return [f"m{j}" for j in range(k)]
-
-
 # --------------------------------------------------------------------------- K1
 
 Clusterer = Callable[[DataFrame, int, int, int], DataFrame]
@@ -148,30 +144,38 @@ def mllib_assignments(points: DataFrame, algorithm: str | Clusterer, k: int = 5,
 
 # --------------------------------------------------------------------- masks
 
-def point_masks(assignments: DataFrame, k: int) -> DataFrame:
-    """assignments -> (point_id, smask, m0 .. m_{k-1}); one shuffle by point."""
-    bit = run_bit("run")
+def mask_columns(k: int, words: RunWords) -> list[str]:
+    """smask_w (runs sampled) then m{j}_w (runs in cluster j), for every word w."""
+    return words.names("smask") + [c for j in range(k) for c in words.names(f"m{j}")]
+
+
+def point_masks(assignments: DataFrame, k: int, runs: int, word_bits: int = 63) -> DataFrame:
+    """assignments -> (point_id, smask_w, m{j}_w); one shuffle by point."""
+    words = RunWords(runs, word_bits)
+    bit, word = words.bit_of("run"), words.word_of("run")
     zero = F.lit(0).cast("bigint")
-    aggs = [F.bit_or(bit).alias("smask")] + [
-        F.bit_or(F.when(F.col("cluster") == j, bit).otherwise(zero)).alias(m)
-        for j, m in enumerate(_mcols(k))]
+    aggs = []
+    for w in range(words.n):
+        here = word == w
+        aggs.append(F.bit_or(F.when(here, bit).otherwise(zero)).alias(f"smask_{w}"))
+        for j in range(k):
+            aggs.append(F.bit_or(F.when(here & (F.col("cluster") == j), bit).otherwise(zero)).alias(f"m{j}_{w}"))
     return assignments.groupBy("point_id").agg(*aggs)
 
 
-def signatures(assignments: DataFrame, k: int) -> DataFrame:
+def signatures(assignments: DataFrame, k: int, runs: int, word_bits: int = 63) -> DataFrame:
     """Distinct mask tuples with their point count ``w``."""
-    cols = ["smask"] + _mcols(k)
-    return point_masks(assignments, k).groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
+    cols = mask_columns(k, RunWords(runs, word_bits))
+    return point_masks(assignments, k, runs, word_bits).groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
 
 
-def _tiles(sigs: DataFrame, k: int, block_rows: int, min_blocks: int) -> DataFrame:
+def _tiles(sigs: DataFrame, cols: list[str], block_rows: int, min_blocks: int) -> DataFrame:
     """Copy each signature into the tiles of the triangular block layout.
 
     Signatures are hashed into ``nb`` blocks; tile (i, j), i <= j, pairs
     block i (side 0) with block j (side 1).  A signature lands in nb + 1
     tiles, and a tile holds at most about 2 x ``block_rows`` rows.
     """
-    cols = ["smask"] + _mcols(k)
     m = sigs.count()
     nb = max(1, min_blocks, -(-m // block_rows))
     keyed = sigs.select(*cols, "w", "sid", F.pmod(F.xxhash64(*cols), F.lit(nb)).cast("int").alias("t"))
@@ -183,7 +187,7 @@ def _tiles(sigs: DataFrame, k: int, block_rows: int, min_blocks: int) -> DataFra
     return left.unionByName(right)
 
 
-def _tile_kernel(k: int, runs: int, mode: str, chunk: int = 256):
+def _tile_kernel(k: int, words: RunWords, mode: str, chunk: int = 256):
     """Histogram of one tile with numpy: every (a in block i, b in block j)
     pair once (on the diagonal tile only sid_a <= sid_b), ordered-pair
     weights w_a w_b (both orders) or w (w - 1) for a signature with itself.
@@ -192,8 +196,9 @@ def _tile_kernel(k: int, runs: int, mode: str, chunk: int = 256):
     import numpy as np
     import pandas as pd
 
-    ms = _mcols(k)
-    prefixes = [np.uint64((1 << p) - 1) for p in range(1, runs + 1)]
+    nw = words.n
+    # per prefix p = 1..R, the bits of every word that belong to the first p runs
+    prefixes = [[np.uint64(words.prefix_word(p, w)) for w in range(nw)] for p in range(1, words.runs + 1)]
 
     def u64(series):
         return series.to_numpy(dtype=np.int64).view(np.uint64)
@@ -215,56 +220,66 @@ def _tile_kernel(k: int, runs: int, mode: str, chunk: int = 256):
         if len(left) and len(right):
             rt, rsid = right["t"].to_numpy()[None, :], right["sid"].to_numpy()[None, :]
             rw = right["w"].to_numpy(dtype=np.int64)[None, :]
-            rs = u64(right["smask"])[None, :]
-            rm = [u64(right[m])[None, :] for m in ms]
+            rs = [u64(right[f"smask_{w}"])[None, :] for w in range(nw)]
+            rm = [[u64(right[f"m{j}_{w}"])[None, :] for j in range(k)] for w in range(nw)]
             for lo in range(0, len(left), chunk):
                 part = left.iloc[lo:lo + chunk]
                 lt, lsid = part["t"].to_numpy()[:, None], part["sid"].to_numpy()[:, None]
                 lw = part["w"].to_numpy(dtype=np.int64)[:, None]
                 keep = (lt < rt) | (lsid <= rsid)
-                w = np.where(lsid == rsid, lw * (lw - 1), 2 * lw * rw) * keep
-                both = u64(part["smask"])[:, None] & rs          # runs co-sampled
-                same = np.zeros_like(both)                       # runs co-clustered
-                for m, r in zip(ms, rm):
-                    same |= u64(part[m])[:, None] & r
+                wt = np.where(lsid == rsid, lw * (lw - 1), 2 * lw * rw) * keep
+                both, same = [], []                                # per word: co-sampled, co-clustered runs
+                for w in range(nw):
+                    both.append(u64(part[f"smask_{w}"])[:, None] & rs[w])
+                    sw = np.zeros_like(both[-1])
+                    for j in range(k):
+                        sw |= u64(part[f"m{j}_{w}"])[:, None] & rm[w][j]
+                    same.append(sw)
                 for pm in ([None] if mode == "final" else prefixes):
-                    sb, cb = (both, same) if pm is None else (both & pm, same & pm)
-                    s = np.bitwise_count(sb).astype(np.int64)
-                    c = np.bitwise_count(cb).astype(np.int64)
+                    s = sum(np.bitwise_count(x if pm is None else x & pm[w]).astype(np.int64)
+                            for w, x in enumerate(both))
+                    c = sum(np.bitwise_count(x if pm is None else x & pm[w]).astype(np.int64)
+                            for w, x in enumerate(same))
                     b = np.where(s == 0, 0, np.minimum(N_BINS - 1, (10 * c) // np.maximum(s, 1)))
-                    add(out, b, w)
+                    add(out, b, wt)
         return pd.DataFrame({"bin": np.arange(N_BINS, dtype=np.int32),
                              "n": np.array(out, dtype=np.int64)})
 
     return kernel
 
 
-def _tile_pairs_sql(tiles: DataFrame, k: int) -> DataFrame:
+def _tile_pairs_sql(tiles: DataFrame, cols: list[str]) -> DataFrame:
     """The same tiles joined with built-in operators (no Python): one row per
     signature pair, for engines without Arrow or for checking the kernel."""
-    cols = ["t", "sid", "w", "smask"] + _mcols(k)
-    a = tiles.where("side = 0").select("ba", "bb", *[F.col(c).alias(f"a_{c}") for c in cols])
+    keep = ["t", "sid", "w"] + cols
+    a = tiles.where("side = 0").select("ba", "bb", *[F.col(c).alias(f"a_{c}") for c in keep])
     b = tiles.where("side = 1").select(F.col("ba").alias("b_ba"), F.col("bb").alias("b_bb"),
-                                       *[F.col(c).alias(f"b_{c}") for c in cols])
+                                       *[F.col(c).alias(f"b_{c}") for c in keep])
     on = [a.ba == b.b_ba, a.bb == b.b_bb, (a.a_t < b.b_t) | (a.a_sid <= b.b_sid)]
     pairs = a.join(b.hint("shuffle_hash"), on, "inner")
     weight = F.when(F.col("a_sid") == F.col("b_sid"), F.col("a_w") * (F.col("a_w") - 1)).otherwise(
         F.lit(2) * F.col("a_w") * F.col("b_w"))
     return pairs.select(weight.cast("bigint").alias("weight"),
-                        *[F.col(f"a_{c}") for c in cols[3:]], *[F.col(f"b_{c}") for c in cols[3:]])
-
-
-def _pair_counts(k: int, mask: F.Column | None = None) -> tuple[F.Column, F.Column]:
-    """(c, s) of a joined signature pair; a point has one cluster per run, so the
-    per-cluster co-membership masks are disjoint and can be OR-ed first."""
-    same = None
-    for j in _mcols(k):
-        t = F.col(f"a_{j}").bitwiseAND(F.col(f"b_{j}"))
-        same = t if same is None else same.bitwiseOR(t)
-    both = F.col("a_smask").bitwiseAND(F.col("b_smask"))
-    if mask is not None:
-        same, both = same.bitwiseAND(mask), both.bitwiseAND(mask)
-    return popcount(same), popcount(both)
+                        *[F.col(f"a_{c}") for c in cols], *[F.col(f"b_{c}") for c in cols])
+
+
+def _pair_counts(k: int, words: RunWords, p: F.Column | None = None) -> tuple[F.Column, F.Column]:
+    """(c, s) of a joined signature pair, optionally over the first p runs only.
+    A point has one cluster per run, so the per-cluster co-membership masks of
+    a word are disjoint and can be OR-ed before counting."""
+    c = s = None
+    for w in range(words.n):
+        same = None
+        for j in range(k):
+            t = F.col(f"a_m{j}_{w}").bitwiseAND(F.col(f"b_m{j}_{w}"))
+            same = t if same is None else same.bitwiseOR(t)
+        both = F.col(f"a_smask_{w}").bitwiseAND(F.col(f"b_smask_{w}"))
+        if p is not None:
+            pm = words.prefix_word_col(p, w)
+            same, both = same.bitwiseAND(pm), both.bitwiseAND(pm)
+        c = popcount(same) if c is None else c + popcount(same)
+        s = popcount(both) if s is None else s + popcount(both)
+    return c, s
 
 
 def _default_blocks(spark) -> int:
@@ -278,7 +293,8 @@ def _default_blocks(spark) -> int:
 
 def consensus_histogram(assignments: DataFrame, n_points: int, k: int, runs: int,
                         mode: str = "final", block_rows: int = 8192,
-                        min_blocks: int | None = None, engine: str = "numpy") -> DataFrame:
+                        min_blocks: int | None = None, engine: str = "numpy",
+                        word_bits: int = 63) -> DataFrame:
     """Ten rows (bin int, n bigint) over all ordered pairs of the ``n_points`` points.
 
     ``final``: ratios after all runs, total N(N-1).
@@ -286,29 +302,30 @@ def consensus_histogram(assignments: DataFrame, n_points: int, k: int, runs: int
     runs, total R N(N-1) (what re-binning after every run accumulates).
     ``engine``: ``numpy`` evaluates each tile in a vectorised kernel inside
     the task; ``sql`` joins the tiles with built-in operators.
+    Run bits take one bigint per ``word_bits`` runs, so any number of runs works.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    if not 1 <= runs <= 63:
-        raise ValueError("runs must be between 1 and 63")
+    words = RunWords(runs, word_bits)
     total = n_points * (n_points - 1) * (runs if mode == "cumulative" else 1)
     if total >= 2 ** 63:
         raise ValueError(f"{total} ordered pairs do not fit a bigint count")
     spark = assignments.sparkSession
-    sigs = materialize(signatures(assignments, k).withColumn("sid", F.monotonically_increasing_id()),
-                       "signatures")
-    tiles = _tiles(sigs, k, block_rows, min_blocks or _default_blocks(spark))
+    cols = mask_columns(k, words)
+    sigs = materialize(signatures(assignments, k, runs, word_bits)
+                       .withColumn("sid", F.monotonically_increasing_id()), "signatures")
+    tiles = _tiles(sigs, cols, block_rows, min_blocks or _default_blocks(spark))
     if engine == "numpy":
-        hist = tiles.groupBy("ba", "bb").applyInPandas(_tile_kernel(k, runs, mode), "bin int, n bigint") \
+        hist = tiles.groupBy("ba", "bb").applyInPandas(_tile_kernel(k, words, mode), "bin int, n bigint") \
             .groupBy("bin").agg(F.sum("n").cast("bigint").alias("n"))
     else:
-        pairs = _tile_pairs_sql(tiles, k)
+        pairs = _tile_pairs_sql(tiles, cols)
         if mode == "final":
-            c, s = _pair_counts(k)
+            c, s = _pair_counts(k, words)
             per_bin = pairs.select(ratio_bin(c, s).alias("bin"), "weight")
         else:
             p = F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("p")
-            c, s = _pair_counts(k, prefix_mask(F.col("p")))
+            c, s = _pair_counts(k, words, F.col("p"))
             per_bin = pairs.select("*", p).select(ratio_bin(c, s).alias("bin"), "weight")
         hist = per_bin.groupBy("bin").agg(F.sum("weight").cast("bigint").alias("n"))
     rest = hist.agg((F.lit(total).cast("bigint") - F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")).alias("n")) \

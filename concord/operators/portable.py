@@ -26,8 +26,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.functions.masks import run_bit
-from concord.functions.sampling import sample_mask
+from concord.functions.masks import RunWords
+from concord.functions.sampling import sample_masks
 from concord.session import materialize
 
 
@@ -87,7 +87,8 @@ def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int =
     """points(point_id, x array<double>) -> assignments(run int, point_id, cluster int).
 
     The result is written to the shared scratch folder and read back.  The
-    sampled points are persisted once (N rows plus one bigint of run bits) and
+    sampled points are persisted once (N rows plus a bigint of run bits per
+    63 runs) and
     re-exploded into (run, point) rows inside every step, so the R-times
     larger stacked table is never stored.  Between steps only the R * k
     centers come back to the driver, as in MLlib's k-means.
@@ -100,15 +101,17 @@ def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int =
         raise ValueError("k must be at least 2")
     spark = points.sparkSession
     d = dims or _dims(points)
+    words = RunWords(runs)
     xs = [F.col("x")[i].cast("double").alias(f"x{i}") for i in range(d)]
-    base = spread(points).select("point_id", *xs,
-                                 sample_mask(seed, "point_id", runs, fraction).alias("smask"))
-    base = base.where(F.col("smask") != 0).persist(StorageLevel.MEMORY_AND_DISK)
+    base = spread(points).select("point_id", *xs, *sample_masks(seed, "point_id", runs, fraction))
+    sampled = None
+    for c in words.names("smask"):
+        sampled = (F.col(c) != 0) if sampled is None else sampled | (F.col(c) != 0)
+    base = base.where(sampled).persist(StorageLevel.MEMORY_AND_DISK)
     xcols = [f"x{i}" for i in range(d)]
 
     def stacked() -> DataFrame:
-        runs_of_point = F.filter(F.sequence(F.lit(0), F.lit(runs - 1)),
-                                 lambda r: F.col("smask").bitwiseAND(run_bit(r)) != 0)
+        runs_of_point = words.runs_set(words.names("smask"))
         return base.select("point_id", *xcols, F.explode(runs_of_point).alias("run"))
 
     init_hash = F.md5(F.concat_ws(":", F.lit("init"), F.lit(str(seed)),

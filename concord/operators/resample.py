@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.masks import run_bit
-from concord.functions.sampling import sample_mask, split_is_train
+from concord.functions.masks import RunWords
+from concord.functions.sampling import sample_masks, split_is_train
 
 
 def membership(points: DataFrame, runs: int = 20, seed: int = 1, fraction: float = 0.9) -> DataFrame:
     """(run, point_id) for every point in the subsample of every run.
 
-    One mask per point (R hashes), then one row per set bit: no R-fold
+    Run bits per point (R hashes), then one row per set bit: no R-fold
     cartesian product is built and filtered.
     """
-    m = points.select("point_id", sample_mask(seed, "point_id", runs, fraction).alias("smask"))
-    runs_of_point = F.filter(F.sequence(F.lit(0), F.lit(runs - 1)),
-                             lambda r: F.col("smask").bitwiseAND(run_bit(r)) != 0)
-    return (m.select(F.explode(runs_of_point).alias("run"), "point_id")
+    words = RunWords(runs)
+    m = points.select("point_id", *sample_masks(seed, "point_id", runs, fraction))
+    return (m.select(F.explode(words.runs_set(words.names("smask"))).alias("run"), "point_id")
             .select(F.col("run").cast("int").alias("run"), "point_id"))
 
 

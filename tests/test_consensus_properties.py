@@ -55,11 +55,13 @@ def assignments(draw):
     return n, runs, k, rows
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(assignments(), st.sampled_from(["final", "cumulative"]), st.sampled_from(["numpy", "sql"]))
-def test_matches_brute_force(spark, case, mode, engine):
+@settings(max_examples=14, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(assignments(), st.sampled_from(["final", "cumulative"]), st.sampled_from(["numpy", "sql"]),
+       st.sampled_from([63, 2, 3]))
+def test_matches_brute_force(spark, case, mode, engine, word_bits):
     n, runs, k, rows = case
-    got = spark_hist(spark, rows, n, k, runs, mode, engine=engine, block_rows=2, min_blocks=2)
+    got = spark_hist(spark, rows, n, k, runs, mode, engine=engine, block_rows=2, min_blocks=2,
+                     word_bits=word_bits)
     assert got == brute_force(rows, n, runs, mode)
     assert sum(got) == n * (n - 1) * (runs if mode == "cumulative" else 1)
 
@@ -102,3 +104,12 @@ def test_refuses_counts_beyond_bigint(spark):
     df = spark.createDataFrame([(0, 1, 0)], "run int, point_id bigint, cluster int")
     with pytest.raises(ValueError):
         cons.consensus_histogram(df, 4_000_000_000, 2, 1)
+
+
+@pytest.mark.parametrize("engine", ["numpy", "sql"])
+def test_more_runs_than_one_word(spark, engine):
+    rng = random.Random(11)
+    n, runs, k = 5, 70, 2
+    rows = [(r, p, rng.randrange(k)) for r in range(runs) for p in range(n) if rng.random() < 0.9]
+    for mode in ("final", "cumulative"):
+        assert spark_hist(spark, rows, n, k, runs, mode, engine=engine) == brute_force(rows, n, runs, mode)
