@@ -26,17 +26,6 @@ def low_bits(n) -> Column:
         F.call_function("shiftrightunsigned", ones, (F.lit(64) - n).cast("int")))
 
 
-def prefix_mask(p) -> Column:
-    """Bits 0 .. p-1 set (runs of the first p runs), p <= 63."""
-    return low_bits(p)
-
-
-def lowest_bit(x) -> Column:
-    """x & -x: the lowest set bit of x (0 when x = 0)."""
-    x = _col(x)
-    return x.bitwiseAND(-x)
-
-
 def popcount(x) -> Column:
     return F.bit_count(_col(x)).cast("bigint")
 

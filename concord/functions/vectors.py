@@ -14,20 +14,3 @@ def sq_dist(x, c) -> Column:
     """Squared Euclidean distance of two equal-length arrays, summed left to right."""
     diffs = F.zip_with(_col(x), _col(c), lambda a, b: (a - b) * (a - b))
     return F.aggregate(diffs, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
-
-
-def nearest_center(x, centers, digits: int | None = 9) -> Column:
-    """Id of the nearest center; ``centers`` is array<struct<cluster int, x array<double>>>.
-
-    Distances are rounded to ``digits`` so that engines that add in another
-    order still agree; ties go to the smallest cluster id.
-    """
-    x = _col(x)
-
-    def cand(c):
-        d = sq_dist(x, c["x"])
-        if digits is not None:
-            d = F.round(d, digits)
-        return F.struct(d.alias("d"), c["cluster"].alias("cluster"))
-
-    return F.array_min(F.transform(_col(centers), cand))["cluster"]

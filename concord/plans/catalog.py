@@ -478,3 +478,11 @@ def rf_importance_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rf_holdout_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I4: forest trained on a stable 80 % of users, accuracy and F1 on the rest."""
     return I.rf_holdout_score(_usage_labeled(spark, sf_dir), "user_id")
+
+
+@query("rf_cross_validate")
+def rf_cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4: 3-fold cross-validation of the forest over depth {3, 5} x trees {10, 20}
+    on the clustered users; mean accuracy per grid point."""
+    cv = I.rf_cross_validate(_usage_labeled(spark, sf_dir))
+    return cv.select("max_depth", "num_trees", F.round("accuracy", 6).alias("accuracy"))
