@@ -113,3 +113,21 @@ def test_more_runs_than_one_word(spark, engine):
     rows = [(r, p, rng.randrange(k)) for r in range(runs) for p in range(n) if rng.random() < 0.9]
     for mode in ("final", "cumulative"):
         assert spark_hist(spark, rows, n, k, runs, mode, engine=engine) == brute_force(rows, n, runs, mode)
+
+
+@pytest.mark.parametrize("engine", ["numpy", "sql"])
+def test_hot_signature_holding_a_third_of_points(spark, engine):
+    # one group of identical points (same runs, same clusters) holds a third of all rows
+    rng = random.Random(5)
+    n, runs, k = 30, 6, 3
+    hot = set(range(10))
+    rows = []
+    for r in range(runs):
+        for p in range(n):
+            if p in hot:
+                rows.append((r, p, 0))
+            elif rng.random() < 0.85:
+                rows.append((r, p, rng.randrange(k)))
+    for mode in ("final", "cumulative"):
+        got = spark_hist(spark, rows, n, k, runs, mode, engine=engine, block_rows=4)
+        assert got == brute_force(rows, n, runs, mode)
