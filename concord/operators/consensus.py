@@ -203,20 +203,24 @@ def _tile_kernel(k: int, words: RunWords, mode: str, chunk: int = 256):
     def u64(series):
         return series.to_numpy(dtype=np.int64).view(np.uint64)
 
-    def add(out, b, w):
-        # exact integer sums per bin: a float64 bincount is exact while every
+    side = words.runs + 1
+    # bin of every (c, s) cell, c <= s <= R: cells are counted first, binned once per tile
+    cell_bin = np.array([0 if sv == 0 else min(N_BINS - 1, (10 * cv) // sv)
+                         for cv in range(side) for sv in range(side)])
+
+    def add(cells, code, w):
+        # exact integer sums per cell: a float64 bincount is exact while every
         # partial sum stays below 2^53; otherwise add 21-bit limbs separately
-        b, w = b.ravel(), w.ravel()
+        code, w = code.ravel(), w.ravel()
         small = int(w.max(initial=0)) * w.size < 2 ** 53
         for shift in ((0,) if small else (0, 21, 42)):
             limb = w if small else (w >> shift) & ((1 << 21) - 1)
-            part = np.rint(np.bincount(b, weights=limb.astype(np.float64), minlength=N_BINS))
-            for i in range(N_BINS):
-                out[i] += int(part[i]) << shift
+            part = np.bincount(code, weights=limb.astype(np.float64), minlength=side * side)
+            cells += np.rint(part).astype(np.int64) << shift
 
     def kernel(pdf: "pd.DataFrame") -> "pd.DataFrame":
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        out = [0] * N_BINS
+        cells = np.zeros(side * side, dtype=np.int64)
         if len(left) and len(right):
             rt, rsid = right["t"].to_numpy()[None, :], right["sid"].to_numpy()[None, :]
             rw = right["w"].to_numpy(dtype=np.int64)[None, :]
@@ -240,8 +244,8 @@ def _tile_kernel(k: int, words: RunWords, mode: str, chunk: int = 256):
                             for w, x in enumerate(both))
                     c = sum(np.bitwise_count(x if pm is None else x & pm[w]).astype(np.int64)
                             for w, x in enumerate(same))
-                    b = np.where(s == 0, 0, np.minimum(N_BINS - 1, (10 * c) // np.maximum(s, 1)))
-                    add(out, b, wt)
+                    add(cells, c * side + s, wt)
+        out = [int(cells[cell_bin == i].sum()) for i in range(N_BINS)]
         return pd.DataFrame({"bin": np.arange(N_BINS, dtype=np.int32),
                              "n": np.array(out, dtype=np.int64)})
 
