@@ -46,7 +46,7 @@ def main() -> None:
     warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     wp = PART.load(spark, warm)
     wn = wp.count()
-    wa = portable_assignments(wp, K, RUNS, SEED)
+    wa = portable_assignments(wp, K, RUNS, SEED, dims=len(PART.features))
     for mode in ("final", "cumulative"):
         cons.consensus_histogram(wa, wn, K, RUNS, mode=mode).collect()
     for alg in C.ALGORITHMS:
@@ -55,7 +55,7 @@ def main() -> None:
     pts = PART.load(spark, sf_dir)
     n = pts.count()
 
-    asg = timed("portable_assign_20_runs", lambda: portable_assignments(pts, K, RUNS, SEED))
+    asg = timed("portable_assign_20_runs", lambda: portable_assignments(pts, K, RUNS, SEED, dims=len(PART.features)))
     timed("histogram_portable_labels",
           lambda: cons.consensus_histogram(asg, n, K, RUNS, mode="final").collect())
     timed("histogram_cumulative_portable",

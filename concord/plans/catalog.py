@@ -58,7 +58,7 @@ def query(name: str, oracle: str | None = None):
 def _portable(spark: SparkSession, sf_dir: str, ps=PART, k: int = K_CONSENSUS) -> tuple[DataFrame, DataFrame]:
     pts = ps.load(spark, sf_dir)
     asg = portable_assignments(pts, k=k, runs=RUNS, seed=SAMPLE_SEED, steps=PORTABLE_STEPS,
-                               fraction=FRACTION)
+                               fraction=FRACTION, dims=len(ps.features))
     return pts, asg
 
 
