@@ -58,11 +58,13 @@ class RunWords:
     def bit_of(self, run) -> Column:
         return run_bit(F.pmod(_col(run).cast("int"), F.lit(self.bits)))
 
-    def runs_set(self, mask_cols: list[str]) -> Column:
-        """array of the runs whose bit is set in the given word columns."""
-        words = F.array(*[F.col(c) for c in mask_cols])
-        return F.filter(F.sequence(F.lit(0), F.lit(self.runs - 1)),
-                        lambda r: F.element_at(words, self.word_of(r) + 1).bitwiseAND(self.bit_of(r)) != 0)
+    def run_candidates(self, mask_prefix: str = "smask") -> Column:
+        """array of R entries: run r where its bit is set, else null.  Plain
+        column expressions (no lambda), so exploding it stays in generated
+        code; drop the nulls after the explode."""
+        return F.array(*[
+            F.when(F.col(f"{mask_prefix}_{r // self.bits}").bitwiseAND(F.lit(1 << (r % self.bits))) != 0, F.lit(r))
+            for r in range(self.runs)])
 
     def prefix_word(self, p: int, w: int) -> int:
         """Bits of word w that belong to the first p runs (python int)."""

@@ -110,10 +110,7 @@ def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int =
     base = base.where(sampled).persist(StorageLevel.MEMORY_AND_DISK)
     xcols = [f"x{i}" for i in range(d)]
 
-    # one candidate per run, null where the bit is clear: plain column
-    # expressions (no lambda), so the expansion stays in generated code
-    candidates = F.array(*[F.when(F.col(f"smask_{r // words.bits}").bitwiseAND(F.lit(1 << (r % words.bits))) != 0,
-                                  F.lit(r)) for r in range(runs)])
+    candidates = words.run_candidates("smask")
 
     def stacked() -> DataFrame:
         return (base.select("point_id", *xcols, F.explode(candidates).alias("run"))

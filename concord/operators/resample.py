@@ -17,7 +17,8 @@ def membership(points: DataFrame, runs: int = 20, seed: int = 1, fraction: float
     """
     words = RunWords(runs)
     m = points.select("point_id", *sample_masks(seed, "point_id", runs, fraction))
-    return (m.select(F.explode(words.runs_set(words.names("smask"))).alias("run"), "point_id")
+    return (m.select(F.explode(words.run_candidates("smask")).alias("run"), "point_id")
+            .where(F.col("run").isNotNull())
             .select(F.col("run").cast("int").alias("run"), "point_id"))
 
 
