@@ -348,8 +348,9 @@ def item_totals(assignments: DataFrame, point_ids: DataFrame) -> DataFrame:
     co-clustered pairs            sum_b c(a,b) = sum over a's runs of (its cluster size - 1),
     and their ratio.  Points never sampled get zeros.
     """
-    run_sizes = assignments.groupBy("run").agg(F.count(F.lit(1)).alias("run_n"))
+    # R * k slot sizes (one partial-aggregated pass); run sizes come from them
     slot_sizes = assignments.groupBy("run", "cluster").agg(F.count(F.lit(1)).alias("slot_n"))
+    run_sizes = slot_sizes.groupBy("run").agg(F.sum("slot_n").alias("run_n"))
     per = (assignments.join(F.broadcast(run_sizes), "run")
            .join(F.broadcast(slot_sizes), ["run", "cluster"])
            .groupBy("point_id").agg(
