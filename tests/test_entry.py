@@ -44,3 +44,23 @@ def test_oracle(spark, duck, name):
     want = sorted(tuple(_norm(row[i]) for i in order) for row in cur.fetchall())
     assert sorted(cols) == sorted(ocols)
     assert got == want
+
+
+NO_PAIR_OPS = ("CartesianProduct", "BroadcastNestedLoopJoin")
+CHEAP = sorted(set(E.oracle_sql()) - {"consensus_assignments", "consensus_histogram_final",
+                                      "consensus_histogram_cumulative"})
+
+
+@pytest.mark.parametrize("name", CHEAP)
+def test_no_cross_join_in_plan(spark, name):
+    df = E.queries()[name](spark, SF001)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(op in plan for op in NO_PAIR_OPS), plan
+
+
+def test_histogram_plan_has_no_cross_join(spark):
+    from concord.operators import consensus as cons
+    asg = spark.createDataFrame([(0, 1, 0), (0, 2, 1), (1, 1, 0)], "run int, point_id bigint, cluster int")
+    for engine in ("numpy", "sql"):
+        plan = cons.consensus_histogram(asg, 3, 2, 2, engine=engine)._jdf.queryExecution().executedPlan().toString()
+        assert not any(op in plan for op in NO_PAIR_OPS), plan
