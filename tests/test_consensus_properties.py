@@ -131,3 +131,19 @@ def test_hot_signature_holding_a_third_of_points(spark, engine):
     for mode in ("final", "cumulative"):
         got = spark_hist(spark, rows, n, k, runs, mode, engine=engine, block_rows=4)
         assert got == brute_force(rows, n, runs, mode)
+
+
+def test_custom_clusterer_plug_in(spark):
+    """Any (sample, k, max_iter, seed) -> (point_id, cluster) callable runs in the pool."""
+    from pyspark.sql import functions as F
+
+    def by_size(sample, k, max_iter, seed):
+        from pyspark.ml.functions import vector_to_array
+        return sample.select("point_id", (F.floor(vector_to_array("features")[0] * k) % k).cast("int").alias("cluster"))
+
+    pts = spark.createDataFrame([(i, [i / 10.0]) for i in range(10)], "point_id long, x array<double>")
+    asg = cons.mllib_assignments(pts, by_size, k=3, runs=4)
+    rows = [tuple(r) for r in asg.collect()]
+    assert {r[0] for r in rows} <= {0, 1, 2, 3}
+    got = spark_hist(spark, rows, 10, 3, 4, "final")
+    assert got == brute_force(rows, 10, 4, "final")
