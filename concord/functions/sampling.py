@@ -49,12 +49,14 @@ def sample_mask(seed: int, point_id, runs: int, fraction: float = 0.9, word: int
         raise ValueError("word out of range")
     pid = _col(point_id).cast("string")
     thr = F.lit(hash_threshold(fraction))
-
-    def step(acc, r):
-        hit = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), r.cast("string"), pid)), 1, 8) < thr
-        return acc.bitwiseOR(F.when(hit, run_bit(r - F.lit(lo))).otherwise(F.lit(0).cast("bigint")))
-
-    return F.aggregate(F.sequence(F.lit(lo), F.lit(hi)), F.lit(0).cast("bigint"), step)
+    mask = None
+    # one plain expression per run (at most 63 per word): no lambda, so the
+    # hashes run inside generated code
+    for r in range(lo, hi + 1):
+        hit = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(r)), pid)), 1, 8) < thr
+        term = F.when(hit, F.lit(1 << (r - lo))).otherwise(F.lit(0)).cast("bigint")
+        mask = term if mask is None else mask.bitwiseOR(term)
+    return mask
 
 
 def sample_masks(seed: int, point_id, runs: int, fraction: float = 0.9, bits: int = 63) -> list[Column]:

@@ -11,7 +11,8 @@ Rules (the DuckDB oracle in ``concord.plans.oracles`` spells the same ones):
 * sampling: ``in_sample(seed, run, point_id)``;
 * start centers of a run: its k sampled points with the smallest
   ``md5('init:seed:run:point_id')`` (ties by point id);
-* assignment: nearest center by squared distance rounded to ``digits``,
+* assignment: nearest center by squared distance, summed over dimensions in
+  order (the same arithmetic in both engines, so no rounding is needed),
   ties to the smaller cluster id;
 * update: per-dimension mean rounded to ``digits``; an empty cluster keeps
   its center.
@@ -68,14 +69,14 @@ def _centers_table(spark: SparkSession, centers: dict, k: int, d: int) -> DataFr
     return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({', '.join(cols)})")
 
 
-def _nearest(k: int, d: int, digits: int) -> F.Column:
+def _nearest(k: int, d: int, digits: int | None) -> F.Column:
     cands = []
     for j in range(k):
         dist = None
         for i in range(d):
             diff = F.col(f"x{i}") - F.col(f"c{j}_{i}")
             dist = diff * diff if dist is None else dist + diff * diff
-        cand = F.struct(F.round(dist, digits).alias("d"), F.lit(j).alias("cluster"))
+        cand = F.struct((dist if digits is None else F.round(dist, digits)).alias("d"), F.lit(j).alias("cluster"))
         cands.append(F.when(F.col(f"c{j}_0").isNotNull(), cand))
     # least() skips nulls (missing centers); structs compare by d, then id
     return (F.least(*cands) if k > 1 else cands[0])["cluster"]
@@ -125,7 +126,7 @@ def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int =
             .select("run", (F.col("rn") - 1).alias("cluster"), *xcols))
     current = {(r["run"], r["cluster"]): [r[x] for x in xcols] for r in init.collect()}
 
-    nearest = _nearest(k, d, digits)
+    nearest = _nearest(k, d, None)
 
     def assign(cent: dict) -> DataFrame:
         table = _centers_table(spark, cent, k, d)

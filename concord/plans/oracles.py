@@ -43,7 +43,7 @@ def portable_sql(ps: PointSet, k: int, runs: int = 20, seed: int = 1, steps: int
     def assign(t: int) -> str:
         return (f"a{t} AS (SELECT run, point_id, cluster, " + ", ".join(xs) + " FROM (\n"
                 f"  SELECT m.run, m.point_id, c.cluster, " + ", ".join(f"m.{x}" for x in xs) + ",\n"
-                f"    row_number() OVER (PARTITION BY m.run, m.point_id ORDER BY round({dist}, {digits}), c.cluster) AS rk\n"
+                f"    row_number() OVER (PARTITION BY m.run, m.point_id ORDER BY {dist}, c.cluster) AS rk\n"
                 f"  FROM mem m JOIN c{t} c ON m.run = c.run) WHERE rk = 1)")
 
     for t in range(steps):
