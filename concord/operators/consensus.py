@@ -184,7 +184,11 @@ def _tiles(sigs: DataFrame, cols: list[str], block_rows: int, min_blocks: int) -
                         F.explode(F.sequence(F.col("t"), F.lit(nb - 1))).alias("bb"))
     right = keyed.select(*keep, F.lit(1).alias("side"),
                          F.explode(F.sequence(F.lit(0), F.col("t"))).alias("ba"), F.col("t").alias("bb"))
-    return left.unionByName(right)
+    # tiles are few bytes but heavy work: fix their partition count (AQE would
+    # coalesce such a small shuffle into one task) at a few tiles per core
+    n_tiles = nb * (nb + 1) // 2
+    cores = max(1, sigs.sparkSession.sparkContext.defaultParallelism)
+    return left.unionByName(right).repartition(min(n_tiles, 4 * cores), "ba", "bb")
 
 
 def _tile_kernel(k: int, words: RunWords, mode: str, chunk: int = 256):
