@@ -43,7 +43,7 @@ def main() -> None:
 
     # warm the JVM (code generation, JIT) and the Python workers once, untimed,
     # by running the same code paths on the smallest tables
-    warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
+    warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.01")
     wp = PART.load(spark, warm)
     wn = wp.count()
     wa = portable_assignments(wp, K, RUNS, SEED, dims=len(PART.features))
@@ -51,6 +51,7 @@ def main() -> None:
         cons.consensus_histogram(wa, wn, K, RUNS, mode=mode).collect()
     for alg in C.ALGORITHMS:
         C.cluster_sizes(C.fit(wp, alg, K, 5, SEED)).collect()
+    cons.mllib_assignments(wp, "kmeans", K, 5, SEED, 4)
 
     pts = PART.load(spark, sf_dir)
     n = pts.count()
