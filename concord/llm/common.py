@@ -3,16 +3,20 @@ pieces, code points and bytes of whole texts as numpy arrays."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 #: Bytes of text a numpy step looks at together (a longer text is a piece of its own).
 PIECE_BYTES = 1 << 20
+#: Rows it looks at together, however short.
+PIECE_ROWS = 512
 #: Modulus and remainder of the rows that no model may learn from.
 HELD_OUT_MOD, HELD_OUT_REMAINDER = 3, 1
 
@@ -23,33 +27,39 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return (F.crc32(text) % HELD_OUT_MOD) == HELD_OUT_REMAINDER
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch by rows so that each piece has about ``most`` bytes of text."""
-    texts = batch.column(batch.schema.get_field_index(column))
-    sizes = np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64)
-    start, total = 0, 0
+def pieces(texts: pa.Array, most: int = PIECE_BYTES, rows: int = PIECE_ROWS) -> Iterator[pa.Array]:
+    """Cut an array of texts so that a piece has about ``most`` bytes and at most ``rows`` rows."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
+    start = total = 0
     for i, n in enumerate(sizes):
-        if i > start and total + n > most:
-            yield batch.slice(start, i - start)
+        if i > start and (total + n > most or i - start >= rows):
+            yield texts.slice(start, i - start)
             start, total = i, 0
-        total += int(n)
-    if start < batch.num_rows:
-        yield batch.slice(start)
+        total += n
+    if start < len(texts):
+        yield texts.slice(start)
 
 
-def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all texts in one array, offsets); a null text is empty."""
-    filled = texts.fill_null("")
-    offsets = np.frombuffer(filled.buffers()[1], dtype=np.int32 if pa.types.is_string(filled.type) else np.int64)
-    offsets = offsets[filled.offset: filled.offset + len(filled) + 1].astype(np.int64)
-    data = filled.buffers()[2]
-    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0]: offsets[-1]] if data is not None and len(filled) else \
-        np.zeros(0, np.uint8)
-    return raw, offsets - (offsets[0] if len(offsets) else 0)
+def text_udf(step: Callable[[pa.Array], pa.Array], schema: str):
+    """An Arrow UDF over a text column; ``step`` maps a bounded piece of the
+    column to an array of as many values of type ``schema``.
 
+    Only the text goes to the Python worker; the row's other columns stay in the JVM."""
+    kind = to_arrow_type(_parse_datatype_string(schema))
 
-def map_arrow(df: DataFrame, step, schema: str) -> DataFrame:
-    """``step(iterator of record batches)`` over every partition."""
-    return df.mapInArrow(step, schema)
+    @F.arrow_udf(schema)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = [step(p).cast(kind) for p in pieces(texts)]
+            yield pa.concat_arrays(out) if out else pa.array([], kind)
 
+    return run
 
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts in one array, offsets); a null text is empty."""
+    filled = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(filled.buffers()[1], dtype=np.int64)[filled.offset: filled.offset + len(filled) + 1]
+    if not len(offsets) or filled.buffers()[2] is None:
+        return np.zeros(0, np.uint8), np.zeros(len(filled) + 1, np.int64)
+    return np.frombuffer(filled.buffers()[2], dtype=np.uint8)[offsets[0]: offsets[-1]], offsets - offsets[0]
