@@ -3,21 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from concord.llm import langid, sharding, simhash
+from concord.llm.common import held_out
 from concord.sources.tables import read_table
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents", list(columns) or ["doc_id", "text"])
+    return read_table(spark, sf_dir, "documents", ["doc_id", "text", *columns])
 
 
-def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from concord.llm.sharding import shard_documents
+def op4_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "lang")
+    model = langid.fit(docs)
+    return langid.predict(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
+
+
+def op8_simhash_vantage_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(_documents(spark, sf_dir)).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-    return shard_documents(_documents(spark, sf_dir))
+
+def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op4_nearest_centroid_language": op4_nearest_centroid_language,
+    "op8_simhash_vantage_forest": op8_simhash_vantage_forest,
     "op10_feistel_sharding": op10_feistel_sharding,
 }
 

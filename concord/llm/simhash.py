@@ -73,6 +73,11 @@ def _vantage_points(levels: int, bits: int, seed: int) -> list[int]:
     return [int(x) for x in np.random.default_rng(seed).integers(0, 1 << bits, levels)]
 
 
+def _path(at: Column, distance: Column) -> Column:
+    """Name of a node's child.  Names of deep leaves may clash, which only makes two leaves share a shard."""
+    return (at * 67 + distance + 1) % 8796093022151
+
+
 def shards(fp: Column, bands: int, levels: int, radius: int, probes: bool) -> Column:
     """array<struct(tree, leaf)>: the leaf that stores ``fp`` in each tree, or with
     ``probes`` every leaf that can hold a neighbour (a superset of the former)."""
@@ -85,10 +90,10 @@ def shards(fp: Column, bands: int, levels: int, radius: int, probes: bool) -> Co
         for v in _vantage_points(levels, min(bits, 62), 64 + t):
             d = F.bit_count(band.bitwiseXOR(F.lit(v))).cast("bigint")
             child = F.array(*[d + k for k in range(-rho, rho + 1)]) if probes else F.array(d)
-            # a leaf's name is a hash of its path of distances: a chance clash only makes two leaves share a shard
-            leaves = F.flatten(F.transform(leaves, lambda at: F.transform(
-                child, lambda c: F.xxhash64(at, c)))) if rho and probes else F.array(F.xxhash64(leaves[0], child[0]))
-        trees.append(F.transform(leaves, lambda x, t=t: F.struct(F.lit(t).alias("tree"), x.alias("leaf"))))
+            leaves = F.flatten(F.transform(child, lambda c: F.transform(leaves, lambda at: _path(at, c)))) \
+                if rho and probes else F.array(_path(leaves[0], d))
+        tree = F.lit(t).alias("tree")
+        trees.append(F.transform(leaves, lambda x: F.struct(tree, x.alias("leaf"))))
     return F.concat(*trees)
 
 
