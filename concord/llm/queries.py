@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import langid, sharding, simhash
+from concord.llm import decontaminate, langid, pieces, secrets, sharding, simhash
 from concord.llm.common import held_out
 from concord.sources.tables import read_table
 
@@ -14,6 +14,10 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", ["doc_id", "text", *columns])
 
 
+def op2_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(_documents(spark, sf_dir))
+
+
 def op4_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "lang")
     model = langid.fit(docs)
@@ -21,6 +25,19 @@ def op4_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame
         "doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 
+def op6_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(_documents(spark, sf_dir))
+    return pieces.decode(encoded, "encoded.ids").select(
+        "doc_id", F.size("encoded.ids").alias("n_pieces"), "encoded.ids", "encoded.score", "encoded.nbest",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each region of a document that holds a benchmark passage; clean documents have none."""
+    found = decontaminate.leaks(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op8_simhash_vantage_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_documents(spark, sf_dir)).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -31,7 +48,10 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_multipart_secrets": op2_multipart_secrets,
     "op4_nearest_centroid_language": op4_nearest_centroid_language,
+    "op6_sentencepiece_nbest": op6_sentencepiece_nbest,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_simhash_vantage_forest": op8_simhash_vantage_forest,
     "op10_feistel_sharding": op10_feistel_sharding,
 }

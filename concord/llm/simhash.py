@@ -159,17 +159,35 @@ def links(fps: DataFrame, radius: int = RADIUS, bands: int = 4, levels: int = 12
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, radius: int = RADIUS, bands: int = 4) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp bigint, component_id).
-
-    ``component_id`` is the smallest doc_id reachable over links, itself
-    included.  Null and empty texts and texts of white space have fingerprint
-    0 and are linked like any other; repeated rows stay; rows with a null
-    doc_id stay and take their group's smallest id (null if it has none)."""
+    """docs(doc_id, text) -> (doc_id, row_key, fp bigint, component bigint, component_id).
+
+    ``component`` is the smallest fingerprint reachable over links,
+    ``component_id`` the smallest doc_id reachable, itself included.  Null and
+    empty texts and texts of white space have fingerprint 0 and are linked like
+    any other; repeated rows stay; rows with a null doc_id stay and take their
+    group's smallest id (null if it has none).  ``row_key`` tells rows with one
+    doc_id and different texts apart."""
     fp = text_udf(partial(fingerprints, width=width), "bigint")
-    own = materialize(docs.select("doc_id", fp("text").alias("fp")), "fingerprints")
+    own = materialize(docs.select("doc_id", _row_key().alias("row_key"), fp("text").alias("fp")), "fingerprints")
     groups = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     of = connected_components(links(groups.select("fp"), radius, bands)).withColumnRenamed("node", "fp")
     named = groups.join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     first = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    labels = named.join(first, "component").select("fp", "component_id")
-    return own.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = named.join(first, "component").select("fp", "component", "component_id")
+    return own.join(labels, "fp").select("doc_id", "row_key", "fp", "component", "component_id")
+
+
+def _row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group: its smallest doc_id (a null one only if
+    the group has no other), of rows with that id the smallest row key, of equal rows any."""
+    groups = simhash_groups(docs.select("doc_id", "text"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    kept = groups.groupBy("component").agg(F.min(rank).alias("r")).select(
+        F.col("r.row_key").alias("__row"), F.col("r.doc_id").alias("__doc"))
+    keyed = docs.withColumn("__row", _row_key())
+    met = keyed.join(kept, "__row").where(F.col("doc_id").eqNullSafe(F.col("__doc"))).drop("__doc")
+    return met.dropDuplicates(["__row", "doc_id"]).drop("__row")
