@@ -21,7 +21,7 @@ from concord.sources.tables import read_table
 
 STAGES = [
     ("language_id", stages.language_id),
-    ("simhash", stages.simhash),
+    ("simhash", stages.simhash_dedup),
     ("decontaminate", stages.decontaminate),
     ("secrets", stages.secrets),
     ("pieces", stages.encode_pieces),
