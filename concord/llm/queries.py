@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, langid, pieces, secrets, sharding, simhash
+from concord.llm import decontaminate, langid, pieces, secrets, sharding, simhash, toxicity
 from concord.llm.common import held_out
 from concord.sources.tables import read_table
 
@@ -14,6 +14,14 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", ["doc_id", "text", *columns])
 
 
+def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+    return toxicity.score(docs, model, "score").select(
+        "doc_id", held_out().alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_documents(spark, sf_dir))
 
@@ -48,6 +56,7 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_multipart_secrets": op2_multipart_secrets,
     "op4_nearest_centroid_language": op4_nearest_centroid_language,
     "op6_sentencepiece_nbest": op6_sentencepiece_nbest,
