@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, langid, pieces, secrets, sharding, simhash, toxicity
+from concord.llm import decontaminate, langid, pieces, secrets, sharding, simhash, suffixes, toxicity
 from concord.llm.common import held_out
 from concord.sources.tables import read_table
 
@@ -33,6 +33,10 @@ def op4_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame
         "doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 
+def op5_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_documents(spark, sf_dir))
+
+
 def op6_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(_documents(spark, sf_dir))
     return pieces.decode(encoded, "encoded.ids").select(
@@ -59,6 +63,7 @@ QUERIES = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_multipart_secrets": op2_multipart_secrets,
     "op4_nearest_centroid_language": op4_nearest_centroid_language,
+    "op5_difference_cover_dedup": op5_difference_cover_dedup,
     "op6_sentencepiece_nbest": op6_sentencepiece_nbest,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_simhash_vantage_forest": op8_simhash_vantage_forest,
