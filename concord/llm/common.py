@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
@@ -63,3 +63,22 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(offsets) or filled.buffers()[2] is None:
         return np.zeros(0, np.uint8), np.zeros(len(filled) + 1, np.int64)
     return np.frombuffer(filled.buffers()[2], dtype=np.uint8)[offsets[0]: offsets[-1]], offsets - offsets[0]
+
+
+def range_cuts(docs: DataFrame, ranges: int) -> np.ndarray:
+    """At most ranges - 1 ids that occur in ``doc_id`` and cut it into ranges of about as many rows."""
+    if ranges < 2:
+        return np.zeros(0, np.int64)
+    shares = [k / ranges for k in range(1, ranges)]
+    got = docs.agg(F.percentile_approx("doc_id", shares, 100 * ranges).alias("q")).head()["q"] or []
+    return np.array(sorted(set(got)), np.int64)
+
+
+def range_udf(cuts: np.ndarray):
+    """Arrow UDF id -> number of its range: range k holds the ids over cuts[k - 1] up to cuts[k]; a null id: 0."""
+    @F.arrow_udf("int")
+    def run(ids: pa.Array) -> pa.Array:
+        known = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(cuts, known, side="left").astype(np.int32))
+
+    return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, langid, pieces, secrets, sharding, simhash, suffixes, toxicity
+from concord.llm import decontaminate, langid, minhash, pieces, secrets, sharding, simhash, suffixes, toxicity
 from concord.llm.common import held_out
 from concord.sources.tables import read_table
 
@@ -26,6 +26,10 @@ def op2_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_documents(spark, sf_dir))
 
 
+def op3_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_documents(_documents(spark, sf_dir))
+
+
 def op4_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "lang")
     model = langid.fit(docs)
@@ -62,6 +66,7 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_multipart_secrets": op2_multipart_secrets,
+    "op3_minhash_fingerprints": op3_minhash_fingerprints,
     "op4_nearest_centroid_language": op4_nearest_centroid_language,
     "op5_difference_cover_dedup": op5_difference_cover_dedup,
     "op6_sentencepiece_nbest": op6_sentencepiece_nbest,

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import pieces, utf8
+from concord.llm.common import pieces, range_cuts, range_udf, utf8
 from concord.session import materialize, scratch_path
 
 WIDTH = 50
@@ -251,15 +251,6 @@ def _meet(step: int, low_bytes: int, smaller: bool):
     return run
 
 
-def _boundaries(docs: DataFrame, blocks: int) -> list[int]:
-    """Up to blocks - 1 doc_ids that cut the documents into ranges of about as many."""
-    if blocks < 2:
-        return []
-    shares = [k / blocks for k in range(1, blocks)]
-    got = docs.agg(F.percentile_approx("doc_id", shares, 100 * blocks).alias("q")).head()["q"] or []
-    return sorted(set(got))
-
-
 def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row.
 
@@ -273,12 +264,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys:
     known, lost = rows.where("doc_id is not null"), rows.where("doc_id is null")
     total = known.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
     n = max(1, -(-total // block_bytes))
-    cuts = np.array(_boundaries(known.select("doc_id"), n), np.int64)
-
-    @F.arrow_udf("int")
-    def block_of(ids: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(cuts, ids.to_numpy(zero_copy_only=False), side="left").astype(np.int32))
-
+    block_of = range_udf(range_cuts(known.select("doc_id"), n))
     keyed = known.withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("block", block_of("doc_id"))
     # exact copies: narrow columns only
     narrow = keyed.where(F.octet_length("text") >= WIDTH).select("block", "doc_id", "row_key", F.md5(F.col("text").cast("binary")).alias("digest"))
