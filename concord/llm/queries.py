@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, langid, minhash, pieces, secrets, sharding, simhash, suffixes, toxicity
+from concord.llm import decontaminate, langid, minhash, pieces, secrets, sharding, simhash, suffixes, toolcalls, toxicity
 from concord.llm.common import held_out
 from concord.sources.tables import read_table
 
@@ -59,6 +59,10 @@ def op8_simhash_vantage_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.reply_calls(spark, read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+
+
 def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
@@ -72,7 +76,34 @@ QUERIES = {
     "op6_sentencepiece_nbest": op6_sentencepiece_nbest,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_simhash_vantage_forest": op8_simhash_vantage_forest,
+    "op9_tool_call_linking": op9_tool_call_linking,
     "op10_feistel_sharding": op10_feistel_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # calls are the user turns, results the assistant turns right after; dialogue order is topological here
+    "op9_tool_call_linking": """
+        WITH calls AS (
+            SELECT conv_id, turn, text, conv_id || ':' || turn AS id,
+                   turn >= 2 AND NOT EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id
+                                             AND p.turn = c.turn - 2 AND p.role = 'user') AS unknown
+            FROM conversations c WHERE role = 'user'),
+        results AS (
+            SELECT conv_id, turn, text, conv_id || ':' || (turn - 1) AS id FROM conversations WHERE role = 'assistant'),
+        met AS (
+            SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.id, r.id) AS call_id, c.turn AS call_turn,
+                   c.text AS prompt, r.text AS content, c.unknown, r.turn AS result_turn
+            FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.id = r.id)
+        SELECT conv_id,
+               row_number() OVER (PARTITION BY conv_id ORDER BY call_turn IS NULL, coalesce(call_turn, result_turn)) - 1 AS ord,
+               call_id,
+               CASE WHEN call_turn IS NOT NULL THEN 'reply' END AS name,
+               CASE WHEN call_turn IS NULL THEN 'orphan' WHEN result_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+               CASE WHEN call_turn IS NULL THEN NULL WHEN unknown THEN 'unknown dependency'
+                    WHEN prompt IS NULL THEN '$.prompt: not string' WHEN prompt = '' THEN '$.prompt: too short' END AS error,
+               '{"arguments":' || CASE WHEN call_turn IS NULL THEN 'null' ELSE
+                    '{"prompt":' || coalesce(CAST(to_json(prompt) AS VARCHAR), 'null') || ',"turn":' || call_turn || '}' END
+                 || ',"id":"' || call_id || '","name":' || CASE WHEN call_turn IS NULL THEN 'null' ELSE '"reply"' END
+                 || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS json
+        FROM met""",
+}
