@@ -74,7 +74,7 @@ class Pieces:
         h = np.zeros(c.shape, np.uint64)
         out, power = [], 1
         for n in range(1, (longest or c.shape[1]) + 1):
-            h[:, n - 1:] += c[:, : c.shape[1] - n + 1].astype(np.uint64) * np.uint64(power)
+            h[:, n - 1:] += (c[:, : c.shape[1] - n + 1].astype(np.uint64) + np.uint64(1)) * np.uint64(power)
             power = power * int(_P) % (1 << 64)
             x = (h ^ np.uint64(n)) * _M
             out.append((x ^ (x >> np.uint64(31))) * _P)
