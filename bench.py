@@ -25,7 +25,7 @@ from concord.operators.features import assemble  # noqa: E402
 from concord.operators.portable import portable_assignments  # noqa: E402
 from concord.plans import catalog  # noqa: E402
 from concord.plans.fixtures import PART, USAGE_FEATURES, usage_table  # noqa: E402
-from concord.session import get_spark  # noqa: E402
+from concord.session import clear_scratch, get_spark  # noqa: E402
 
 K, RUNS, MAX_ITER, SEED = 5, 20, 125, 1
 
@@ -46,7 +46,7 @@ def main() -> None:
     warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.01")
     wp = PART.load(spark, warm)
     wn = wp.count()
-    wa = portable_assignments(wp, K, RUNS, SEED, dims=len(PART.features))
+    wa = portable_assignments(wp, K, RUNS, SEED)
     for mode in ("final", "cumulative"):
         cons.consensus_histogram(wa, wn, K, RUNS, mode=mode).collect()
     for alg in C.ALGORITHMS:
@@ -56,7 +56,7 @@ def main() -> None:
     pts = PART.load(spark, sf_dir)
     n = pts.count()
 
-    asg = timed("portable_assign_20_runs", lambda: portable_assignments(pts, K, RUNS, SEED, dims=len(PART.features)))
+    asg = timed("portable_assign_20_runs", lambda: portable_assignments(pts, K, RUNS, SEED))
     timed("histogram_portable_labels",
           lambda: cons.consensus_histogram(asg, n, K, RUNS, mode="final").collect())
     timed("histogram_cumulative_portable",
@@ -78,15 +78,15 @@ def main() -> None:
     timed("evaluation_workload", evaluation)
 
     def importance():
-        usage = assemble(usage_table(spark, sf_dir), list(USAGE_FEATURES)).persist()
+        usage = fixed_layout(assemble(usage_table(spark, sf_dir), list(USAGE_FEATURES)).withColumnRenamed("user_id", "point_id"))
         for alg in ("bisecting", "kmeans"):
-            f = C.fit(usage, alg, 4, MAX_ITER, SEED)
+            f = C.fit(usage, alg, 4, MAX_ITER, SEED, laid_out=True)
             I.rf_importance(I.relabel(f.predictions, feature_cols=list(USAGE_FEATURES))).collect()
-        usage.unpersist()
     timed("importance_workload", importance)
 
-    timed("consensus_compare_3x20", lambda: catalog.QUERIES["consensus_compare"](spark, sf_dir).collect())
+    timed("consensus_compare_3x20", lambda: catalog.QUERIES["consensus_compare_part"](spark, sf_dir).collect())
 
+    clear_scratch(spark)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
                       "cpus": int(os.environ.get("BENCH_CPUS", "8")), "points": n}))

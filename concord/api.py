@@ -1,11 +1,12 @@
-"""Entry points shaped like the reference's three workflows.
+"""The library's workflows, one call each.
 
 * ``consensus_test``   -- repeated subsample fits of one algorithm, then the
-  ten-bin histogram of pair consensus ratios (the consensus classes' result);
+  ten-bin histogram of pair consensus ratios;
+* ``compare_algorithms`` -- the same for several algorithms, side by side;
 * ``cluster_outputs``  -- one fit: centers, sizes and cost (or log-likelihood
-  and mixture parameters), plus predictions (the ``*ClusterOutputs`` classes);
+  and mixture parameters), plus predictions;
 * ``feature_importance`` -- cluster, relabel the clusters as classes, forest,
-  named importances (``bkmShow`` / ``kmShow`` + ``rfFeatureImportance``).
+  named importances.
 
 Inputs are DataFrames with ``point_id`` and either ``x`` (array<double>) or
 ``features`` (vector); ``points_from_columns`` builds one from plain columns.
@@ -25,6 +26,7 @@ from concord.operators import importance as I
 from concord.operators.features import assemble
 from concord.operators.points import keyed_points
 from concord.operators.portable import portable_assignments
+from concord.session import materialize
 
 
 def points_from_columns(df: DataFrame, feature_cols: list[str], id_col: str | None = None) -> DataFrame:
@@ -43,9 +45,10 @@ def consensus_test(points: DataFrame, algorithm: str = "kmeans", k: int = 5, max
     fits in parallel) or ``lloyd`` (the deterministic batched k-means: all runs
     in one pass per step, ``max_iter`` steps with early stop).
     """
-    n = points.count()
+    points = materialize(points.select(*[c for c in ("point_id", "x", "features") if c in points.columns]), "points")
+    n = points.count()               # of the written table: the raw data is read once
     if algorithm == "lloyd":
-        asg = portable_assignments(points, k, runs, sample_seed, steps=max_iter, fraction=fraction, tol=0.0)
+        asg = portable_assignments(points, k, runs, sample_seed, steps=max_iter, fraction=fraction)
     else:
         asg = cons.mllib_assignments(points, algorithm, k, max_iter, seed, runs, sample_seed, fraction)
     return cons.consensus_histogram(asg, n, k, runs, mode=mode)
@@ -54,6 +57,7 @@ def consensus_test(points: DataFrame, algorithm: str = "kmeans", k: int = 5, max
 def compare_algorithms(points: DataFrame, algorithms=C.ALGORITHMS, k: int = 5, max_iter: int = 125,
                        seed: int = 1, runs: int = 20, sample_seed: int = 1, fraction: float = 0.9) -> DataFrame:
     """One row per bin, one count column per algorithm (all fits in one pool)."""
+    points = materialize(points.select(*[c for c in ("point_id", "x", "features") if c in points.columns]), "points")
     n = points.count()
     asg = cons.mllib_assignments_many(points, list(algorithms), k, max_iter, seed, runs, sample_seed, fraction)
     return cons.consensus_compare({a: cons.consensus_histogram(df, n, k, runs) for a, df in asg.items()})

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from concord.functions.vectors import sq_dist
 from concord.operators.features import to_features
+from concord.operators.layout import LAYOUT_PARTITIONS, fixed_layout
 
 # The three algorithms of the reference and their MLlib classes.
 ALGORITHMS = ("kmeans", "bisecting", "gmm")
@@ -35,6 +36,7 @@ class Fit:
     predictions: DataFrame
     features_col: str = "features"
     prediction_col: str = "prediction"
+    partitions: int = LAYOUT_PARTITIONS
 
 
 def estimator(algorithm: str, k: int, max_iter: int, seed: int = 1,
@@ -52,12 +54,18 @@ def model_class(algorithm: str):
 
 
 def fit(points: DataFrame, algorithm: str, k: int = 3, max_iter: int = 20, seed: int = 1,
-        features_col: str = "features", prediction_col: str = "prediction") -> Fit:
-    """Fit, then append predictions to the input."""
+        features_col: str = "features", prediction_col: str = "prediction",
+        partitions: int = LAYOUT_PARTITIONS, laid_out: bool = False) -> Fit:
+    """Fit, then append predictions to the input.
+
+    The fit reads a written copy in a fixed layout (``laid_out``: the caller
+    passes one), so the model does not depend on the input's partitioning."""
     if features_col not in points.columns:
         points = to_features(points, "x", features_col)
+    if not laid_out:
+        points = fixed_layout(points, partitions, features_col=features_col)
     model = estimator(algorithm, k, max_iter, seed, features_col, prediction_col).fit(points)
-    return Fit(algorithm, k, model, model.transform(points), features_col, prediction_col)
+    return Fit(algorithm, k, model, model.transform(points), features_col, prediction_col, partitions)
 
 
 def center_vectors(model) -> list[list[float]]:

@@ -18,14 +18,19 @@ can, and never materialises pairs:
   *signatures* (one row, weight w).  A group of identical points, however
   large, is one row -- this is where hot keys disappear.
 * Signature pairs are enumerated once each, in a triangular block layout:
-  signatures are hashed into nb blocks and tile (i <= j) is the grouping key,
-  so a task holds at most about 2 x ``block_rows`` signatures, whatever N.
+  signatures are cut into nb ranges by their cluster masks and tile (i <= j) is
+  the grouping key, so a task holds at most about 2 x ``block_rows``
+  signatures, whatever N.  nb follows from M alone.  A tile whose two blocks
+  have no (run, cluster) in common has only pairs that never sat together: it
+  is not computed, its pairs are in bin 0.
   Spark shuffles the tiles; inside a task a small numpy kernel folds the
   tile's pairs into ten bin counts (``engine="sql"`` does the same with a
   shuffled hash join and built-in bit functions).  Pairs never become rows.
 * Pairs involving points never sampled (no assignment rows) are all in bin 0
   and are counted by difference from the known total N(N-1) (R N(N-1) for the
-  cumulative form).
+  cumulative form).  As a difference would hide wrong input, assignments are
+  checked where the masks are built: run and cluster ids in range, one cluster
+  for a point in a run, and no more points than N.  Counts are decimal(38, 0).
 
 Work is M(M+1)/2 signature pairs for M signatures; M depends on how stable the
 clustering is (a stable one has few), not only on N.
@@ -34,6 +39,7 @@ clustering is (a stable one has few), not only on N.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from decimal import Decimal
 from typing import Callable
 
 from pyspark.sql import DataFrame
@@ -42,9 +48,15 @@ from pyspark.sql import functions as F
 from concord.functions.masks import RunWords, popcount
 from concord.functions.ratio import N_BINS, consensus_ratio, ratio_bin
 from concord.functions.sampling import in_sample
+from concord.operators.layout import LAYOUT_PARTITIONS, fixed_layout
 from concord.session import materialize
 
 MODES = ("final", "cumulative")
+#: Fits that run at once; a parameter of the fits.
+PARALLEL_FITS = 16
+#: Signatures in a block of the pair space, and tiles in a task.
+BLOCK_ROWS = 2048
+TILES_PER_TASK = 2
 
 
 # --------------------------------------------------------------------------- K1
@@ -66,39 +78,16 @@ def _mllib_clusterer(algorithm: str) -> Clusterer:
     return fit
 
 
-def fixed_layout(points: DataFrame, rows_per_partition: int = 1_000_000) -> tuple[DataFrame, int]:
-    """Range-partition and sort points by id, then write them once; returns (table, N).
-
-    MLlib fits depend on partitioning (k-means|| samples per partition), so
-    every run must see the same layout: this makes fits reproducible, and the
-    written table is what every run's hash filter reads.
-    """
-    n = points.count()
-    parts = max(1, -(-n // rows_per_partition))
-    laid = points.repartitionByRange(parts, "point_id").sortWithinPartitions("point_id")
-    return materialize(laid, "points-layout"), n
-
-
-def default_fit_pool(spark, n_points: int, jobs: int, small: int = 5_000_000) -> int:
-    """How many MLlib fits to run at once.
-
-    Each fit caches its own 90 % sample.  For small inputs many concurrent
-    fits hide per-job latency; for large ones every fit already spans the
-    cluster, so a few at a time keep the cached samples within memory.
-    """
-    cores = max(1, spark.sparkContext.defaultParallelism)
-    return max(1, min(jobs, 2 * cores if n_points <= small else 4))
-
-
 def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_iter: int = 125,
                            seed: int = 1, runs: int = 20, sample_seed: int = 1, fraction: float = 0.9,
-                           parallel_fits: int | None = None) -> dict:
+                           parallel_fits: int = PARALLEL_FITS, partitions: int = LAYOUT_PARTITIONS) -> dict:
     """R subsample fits per algorithm -> {algorithm: assignments(run, point_id, cluster)}.
 
     ``points`` needs ``point_id`` and ``x`` (array<double>) or ``features``
     (vector).  The points are laid out once; every (algorithm, run) fit is
-    submitted to one driver thread pool, so the cluster works on many fits at
-    once.  Each run reads the fixed layout through the hash filter, so a run
+    submitted to one driver thread pool of ``parallel_fits`` (each fit caches its
+    own 90 % sample: use fewer where these do not fit in memory together), so
+    the cluster works on several fits at once.  Each run reads the fixed layout through the hash filter, so a run
     is the same rows however often it is evaluated.  Each algorithm's
     assignments are written once to the shared folder.
     """
@@ -108,7 +97,7 @@ def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_
         raise ValueError("k must be at least 2")
     if "features" not in points.columns:
         points = points.withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
-    laid, n = fixed_layout(points.select("point_id", "features"))
+    laid = fixed_layout(points.select("point_id", "features"), partitions)
     fits = {(a if isinstance(a, str) else getattr(a, "__name__", "custom")):
             (_mllib_clusterer(a) if isinstance(a, str) else a) for a in algorithms}
 
@@ -119,8 +108,7 @@ def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_
             F.lit(run).cast("int").alias("run"), "point_id", F.col("cluster").cast("int").alias("cluster"))
 
     jobs = [(name, r) for name in fits for r in range(runs)]
-    workers = parallel_fits or default_fit_pool(points.sparkSession, n, len(jobs))
-    with ThreadPoolExecutor(max_workers=workers) as pool:
+    with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
         done = dict(zip(jobs, pool.map(one, jobs)))
     out = {}
     for name in fits:
@@ -135,10 +123,10 @@ def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_
 def mllib_assignments(points: DataFrame, algorithm: str | Clusterer, k: int = 5,
                       max_iter: int = 125, seed: int = 1, runs: int = 20,
                       sample_seed: int = 1, fraction: float = 0.9,
-                      parallel_fits: int | None = None) -> DataFrame:
+                      parallel_fits: int = PARALLEL_FITS, partitions: int = LAYOUT_PARTITIONS) -> DataFrame:
     """K1 for one algorithm (MLlib name or a ``Clusterer``)."""
     res = mllib_assignments_many(points, [algorithm], k, max_iter, seed, runs, sample_seed, fraction,
-                                 parallel_fits)
+                                 parallel_fits, partitions)
     return next(iter(res.values()))
 
 
@@ -160,35 +148,72 @@ def point_masks(assignments: DataFrame, k: int, runs: int, word_bits: int = 63)
         aggs.append(F.bit_or(F.when(here, bit).otherwise(zero)).alias(f"smask_{w}"))
         for j in range(k):
             aggs.append(F.bit_or(F.when(here & (F.col("cluster") == j), bit).otherwise(zero)).alias(f"m{j}_{w}"))
-    return assignments.groupBy("point_id").agg(*aggs)
+    good = (F.col("cluster").between(0, k - 1) & F.col("run").between(0, runs - 1) & F.col("point_id").isNotNull())
+    bad = F.sum(F.when(F.coalesce(good, F.lit(False)), 0).otherwise(1))
+    return assignments.groupBy("point_id").agg(*aggs, bad.alias("out_of_range"), F.count(F.lit(1)).alias("rows"))
 
 
 def signatures(assignments: DataFrame, k: int, runs: int, word_bits: int = 63) -> DataFrame:
-    """Distinct mask tuples with their point count ``w``."""
-    cols = mask_columns(k, RunWords(runs, word_bits))
-    return point_masks(assignments, k, runs, word_bits).groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
-
-
-def _tiles(sigs: DataFrame, cols: list[str], block_rows: int, min_blocks: int) -> DataFrame:
-    """Copy each signature into the tiles of the triangular block layout.
-
-    Signatures are hashed into ``nb`` blocks; tile (i, j), i <= j, pairs
-    block i (side 0) with block j (side 1).  A signature lands in nb + 1
-    tiles, and a tile holds at most about 2 x ``block_rows`` rows.
-    """
-    m = sigs.count()
-    nb = max(1, min_blocks, -(-m // block_rows))
-    keyed = sigs.select(*cols, "w", "sid", F.pmod(F.xxhash64(*cols), F.lit(nb)).cast("int").alias("t"))
+    """Distinct mask tuples with their point count ``w``, and how many of their
+    assignment rows are ``out_of_range`` or ``repeated`` (a second row of a point in a run)."""
+    words = RunWords(runs, word_bits)
+    sampled = None
+    for c in words.names("smask"):
+        sampled = popcount(c) if sampled is None else sampled + popcount(c)
+    return point_masks(assignments, k, runs, word_bits).groupBy(*mask_columns(k, words)).agg(
+        F.count(F.lit(1)).alias("w"), F.sum("out_of_range").alias("out_of_range"),
+        F.sum(F.col("rows") - sampled).alias("repeated"))
+
+
+def _check(sigs: DataFrame, n_points: int) -> int:
+    """Raise on wrong assignments; the number of signatures otherwise."""
+    r = sigs.agg(F.count(F.lit(1)).alias("m"), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+                                                 for c in ("w", "out_of_range", "repeated")]).head()
+    if r["out_of_range"]:
+        raise ValueError(f"{r['out_of_range']} assignment rows have a run or cluster out of range, or no point id")
+    if r["repeated"]:
+        raise ValueError(f"{r['repeated']} assignment rows repeat a (run, point): a point has one cluster in a run")
+    if r["w"] > n_points:
+        raise ValueError(f"assignments of {r['w']} points, but n_points is {n_points}")
+    return r["m"]
+
+
+def _blocked(sigs: DataFrame, cols: list[str], nb: int) -> DataFrame:
+    """Signatures with their block ``t``: nb ranges in the order of the cluster
+    masks, so that a block's members share clusters; written, as the ranges are
+    drawn from a sample."""
+    order = [c for c in cols if not c.startswith("smask")]
+    ranged = sigs.repartitionByRange(nb, *order) if nb > 1 else sigs.coalesce(1)
+    return materialize(ranged.select(*cols, "w", "sid", F.spark_partition_id().alias("t")), "signature-blocks")
+
+
+def _tile_list(blocked: DataFrame, cols: list[str], nb: int, skip: bool) -> DataFrame:
+    """(ba, bb), ba <= bb: the tiles to compute.  With ``skip`` only those whose
+    blocks have some (run, cluster) in common; the OR of a block's masks shows it."""
+    masks = [c for c in cols if not c.startswith("smask")]
+    ors = blocked.groupBy("t").agg(*[F.bit_or(c).alias(c) for c in masks])
+    left = ors.select(F.col("t").alias("ba"), *[F.col(c).alias(f"a_{c}") for c in masks],
+                      F.explode(F.sequence(F.col("t"), F.lit(nb - 1))).alias("bb"))
+    right = ors.select(F.col("t").alias("bb"), *[F.col(c).alias(f"b_{c}") for c in masks])
+    shared = F.lit(not skip)
+    for c in masks:
+        shared = shared | (F.col(f"a_{c}").bitwiseAND(F.col(f"b_{c}")) != 0)
+    return left.join(right, "bb").where(shared).select("ba", "bb")
+
+
+def _tiles(blocked: DataFrame, cols: list[str], m: int, nb: int, skip: bool) -> DataFrame:
+    """Copy each signature into the tiles it belongs to.
+
+    Tile (i, j), i <= j, pairs block i (side 0) with block j (side 1).  A
+    signature lands in nb + 1 tiles at most, and nb = M / block_rows, so the
+    copies do not depend on the number of cores."""
+    kept = _tile_list(blocked, cols, nb, skip)
     keep = ["t", "sid", "w"] + cols
-    left = keyed.select(*keep, F.lit(0).alias("side"), F.col("t").alias("ba"),
-                        F.explode(F.sequence(F.col("t"), F.lit(nb - 1))).alias("bb"))
-    right = keyed.select(*keep, F.lit(1).alias("side"),
-                         F.explode(F.sequence(F.lit(0), F.col("t"))).alias("ba"), F.col("t").alias("bb"))
-    # tiles are few bytes but heavy work: fix their partition count (AQE would
-    # coalesce such a small shuffle into one task) at a few tiles per core
-    n_tiles = nb * (nb + 1) // 2
-    cores = max(1, sigs.sparkSession.sparkContext.defaultParallelism)
-    return left.unionByName(right).repartition(min(n_tiles, 4 * cores), "ba", "bb")
+    left = blocked.join(kept, F.col("t") == F.col("ba")).select(*keep, F.lit(0).alias("side"), "ba", "bb")
+    right = blocked.join(kept, F.col("t") == F.col("bb")).select(*keep, F.lit(1).alias("side"), "ba", "bb")
+    # tiles are few bytes but heavy work: their partitions are fixed (AQE would
+    # coalesce such a small shuffle into one task) at a few tiles each
+    return left.unionByName(right).repartition(max(1, -(-nb * (nb + 1) // 2 // TILES_PER_TASK)), "ba", "bb")
 
 
 def _tile_kernel(k: int, words: RunWords, mode: str, chunk: int = 256):
@@ -216,24 +241,27 @@ def _tile_kernel(k: int, words: RunWords, mode: str, chunk: int = 256):
         # exact integer sums per cell: a float64 bincount is exact while every
         # partial sum stays below 2^53; otherwise add 21-bit limbs separately
         code, w = code.ravel(), w.ravel()
-        small = int(w.max(initial=0)) * w.size < 2 ** 53
-        for shift in ((0,) if small else (0, 21, 42)):
-            limb = w if small else (w >> shift) & ((1 << 21) - 1)
+        top = int(w.max(initial=0))
+        for shift in ((0,) if top * w.size < 2 ** 53 else range(0, top.bit_length(), 21)):
+            limb = w if top * w.size < 2 ** 53 else (w >> shift) & ((1 << 21) - 1)
             part = np.bincount(code, weights=limb.astype(np.float64), minlength=side * side)
-            cells += np.rint(part).astype(np.int64) << shift
+            for c in np.flatnonzero(part).tolist():
+                cells[c] += int(part[c]) << shift
 
     def kernel(pdf: "pd.DataFrame") -> "pd.DataFrame":
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        cells = np.zeros(side * side, dtype=np.int64)
+        cells = [0] * (side * side)
+        # products of two weights past 2^62 are done in Python integers
+        kind = object if 2 * int(pdf["w"].max()) ** 2 >= 2 ** 62 else np.int64
         if len(left) and len(right):
             rt, rsid = right["t"].to_numpy()[None, :], right["sid"].to_numpy()[None, :]
-            rw = right["w"].to_numpy(dtype=np.int64)[None, :]
+            rw = right["w"].to_numpy(dtype=np.int64).astype(kind)[None, :]
             rs = [u64(right[f"smask_{w}"])[None, :] for w in range(nw)]
             rm = [[u64(right[f"m{j}_{w}"])[None, :] for j in range(k)] for w in range(nw)]
             for lo in range(0, len(left), chunk):
                 part = left.iloc[lo:lo + chunk]
                 lt, lsid = part["t"].to_numpy()[:, None], part["sid"].to_numpy()[:, None]
-                lw = part["w"].to_numpy(dtype=np.int64)[:, None]
+                lw = part["w"].to_numpy(dtype=np.int64).astype(kind)[:, None]
                 keep = (lt < rt) | (lsid <= rsid)
                 wt = np.where(lsid == rsid, lw * (lw - 1), 2 * lw * rw) * keep
                 both, same = [], []                                # per word: co-sampled, co-clustered runs
@@ -249,9 +277,10 @@ def _tile_kernel(k: int, words: RunWords, mode: str, chunk: int = 256):
                     c = sum(np.bitwise_count(x if pm is None else x & pm[w]).astype(np.int64)
                             for w, x in enumerate(same))
                     add(cells, c * side + s, wt)
-        out = [int(cells[cell_bin == i].sum()) for i in range(N_BINS)]
-        return pd.DataFrame({"bin": np.arange(N_BINS, dtype=np.int32),
-                             "n": np.array(out, dtype=np.int64)})
+        out = [0] * N_BINS
+        for c, x in enumerate(cells):
+            out[cell_bin[c]] += x
+        return pd.DataFrame({"bin": np.arange(N_BINS, dtype=np.int32), "n": [Decimal(x) for x in out]})
 
     return kernel
 
@@ -265,9 +294,9 @@ def _tile_pairs_sql(tiles: DataFrame, cols: list[str]) -> DataFrame:
                                        *[F.col(c).alias(f"b_{c}") for c in keep])
     on = [a.ba == b.b_ba, a.bb == b.b_bb, (a.a_t < b.b_t) | (a.a_sid <= b.b_sid)]
     pairs = a.join(b.hint("shuffle_hash"), on, "inner")
-    weight = F.when(F.col("a_sid") == F.col("b_sid"), F.col("a_w") * (F.col("a_w") - 1)).otherwise(
-        F.lit(2) * F.col("a_w") * F.col("b_w"))
-    return pairs.select(weight.cast("bigint").alias("weight"),
+    wa, wb = F.col("a_w").cast("decimal(18,0)"), F.col("b_w").cast("decimal(18,0)")
+    weight = F.when(F.col("a_sid") == F.col("b_sid"), wa * (wa - 1)).otherwise(wa * wb + wa * wb)
+    return pairs.select(weight.cast("decimal(38,0)").alias("weight"),
                         *[F.col(f"a_{c}") for c in cols], *[F.col(f"b_{c}") for c in cols])
 
 
@@ -290,20 +319,10 @@ def _pair_counts(k: int, words: RunWords, p: F.Column | None = None) -> tuple[F.
     return c, s
 
 
-def _default_blocks(spark) -> int:
-    # enough block pairs, nb (nb + 1) / 2, to give every core a few tasks
-    cores = spark.sparkContext.defaultParallelism
-    nb = 1
-    while nb * (nb + 1) // 2 < 4 * cores:
-        nb += 1
-    return nb
-
-
 def consensus_histogram(assignments: DataFrame, n_points: int, k: int, runs: int,
-                        mode: str = "final", block_rows: int = 8192,
-                        min_blocks: int | None = None, engine: str = "numpy",
-                        word_bits: int = 63) -> DataFrame:
-    """Ten rows (bin int, n bigint) over all ordered pairs of the ``n_points`` points.
+                        mode: str = "final", block_rows: int = BLOCK_ROWS, engine: str = "numpy",
+                        word_bits: int = 63, skip_tiles: bool = True) -> DataFrame:
+    """Ten rows (bin int, n decimal(38, 0)) over all ordered pairs of the ``n_points`` points.
 
     ``final``: ratios after all runs, total N(N-1).
     ``cumulative``: the sum over r = 1..R of the histogram after the first r
@@ -311,21 +330,24 @@ def consensus_histogram(assignments: DataFrame, n_points: int, k: int, runs: int
     ``engine``: ``numpy`` evaluates each tile in a vectorised kernel inside
     the task; ``sql`` joins the tiles with built-in operators.
     Run bits take one bigint per ``word_bits`` runs, so any number of runs works.
+    Raises on ids out of range, a (run, point) with two rows, and a too small
+    ``n_points``; ``skip_tiles=False`` computes the tiles that are known to be bin 0 too.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     words = RunWords(runs, word_bits)
     total = n_points * (n_points - 1) * (runs if mode == "cumulative" else 1)
-    if total >= 2 ** 63:
-        raise ValueError(f"{total} ordered pairs do not fit a bigint count")
     spark = assignments.sparkSession
     cols = mask_columns(k, words)
     sigs = materialize(signatures(assignments, k, runs, word_bits)
                        .withColumn("sid", F.monotonically_increasing_id()), "signatures")
-    tiles = _tiles(sigs, cols, block_rows, min_blocks or _default_blocks(spark))
+    m = _check(sigs, n_points)
+    nb = max(1, -(-m // block_rows))
+    tiles = _tiles(_blocked(sigs, cols, nb), cols, m, nb, skip_tiles)
+    count = "decimal(38,0)"
     if engine == "numpy":
-        hist = tiles.groupBy("ba", "bb").applyInPandas(_tile_kernel(k, words, mode), "bin int, n bigint") \
-            .groupBy("bin").agg(F.sum("n").cast("bigint").alias("n"))
+        hist = tiles.groupBy("ba", "bb").applyInPandas(_tile_kernel(k, words, mode), f"bin int, n {count}") \
+            .groupBy("bin").agg(F.sum("n").cast(count).alias("n"))
     else:
         pairs = _tile_pairs_sql(tiles, cols)
         if mode == "final":
@@ -335,12 +357,13 @@ def consensus_histogram(assignments: DataFrame, n_points: int, k: int, runs: int
             p = F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("p")
             c, s = _pair_counts(k, words, F.col("p"))
             per_bin = pairs.select("*", p).select(ratio_bin(c, s).alias("bin"), "weight")
-        hist = per_bin.groupBy("bin").agg(F.sum("weight").cast("bigint").alias("n"))
-    rest = hist.agg((F.lit(total).cast("bigint") - F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")).alias("n")) \
+        hist = per_bin.groupBy("bin").agg(F.sum("weight").cast(count).alias("n"))
+    zero = F.lit(0).cast(count)
+    rest = hist.agg((F.lit(Decimal(total)).cast(count) - F.coalesce(F.sum("n").cast(count), zero)).cast(count).alias("n")) \
         .select(F.lit(0).cast("int").alias("bin"), "n")
-    zeros = spark.range(N_BINS).select(F.col("id").cast("int").alias("bin"), F.lit(0).cast("bigint").alias("n"))
+    zeros = spark.range(N_BINS).select(F.col("id").cast("int").alias("bin"), zero.alias("n"))
     return (zeros.unionByName(hist).unionByName(rest)
-            .groupBy("bin").agg(F.sum("n").cast("bigint").alias("n")))
+            .groupBy("bin").agg(F.sum("n").cast(count).alias("n")))
 
 
 # ----------------------------------------------------------- per-point totals
@@ -380,4 +403,4 @@ def consensus_compare(histograms: dict[str, DataFrame]) -> DataFrame:
         t = h.select("bin", F.lit(name).alias("algorithm"), "n")
         tagged = t if tagged is None else tagged.unionByName(t)
     return tagged.groupBy("bin").pivot("algorithm", names).agg(F.first("n")).select(
-        "bin", *[F.col(n).cast("bigint").alias(n) for n in names])
+        "bin", *names)

@@ -9,36 +9,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.operators import cluster as C
+from concord.operators.consensus import PARALLEL_FITS
 from concord.operators.features import to_features
+from concord.operators.layout import LAYOUT_PARTITIONS, fixed_layout
 
 
 def k_sweep(points: DataFrame, ks: list[int], algorithms=C.ALGORITHMS, max_iter: int = 20,
-            seed: int = 1, parallel_fits: int | None = None) -> DataFrame:
+            seed: int = 1, parallel_fits: int = PARALLEL_FITS, partitions: int = LAYOUT_PARTITIONS) -> DataFrame:
     """Fit every (algorithm, k) and report its cost.
 
     Rows (algorithm, k, metric, value, change): ``wcss`` for the k-means
     family (computed from the final centers), ``log_likelihood`` for the
     mixture; ``change`` is the difference to the previous k (``lag``), the
-    elbow read-out.  Fits run from a driver thread pool over one cached
-    input; only one number per fit reaches the driver.
+    elbow read-out.  Fits run from a driver thread pool over one copy of the
+    input in a fixed layout; only one number per fit reaches the driver.
     """
     if "features" not in points.columns:
         points = to_features(points)
-    pts = points.select("features").persist()
+    pts = fixed_layout(points.select(*[c for c in ("point_id", "features") if c in points.columns]), partitions)
     spark = points.sparkSession
     jobs = [(a, k) for a in algorithms for k in ks]
 
     def one(job):
         a, k = job
-        f = C.fit(pts, a, k, max_iter, seed)
+        f = C.fit(pts, a, k, max_iter, seed, partitions=partitions, laid_out=True)
         if a == "gmm":
             return (a, k, "log_likelihood", float(f.model.summary.logLikelihood))
         return (a, k, "wcss", float(C.wcss(f).first()["wcss"]))
 
-    workers = parallel_fits or min(len(jobs), max(1, spark.sparkContext.defaultParallelism))
-    with ThreadPoolExecutor(max_workers=workers) as pool:
+    with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
         rows = list(pool.map(one, jobs))
-    pts.unpersist()
     df = spark.createDataFrame(rows, "algorithm string, k int, metric string, value double")
     w = Window.partitionBy("algorithm").orderBy("k")
     return df.withColumn("change", F.col("value") - F.lag("value").over(w))

@@ -6,11 +6,13 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.operators.features import feature_names
+from concord.operators.layout import LAYOUT_PARTITIONS, fixed_layout
 from concord.operators.resample import train_test_split
+from concord.session import materialize
 
 # The reference's forest settings.
 FOREST = dict(impurity="gini", maxDepth=5, numTrees=20, featureSubsetStrategy="auto", seed=5043)
@@ -31,9 +33,13 @@ def relabel(predictions: DataFrame, prediction_col: str = "prediction", label_co
     return predictions.withColumn(label_col, F.col(prediction_col).cast("double")).drop(prediction_col)
 
 
-def forest(labeled: DataFrame, features_col: str = "features", label_col: str = "label", **params):
+def forest(labeled: DataFrame, features_col: str = "features", label_col: str = "label",
+           partitions: int = LAYOUT_PARTITIONS, id_col: str = "point_id", **params):
+    """The forest, fitted to a copy of the rows in a fixed layout."""
     p = dict(FOREST)
     p.update(params)
+    labeled = fixed_layout(labeled.select(*[c for c in (id_col, features_col, label_col) if c in labeled.columns]),
+                           partitions, id_col, features_col)
     return RandomForestClassifier(featuresCol=features_col, labelCol=label_col, **p).fit(labeled)
 
 
@@ -51,11 +57,13 @@ def rf_holdout_score(labeled: DataFrame, id_col: str, features_col: str = "featu
                      label_col: str = "label", train_fraction: float = 0.8, split_seed: int = 5043,
                      **params) -> DataFrame:
     """I4: forest on a stable 80 / 20 split; accuracy and weighted F1 on the held-out part."""
-    split = train_test_split(labeled, id_col, split_seed, train_fraction)
+    keep = [id_col, features_col, label_col]
+    split = materialize(train_test_split(labeled.select(*keep), id_col, split_seed, train_fraction), "forest-split")
     train = split.where("is_train").drop("is_train")
     test = split.where("NOT is_train").drop("is_train")
-    model = forest(train, features_col, label_col, **params)
-    pred = model.transform(test)
+    model = forest(train, features_col, label_col, id_col=id_col, **params)
+    # predictions are written once for both metrics
+    pred = materialize(model.transform(test).select(label_col, "prediction"), "forest-predictions")
     rows = []
     for metric in ("accuracy", "f1"):
         ev = MulticlassClassificationEvaluator(labelCol=label_col, predictionCol="prediction",
@@ -64,15 +72,27 @@ def rf_holdout_score(labeled: DataFrame, id_col: str, features_col: str = "featu
     return labeled.sparkSession.createDataFrame(rows, "metric string, value double")
 
 
-def rf_cross_validate(labeled: DataFrame, features_col: str = "features", label_col: str = "label",
-                      depths=(3, 5), trees=(10, 20), folds: int = 3, seed: int = 5043) -> DataFrame:
-    """I4: k-fold cross-validation over a small grid; (max_depth, num_trees, accuracy)."""
+def fold_of(id_col: str, folds: int, seed: int = 5043) -> Column:
+    """Cross-validation fold of a row, a function of its id: md5('fold:seed:id') mod folds (first 7 hex digits)."""
+    digest = F.md5(F.concat_ws(":", F.lit("fold"), F.lit(str(seed)), F.col(id_col).cast("string")))
+    return F.pmod(F.conv(F.substring(digest, 1, 7), 16, 10).cast("int"), F.lit(folds))
+
+
+def rf_cross_validate(labeled: DataFrame, id_col: str, features_col: str = "features", label_col: str = "label",
+                      depths=(3, 5), trees=(10, 20), folds: int = 3, seed: int = 5043,
+                      partitions: int = LAYOUT_PARTITIONS) -> DataFrame:
+    """I4: k-fold cross-validation over a small grid; (max_depth, num_trees, accuracy).
+
+    Folds follow from the ids (``fold_of``) and the rows are written once in a
+    fixed layout, so neither moves with partitioning."""
+    rows = labeled.select(id_col, features_col, label_col, fold_of(id_col, folds, seed).alias("__fold"))
+    labeled = fixed_layout(rows, partitions, id_col, features_col)
     rf = RandomForestClassifier(featuresCol=features_col, labelCol=label_col, impurity="gini",
                                 featureSubsetStrategy="auto", seed=seed)
     grid = ParamGridBuilder().addGrid(rf.maxDepth, list(depths)).addGrid(rf.numTrees, list(trees)).build()
     ev = MulticlassClassificationEvaluator(labelCol=label_col, metricName="accuracy")
     cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
-                        seed=seed, parallelism=min(4, len(grid))).fit(labeled)
+                        foldCol="__fold", seed=seed, parallelism=min(4, len(grid))).fit(labeled)
     rows = [(int(pm[rf.maxDepth]), int(pm[rf.numTrees]), float(m))
             for pm, m in zip(grid, cv.avgMetrics)]
     return labeled.sparkSession.createDataFrame(rows, "max_depth int, num_trees int, accuracy double")

@@ -34,13 +34,19 @@ def row_digest(cols: list[str]) -> F.Column:
 def keyed_points(df: DataFrame, cols: list[str], id_col: str | None = None) -> DataFrame:
     """Distinct rows of ``cols`` with a ``point_id``.
 
-    With ``id_col`` (a natural key, unique per distinct row) it is used as is;
-    otherwise the id is the row digest.  Per-row hashing needs no global
-    ordering, unlike ``row_number`` over the whole table, which would pull all
-    rows through one partition.
+    With ``id_col`` (a natural key) rows are grouped once by it, which also
+    removes repeated rows; an id that stands for two different rows raises when
+    the result is computed.  Otherwise the id is the row digest.  Per-row
+    hashing needs no global ordering, unlike ``row_number`` over the whole
+    table, which would pull all rows through one partition.
     """
     if id_col is not None:
-        keep = [id_col] + [c for c in cols if c != id_col]
-        return df.select(*keep).distinct().withColumnRenamed(id_col, "point_id")
+        keep = [c for c in cols if c != id_col]
+        row = F.struct(*keep) if keep else F.struct(F.lit(0).alias("none"))
+        one = df.groupBy(F.col(id_col).alias("point_id")).agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+        message = F.concat(F.lit(f"{id_col} is no key: "), F.coalesce(F.col("point_id").cast("string"), F.lit("null")),
+                           F.lit(" stands for different rows"))
+        checked = F.when(F.col("lo").eqNullSafe(F.col("hi")), F.col("lo")).otherwise(F.raise_error(message).cast(one.schema["lo"].dataType))
+        return one.select("point_id", checked.alias("row")).select("point_id", *[F.col("row")[c].alias(c) for c in keep])
     d = df.select(*cols).distinct()
     return d.select(row_digest(cols).alias("point_id"), *cols)

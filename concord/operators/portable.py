@@ -12,140 +12,143 @@ Rules (the DuckDB oracle in ``concord.plans.oracles`` spells the same ones):
 * start centers of a run: its k sampled points with the smallest
   ``md5('init:seed:run:point_id')`` (ties by point id);
 * assignment: nearest center by squared distance, summed over dimensions in
-  order (the same arithmetic in both engines, so no rounding is needed),
-  ties to the smaller cluster id;
+  order, ties to the smaller cluster id;
 * update: per-dimension mean rounded to ``digits``; an empty cluster keeps
-  its center.
+  its center;
+* a run ends when no center of it moves, or after ``steps`` updates.
 
-Distances are plain column arithmetic over one broadcast row of centers per
-run (k * d columns), so the assign step stays inside whole-stage codegen.
+A step maps Arrow batches: the centers (R * k * d numbers, whatever N) travel
+with the task, distances are numpy over the batch, and each batch returns its
+sums per (run, cluster, dimension).  The plan does not grow with d, and runs
+that have ended cost nothing more.
+
+The rounding of means hides the order of summation: engines agree as long as
+the summation error (about 1e-16 times the mean magnitude times sqrt(N)) stays
+far below 10^-digits, e.g. for values around 1 up to N = 10^12 with 9 digits.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concord.functions.masks import RunWords
-from concord.functions.sampling import sample_masks
+from concord.functions.sampling import hash_threshold, sample_masks
 from concord.session import materialize
 
-
-def _dims(points: DataFrame) -> int:
-    row = points.select(F.size("x").alias("d")).head(1)
-    if not row:
-        raise ValueError("no points")
-    return int(row[0]["d"])
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a narrow input (one small file = one partition) at least one
-    partition per core, so the per-step work is not serialised in one task.
-    A wide input keeps its own partitioning (no shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, "point_id")
-
-
-def _centers_table(spark: SparkSession, centers: dict, k: int, d: int) -> DataFrame:
-    """One row per run: (run, c{j}_{i}) as an inline table.
-
-    At most runs * k * d numbers (a bound independent of N).  An inline table
-    is planned as a local relation, so the values travel as data, not as
-    generated code, and the broadcast is of a known tiny size.  Doubles are
-    written with their shortest round-trip repr and a D suffix: exact.
-    """
-    cols = ["run"] + [f"c{j}_{i}" for j in range(k) for i in range(d)]
-    rows = []
-    for run in sorted({r for r, _ in centers}):
-        vals = [str(run)]
-        for j in range(k):
-            x = centers.get((run, j))
-            vals += ([repr(float(v)) + "D" for v in x] if x is not None
-                     else ["CAST(NULL AS DOUBLE)"] * d)
-        rows.append("(" + ", ".join(vals) + ")")
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({', '.join(cols)})")
-
-
-def _nearest(k: int, d: int, digits: int | None) -> F.Column:
-    cands = []
-    for j in range(k):
-        dist = None
-        for i in range(d):
-            diff = F.col(f"x{i}") - F.col(f"c{j}_{i}")
-            dist = diff * diff if dist is None else dist + diff * diff
-        cand = F.struct((dist if digits is None else F.round(dist, digits)).alias("d"), F.lit(j).alias("cluster"))
-        cands.append(F.when(F.col(f"c{j}_0").isNotNull(), cand))
-    # least() skips nulls (missing centers); structs compare by d, then id
-    return (F.least(*cands) if k > 1 else cands[0])["cluster"]
-
-
-def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int = 1,
-                         steps: int = 8, fraction: float = 0.9, digits: int = 9,
-                         dims: int | None = None, tol: float | None = None) -> DataFrame:
+#: Partitions of the written points table (a parameter, so that it is the same on every input layout).
+PARTITIONS = 8
+#: Candidates for start centers looked at in each run, as a multiple of k, at first.
+_START_SPREAD = 40
+
+
+def _start_centers(base: DataFrame, n: int, k: int, runs: int, seed: int, words: RunWords) -> dict[int, np.ndarray]:
+    """run -> its start centers.  Only points whose hash is below a threshold are ranked;
+    if a run has fewer than k such points, the threshold doubles (up to all points)."""
+    key = F.md5(F.concat_ws(":", F.lit("init"), F.lit(str(seed)), F.col("run").cast("string"), F.col("point_id").cast("string")))
+    fraction = min(1.0, _START_SPREAD * k / max(n, 1))
+    while True:
+        near = (base.select("point_id", "x", F.explode(words.run_candidates("smask")).alias("run"))
+                .where(F.col("run").isNotNull()).withColumn("h", key)
+                .where(F.substring("h", 1, 8) < F.lit(hash_threshold(fraction))))
+        w = Window.partitionBy("run").orderBy("h", "point_id")
+        rows = near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("run", "rn", "x").collect()
+        per_run: dict[int, list] = {}
+        for r in sorted(rows, key=lambda r: (r["run"], r["rn"])):
+            per_run.setdefault(r["run"], []).append(r["x"])
+        if fraction >= 1.0 or (len(per_run) == runs and all(len(v) == k for v in per_run.values())):
+            return {run: np.array(v, float) for run, v in per_run.items()}
+        fraction = min(1.0, 2 * fraction)
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Index of the nearest center of each row; dimensions are added in order."""
+    dist = np.zeros((len(x), len(centers)))
+    for i in range(x.shape[1]):
+        diff = x[:, i, None] - centers[None, :, i]
+        dist = diff * diff if i == 0 else dist + diff * diff
+    return dist.argmin(axis=1)
+
+
+def _runs_of(batch: pa.RecordBatch, words: RunWords, runs: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    masks = [batch.column(c).to_numpy(zero_copy_only=False) for c in words.names("smask")]
+    for run in runs:
+        rows = np.flatnonzero(masks[run // words.bits] >> (run % words.bits) & 1)
+        if len(rows):
+            yield run, rows
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    x = batch.column("x")
+    return x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1)
+
+
+def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int = 1, steps: int = 125,
+                         fraction: float = 0.9, digits: int = 9, tol: float = 0.0,
+                         partitions: int = PARTITIONS) -> DataFrame:
     """points(point_id, x array<double>) -> assignments(run int, point_id, cluster int).
 
-    The result is written to the shared scratch folder and read back.  The
-    sampled points are persisted once (N rows plus a bigint of run bits per
-    63 runs) and
-    re-exploded into (run, point) rows inside every step, so the R-times
-    larger stacked table is never stored.  Between steps only the R * k
-    centers come back to the driver, as in MLlib's k-means.
-
-    ``steps`` is the number of update steps; with ``tol`` the loop also stops
-    once no center moved by more than ``tol`` (Euclidean), saving scans.  The
-    oracle runs the fixed-step form.
+    The sampled points (N rows plus a bigint of run bits per 63 runs) are
+    written once, in ``partitions`` parts by point id, and read by every step;
+    the R-times larger table of (run, point) rows is never stored.  Between
+    steps only the R * k centers come to the driver, as in MLlib's k-means.  A
+    run also ends when no center moves by more than ``tol`` (Euclidean); with
+    0 the result is that of all ``steps``.  The result is a written table.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
-    spark = points.sparkSession
-    d = dims or _dims(points)
     words = RunWords(runs)
-    xs = [F.col("x")[i].cast("double").alias(f"x{i}") for i in range(d)]
-    base = spread(points).select("point_id", *xs, *sample_masks(seed, "point_id", runs, fraction))
     sampled = None
     for c in words.names("smask"):
         sampled = (F.col(c) != 0) if sampled is None else sampled | (F.col(c) != 0)
-    base = base.where(sampled).persist(StorageLevel.MEMORY_AND_DISK)
-    xcols = [f"x{i}" for i in range(d)]
-
-    candidates = words.run_candidates("smask")
-
-    def stacked() -> DataFrame:
-        return (base.select("point_id", *xcols, F.explode(candidates).alias("run"))
-                .where(F.col("run").isNotNull()))
-
-    init_hash = F.md5(F.concat_ws(":", F.lit("init"), F.lit(str(seed)),
-                                  F.col("run").cast("string"), F.col("point_id").cast("string")))
-    # row_number() <= k is planned with a per-partition group limit before the
-    # shuffle, so only k rows per run and map task are exchanged.
-    w = Window.partitionBy("run").orderBy(init_hash, F.col("point_id"))
-    init = (stacked().withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-            .select("run", (F.col("rn") - 1).alias("cluster"), *xcols))
-    current = {(r["run"], r["cluster"]): [r[x] for x in xcols] for r in init.collect()}
-
-    nearest = _nearest(k, d, None)
-
-    def assign(cent: dict) -> DataFrame:
-        table = _centers_table(spark, cent, k, d)
-        return (stacked().join(F.broadcast(table), "run")
-                .select("run", "point_id", *xcols, nearest.alias("cluster")))
-
+    base = materialize(
+        points.select("point_id", F.col("x").cast("array<double>").alias("x"), *sample_masks(seed, "point_id", runs, fraction))
+        .where(sampled).repartition(partitions, "point_id"), "sampled-points")
+    centers = _start_centers(base, base.count(), k, runs, seed, words)
+
+    def sums(active: dict[int, np.ndarray]) -> DataFrame:
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = _matrix(batch)
+                out: dict[str, list] = {"run": [], "cluster": [], "dim": [], "n": [], "s": []}
+                for run, rows in _runs_of(batch, words, sorted(active)):
+                    of = _nearest(x[rows], active[run])
+                    for j in np.unique(of).tolist():
+                        own = x[rows[of == j]]
+                        d = own.shape[1]
+                        for name, values in zip(out, ([run] * d, [j] * d, range(d), [len(own)] * d, own.sum(axis=0).tolist())):
+                            out[name] += values
+                yield pa.RecordBatch.from_pydict({
+                    "run": pa.array(out["run"], pa.int32()), "cluster": pa.array(out["cluster"], pa.int32()),
+                    "dim": pa.array(out["dim"], pa.int32()), "n": pa.array(out["n"], pa.int64()),
+                    "s": pa.array(out["s"], pa.float64())})
+
+        return base.mapInArrow(step, "run int, cluster int, dim int, n long, s double").groupBy("run", "cluster", "dim").agg(
+            F.round(F.sum("s") / F.sum("n"), digits).alias("mean"))
+
+    active = dict(centers)
     for _ in range(steps):
-        means = assign(current).groupBy("run", "cluster").agg(
-            *[F.round(F.avg(x), digits).alias(x) for x in xcols])
-        # an empty cluster keeps its previous center
-        moved = {(r["run"], r["cluster"]): [r[x] for x in xcols] for r in means.collect()}
-        shift = max((sum((a - b) ** 2 for a, b in zip(v, current[key])) ** 0.5
-                     for key, v in moved.items()), default=0.0)
-        current.update(moved)
-        if tol is not None and shift <= tol:
+        if not active:
             break
-
-    out = assign(current).select(F.col("run").cast("int").alias("run"), "point_id",
-                                 F.col("cluster").cast("int").alias("cluster"))
-    out = materialize(out, "portable-assignments")
-    base.unpersist()
-    return out
+        new = {run: c.copy() for run, c in active.items()}       # an empty cluster keeps its previous center
+        for r in sums(active).collect():
+            new[r["run"]][r["cluster"], r["dim"]] = r["mean"]
+        centers.update(new)
+        active = {run: c for run, c in new.items() if np.sqrt(((c - active[run]) ** 2).sum(axis=1)).max() > tol}
+
+    kind = T.StructType([T.StructField("run", T.IntegerType()), base.schema["point_id"], T.StructField("cluster", T.IntegerType())])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch)
+            for run, rows in _runs_of(batch, words, sorted(centers)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(rows), run, np.int32)), batch.column("point_id").take(pa.array(rows)),
+                     pa.array(_nearest(x[rows], centers[run]).astype(np.int32))], ["run", "point_id", "cluster"])
+
+    return materialize(base.mapInArrow(assign, kind), "portable-assignments")

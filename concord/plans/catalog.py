@@ -20,10 +20,12 @@ from concord.operators import features as FT
 from concord.operators import importance as I
 from concord.operators import points as P
 from concord.operators import resample as RS
+from concord.operators.layout import fixed_layout
 from concord.operators.portable import portable_assignments
 from concord.plans import oracles as O
-from concord.plans.fixtures import PART, PURCHASE, PURCHASE_GROUP, SUPPLIER, USAGE_FEATURES, usage_table
-from concord.session import scratch_path
+from concord.plans.fixtures import (EMBEDDING, FIFTH, PARITY, PART, PURCHASE, PURCHASE_GROUP, REPEATED, SUPPLIER, THIRDS,
+                                    USAGE_FEATURES, usage_table)
+from concord.session import materialize, scratch_path
 from concord.sources import csv as CSV
 from concord.sources import libsvm as LIBSVM
 from concord.sources import models as MODELS
@@ -40,7 +42,6 @@ MAX_ITER_CONSENSUS = 125
 FIT_SEED = 1
 SAMPLE_SEED = 1
 FRACTION = 0.9
-PORTABLE_STEPS = 8
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -56,16 +57,21 @@ def query(name: str, oracle: str | None = None):
 
 
 def _portable(spark: SparkSession, sf_dir: str, ps=PART, k: int = K_CONSENSUS) -> tuple[DataFrame, DataFrame]:
-    pts = ps.load(spark, sf_dir)
-    asg = portable_assignments(pts, k=k, runs=RUNS, seed=SAMPLE_SEED, steps=PORTABLE_STEPS,
-                               fraction=FRACTION, dims=len(ps.features))
+    pts = materialize(ps.load(spark, sf_dir), "points")
+    asg = portable_assignments(pts, k=k, runs=RUNS, seed=SAMPLE_SEED, steps=MAX_ITER_CONSENSUS, fraction=FRACTION)
     return pts, asg
 
 
+def _histogram(spark: SparkSession, sf_dir: str, ps, mode: str) -> DataFrame:
+    pts, asg = _portable(spark, sf_dir, ps)
+    hist = cons.consensus_histogram(asg, pts.count(), K_CONSENSUS, RUNS, mode=mode)
+    return hist.select("bin", F.col("n").cast("bigint").alias("n"))
+
+
 # ------------------------------------------------------------ consensus (K)
 
 @query("consensus_assignments",
-       f"WITH {O.portable_sql(PART, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=PORTABLE_STEPS)}\n"
+       f"WITH RECURSIVE {O.portable_sql(PART, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=MAX_ITER_CONSENSUS)}\n"
        "SELECT run, point_id, cluster FROM asg")
 def consensus_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1 with the portable clusterer: all runs of part, one row per sampled point and run."""
@@ -73,22 +79,42 @@ def consensus_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("consensus_histogram_final",
-       O.histogram_final_sql(PART, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=PORTABLE_STEPS))
+       O.histogram_final_sql(PART, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=MAX_ITER_CONSENSUS))
 def consensus_histogram_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratios after all runs, over all N(N-1) ordered pairs of part."""
-    pts, asg = _portable(spark, sf_dir)
-    return cons.consensus_histogram(asg, pts.count(), K_CONSENSUS, RUNS, mode="final")
+    return _histogram(spark, sf_dir, PART, "final")
+
+
+@query("consensus_assignments_wide",
+       f"WITH RECURSIVE {O.portable_sql(EMBEDDING, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=MAX_ITER_CONSENSUS)}\n"
+       "SELECT run, point_id, cluster FROM asg")
+def consensus_assignments_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 on the embeddings (64 dimensions), portable clusterer."""
+    return _portable(spark, sf_dir, EMBEDDING)[1]
+
+
+@query("consensus_of_distinct_rows",
+       O.histogram_final_sql(REPEATED, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=MAX_ITER_CONSENSUS))
+def consensus_of_distinct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 + R5 into K1-K7: rows that repeat become one point each, then the consensus run."""
+    return _histogram(spark, sf_dir, REPEATED, "final")
 
 
 @query("consensus_histogram_cumulative",
-       O.histogram_cumulative_sql(SUPPLIER, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=PORTABLE_STEPS))
+       O.histogram_cumulative_sql(SUPPLIER, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=MAX_ITER_CONSENSUS))
 def consensus_histogram_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8: histogram re-binned after every run and summed (total R N(N-1)), suppliers."""
-    pts, asg = _portable(spark, sf_dir, SUPPLIER)
-    return cons.consensus_histogram(asg, pts.count(), K_CONSENSUS, RUNS, mode="cumulative")
+    return _histogram(spark, sf_dir, SUPPLIER, "cumulative")
+
 
+@query("consensus_histogram_cumulative_rows",
+       O.histogram_cumulative_sql(REPEATED, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=MAX_ITER_CONSENSUS))
+def consensus_histogram_cumulative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8 on the distinct customer rows."""
+    return _histogram(spark, sf_dir, REPEATED, "cumulative")
 
-@query("pair_cosample", f"""WITH {O.portable_sql(SUPPLIER, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=PORTABLE_STEPS)},
+
+@query("pair_cosample", f"""WITH RECURSIVE {O.portable_sql(SUPPLIER, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=MAX_ITER_CONSENSUS)},
 per AS (SELECT a.point_id, count(DISTINCT a.run) AS runs_sampled, count(b.point_id) AS cosampled_pairs
         FROM asg a LEFT JOIN asg b ON a.run = b.run AND a.point_id <> b.point_id GROUP BY 1)
 SELECT p.point_id, CAST(coalesce(runs_sampled, 0) AS BIGINT) AS runs_sampled,
@@ -101,7 +127,7 @@ def pair_cosample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cons.item_totals(asg, pts).select("point_id", "runs_sampled", "cosampled_pairs")
 
 
-@query("pair_cocluster", f"""WITH {O.portable_sql(SUPPLIER, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=PORTABLE_STEPS)},
+@query("pair_cocluster", f"""WITH RECURSIVE {O.portable_sql(SUPPLIER, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=MAX_ITER_CONSENSUS)},
 per AS (SELECT a.point_id, count(b.point_id) AS coclustered_pairs
         FROM asg a JOIN asg b ON a.run = b.run AND a.cluster = b.cluster AND a.point_id <> b.point_id GROUP BY 1)
 SELECT p.point_id, CAST(coalesce(coclustered_pairs, 0) AS BIGINT) AS coclustered_pairs
@@ -113,7 +139,7 @@ def pair_cocluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cons.item_totals(asg, pts).select("point_id", "coclustered_pairs")
 
 
-@query("pair_consensus", f"""WITH {O.portable_sql(SUPPLIER, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=PORTABLE_STEPS)},
+@query("pair_consensus", f"""WITH RECURSIVE {O.portable_sql(SUPPLIER, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=MAX_ITER_CONSENSUS)},
 per AS (SELECT a.point_id, count(*) AS s, sum(CASE WHEN a.cluster = b.cluster THEN 1 ELSE 0 END) AS c
         FROM asg a JOIN asg b ON a.run = b.run AND a.point_id <> b.point_id GROUP BY 1)
 SELECT p.point_id, CASE WHEN coalesce(s, 0) = 0 THEN 0.0 ELSE round(CAST(c AS DOUBLE) / s, 9) END AS consensus
@@ -125,17 +151,32 @@ def pair_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cons.item_totals(asg, pts).select("point_id", "consensus")
 
 
-@query("consensus_compare")
+def _compare(spark: SparkSession, sf_dir: str, ps, k: int) -> DataFrame:
+    pts = materialize(ps.load(spark, sf_dir), "points")
+    n = pts.count()
+    runs = cons.mllib_assignments_many(pts, list(C.ALGORITHMS), k, MAX_ITER_CONSENSUS, FIT_SEED, RUNS, SAMPLE_SEED, FRACTION)
+    both = cons.consensus_compare({alg: cons.consensus_histogram(asg, n, k, RUNS, mode="final") for alg, asg in runs.items()})
+    return both.select("bin", *[F.col(a).cast("bigint").alias(a) for a in C.ALGORITHMS])
+
+
+@query("consensus_compare", f"""WITH {O.sampled_sql(PARITY, RUNS, SAMPLE_SEED, FRACTION)},
+together AS (SELECT count(*) AS n FROM (SELECT DISTINCT a.point_id, b.point_id AS other FROM mem a JOIN mem b
+             ON a.run = b.run AND a.point_id <> b.point_id AND a.point_id % 2 = b.point_id % 2)),
+h AS (SELECT CAST(range AS INTEGER) AS bin, CAST(CASE range WHEN 9 THEN (SELECT n FROM together)
+      WHEN 0 THEN (SELECT count(*) * (count(*) - 1) FROM pts) - (SELECT n FROM together) ELSE 0 END AS BIGINT) AS n FROM range(10))
+SELECT bin, n AS kmeans, n AS bisecting, n AS gmm FROM h""")
 def consensus_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1 + K11 with MLlib: KMeans, bisecting k-means and Gaussian mixture, 20
-    subsample fits each (k=5, maxIter=125, seed 1), final histograms side by side."""
-    pts = PART.load(spark, sf_dir)
-    n = pts.count()
-    runs = cons.mllib_assignments_many(pts, list(C.ALGORITHMS), K_CONSENSUS, MAX_ITER_CONSENSUS, FIT_SEED,
-                                       RUNS, SAMPLE_SEED, FRACTION)
-    hists = {alg: cons.consensus_histogram(asg, n, K_CONSENSUS, RUNS, mode="final")
-             for alg, asg in runs.items()}
-    return cons.consensus_compare(hists)
+    subsample fits each (k=2, maxIter=125, seed 1), final histograms side by
+    side.  The parts lie in two far-apart groups: pairs of one group that were
+    ever sampled together are always together, all others never."""
+    return _compare(spark, sf_dir, PARITY, 2)
+
+
+@query("consensus_compare_part")
+def consensus_compare_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 + K11 with MLlib on the parts as they are (k=5)."""
+    return _compare(spark, sf_dir, PART, K_CONSENSUS)
 
 
 # ------------------------------------------------------------ sources (S)
@@ -396,15 +437,39 @@ def cluster_wcss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("gmm_loglik")
+_MIXTURE_SQL = f"""p AS (SELECT point_id, x0, CAST(point_id % 5 = 0 AS INTEGER) AS g FROM ({FIFTH.sql()})),
+st AS (SELECT g, count(*) AS n, avg(x0) AS m, var_pop(x0) AS v FROM p GROUP BY g),
+total AS (SELECT count(*) AS n FROM p)"""
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> C.Fit:
+    return C.fit(FIFTH.load(spark, sf_dir), "gmm", 2, 100, FIT_SEED)
+
+
+@query("gmm_loglik", f"""WITH {_MIXTURE_SQL}
+SELECT 2 AS k, round(sum(st.n * (ln(st.n / CAST(total.n AS DOUBLE)) - 0.5 * ln(2 * pi() * v) - 0.5)), 6) AS log_likelihood
+FROM st, total""")
 def gmm_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixture log-likelihood (k=3, maxIter=20, seed 1) on part."""
-    return C.gmm_loglik(C.fit(PART.load(spark, sf_dir), "gmm", 3, 20, FIT_SEED))
+    """Log-likelihood of a two-component mixture on two far-apart groups of
+    parts, where it has a closed form in the groups' sizes and variances."""
+    return C.gmm_loglik(_mixture(spark, sf_dir)).select("k", F.round("log_likelihood", 6).alias("log_likelihood"))
 
 
-@query("gmm_parameters")
+@query("gmm_parameters", f"""WITH {_MIXTURE_SQL}
+SELECT g AS component, 'weight' AS param, -1 AS i, -1 AS j, round(st.n / CAST(total.n AS DOUBLE), 6) AS value FROM st, total
+UNION ALL SELECT g, 'mean', 0, -1, round(m, 6) FROM st UNION ALL SELECT g, 'cov', 0, 0, round(v, 6) FROM st""")
 def gmm_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weight, mean and covariance of each component (k=3, maxIter=20) on part."""
+    """Weight, mean and covariance of each component (by mean) of the same mixture."""
+    f = _mixture(spark, sf_dir)
+    ids = C.canonical_ids(f)
+    p = C.gmm_parameters(f)
+    return p.join(F.broadcast(ids), p.component == ids.cluster).select(
+        F.col("rank").alias("component"), "param", "i", "j", F.round("value", 6).alias("value"))
+
+
+@query("gmm_parameters_part")
+def gmm_parameters_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8 on the parts as they are (k=3, maxIter=20)."""
     return C.gmm_parameters(C.fit(PART.load(spark, sf_dir), "gmm", 3, 20, FIT_SEED))
 
 
@@ -414,9 +479,28 @@ def assign_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.canonical_predictions(_purchase_fit(spark, sf_dir, "kmeans"), ["point_id"])
 
 
-@query("k_sweep")
+@query("k_sweep", f"""WITH q AS (SELECT point_id % 3 AS g3, CAST(point_id % 3 = 2 AS INTEGER) AS g2, x0 FROM ({THIRDS.sql()})),
+w AS (SELECT 3 AS k, sum(v) AS wcss FROM (SELECT count(*) * var_pop(x0) AS v FROM q GROUP BY g3)
+      UNION ALL SELECT 2, sum(v) FROM (SELECT count(*) * var_pop(x0) AS v FROM q GROUP BY g2)),
+{_MIXTURE_SQL},
+rows AS (SELECT a.algorithm, k, 'wcss' AS metric, wcss AS value FROM w, (VALUES ('kmeans'), ('bisecting')) a(algorithm)
+         UNION ALL SELECT 'gmm', 2, 'log_likelihood',
+           sum(st.n * (ln(st.n / CAST(total.n AS DOUBLE)) - 0.5 * ln(2 * pi() * v) - 0.5)) FROM st, total)
+SELECT algorithm, k, metric, round(value, 2) AS value,
+       round(value - lag(value) OVER (PARTITION BY algorithm ORDER BY k), 2) AS change FROM rows""")
 def k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k = 2..6 for the three algorithms on part, cost and its change per k."""
+    """k = 2, 3 for the k-means family on three groups of parts (at 0, 100
+    and 10000: the best two clusters merge the first two), and a mixture with
+    k = 2 on two groups; cost and its change per k."""
+    means = E.k_sweep(THIRDS.load(spark, sf_dir), [2, 3], ("kmeans", "bisecting"), max_iter=30, seed=FIT_SEED)
+    mixture = E.k_sweep(FIFTH.load(spark, sf_dir), [2], ("gmm",), max_iter=100, seed=FIT_SEED)
+    return means.unionByName(mixture).select("algorithm", "k", "metric", F.round("value", 2).alias("value"),
+                                             F.round("change", 2).alias("change"))
+
+
+@query("k_sweep_part")
+def k_sweep_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k = 2..6 for the three algorithms on the parts as they are."""
     return E.k_sweep(PART.load(spark, sf_dir), [2, 3, 4, 5, 6], C.ALGORITHMS, max_iter=30, seed=FIT_SEED)
 
 
@@ -446,13 +530,32 @@ def relabel_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _usage_labeled(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:
-    usage = FT.assemble(usage_table(spark, sf_dir), list(USAGE_FEATURES))
+    """Per-user usage with its k-means cluster as the label, written once: the events are read once."""
+    usage = FT.assemble(usage_table(spark, sf_dir), list(USAGE_FEATURES)).withColumnRenamed("user_id", "point_id")
     f = C.fit(usage, "kmeans", k, MAX_ITER_CONSENSUS, FIT_SEED)
-    return I.relabel(f.predictions, "prediction", "label", list(USAGE_FEATURES))
+    labeled = I.relabel(f.predictions, "prediction", "label", list(USAGE_FEATURES))
+    return fixed_layout(labeled.select("point_id", "features", "label"))
 
 
-@query("rf_importance")
+@query("rf_importance", """SELECT a.algorithm, f.* FROM (VALUES ('kmeans'), ('bisecting')) a(algorithm),
+(VALUES (0, 'shifted_size', 1.0::DOUBLE), (1, 'constant', 0.0::DOUBLE)) f(feature_idx, feature, importance)""")
 def rf_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I1 - I3 from both clusterers: clusters of two far-apart groups of parts
+    become classes; the forest (20 trees, depth 5, seed 5043) can only split on
+    the feature that separates them, so the importances are 1 and 0."""
+    pts = FT.assemble(PARITY.load(spark, sf_dir).select("point_id", F.col("x")[0].alias("shifted_size"), F.lit(3.0).alias("constant")),
+                      ["shifted_size", "constant"])
+    out = None
+    for alg in ("kmeans", "bisecting"):
+        labeled = I.relabel(C.fit(pts, alg, 2, MAX_ITER_CONSENSUS, FIT_SEED).predictions)
+        imp = I.rf_importance(labeled).select(F.lit(alg).alias("algorithm"), "feature_idx", "feature",
+                                              F.round("importance", 6).alias("importance"))
+        out = imp if out is None else out.unionByName(imp)
+    return out
+
+
+@query("rf_importance_usage")
+def rf_importance_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-user usage -> KMeans k=4 -> forest (20 trees, depth 5,
     seed 5043) -> named importances."""
     imp = I.rf_importance(_usage_labeled(spark, sf_dir))
@@ -474,15 +577,47 @@ def rf_importance_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imp.select("feature_idx", "feature", F.round("importance", 6).alias("importance"))
 
 
-@query("rf_holdout_score")
+def _uninformative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with constant features and a class that one part in five has: a forest can only say the majority."""
+    rows = read_table(spark, sf_dir, "part", ["p_partkey"]).select(
+        F.col("p_partkey").alias("point_id"), F.lit(1.0).alias("a"), F.lit(2.0).alias("b"),
+        (F.col("p_partkey") % 5 == 0).cast("double").alias("label"))
+    return FT.assemble(rows, ["a", "b"])
+
+
+@query("rf_holdout_score", """WITH s AS (SELECT CAST(p_partkey % 5 = 0 AS INTEGER) AS label,
+  substr(md5(concat_ws(':', 'split', '5043', CAST(p_partkey AS VARCHAR))), 1, 8) < 'cccccccc' AS is_train FROM part),
+major AS (SELECT label FROM s WHERE is_train GROUP BY label ORDER BY count(*) DESC LIMIT 1),
+acc AS (SELECT avg(CASE WHEN label = (SELECT label FROM major) THEN 1.0 ELSE 0.0 END) AS p FROM s WHERE NOT is_train)
+SELECT 'accuracy' AS metric, round(p, 6) AS value FROM acc UNION ALL SELECT 'f1', round(p * 2 * p / (1 + p), 6) FROM acc""")
 def rf_holdout_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I4: forest trained on a stable 80 % of users, accuracy and F1 on the rest."""
-    return I.rf_holdout_score(_usage_labeled(spark, sf_dir), "user_id")
+    """I4: forest trained on a stable 80 % of the rows, accuracy and weighted F1
+    on the rest; with constant features it predicts the training majority."""
+    return I.rf_holdout_score(_uninformative(spark, sf_dir), "point_id").select("metric", F.round("value", 6).alias("value"))
+
 
+@query("rf_holdout_score_usage")
+def rf_holdout_score_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4 on the clustered users."""
+    return I.rf_holdout_score(_usage_labeled(spark, sf_dir), "point_id")
 
-@query("rf_cross_validate")
+
+@query("rf_cross_validate", """WITH s AS (SELECT CAST(p_partkey % 5 = 0 AS INTEGER) AS label,
+  CAST(CAST('0x' || substr(md5(concat_ws(':', 'fold', '5043', CAST(p_partkey AS VARCHAR))), 1, 7) AS INTEGER) % 3 AS INTEGER) AS fold
+  FROM part),
+acc AS (SELECT f.fold, avg(CASE WHEN s.label = (SELECT label FROM s t WHERE t.fold <> f.fold GROUP BY label ORDER BY count(*) DESC LIMIT 1)
+               THEN 1.0 ELSE 0.0 END) AS p FROM (SELECT DISTINCT fold FROM s) f JOIN s ON s.fold = f.fold GROUP BY f.fold)
+SELECT d.max_depth, t.num_trees, (SELECT round(avg(p), 6) FROM acc) AS accuracy
+FROM (VALUES (3), (5)) d(max_depth), (VALUES (10), (20)) t(num_trees)""")
 def rf_cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I4: 3-fold cross-validation of the forest over depth {3, 5} x trees {10, 20}
-    on the clustered users; mean accuracy per grid point."""
-    cv = I.rf_cross_validate(_usage_labeled(spark, sf_dir))
+    """I4: 3-fold cross-validation of the forest over depth {3, 5} x trees {10, 20};
+    with constant features every grid point scores the majority's share of each fold."""
+    cv = I.rf_cross_validate(_uninformative(spark, sf_dir), "point_id")
+    return cv.select("max_depth", "num_trees", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("rf_cross_validate_usage")
+def rf_cross_validate_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4: the same grid on the clustered users."""
+    cv = I.rf_cross_validate(_usage_labeled(spark, sf_dir), "point_id")
     return cv.select("max_depth", "num_trees", F.round("accuracy", 6).alias("accuracy"))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.operators.points import keyed_points
 from concord.sources.tables import read_table
 
 
@@ -20,6 +21,7 @@ class PointSet:
     id_col: str
     features: tuple[str, ...]          # SQL expressions over the table's columns
     names: tuple[str, ...]             # feature names
+    array_col: str | None = None       # Spark reads the features from this array column instead
 
     def sql(self) -> str:
         cols = ", ".join(f"{e} AS x{i}" for i, e in enumerate(self.features))
@@ -28,6 +30,8 @@ class PointSet:
     def load(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """(point_id, x array<double>) with only the needed columns scanned."""
         df = read_table(spark, sf_dir, self.table)
+        if self.array_col:
+            return df.select(F.col(self.id_col).alias("point_id"), F.col(self.array_col).cast("array<double>").alias("x"))
         return df.select(F.col(self.id_col).alias("point_id"),
                          F.array(*[F.expr(e).cast("double") for e in self.features]).alias("x"))
 
@@ -48,6 +52,44 @@ SUPPLIER = PointSet("supplier", "s_suppkey",
                     ("CAST(s_nationkey AS DOUBLE) / 24", "(s_acctbal + 1000) / 11000"),
                     ("nation", "acctbal"))
 
+# Parts in far-apart groups, so that any clusterer's answer is known
+PARITY = PointSet("part", "p_partkey", ("CAST(p_size AS DOUBLE) / 50 + 1000 * CAST(p_partkey % 2 AS DOUBLE)",), ("shifted_size",))
+FIFTH = PointSet("part", "p_partkey", ("CAST(p_size AS DOUBLE) / 50 + 1000 * CAST(p_partkey % 5 = 0 AS DOUBLE)",), ("shifted_size",))
+THIRDS = PointSet("part", "p_partkey", ("CAST(p_size AS DOUBLE) / 50 + CASE WHEN p_partkey % 3 = 0 THEN 0.0 "
+                                        "WHEN p_partkey % 3 = 1 THEN 100.0 ELSE 10000.0 END",), ("shifted_size",))
+
+# F8: embeddings, 64 dimensions
+EMBEDDING = PointSet("embeddings", "vec_id", tuple(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(64)),
+                     tuple(f"e{i}" for i in range(64)), array_col="embedding")
+
+
+@dataclass(frozen=True)
+class DigestSet:
+    """Distinct rows of integer columns, each with its row digest as the id."""
+    table: str
+    columns: tuple[str, ...]           # SQL expressions (integers)
+    names: tuple[str, ...]
+
+    @property
+    def features(self) -> tuple[str, ...]:
+        return self.names
+
+    def sql(self) -> str:
+        json = " || ',' || ".join(f"'\"{n}\":' || {n}" for n in self.names)
+        raw = ", ".join(f"CAST({e} AS BIGINT) AS {n}" for e, n in zip(self.columns, self.names))
+        xs = ", ".join(f"CAST({n} AS DOUBLE) AS x{i}" for i, n in enumerate(self.names))
+        return f"SELECT sha256('{{' || {json} || '}}') AS point_id, {xs} FROM (SELECT DISTINCT {raw} FROM {self.table})"
+
+    def load(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = read_table(spark, sf_dir, self.table).select(
+            *[F.expr(e).cast("bigint").alias(n) for e, n in zip(self.columns, self.names)])
+        return keyed_points(df, list(self.names)).select(
+            "point_id", F.array(*[F.col(n).cast("double") for n in self.names]).alias("x"))
+
+
+# Customers as (nation, remainder of the key): rows repeat
+REPEATED = DigestSet("customer", ("c_nationkey", "c_custkey % 40"), ("nation", "group40"))
+
 # events, two far-apart groups (purchases are shifted by 1000)
 PURCHASE = PointSet("events", "event_id",
                     ("value / 100 + 1000 * CAST(event_type = 'purchase' AS DOUBLE)",),

@@ -27,40 +27,42 @@ def sampled_sql(ps: PointSet, runs: int, seed: int = 1, fraction: float = 0.9) -
             f"        WHERE {in_sample_sql(seed, 'r.run', 'p.point_id', fraction)})")
 
 
-def portable_sql(ps: PointSet, k: int, runs: int = 20, seed: int = 1, steps: int = 8,
+def portable_sql(ps: PointSet, k: int, runs: int = 20, seed: int = 1, steps: int = 125,
                  fraction: float = 0.9, digits: int = 9) -> str:
-    """CTE chain ending in asg(run, point_id, cluster): the portable clusterer, unrolled."""
+    """CTE chain (for WITH RECURSIVE) ending in asg(run, point_id, cluster): the portable
+    clusterer, one recursion a step until no center moves or ``steps`` are done."""
     d = len(ps.features)
     xs = [f"x{i}" for i in range(d)]
-    ctes = [sampled_sql(ps, runs, seed, fraction)]
-    ctes.append(
-        "c0 AS (SELECT run, CAST(rn - 1 AS INTEGER) AS cluster, " + ", ".join(xs) + " FROM (\n"
-        "  SELECT run, point_id, " + ", ".join(xs) + ", row_number() OVER (PARTITION BY run ORDER BY "
-        f"md5(concat_ws(':', 'init', '{seed}', CAST(run AS VARCHAR), CAST(point_id AS VARCHAR))), point_id) AS rn\n"
-        f"  FROM mem) WHERE rn <= {k})")
+    cols = ", ".join(xs)
     dist = " + ".join(f"(m.{x} - c.{x}) * (m.{x} - c.{x})" for x in xs)
 
-    def assign(t: int) -> str:
-        return (f"a{t} AS (SELECT run, point_id, cluster, " + ", ".join(xs) + " FROM (\n"
+    def assign(centers: str) -> str:
+        return (f"SELECT run, point_id, cluster, {cols} FROM (\n"
                 f"  SELECT m.run, m.point_id, c.cluster, " + ", ".join(f"m.{x}" for x in xs) + ",\n"
                 f"    row_number() OVER (PARTITION BY m.run, m.point_id ORDER BY {dist}, c.cluster) AS rk\n"
-                f"  FROM mem m JOIN c{t} c ON m.run = c.run) WHERE rk = 1)")
+                f"  FROM mem m JOIN {centers} c ON m.run = c.run) WHERE rk = 1")
 
-    for t in range(steps):
-        ctes.append(assign(t))
-        means = ", ".join(f"round(avg({x}), {digits}) AS {x}" for x in xs)
-        keep = ", ".join(f"coalesce(n.{x}, o.{x}) AS {x}" for x in xs)
-        ctes.append(f"c{t + 1} AS (SELECT o.run, o.cluster, {keep} FROM c{t} o LEFT JOIN\n"
-                    f"  (SELECT run, cluster, {means} FROM a{t} GROUP BY run, cluster) n\n"
-                    f"  ON o.run = n.run AND o.cluster = n.cluster)")
-    ctes.append(assign(steps))
-    ctes.append(f"asg AS (SELECT run, point_id, cluster FROM a{steps})")
-    return ",\n".join(ctes)
+    means = ", ".join(f"round(avg({x}), {digits}) AS {x}" for x in xs)
+    keep = ", ".join(f"coalesce(n.{x}, o.{x}) AS {x}" for x in xs)
+    moved = " OR ".join(f"n.{x} <> o.{x}" for x in xs)
+    return ",\n".join([
+        sampled_sql(ps, runs, seed, fraction),
+        f"c0 AS (SELECT run, CAST(rn - 1 AS INTEGER) AS cluster, {cols} FROM (\n"
+        f"  SELECT run, point_id, {cols}, row_number() OVER (PARTITION BY run ORDER BY "
+        f"md5(concat_ws(':', 'init', '{seed}', CAST(run AS VARCHAR), CAST(point_id AS VARCHAR))), point_id) AS rn\n"
+        f"  FROM mem) WHERE rn <= {k})",
+        f"rc AS (SELECT 0 AS t, run, cluster, {cols}, 1 AS moved FROM c0\n"
+        f"  UNION ALL SELECT o.t + 1, o.run, o.cluster, {keep},\n"
+        f"    max(CASE WHEN n.run IS NOT NULL AND ({moved}) THEN 1 ELSE 0 END) OVER () AS moved\n"
+        f"  FROM rc o LEFT JOIN (SELECT run, cluster, {means} FROM ({assign('rc')}) GROUP BY run, cluster) n\n"
+        f"    ON o.run = n.run AND o.cluster = n.cluster WHERE o.t < {steps} AND o.moved = 1)",
+        "cz AS (SELECT * FROM rc WHERE t = (SELECT max(t) FROM rc))",
+        f"asg AS (SELECT run, point_id, cluster FROM ({assign('cz')}))"])
 
 
 def histogram_final_sql(ps: PointSet, k: int, runs: int, **kw) -> str:
     """Explicit ordered point pairs; pairs never co-sampled are counted by difference."""
-    return f"""WITH {portable_sql(ps, k, runs, **kw)},
+    return f"""WITH RECURSIVE {portable_sql(ps, k, runs, **kw)},
 npts AS (SELECT count(*) AS n FROM pts),
 pairs AS (SELECT a.point_id AS pa, b.point_id AS pb, count(*) AS s,
                  sum(CASE WHEN a.cluster = b.cluster THEN 1 ELSE 0 END) AS c
@@ -76,7 +78,7 @@ FROM bins LEFT JOIN binned ON bins.bin = binned.bin"""
 def histogram_cumulative_sql(ps: PointSet, k: int, runs: int, **kw) -> str:
     """Per pair, running (c, s) after each co-sampled run, weighted by how many
     prefixes keep that state; everything else is bin 0."""
-    return f"""WITH {portable_sql(ps, k, runs, **kw)},
+    return f"""WITH RECURSIVE {portable_sql(ps, k, runs, **kw)},
 npts AS (SELECT count(*) AS n FROM pts),
 pr AS (SELECT a.point_id AS pa, b.point_id AS pb, a.run,
               CASE WHEN a.cluster = b.cluster THEN 1 ELSE 0 END AS same

@@ -8,36 +8,50 @@ master is local do we create one under the machine's temp folder.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "concord") -> SparkSession:
-    """A session configured the way the library expects (AQE on, UI off, UTC)."""
+    """The running session, or a new one set up the way the library expects.
+
+    What the caller's environment has set already (an active session,
+    spark-submit's master and configuration) is left alone; only unset values
+    get a default.  No scratch folder is made here."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
+    conf = SparkConf()
     cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or int(cpus)
-    builder = (
-        SparkSession.builder.master(master)
-        .appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("CONCORD_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.scheduler.mode", "FAIR")
-    )
-    spark = builder.getOrCreate()
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ        # spark-submit started this process
+    wanted = {
+        "spark.app.name": app,
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.scheduler.mode": "FAIR",
+    }
+    if not submitted:
+        wanted |= {"spark.master": f"local[{cpus}]", "spark.sql.shuffle.partitions": cpus,
+                   "spark.driver.memory": os.environ.get("CONCORD_DRIVER_MEMORY", "16g")}
+    wanted = {k: v for k, v in wanted.items() if not conf.contains(k)}
+    if master:
+        wanted["spark.master"] = master
+    if shuffle_partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    spark = SparkSession.builder.config(map=wanted).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    scratch_dir(spark)
     return spark
 
 
@@ -60,13 +74,31 @@ def scratch_dir(spark: SparkSession) -> str:
                 "spark.checkpoint.dir is not set: name a shared folder for "
                 "intermediate tables (a machine-local folder is not safe on a cluster)")
         configured = tempfile.mkdtemp(prefix="concord-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path under the shared scratch folder."""
-    return os.path.join(scratch_dir(spark), f"{tag}-{uuid.uuid4().hex}")
+    path = os.path.join(scratch_dir(spark), f"{tag}-{uuid.uuid4().hex}")
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete every scratch table this process has written, on whatever file
+    system the folder is; returns how many.  Call it when the results that read
+    them have been used or written: they cannot be read afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -3,7 +3,9 @@
 A CSV scan without a schema gives every column as string named ``_c0...``
 and no ``features`` column; reading with an explicit schema (and FAILFAST)
 gives typed columns and stops on malformed rows instead of turning them into
-nulls.
+nulls.  With a header the names are checked against the schema as well
+(``enforceSchema=false``): columns in another order or under other names raise
+instead of being read into the wrong column.
 """
 
 from __future__ import annotations
@@ -19,4 +21,4 @@ def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
 def read_csv_typed(spark: SparkSession, path: str, schema: StructType | str,
                    header: bool = True, mode: str = "FAILFAST") -> DataFrame:
     return (spark.read.schema(schema).option("header", str(header).lower())
-            .option("mode", mode).csv(path))
+            .option("enforceSchema", str(not header).lower()).option("mode", mode).csv(path))

@@ -22,8 +22,8 @@ def _hist(spark, n_points, mode, **kw):
     return {b: n for b, n in got.items() if n}
 
 
-LAYOUTS = [{}, {"block_rows": 1, "min_blocks": 3}, {"engine": "sql"},
-           {"engine": "sql", "block_rows": 1, "min_blocks": 3}]
+LAYOUTS = [{}, {"block_rows": 1}, {"engine": "sql"}, {"engine": "sql", "block_rows": 1},
+           {"block_rows": 1, "skip_tiles": False}]
 
 
 @pytest.mark.parametrize("kw", LAYOUTS)

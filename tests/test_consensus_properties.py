@@ -57,11 +57,10 @@ def assignments(draw):
 
 @settings(max_examples=14, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(assignments(), st.sampled_from(["final", "cumulative"]), st.sampled_from(["numpy", "sql"]),
-       st.sampled_from([63, 2, 3]))
-def test_matches_brute_force(spark, case, mode, engine, word_bits):
+       st.sampled_from([63, 2, 3]), st.booleans())
+def test_matches_brute_force(spark, case, mode, engine, word_bits, skip):
     n, runs, k, rows = case
-    got = spark_hist(spark, rows, n, k, runs, mode, engine=engine, block_rows=2, min_blocks=2,
-                     word_bits=word_bits)
+    got = spark_hist(spark, rows, n, k, runs, mode, engine=engine, block_rows=2, word_bits=word_bits, skip_tiles=skip)
     assert got == brute_force(rows, n, runs, mode)
     assert sum(got) == n * (n - 1) * (runs if mode == "cumulative" else 1)
 
@@ -100,10 +99,44 @@ def test_cumulative_is_sum_of_final_over_prefixes(spark):
     assert cum == [sum(col) for col in zip(*parts)]
 
 
-def test_refuses_counts_beyond_bigint(spark):
-    df = spark.createDataFrame([(0, 1, 0)], "run int, point_id bigint, cluster int")
-    with pytest.raises(ValueError):
-        cons.consensus_histogram(df, 4_000_000_000, 2, 1)
+def test_counts_beyond_bigint(spark):
+    n = 40_000_000_000
+    assert spark_hist(spark, [(0, 1, 0), (0, 2, 0)], n, 2, 1, "final") == [n * (n - 1) - 2] + [0] * 8 + [2]
+
+
+def test_kernel_counts_weights_beyond_bigint():
+    import pandas as pd
+    from concord.functions.masks import RunWords
+
+    w = 5_000_000_000
+    cols = {"t": [0, 0], "sid": [1, 1], "w": [w, w], "smask_0": [1, 1], "m0_0": [1, 1], "m1_0": [0, 0], "side": [0, 1]}
+    out = cons._tile_kernel(2, RunWords(1), "final")(pd.DataFrame(cols))
+    assert [int(x) for x in out["n"]] == [0] * 9 + [w * (w - 1)]
+
+
+@pytest.mark.parametrize("rows,n,what", [
+    ([(0, 1, 5), (0, 2, 5)], 3, "out of range"), ([(0, 1, -1)], 3, "out of range"), ([(7, 1, 0)], 3, "out of range"),
+    ([(0, 1, None)], 3, "out of range"), ([(0, None, 0)], 3, "out of range"),
+    ([(0, 1, 0), (0, 1, 1)], 3, "repeat"), ([(0, 1, 0), (0, 1, 0)], 3, "repeat"),
+    ([(0, 1, 0), (0, 2, 0), (0, 3, 1)], 2, "n_points")])
+def test_wrong_assignments_raise(spark, rows, n, what):
+    df = spark.createDataFrame(rows, "run int, point_id bigint, cluster int")
+    with pytest.raises(ValueError, match=what):
+        cons.consensus_histogram(df, n, 2, 2)
+
+
+def test_tiles_without_common_clusters_are_skipped(spark):
+    rows = [(r, p, p % 2) for r in range(3) for p in range(12) if (p * 7 + r) % 5]
+    df = spark.createDataFrame(rows, "run int, point_id bigint, cluster int")
+    cols = cons.mask_columns(2, cons.RunWords(3))
+    sigs = cons.signatures(df, 2, 3).withColumn("sid", cons.F.monotonically_increasing_id())
+    m = sigs.count()
+    nb = -(-m // 2)
+    blocked = cons._blocked(sigs, cols, nb)
+    kept, every = (cons._tile_list(blocked, cols, nb, s).count() for s in (True, False))
+    assert kept < every
+    tiles = cons._tiles(blocked, cols, m, nb, False)
+    assert tiles.groupBy("sid").count().agg(cons.F.max("count")).head()[0] <= nb + 1
 
 
 @pytest.mark.parametrize("engine", ["numpy", "sql"])

@@ -50,7 +50,7 @@ def test_portable_matches_duckdb_and_layout(spark, duck):
     b = portable_assignments(pts.repartition(3), k=3, runs=5, steps=4)
     got = sorted(tuple(r) for r in a.collect())
     assert got == sorted(tuple(r) for r in b.collect())
-    want = sorted(duck.execute(f"WITH {O.portable_sql(SUPPLIER, 3, 5, steps=4)} SELECT * FROM asg").fetchall())
+    want = sorted(duck.execute(f"WITH RECURSIVE {O.portable_sql(SUPPLIER, 3, 5, steps=4)} SELECT * FROM asg").fetchall())
     assert got == want
 
 

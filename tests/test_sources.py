@@ -67,3 +67,39 @@ def test_pruned_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<p_partkey:bigint,p_size:int>" in plan
     assert "PushedFilters: [IsNotNull(p_size), GreaterThan(p_size,10)]" in plan
+
+
+def test_csv_header_in_another_order_raises(spark, tmp_path):
+    import pytest
+
+    from concord.sources.csv import read_csv_typed
+    (tmp_path / "t.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv_typed(spark, str(tmp_path / "t.csv"), "a int, b int").collect()
+    (tmp_path / "u.csv").write_text("a,b\n1,2\n")
+    assert [tuple(r) for r in read_csv_typed(spark, str(tmp_path / "u.csv"), "a int, b int").collect()] == [(1, 2)]
+
+
+def test_keyed_points_checks_the_key(spark):
+    import pytest
+
+    from concord.operators.points import keyed_points
+    df = spark.createDataFrame([(1, 5, None), (1, 5, None), (2, 6, 1.0)], "id int, a int, b double")
+    assert sorted(map(tuple, keyed_points(df, ["a", "b"], "id").collect())) == [(1, 5, None), (2, 6, 1.0)]
+    assert keyed_points(df, ["id"], "id").count() == 2
+    with pytest.raises(Exception, match="stands for different rows"):
+        keyed_points(df.union(df.withColumn("a", df.a + 1)), ["a", "b"], "id").collect()
+
+
+def test_session_is_left_alone_and_scratch_is_cleared(spark):
+    import os
+
+    from concord import session
+    assert session.get_spark() is spark
+    mark = len(session._made)
+    df = session.materialize(spark.range(3), "scratch-test")
+    path = session._made[-1]
+    assert df.count() == 3
+    kept, session._made[:] = session._made[:mark], [path]
+    assert session.clear_scratch(spark) == 1 and not os.path.exists(path.removeprefix("file:"))
+    session._made[:] = kept
