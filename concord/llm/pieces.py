@@ -23,9 +23,11 @@ from __future__ import annotations
 import heapq
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
@@ -33,8 +35,8 @@ from concord.llm.common import text_udf
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CACHE = 200_000          # chunks kept in a worker
-STEP_CHARS = 1 << 16     # code points in one vectorised pass
+CACHE = 240_000          # chunks kept in a worker
+STEP_CHARS = 1 << 15     # code points in one vectorised pass
 _CHUNK = re.compile(r"\x20*[^\x20\n]+|\n|\x20+")
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _NONE = -np.inf
@@ -60,29 +62,54 @@ class Pieces:
         self.longest = max(map(len, self.names))
         self.spelling = {i: p.replace(BLANK, " ").encode() for p, i in self.names.items()}
         self.spelling |= {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
-        keys = np.array([self._key(np.array([list(map(ord, p))], np.uint32))[-1][0, -1] for p in self.names], np.uint64)
+        keys = np.array([self._key(np.array([[ord(x)] for x in p], np.uint32))[-1][-1, 0] for p in self.names], np.uint64)
         order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], np.array(list(self.names.values()), np.int32)[order]
-        self.key_scores = np.array([self.scores[i] for i in self.key_ids.tolist()])
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(keys >> np.uint64(44)).astype(np.int64)] = True
-        self.cache: dict[str, tuple[bytes, float, float]] = {}
+        # a last entry stands for "no piece"
+        self.keys = np.append(keys[order], np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.key_ids = np.append(np.array(list(self.names.values()), np.int32)[order], np.int32(-1))
+        self.key_scores = np.array([self.scores[i] for i in self.key_ids[:-1].tolist()] + [_NONE])
+        # by a key's top bits: where its slot begins among the keys, or the last entry
+        slots, first, count = np.unique(keys[order] >> np.uint64(44), return_index=True, return_counts=True)
+        self.slots = np.full(1 << 20, len(keys), np.int32)
+        self.slots[slots.astype(np.int64)] = first
+        self.slot_most = int(count.max())
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the cache: number of each known chunk, and by number its pieces
+        (``count`` of them in ``flat`` from ``start``), score and loss (how much the second choice scores less)."""
+        self.cache: dict[str, int] = {}
+        self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.score, self.loss = np.zeros(0), np.zeros(0)
+
+    def best(self, chunk: str) -> tuple[list[int], float, float]:
+        """(pieces, score, loss) of a known chunk."""
+        k = self.cache[chunk]
+        return self.flat[self.start[k]: self.start[k] + self.count[k]].tolist(), float(self.score[k]), float(self.loss[k])
 
     @staticmethod
     def _key(c: np.ndarray, longest: int | None = None) -> list[np.ndarray]:
-        """Keys of the substrings of 1, 2, ... code points that end at each place of each row."""
+        """Keys of the substrings of 1, 2, ... code points that end at each place (first axis) of each text."""
         h = np.zeros(c.shape, np.uint64)
+        c = c.astype(np.uint64) + np.uint64(1)
         out, power = [], 1
-        for n in range(1, (longest or c.shape[1]) + 1):
-            h[:, n - 1:] += (c[:, : c.shape[1] - n + 1].astype(np.uint64) + np.uint64(1)) * np.uint64(power)
+        for n in range(1, (longest or len(c)) + 1):
+            h[n - 1:] += c[: len(c) - n + 1] * np.uint64(power)
             power = power * int(_P) % (1 << 64)
-            x = (h ^ np.uint64(n)) * _M
+            x = (h[n - 1:] ^ np.uint64(n)) * _M
             out.append((x ^ (x >> np.uint64(31))) * _P)
         return out
 
-    @staticmethod
-    def _points(chunk: str) -> list[int]:
-        return [0x2581 if c == " " else 0x110000 if c == BLANK else ord(c) for c in chunk]
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Index of each key among the pieces' keys, or of the last entry."""
+        at = self.slots[(key >> np.uint64(44)).astype(np.int64)]
+        rows, cols = np.nonzero(at < len(self.keys) - 1)
+        k, a = key[rows, cols], at[rows, cols]
+        for _ in range(self.slot_most - 1):
+            a += self.keys[a] < k
+        a[self.keys[a] != k] = len(self.keys) - 1
+        at[rows, cols] = a
+        return at
 
     # ------------------------------------------------------------- one lattice
     def nbest_chunk(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
@@ -113,111 +140,109 @@ class Pieces:
 
     # ----------------------------------------------------- many lattices at once
     def _learn(self, chunks: list[str]) -> None:
-        chunks = sorted(chunks, key=lambda c: (-len(c), c))
-        lo = 0
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        order = np.argsort(-sizes, kind="stable")
+        lo, new = 0, []
         while lo < len(chunks):
-            step = max(1, STEP_CHARS // len(chunks[lo]))
-            self._forward(chunks[lo: lo + step])
-            lo += step
-
-    def _forward(self, chunks: list[str]) -> None:
-        """Viterbi over chunks (longest first) side by side; fills the cache with each
-        chunk's pieces, score, and how much its second choice scores less."""
-        n, size = len(chunks), np.array([len(c) for c in chunks])
+            part = order[lo: lo + max(1, STEP_CHARS // int(sizes[order[lo]]))]
+            names = [chunks[k] for k in part.tolist()]
+            self.cache.update(zip(names, range(len(self.start) + lo, len(self.start) + lo + len(names))))
+            new.append(self._forward(names, sizes[part]))
+            lo += len(part)
+        if new:
+            flat, count, score, loss = (np.concatenate(x) for x in zip(*new))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
+            self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
+            self.score, self.loss = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
+
+    def _forward(self, chunks: list[str], size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Viterbi over chunks (longest first) side by side -> (pieces of all chunks,
+        pieces of each, score of each, how much its second choice scores less)."""
+        n = len(chunks)
         width, span = int(size[0]), min(self.longest, int(size[0]))
-        c = np.zeros((n, width), np.uint32)
-        for k, chunk in enumerate(chunks):
-            c[k, : size[k]] = self._points(chunk)
-        score = np.full((n, width, span), _NONE)
-        ids = np.full((n, width, span), -1, np.int32)
-        for m, key in enumerate(self._key(c, span)):
-            rows, cols = np.nonzero(self.sieve[(key >> np.uint64(44)).astype(np.int64)])
-            k = key[rows, cols]
-            at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-            real = (self.keys[at] == k) & (cols >= m)
-            score[rows[real], cols[real], m], ids[rows[real], cols[real], m] = self.key_scores[at[real]], self.key_ids[at[real]]
-        unknown = score[:, :, 0] == _NONE
-        score[:, :, 0][unknown] = self.unknown
-        best = np.full((n, span + width + 1), _NONE)          # node j at column span + j
-        best[:, span] = 0.0
-        back = np.zeros((n, width), np.int32)
-        loss = np.zeros((n, width))
+        text = "".join([x.ljust(width, "\0") for x in chunks])
+        c = np.ascontiguousarray(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width).T).copy()
+        own = c == ord(BLANK)
+        c[c == 32] = ord(BLANK)
+        c[own] = 0x110000                                      # a U+2581 of the text is no blank
+        found = [self._find(key) for key in self._key(c, span)]     # by length - 1: [last place - length + 1, chunk]
+        best = np.full((width + 1, n), _NONE)
+        best[0] = 0.0
+        back = np.zeros((width, n), np.int32)
+        loss = np.zeros((width, n))
         for j in range(width):
-            m = int(np.searchsorted(-size, -j, side="left"))   # rows longer than j
-            total = best[:m, j + 1: span + j + 1][:, ::-1] + score[:m, j]
-            pick = total.argmax(axis=1)
-            back[:m, j] = pick
-            top = total[np.arange(m), pick]
-            best[:m, span + j + 1] = top
-            total[np.arange(m), pick] = _NONE
-            loss[:m, j] = top - total.max(axis=1, initial=_NONE)
+            m = int(np.searchsorted(-size, -j, side="left"))   # chunks longer than j
+            score = self.key_scores[found[0][j, :m]]
+            top = best[j, :m] + np.where(score == _NONE, self.unknown, score)
+            second, pick = np.full(m, _NONE), np.zeros(m, np.int32)
+            for back_by in range(1, min(j + 1, span)):
+                total = best[j - back_by, :m] + self.key_scores[found[back_by][j - back_by, :m]]
+                better = total > top
+                second = np.maximum(second, np.minimum(total, top))
+                pick[better] = back_by
+                top = np.maximum(top, total)
+            best[j + 1, :m], back[j, :m], loss[j, :m] = top, pick, top - second
         # walk back along all best paths together
         node, least = size.copy(), np.full(n, np.inf)
-        steps = []
-        live = np.arange(n)
+        steps, live = [], np.arange(n)
+        none = len(self.keys) - 1
         while len(live):
             j = node[live] - 1
-            least[live] = np.minimum(least[live], loss[live, j])
-            steps.append((live, ids[live, j, back[live, j]], j))
-            node[live] = j - back[live, j]
+            least[live] = np.minimum(least[live], loss[j, live])
+            by = back[j, live]
+            at = np.full(len(live), none, np.int64)
+            for k in np.unique(by).tolist():
+                of = by == k
+                at[of] = found[k][j[of] - k, live[of]]
+            # an unknown character is noted as minus its code point
+            steps.append((live, j, np.where(at == none, -1 - c[j, live].astype(np.int64), self.key_ids[at])))
+            node[live] = j - by
             live = live[node[live] > 0]
-        row = np.concatenate([s[0] for s in steps])
-        piece = np.concatenate([s[1] for s in steps])
-        order = np.lexsort((np.concatenate([s[2] for s in steps]), row))
-        row, piece = row[order], piece[order].astype("<i4")
-        ends = np.searchsorted(row, np.arange(n + 1))
-        raw, missing = piece.tobytes(), set(row[piece < 0].tolist())
-        total = best[np.arange(n), span + size].tolist()
-        for k, (chunk, a, b, s, d) in enumerate(zip(chunks, ends.tolist(), ends[1:].tolist(), total, least.tolist())):
-            if k in missing:                                   # spell unknown characters in bytes
-                spelt, at = [], 0
-                for i in piece[a:b].tolist():
-                    if i < 0:
-                        spelt += [self.byte_ids[x] for x in chunk[at].encode("utf-8", "surrogatepass")]
-                        at += 1
-                    else:
-                        spelt.append(i)
-                        at += len(self.spelling[i].decode())
-                self.cache[chunk] = (np.array(spelt, "<i4").tobytes(), s, d)
-            else:
-                self.cache[chunk] = (raw[4 * a: 4 * b], s, d)
-
-    def chunks(self, texts: list[str]) -> list[list[str]]:
-        """Chunks of each text; all are in the cache afterwards."""
+        row, place, piece = (np.concatenate(x) for x in zip(*steps))
+        order = np.argsort(row * (width + 1) + place, kind="stable")
+        row, piece = row[order], piece[order]
+        odd = np.flatnonzero(piece < 0)
+        if len(odd):                                           # spelt in bytes
+            spelt = [[self.byte_ids[b] for b in (BLANK if x == 0x110000 else chr(x)).encode("utf-8", "surrogatepass")]
+                     for x in (-1 - piece[odd]).tolist()]
+            times = np.ones(len(piece), np.int64)
+            times[odd] = [len(x) for x in spelt]
+            row, piece = np.repeat(row, times), np.repeat(piece, times)
+            piece[piece < 0] = [b for x in spelt for b in x]
+        return piece.astype(np.int32), np.bincount(row, minlength=n), best[size, np.arange(n)], least
+
+    def encode_batch(self, texts: list[str], n: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """(ids of all texts, offset of each, score of each, n best of each as
+        [(score, [(chunk number, ids)] that differ from the best)])."""
         out = [_CHUNK.findall(" " + t) if t else [] for t in texts]
-        fresh = {c for one in out for c in one}
-        if len(self.cache) + len(fresh) > CACHE:
-            self.cache.clear()
+        seen = set().union(*out)
+        if len(self.cache) + len(seen) > CACHE and self.cache:
+            self._forget()
             nbest_of.cache_clear()
-        self._learn([c for c in fresh if c not in self.cache])
-        return out
-
-    def encode(self, texts: list[str], n: int = 1) -> list[tuple[bytes, float, list[tuple[float, list]]]]:
-        """(ids as int32 bytes, score, n best as (score, [(chunk number, ids)] that differ)) of each text."""
-        out, cache = [], self.cache
-        for chunks in self.chunks(texts):
-            known = [cache[c] for c in chunks]
-            score = sum(k[1] for k in known)
-            out.append((b"".join([k[0] for k in known]), score, self._nbest(chunks, score, n)))
-        return out
-
-    def _nbest(self, chunks: list[str], score: float, n: int) -> list[tuple[float, list]]:
+        self._learn([c for c in seen if c not in self.cache])
+        sizes = [len(x) for x in out]
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        number = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(out)), np.int64, int(ends[-1]))
+        count = self.count[number]
+        after = np.concatenate([[0], np.cumsum(count)])
+        ids = self.flat[np.repeat(self.start[number] - after[:-1], count) + np.arange(after[-1])]
+        score = np.bincount(np.repeat(np.arange(len(texts)), sizes), weights=self.score[number], minlength=len(texts))
+        loss = self.loss[number]
+        nbest = [self._nbest(chunks, loss[a:b], s, n) for chunks, a, b, s in zip(out, ends.tolist(), ends[1:].tolist(), score.tolist())]
+        return ids, after[ends], score, nbest
+
+    def encode(self, texts: list[str], n: int = 1) -> list[tuple[list[int], float, list[tuple[float, list]]]]:
+        """(ids, score, n best) of each text, as ``encode_batch``."""
+        ids, ends, score, nbest = self.encode_batch(texts, n)
+        return [(ids[a:b].tolist(), s, x) for a, b, s, x in zip(ends.tolist(), ends[1:].tolist(), score.tolist(), nbest)]
+
+    def _nbest(self, chunks: list[str], losses: np.ndarray, score: float, n: int) -> list[tuple[float, list]]:
         """The n best segmentations of a chain of chunks; ties: fewest changes, then the earliest chunks."""
-        if n <= 1:
+        if n <= 1 or not chunks:
             return [(score, [])]
-        cache = self.cache
         # only the n - 1 chunks whose second choice costs least can differ from the best segmentation
-        near = heapq.nsmallest(n - 1, [(cache[c][2], c) for c in set(chunks) if cache[c][2] < np.inf])
-        spots: list[int] = []
-        for _, c in near:
-            at = -1
-            while len(spots) < n - 1:
-                try:
-                    at = chunks.index(c, at + 1)
-                except ValueError:
-                    break
-                spots.append(at)
-        options = [nbest_of(self, chunks[s], n) for s in spots]
+        spots = [k for k in np.argsort(losses, kind="stable")[: n - 1].tolist() if losses[k] < np.inf]
+        options = [nbest_of(self, chunks[k], n) for k in spots]
         start = (0,) * len(spots)
         heap, seen, out = [(0.0, 0, start)], {start}, []
         while heap and len(out) < n:
@@ -237,7 +262,7 @@ class Pieces:
         return b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=20_000)
 def nbest_of(pieces: Pieces, chunk: str, n: int) -> list[tuple[float, list[int]]]:
     return pieces.nbest_chunk(chunk, n)
 
@@ -266,14 +291,11 @@ def encode(docs: DataFrame, n: int = 4, model: str = MODEL, column: str = "encod
     proto = read_model(model)
 
     def step(texts: pa.Array) -> pa.Array:
-        rows = load(proto).encode([t or "" for t in texts.to_pylist()], n)
-        flat = np.frombuffer(b"".join([r[0] for r in rows]), "<i4")
-        ends = np.concatenate([[0], np.cumsum([len(r[0]) // 4 for r in rows])]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        nbest = pa.array([[{"score": s, "changes": [{"chunk": k, "ids": i} for k, i in ch]} for s, ch in r[2]] for r in rows],
+        flat, ends, score, rows = load(proto).encode_batch([t or "" for t in texts.to_pylist()], n)
+        ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+        nbest = pa.array([[{"score": s, "changes": [{"chunk": k, "ids": i} for k, i in ch]} for s, ch in r] for r in rows],
                          pa.list_(pa.struct([("score", pa.float64()), ("changes", _CHANGES)])))
-        return pa.StructArray.from_arrays([ids, pa.array([r[1] for r in rows], pa.float64()), nbest],
-                                          ["ids", "score", "nbest"])
+        return pa.StructArray.from_arrays([ids, pa.array(score), nbest], ["ids", "score", "nbest"])
 
     return docs.withColumn(column, text_udf(step, ENCODED)("text"))
 
@@ -286,7 +308,9 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL, column: str
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        p = load(proto)
-        return pa.array([p.decode(i.as_py() or []) for i in column], pa.string())
+        p, column = load(proto), column.fill_null([])
+        ids = column.flatten().to_numpy(zero_copy_only=False).tolist()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).tolist()
+        return pa.array([p.decode(ids[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
 
     return encoded.withColumn(column, run(ids))

@@ -1,4 +1,3 @@
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +49,7 @@ def test_run_equals_plain_code(spark, docs):
     for r in got:
         assert p.decode(r["ids"]) == want[r["doc_id"]]
         (raw, score, _), = p.encode([want[r["doc_id"]]])
-        assert r["score"] == score and r["ids"] == np.frombuffer(raw, "<i4").tolist() and r["n_pieces"] == len(r["ids"])
+        assert r["score"] == score and r["ids"] == raw and r["n_pieces"] == len(r["ids"])
 
 
 def test_stages_keep_columns_and_take_odd_rows(spark, docs):
