@@ -86,9 +86,18 @@ def signature_column(text: Column) -> Column:
 
 
 
+def _set_column(text: Column) -> Column:
+    """The different shingle hashes of a text, as bytes."""
+    def step(texts: pa.Array) -> pa.Array:
+        hashes, offsets = shingles([t or "" for t in texts.to_pylist()])
+        return pa.array([np.unique(hashes[a:b]).astype("<u4").tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())
+
+    return text_udf(step, "binary")(text)
+
+
 # ------------------------------------------------------------------ neighbours
 ROW = ("doc_id bigint, row_key bigint, n_chars bigint, edited_sha256 string, fingerprint binary, "
-       "edited_fingerprint binary, near_edited double, near_next double, shingle_set binary")
+       "edited_fingerprint binary, near_edited double, near_next double, class_id bigint")
 
 
 def edited(text: str, following: str) -> str:
@@ -100,12 +109,12 @@ def edited(text: str, following: str) -> str:
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by range and descending doc_id (notes first, the next range's first row last)
     -> fingerprints of each text, of its edited text, and likeness to the next."""
-    wanted: set[int] = set()
+    classes: dict[int, int] = {}
     held: dict | None = None                                    # the last row waits for its successor
     for batch in batches:
         kind = batch.column("kind")
-        for note in batch.filter(pa.compute.equal(kind, -1)).column("wanted").to_pylist():
-            wanted |= set(note)
+        for note in batch.filter(pa.compute.equal(kind, -1)).column("classes").to_pylist():
+            classes.update((x["row_key"], x["class_id"]) for x in note)
         rows = batch.filter(pa.compute.not_equal(kind, -1))
         at = 0
         for texts in pieces(rows.column("text")):
@@ -114,12 +123,12 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = part.select(["part", "kind", "doc_id", "row_key", "text"]).to_pylist()
             if held is not None:
                 own.insert(0, held)
-            yield _fingerprint(own, wanted)
+            yield _fingerprint(own, classes)
             held = own[-1]
     # a range ends with a row of the next one, so the row left over is such a row
 
 
-def _fingerprint(rows: list[dict], wanted: set[int]) -> pa.RecordBatch:
+def _fingerprint(rows: list[dict], classes: dict[int, int]) -> pa.RecordBatch:
     """Result rows of all but the last of ``rows``, and none for rows that only stand for a next one."""
     texts = [r["text"] for r in rows]
     hashes, offsets = shingles(texts)
@@ -137,17 +146,17 @@ def _fingerprint(rows: list[dict], wanted: set[int]) -> pa.RecordBatch:
         "edited_fingerprint": pa.array([s.astype(">u2").tobytes() for s in other], pa.binary()),
         "near_edited": pa.array(likeness(sig[keep], other), pa.float64()),
         "near_next": pa.array(likeness(sig[keep], sig[nxt]), pa.float64()),
-        "shingle_set": pa.array([np.unique(hashes[offsets[k]: offsets[k + 1]]).astype("<u4").tobytes()
-                                 if rows[k]["row_key"] in wanted else None for k in keep], pa.binary())})
+        "class_id": pa.array([classes.get(rows[k]["row_key"], rows[k]["doc_id"]) for k in keep], pa.int64())})
 
 
-def fingerprint_rows(docs: DataFrame, wanted: DataFrame | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def fingerprint_rows(docs: DataFrame, classes: DataFrame | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """docs(doc_id, row_key, text not null) -> rows of ``ROW``, one for each.
 
     The next document is the one before it in ascending doc_id (ties: by row
     key, null ids before all others), after the smallest the largest.  Texts
     are shuffled once, by ranges of doc_id; each range gets a copy of the first
-    row of the next.  ``wanted`` (doc_id, row_key): rows to return the shingle set of."""
+    row of the next.  ``classes`` (doc_id, row_key, class_id): class of the rows
+    whose class is not their own id; they travel to the range as one note."""
     facts = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.max("doc_id").alias("top")).head()
     n = max(1, -(-(facts["n"] or 0) // range_bytes))
     cuts = range_cuts(docs.select("doc_id"), n)
@@ -162,15 +171,15 @@ def fingerprint_rows(docs: DataFrame, wanted: DataFrame | None = None, range_byt
         return pa.array([([p + 1] if i in ends else []) + ([0] if i == facts["top"] else []) for i, p in zip(known, part)],
                         pa.list_(pa.int32()))
 
-    nothing = F.lit(None).cast("array<bigint>").alias("wanted")
+    nothing = F.lit(None).cast("array<struct<row_key: bigint, class_id: bigint>>").alias("classes")
     cols = ["doc_id", "row_key", "text"]
     stream = docs.select(part_of("doc_id").alias("part"), F.lit(0).alias("kind"), *cols, nothing)
     extra = docs.select(F.explode(copies_to("doc_id")).alias("part"), F.lit(1).alias("kind"), *cols, nothing)
     stream = stream.union(extra)
-    if wanted is not None:
-        notes = wanted.groupBy(part_of("doc_id").alias("part")).agg(F.collect_set("row_key").alias("wanted"))
+    if classes is not None:
+        notes = classes.groupBy(part_of("doc_id").alias("part")).agg(F.collect_set(F.struct("row_key", "class_id")).alias("classes"))
         stream = stream.union(notes.select("part", F.lit(-1).alias("kind"), F.lit(None).cast("bigint").alias("doc_id"),
-                                           F.lit(None).cast("bigint").alias("row_key"), F.lit(None).cast("string").alias("text"), "wanted"))
+                                           F.lit(None).cast("bigint").alias("row_key"), F.lit(None).cast("string").alias("text"), "classes"))
     # notes of a range come first, then its rows, then the row that follows
     order = stream.repartition(n, "part").sortWithinPartitions(
         "part", "kind", F.col("doc_id").desc_nulls_last(), "row_key")
@@ -233,9 +242,11 @@ def band_buckets(reps: DataFrame) -> DataFrame:
     bands = reps.select("node", F.explode(F.array(*[F.struct(
         F.lit(k).alias("band"), F.substring("sig", k * width + 1, width).alias("key")) for k in range(BANDS)])).alias("b")) \
         .select("node", F.xxhash64("b.band", "b.key").alias("key"))
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"),
-                                       F.bit_xor(F.xxhash64("node", F.lit(3))).alias("mark")).where("n > 1")
-    return bands.join(buckets, "key").select(F.xxhash64("mark", "n", "leader").alias("bucket"), "leader", "n", "node").distinct()
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
+    found = bands.join(buckets, "key")
+    mark = materialize(found, "bands")
+    same = mark.groupBy("key").agg(F.bit_xor(F.xxhash64("node", F.lit(3))).alias("mark"))
+    return mark.join(same, "key").select(F.xxhash64("mark", "n", "leader").alias("bucket"), "leader", "n", "node").distinct()
 
 
 def near_classes(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -272,21 +283,20 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     doc_id counts as smaller than all; repeated rows stay."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")) \
         .withColumn("row_key", F.xxhash64("doc_id", "text"))
-    own = materialize(rows.select("doc_id", "row_key", F.md5(F.col("text").cast("binary")).alias("digest"),
-                                  signature_column(F.col("text")).alias("sig")), "signatures")
-    # one node for each different text: the smallest row key
-    reps = materialize(own.groupBy("digest").agg(F.min(F.struct("row_key", "doc_id", "sig")).alias("r"), F.min("doc_id").alias("first"))
-                       .select("digest", "first", F.col("r.row_key").alias("node"), F.col("r.doc_id").alias("node_doc"),
-                               F.col("r.sig").alias("sig")), "texts")
-    members = materialize(band_buckets(reps.select("node", "sig")), "band-buckets")
-    wanted = members.select("node").distinct().join(reps, "node").select(F.col("node_doc").alias("doc_id"), F.col("node").alias("row_key"))
-    done = materialize(fingerprint_rows(rows, wanted), "fingerprints")
-    sets = materialize(done.where("shingle_set is not null").select(F.col("row_key").alias("node"), "shingle_set")
-                       .dropDuplicates(["node"]), "shingle-sets")
-    named = reps.select("digest", "node", "first").join(near_classes(members, sets), "node", "left") \
-        .withColumn("component", F.coalesce("component", "node"))
+    # a node is a different text, named by its 64-bit hash
+    own = materialize(rows.select("doc_id", "row_key", F.xxhash64("text").alias("node"), signature_column(F.col("text")).alias("sig")),
+                      "signatures")
+    texts = materialize(own.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("first")), "texts")
+    members = materialize(band_buckets(own.groupBy("node").agg(F.first("sig").alias("sig"))), "band-buckets")
+    # written first, so that a small list is broadcast and the texts are not shuffled for it
+    wanted = materialize(members.select("node").distinct().join(texts, "node").select("row_key"), "compared-texts")
+    sets = materialize(rows.join(wanted, "row_key", "left_semi").select(
+        F.xxhash64("text").alias("node"), _set_column(F.col("text")).alias("shingle_set")).dropDuplicates(["node"]), "shingle-sets")
+    named = texts.join(near_classes(members, sets), "node", "left").withColumn("component", F.coalesce("component", "node"))
     class_id = named.groupBy("component").agg(F.min("first").alias("class_id"))
-    label = own.select("row_key", "digest").distinct().join(named, "digest").join(class_id, "component").select("row_key", "class_id")
+    labels = materialize(own.select("doc_id", "row_key", "node").distinct().join(named.select("node", "component"), "node")
+                         .join(class_id, "component").where(~F.col("class_id").eqNullSafe(F.col("doc_id")))
+                         .select("doc_id", "row_key", "class_id"), "classes")
     text = lambda c: F.lower(F.hex(c)).alias(c)                                                 # noqa: E731
-    return done.join(label, "row_key").select(
+    return fingerprint_rows(rows, labels).select(
         "doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next", "class_id")
