@@ -35,7 +35,7 @@ from concord.llm.common import text_udf
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CACHE = 240_000          # chunks kept in a worker
+CACHE = 150_000          # chunks kept in a worker
 STEP_CHARS = 1 << 15     # code points in one vectorised pass
 _CHUNK = re.compile(r"\x20*[^\x20\n]+|\n|\x20+")
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -309,8 +309,8 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL, column: str
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
         p, column = load(proto), column.fill_null([])
-        ids = column.flatten().to_numpy(zero_copy_only=False).tolist()
+        ids = column.flatten().to_numpy(zero_copy_only=False)
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).tolist()
-        return pa.array([p.decode(ids[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
+        return pa.array([p.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
 
     return encoded.withColumn(column, run(ids))
