@@ -1,18 +1,26 @@
 """Benchmark decontamination by q-gram filtering and banded alignment.
 
-Benchmark items are cut into needles of 80 to 159 characters (a shorter item is
-one needle), after folding: lower case, every run of other characters than
-letters and digits one space.  A needle of m characters is found in a text if
-some region of the text is within k = floor(m * edit_rate) edits of it.
+Benchmark items are folded: lower case, every run of other characters than
+letters and digits one space.  Needles of two kinds lie over an item: windows
+of 80 characters every 16, always one at the end (a shorter item is one
+needle), and disjoint tiles of 80 to 159 characters, which take edits that
+crowd in one place of an item.  A needle of m characters is found in a text if
+some region of the text is within k = floor(m * edit_rate) edits of it.  A
+window ends at most 8 characters, its budget, off any 80 characters of an item:
+every verbatim passage of 80 folded characters is found, one of 95 characters
+holds a whole window.
 
 Filter (q-gram lemma): such a region shares at least m - q + 1 - k q of the
 needle's q-grams, and on diagonals (place in text minus place in needle) that
 spread by k at most.  Shared q-grams are counted in bands of 2 (k + 1)
 diagonals that overlap by half, so one band holds them all; bands below the
-bound are dropped.  Verification: a banded alignment of the needle (both ends
-free in the text) in each kept band, for all bands of a piece of text at once.
+bound are dropped, first by item (with its least bound and widest band), then
+by needle.  Verification: a banded alignment of the needle (both ends free in
+the text) in each kept band, for all bands of a piece of text at once.  Regions
+of an item that overlap on about one diagonal are one region, whose edits are
+the distance to the part of the item that its needles cover.
 
-The needles are the query set: they are collected in blocks of bounded size
+The items are the query set: they are collected in blocks of bounded size
 and every block's index travels to the tasks; the texts are never shuffled.
 """
 
@@ -30,6 +38,7 @@ from concord.llm.common import text_udf
 Q = 8
 EDIT_RATE = 0.1
 NEEDLE = 80
+STRIDE = 16              # at most twice the budget of a window: see above
 MIN_NEEDLE = 24          # folded characters; a shorter item says too little to be a leak
 BLOCK_BYTES = 4 << 20    # benchmark text in one block
 _FILTER_BITS = 20
@@ -76,48 +85,74 @@ def gram_hashes(points: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Needles:
-    """Index of one block of needles."""
-    item: np.ndarray            # item_id of each needle
-    points: np.ndarray          # [needles, longest] padded with 0
+    """Index of one block of items and their needles."""
+    joined: np.ndarray          # folded code points of all items, then zeros for the longest needle
+    owner: np.ndarray           # of each place, the number of its item
+    begin: np.ndarray           # of each item, its first place
+    reach: np.ndarray           # of each item, the largest budget of its needles
+    least: np.ndarray           # and their least bound
+    item: np.ndarray            # item_id of each needle: windows by place, then tiles by place
+    start: np.ndarray           # place of its first character
     length: np.ndarray
     budget: np.ndarray          # edits allowed
     bound: np.ndarray           # q-grams that a region within the budget must share
+    windows: int                # how many needles are windows
     grams: np.ndarray           # sorted different hashes
     first: np.ndarray           # of each, first posting; one more at the end
-    needle: np.ndarray          # postings
-    at: np.ndarray
+    at: np.ndarray              # postings: places
     sieve: np.ndarray           # by the hash's top bits: may be a gram
 
+    @property
+    def points(self) -> np.ndarray:
+        """[needles, longest] code points (what follows a shorter needle is not part of it)."""
+        return self.joined[self.start[:, None] + np.arange(self.length.max())[None, :]]
+
 
 def index(items: list[tuple[int, str]], edit_rate: float = EDIT_RATE) -> Needles | None:
-    """Cut items into needles and index their q-grams; None if there is no needle."""
-    cut = []
+    """Lay needles over items and index the items' q-grams; None if there is no needle."""
     folded, _, first = fold([t for _, t in items])
+    ids, parts = [], []
     for k, (item, _) in enumerate(items):
         points = folded[first[k]: first[k + 1]]
         points = points[: len(points) - 1] if len(points) and points[-1] == 32 else points
-        if len(points) < MIN_NEEDLE:
-            continue
-        n = max(1, len(points) // NEEDLE)
-        cut += [(item, p) for p in np.array_split(points, n)]
-    if not cut:
+        if len(points) >= MIN_NEEDLE:
+            ids.append(item)
+            parts.append(points)
+    if not parts:
         return None
-    length = np.array([len(p) for _, p in cut], np.int64)
-    padded = np.zeros((len(cut), length.max()), np.uint32)
-    for k, (_, p) in enumerate(cut):
-        padded[k, : len(p)] = p
+    sizes = np.array([len(p) for p in parts], np.int64)
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+    windows, tiles = [], []                                       # (item, first place, length)
+    for k, n in enumerate(sizes.tolist()):
+        last = max(n - NEEDLE, 0)
+        windows += [(k, begin[k] + s, min(n, NEEDLE)) for s in sorted({*range(0, last, STRIDE), last})]
+        if n > NEEDLE:
+            m = n // NEEDLE
+            cuts = np.cumsum([0] + [n // m + (j < n % m) for j in range(m)]).tolist()
+            tiles += [(k, begin[k] + lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])]
+    of, start, length = np.array(windows + tiles, np.int64).T
     # no more edits than leave one shared q-gram certain
     budget = np.minimum((length * edit_rate).astype(np.int64), (length - Q) // Q)
-    hashes = [gram_hashes(p) for _, p in cut]
-    of = np.repeat(np.arange(len(cut)), [len(h) for h in hashes])
-    at = np.concatenate([np.arange(len(h)) for h in hashes])
-    h = np.concatenate(hashes)
-    order = np.argsort(h, kind="stable")
-    grams, starts = np.unique(h[order], return_index=True)
+    bound = length - Q + 1 - budget * Q
+    reach, least = np.zeros(len(parts), np.int64), np.full(len(parts), np.iinfo(np.int64).max)
+    np.maximum.at(reach, of, budget)
+    np.minimum.at(least, of, bound)
+    points = np.concatenate(parts)
+    h = gram_hashes(points)
+    at = np.flatnonzero(owner[: len(h)] == owner[Q - 1:])
+    at = at[np.argsort(h[at], kind="stable")]
+    grams, starts = np.unique(h[at], return_index=True)
     sieve = np.zeros(1 << _FILTER_BITS, bool)
     sieve[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Needles(np.array([i for i, _ in cut], np.int64), padded, length, budget,
-                   length - Q + 1 - budget * Q, grams, np.append(starts, len(h)), of[order], at[order], sieve)
+    return Needles(np.append(points, np.zeros(length.max(), np.uint32)), owner, begin, reach, least,
+                   np.array(ids, np.int64)[of], start, length, budget, bound, len(windows),
+                   grams, np.append(starts, len(at)), at, sieve)
+
+
+def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo[0], lo[0] + 1, ... (n[0] numbers), then lo[1], ..."""
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
 def candidates(points: np.ndarray, first: np.ndarray, nd: Needles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,69 +170,146 @@ def candidates(points: np.ndarray, first: np.ndarray, nd: Needles) -> tuple[np.n
     if not len(spots):
         return none, none, none
     n = nd.first[g + 1] - nd.first[g]
-    post = np.repeat(nd.first[g] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    needle, spots, text = nd.needle[post], np.repeat(spots, n), np.repeat(text, n)
-    step = nd.budget[needle] + 1
-    diagonal = spots - nd.at[post] + nd.points.shape[1]            # not negative
-    band = diagonal // step
-    top = len(points) + 2 * nd.points.shape[1] + 2
-    key = (needle * top + band) * len(first) + text
-    found, count = np.unique(np.concatenate([key, key - len(first)]), return_counts=True)   # band and the one below
-    text, rest = found % len(first), found // len(first)
+    at, spots, text = nd.at[_spread(nd.first[g], n)], np.repeat(spots, n), np.repeat(text, n)
+    shift, texts = len(nd.joined), len(first)
+    top = len(points) + shift + 2
+    diagonal = spots - at + shift                                 # not negative
+    # by item: what any of its needles shares with a region is in one of these bands
+    owner = nd.owner[at].astype(np.int64)
+    key = (owner * top + diagonal // (nd.reach[owner] + 1)) * texts + text
+    found, band, count = np.unique(key, return_inverse=True, return_counts=True)
+    def beside(k: int) -> np.ndarray:
+        near = np.minimum(np.searchsorted(found, found + k * texts), len(found) - 1)
+        return np.where(found[near] == found + k * texts, count[near], 0)
+    good = (count + np.maximum(beside(1), beside(-1)) >= nd.least[found // texts // top])[band]
+    at, text, diagonal, owner = at[good], text[good], diagonal[good], owner[good]
+    if not len(at):
+        return none, none, none
+    # by needle: the windows that hold the q-gram, and the tile if one does
+    starts, tiles = nd.start[: nd.windows], nd.start[nd.windows:]
+    lo = np.searchsorted(starts, np.maximum(at + Q - NEEDLE, nd.begin[owner]))
+    n = np.searchsorted(starts, at, side="right") - lo
+    needle, hit = _spread(lo, n), np.repeat(np.arange(len(at)), n)
+    if len(tiles):
+        tile = np.maximum(np.searchsorted(tiles, at, side="right") - 1, 0) + nd.windows
+        holds = np.flatnonzero((nd.start[tile] <= at) & (at + Q <= nd.start[tile] + nd.length[tile]))
+        needle, hit = np.append(needle, tile[holds]), np.append(hit, holds)
+    band = diagonal[hit] // (nd.budget[needle] + 1)
+    key = (needle * top + band) * texts + text[hit]
+    found, count = np.unique(np.concatenate([key, key - texts]), return_counts=True)   # band and the one below
+    text, rest = found % texts, found // texts
     needle, band = rest // top, rest % top
-    good = (count >= nd.bound[needle]) & (needle < len(nd.item))
+    good = (needle >= 0) & (needle < len(nd.item))
+    good[good] = count[good] >= nd.bound[needle[good]]
     text, needle, band = text[good], needle[good], band[good]
-    return text, needle, band * (nd.budget[needle] + 1) - nd.points.shape[1]
+    return text, needle, band * (nd.budget[needle] + 1) - shift + nd.start[needle]
 
 
 def align(points: np.ndarray, first: np.ndarray, nd: Needles, text: np.ndarray, needle: np.ndarray,
           diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(edits, start, end) of the needle's best alignment in each band: all of the
-    needle, any region of the text, diagonals from ``diagonal`` to + 2 (budget + 1) - 1."""
+    needle, any region of the text, diagonals from ``diagonal`` to + 2 (budget + 1) - 1.
+    Over the budget the edits may be given as 2^20."""
     width = 2 * (nd.budget[needle] + 1)
-    w = np.arange(width.max())
-    big = np.int64(1) << 20                                       # cost * big + start: fewest edits, then first start
+    w = np.arange(width.max(), dtype=np.int16)
+    # cost * big + first diagonal: fewest edits, then first start; needles of at most 159 characters keep it small
+    big, dead, far = np.int16(64), np.int16(1 << 14), 1 << 8
+    longest = int(nd.length[needle].max())
+    here = np.append(points, 0).take(diagonal[:, None] + np.arange(longest + len(w))[None, :], mode="clip")
+    wanted = nd.joined.take(nd.start[needle][:, None] + np.arange(longest)[None, :], mode="clip")
+    # the needle's i-th character meets the text on a diagonal if lo <= i < hi
     start = diagonal[:, None] + w[None, :]
-    lo, hi = first[text][:, None], first[text + 1][:, None]
-    dead = np.int64(1) << 40
-    state = np.where((w[None, :] < width[:, None]) & (start >= lo) & (start <= hi), w[None, :], dead)
-    padded = np.append(points, 0)
+    lo = np.clip(first[text][:, None] - start, 0, far).astype(np.int16)
+    hi = np.where(w[None, :] < width[:, None], np.clip(first[text + 1][:, None] - start, -1, far), -1).astype(np.int16)
+    state = np.where((lo <= 0) & (hi >= 0), w[None, :], dead)
     slide = big * w[None, :]
-    for i in range(int(nd.length[needle].max())):
-        here = start + i                                          # text place that the needle's i-th character meets
-        ok = (here >= lo) & (here < hi)
-        same = padded[np.clip(here, 0, len(points))] == nd.points[needle, i][:, None]
-        new = np.where(ok, state + np.where(same, 0, big), dead)
+    edits, at, end = (np.full(len(needle), x, np.int64) for x in (1 << 20, 0, 0))
+    row, length, most = np.arange(len(needle)), nd.length[needle], (nd.budget[needle] + 1) * int(big)
+    ends = set(length.tolist())
+    for i in range(longest + 1):
+        if i in ends:
+            done = np.flatnonzero(length == i)
+            best = state[done].argmin(axis=1)
+            value = state[done, best].astype(np.int64)
+            r = row[done[value < dead]]
+            edits[r], at[r], end[r] = (x[value < dead] for x in (value // big, value % big, best))
+        if i in ends or i % 8 == 0:                               # the fewest edits of a row never fall
+            go = (length > i) & (state.min(axis=1) < most)
+            if not go.all():
+                row, length, most, state, here, wanted, lo, hi = (
+                    x[go] for x in (row, length, most, state, here, wanted, lo, hi))
+            if not len(row):
+                break
+        alive = i < hi
+        new = np.where(here[:, i: i + len(w)] == wanted[:, i][:, None], state, state + big)
+        new = np.where(alive & (lo <= i), new, dead)
         new[:, :-1] = np.minimum(new[:, :-1], state[:, 1:] + big)  # needle character left out
         # extra text characters: one edit for each step to the right
         new = np.minimum(np.minimum.accumulate(new - slide, axis=1) + slide, dead)
-        new = np.where((w[None, :] < width[:, None]) & (here + 1 <= hi), new, dead)
-        state = np.where((i < nd.length[needle])[:, None], new, state)
-    best = state.argmin(axis=1)
-    value = state[np.arange(len(best)), best]
-    edits = np.where(value >= dead, 1 << 20, value // big)
-    return edits, diagonal + value % big, diagonal + best + nd.length[needle]
+        state = np.where(alive, new, dead)
+    return edits, diagonal + at, diagonal + end + nd.length[needle]
+
+
+def distance(a: np.ndarray, b: np.ndarray, guess: int = 8) -> int:
+    """Edits between two arrays of code points: diagonals within a limit, doubled until it holds the answer."""
+    k = max(guess, abs(len(a) - len(b)), 1)
+    while True:
+        w = np.arange(-k, k + 1)                                  # place in b minus place in a
+        row = np.where(w >= 0, w, 1 << 30)
+        padded = np.append(b, 0)
+        for i in range(len(a)):
+            j = i + w
+            ok = (j >= 0) & (j < len(b))
+            new = np.where(ok, row + (padded[np.where(ok, j, len(b))] != a[i]), 1 << 30)
+            new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+            new = np.where((j >= -1) & (j < len(b)), np.minimum.accumulate(new - w) + w, 1 << 30)
+            row = new
+        edits = int(row[len(b) - len(a) + k])
+        if edits <= k or k >= max(len(a), len(b)):
+            return edits
+        k *= 2
 
 
 def find_leaks(texts: list[str], nd: Needles) -> list[list[dict]]:
     """Regions (item_id, start, end, edits) of each text, in code points, by start."""
     points, place, first = fold(texts)
-    out: list[list[dict]] = [[] for _ in texts]
     text, needle, diagonal = candidates(points, first, nd)
+    order = np.argsort(nd.length[needle], kind="stable")
+    text, needle, diagonal = text[order], needle[order], diagonal[order]
+    met = []
     for lo in range(0, len(text), 4096):                          # bounds the alignment's arrays
         part = slice(lo, lo + 4096)
         edits, start, end = align(points, first, nd, text[part], needle[part], diagonal[part])
-        for t, n, e, s, f in zip(text[part], needle[part], edits, start, end):
-            if e <= nd.budget[n] and f > s:
-                out[t].append({"item_id": int(nd.item[n]), "start": int(place[s]), "end": int(place[f - 1]) + 1,
-                               "edits": int(e)})
-    for k, rows in enumerate(out):                                # overlapping bands find a region twice
-        kept: list[dict] = []
-        for r in sorted(rows, key=lambda r: (r["item_id"], r["edits"], r["start"], r["end"])):
-            if not any(x["item_id"] == r["item_id"] and x["start"] < r["end"] and r["start"] < x["end"] for x in kept):
-                kept.append(r)
-        out[k] = sorted(kept, key=lambda r: (r["start"], r["item_id"]))
-    return out
+        good = (edits <= nd.budget[needle[part]]) & (end > start)
+        met.append(np.stack([text[part], nd.owner[nd.start[needle[part]]], start, end, needle[part], edits])[:, good])
+    rows = np.concatenate(met, axis=1).T.tolist() if met else []
+    # chains of regions: [text, item, start, end, first and last place of the item, its diagonal, most edits, all on one diagonal]
+    chains: list[list] = []
+    open_: list[list] = []
+    for t, o, s, f, n, e in sorted(rows):
+        lo = int(nd.start[n])
+        hi, slope = lo + int(nd.length[n]), s - lo
+        open_ = [c for c in open_ if c[0] == t and c[1] == o and c[3] > s]
+        near = [c for c in open_ if abs(c[6] - slope) <= nd.reach[o]]
+        if near:
+            c = min(near, key=lambda c: abs(c[6] - slope))
+            c[3], c[4], c[5] = max(c[3], f), min(c[4], lo), max(c[5], hi)
+            c[7], c[8], c[6] = max(c[7], e), c[8] and c[6] == slope, slope
+        else:
+            open_.append([t, o, s, f, lo, hi, slope, e, True])
+            chains.append(open_[-1])
+    out: list[list[dict]] = [[] for _ in texts]
+    kept: list[list] = []
+    for c in sorted(chains, key=lambda c: (c[0], c[1], c[2] - c[3])):   # an item's self-likeness shows inside longer regions
+        kept = [x for x in kept if x[0] == c[0] and x[1] == c[1]]
+        if any(x[2] <= c[2] and c[3] <= x[3] for x in kept):
+            continue
+        kept.append(c)
+        t, o, s, f, lo, hi, _, most, straight = c
+        edits = 0 if straight and not most else distance(nd.joined[lo:hi], points[s:f], most)
+        out[t].append({"item_id": int(nd.item[np.searchsorted(nd.start[: nd.windows], nd.begin[o])]),
+                       "start": int(place[s]), "end": int(place[f - 1]) + 1, "edits": edits})
+    return [sorted(r, key=lambda r: (r["start"], r["item_id"])) for r in out]
 
 
 def benchmark_blocks(benchmark: DataFrame) -> list[Needles]:

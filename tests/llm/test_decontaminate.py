@@ -63,6 +63,30 @@ def test_places_and_folding():
     assert text[found[1][0]["start"]: found[1][-1]["end"]].lower().split() == item.split()
 
 
+def test_finds_verbatim_middle_parts():
+    rng = random.Random(7)
+    for size in (110, 150, 200, 239):                 # one tile, one, two, two
+        item = _text(rng, 60)[:size - 1] + "z"
+        nd = D.index([(3, item)])
+        cuts = [(n, start) for n in {80, 95, size * 4 // 5} for start in range(0, size - n + 1, 7)]
+        found = D.find_leaks(["xyzzy plugh frotz", *("xyzzy plugh " + item[a: a + n] + " frotz" for n, a in cuts)], nd)
+        assert not found[0]
+        for (n, _), rows in zip(cuts, found[1:]):
+            (r,) = rows
+            assert r["item_id"] == 3 and r["start"] < 12 + 16 and r["end"] > 12 + n - 16    # it stands from 12 on
+
+
+def test_regions_of_one_passage_are_one_row_with_its_edits():
+    rng = random.Random(8)
+    item = _text(rng, 50)[:280].strip()
+    nd = D.index([(3, item)])
+    cut = item[:130] + "q" + item[131:200] + item[202:]
+    whole, edited, twice = D.find_leaks([item, cut, item + " and once more: " + item], nd)
+    assert [(r["start"], r["end"], r["edits"]) for r in whole] == [(0, len(item), 0)]
+    assert [(r["start"], r["end"], r["edits"]) for r in edited] == [(0, len(cut), 3)]
+    assert [r["edits"] for r in twice] == [0, 0] and twice[1]["end"] == 2 * len(item) + 16
+
+
 def test_odd_rows_blocks_and_clean_documents(spark, monkeypatch):
     rng = random.Random(6)
     items = [(i, _text(rng, 20)) for i in range(6)] + [(None, _text(rng, 20)), (50, None), (51, ""), (52, "short"), (0, _text(rng, 20))]
