@@ -5,8 +5,10 @@ for letters), spacing (separators between letters) and repetition.  Every token
 that shows such signs becomes a lattice: each character may be read as one of
 several letters, as a word end, or as nothing.  Viterbi decoding under a
 character trigram model picks the reading; tokens of plain letters have only
-one reading and pass unchanged.  The trigram model is counted over all
-documents.
+one reading and pass unchanged.  Signs at the edges of a token may be letters
+too; there they are dropped cheaply, as they mostly are punctuation.  A token
+that is one sign or digit over and over says nothing.  The trigram model is
+counted over all documents.
 
 The restored text is scored by a logistic regression over a lexicon: the words
 and word beginnings that the labelled texts tie most strongly to toxic ones
@@ -43,11 +45,12 @@ SLOTS = 1 << 18
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l",
         "¡": "i", "×": "x", "µ": "u", "*": "aeiou", "#": "aeiou", "%": "aeiou"}
-_LEAD = "@$("                       # signs that may open a disguised word
 #: Costs in nats: a sign read as a letter, dropped, or as a word end; a repeated letter dropped.
 READ, DROP, END, REPEAT, REPEAT_ONCE = 1.0, 6.0, 4.0, 0.5, 5.0
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s){2,}[^\W\d_](?!\S)")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+EDGE = 1.5                          # a sign dropped before or after a token's letters and digits
+_SINGLE = rf"(?:[^\W\d_]|[{re.escape(''.join(LEET))}])"
+_SPACED = re.compile(rf"(?<!\S)(?:{_SINGLE}\s+){{2,}}{_SINGLE}(?!\S)")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -59,6 +62,14 @@ def _slots(*columns: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
+def _slot(*points: int) -> int:
+    """``_slots`` of one row."""
+    h = len(points)
+    for k, c in enumerate(points):
+        h = (h ^ (c * int(_MIX[k]))) * int(_MIX[0]) & 0xFFFFFFFFFFFFFFFF
+    return h >> (64 - SLOTS.bit_length() + 1)
+
+
 def count_trigrams(texts: list[str]) -> np.ndarray:
     """[3, SLOTS] counts of letters, pairs and triples; words begin and end with 0."""
     points = np.frombuffer("\0".join(["", "", *(t.lower() for t in texts), "", ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -98,28 +109,48 @@ class Decoder:
     """Viterbi decoding of character lattices."""
     counts: np.ndarray
     known: dict = field(default_factory=dict)
+    total: float = 0.0
 
     def cost(self, a: int, b: int, c: int) -> float:
         """-log p(c | a, b), backing off to pairs and letters."""
         key = (a, b, c)
         if (x := self.known.get(key)) is None:
-            v = [np.array([k]) for k in key]
-            n3, n2 = self.counts[2][_slots(*v)[0]], self.counts[1][_slots(v[0], v[1])[0]]
-            m2, n1 = self.counts[1][_slots(v[1], v[2])[0]], self.counts[0][_slots(v[1])[0]]
-            p1 = (self.counts[0][_slots(v[2])[0]] + 0.5) / (self.counts[0].sum() + 1000.0)
+            if not self.total:
+                self.total = float(self.counts[0].sum())
+            n3, n2 = self.counts[2][_slot(a, b, c)], self.counts[1][_slot(a, b)]
+            m2, n1 = self.counts[1][_slot(b, c)], self.counts[0][_slot(b)]
+            p1 = (self.counts[0][_slot(c)] + 0.5) / (self.total + 1000.0)
             p2 = (m2 + 5 * p1) / (n1 + 5)
             x = self.known[key] = -math.log((n3 + 5 * p2) / (n2 + 5))
         return x
 
-    def restore(self, token: str) -> list[str]:
-        """Words of the best reading of a lower-case token (or of letters with blanks between)."""
+    def restore(self, token: str, core: tuple[int, int] | None = None) -> list[str]:
+        """Words of the best reading of a lower-case token (or of letters with blanks between);
+        signs before and after ``core`` (first place, end) are dropped at EDGE while no letter
+        stands before or after them."""
+        lo, hi = core or (0, len(token))
+        known, cost_of = self.known, self.cost
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        ends = []
         for i, ch in enumerate(token):
+            if i >= hi and core:
+                # nothing more is read: a reading; states that cost more with 1 a sign cannot win
+                rest = [EDGE if x in LEET else 1.0 for x in token[i:]]
+                ends += self._ends(states, sum(rest))
+                most = min(ends)[0] - len(rest) + 1e-9
+                states = {k: v for k, v in states.items() if v[0] <= most}
             if ch.isalpha():
                 readings = [(ch, 0.0)]
                 if i and token[i - 1] == ch:
                     run = (i > 1 and token[i - 2] == ch) or (i + 1 < len(token) and token[i + 1] == ch)
                     readings.append(("", REPEAT if run else REPEAT_ONCE))
+                elif len(states) == 1:                            # one way on
+                    ((a, b), (cost, out)), = states.items()
+                    c = ord(ch)
+                    if (x := known.get((a, b, c))) is None:
+                        x = cost_of(a, b, c)
+                    states = {(b, c): (cost + x, out + ch)}
+                    continue
             elif ch in LEET:
                 readings = [(x, READ) for x in LEET[ch]] + [("", DROP), (" ", END)]
             else:
@@ -128,18 +159,30 @@ class Decoder:
             for (a, b), (cost, out) in states.items():
                 for x, more in readings:
                     if not x or (x == " " and b == 0):
-                        to, total, text = (a, b), cost + more, out
+                        to, total, text = (a, b), cost + (min(more, EDGE) if i < lo and not out else more), out
                     else:
                         c = 0 if x == " " else ord(x)
-                        to, total, text = (b, c), cost + more + self.cost(a, b, c), out + x
+                        if (y := known.get((a, b, c))) is None:
+                            y = cost_of(a, b, c)
+                        to, total, text = (b, c), cost + more + y, out + x
                     if to not in after or (total, text) < after[to]:
                         after[to] = (total, text)
             states = after
-        ends = [(cost + (self.cost(a, b, 0) if b else 0.0), out) for (a, b), (cost, out) in states.items()]
-        return min(ends)[1].split()
+        return min(ends + self._ends(states, 0.0))[1].split()
+
+    def _ends(self, states: dict, rest: float) -> list[tuple[float, str]]:
+        return [(cost + (self.cost(a, b, 0) if b else 0.0) + rest, out) for (a, b), (cost, out) in states.items()]
 
 
 # ------------------------------------------------------------------- features
+def _core(token: str) -> tuple[int, int]:
+    """(first place, end) of what lies from the first to the last letter or digit; all of a token of signs."""
+    if token[:1].isalnum() and token[-1:].isalnum():
+        return 0, len(token)
+    at = [i for i, c in enumerate(token) if c.isalnum()]
+    return (at[0], at[-1] + 1) if at else (0, len(token))
+
+
 class Restorer:
     """Restored words of texts, with a bounded cache of tokens."""
 
@@ -150,18 +193,23 @@ class Restorer:
     def words(self, token: str) -> tuple[str, ...]:
         """Restored words of one token without blanks (lower case)."""
         lo, hi = 0, len(token)
-        while hi > lo and not token[hi - 1].isalnum():
+        while hi > lo and not (token[hi - 1].isalnum() or token[hi - 1] in LEET):
             hi -= 1
-        while lo < hi and not token[lo].isalnum():
+        while lo < hi and not (token[lo].isalnum() or token[lo] in LEET):
             lo += 1
-        if 0 < lo < hi and token[lo - 1] in _LEAD and (lo == 1 or token[lo - 2] != token[lo - 1]):
-            lo -= 1
-        core = token[lo:hi]
-        if core.isalpha() and not _TRIPLE.search(core):
-            return (core,)
-        if not any(c.isalpha() for c in core):
+        token = token[lo:hi]
+        if token.isalpha() and not _DOUBLE.search(token):
+            return (token,)
+        if not any(c.isalpha() for c in token) and len(set(token)) < 2:
             return ()
-        return tuple(self.decoder.restore(core))
+        return tuple(self.decoder.restore(token, _core(token)))
+
+    def spaced(self, run: str) -> list[str]:
+        """Restored words of letters and signs with blanks between."""
+        if len(signs := set(run.split())) < 2 and not any(c.isalpha() for c in signs):
+            return []
+        line = " ".join(run.split())
+        return self.decoder.restore(line, _core(line))
 
     def restored(self, text: str) -> Counter:
         """How often each word stands in the restored text."""
@@ -171,7 +219,7 @@ class Restorer:
             parts, at = [], 0
             for m in _SPACED.finditer(text):
                 parts.append(text[at: m.start()])
-                out.update(self.decoder.restore(" ".join(m[0].split())))
+                out.update(self.spaced(m[0]))
                 at = m.end()
             text = " ".join([*parts, text[at:]])
         cache = self.cache
@@ -194,7 +242,7 @@ def restore_text(text: str, decoder: Decoder) -> str:
         for token in low[at: m.start() if m else len(low)].split():
             out += r.words(token)
         if m:
-            out += decoder.restore(" ".join(m[0].split()))
+            out += r.spaced(m[0])
             at = m.end()
     return " ".join(out)
 

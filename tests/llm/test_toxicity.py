@@ -27,6 +27,46 @@ def test_restores_disguised_words(counts, seen, meant):
     assert S.restore_text(f"the {seen} is", S.Decoder(counts)) == f"the {meant} is"
 
 
+@pytest.fixture(scope="module")
+def more_counts():
+    words = ["idiot", "rash", "loser", "clown", "asshole", "ass", "moron", "trash", "shit", "the", "is", "an", "other", "all"] * 40
+    return S.count_trigrams([" ".join(words)])
+
+
+@pytest.mark.parametrize("seen,meant", [
+    ("idi0+", "idiot"), ("a$$", "ass"), ("!diot", "idiot"), ("+rash", "trash"), ("|oser", "loser"), ("<lown", "clown"),
+    ("@$$hole", "asshole"), ("455", "ass"), ("@$$", "ass"), ("i d 1 o t", "idiot"), ("t  r  a  s  h", "trash"),
+    ("l 0 s e r", "loser"), ("t r a s h !", "trash"), ("morron", "moron"), ("idiot!!", "idiot"), ("idiot###", "idiot"),
+    ("the&&&", "the"), ("other***", "other"), ("(other)", "other"), ("| | |", ""), ("|", ""), ("!!!", "")])
+def test_restores_signs_at_edges_and_mixed_spacing(more_counts, seen, meant):
+    got = S.restore_text(f"the {seen} is", S.Decoder(more_counts))
+    assert got == " ".join(["the", *meant.split(), "is"])
+
+
+def test_edges_are_read_exactly(more_counts):
+    d, rng = S.Decoder(more_counts), random.Random(3)
+    for _ in range(80):
+        signs = lambda least: "".join(rng.choice("!$+%.|") for _ in range(rng.randrange(least, 4 - least)))
+        token = signs(0)[:2] + rng.choice(["idi", "a", "the", "l0se", "rash"]) + signs(1)
+        lo, hi = S._core(token)
+        costs = []
+        for combo in itertools.product(*[
+                [(ch, 0.0)] if ch.isalpha() else [("", 1.0), (" ", 1.0)] if ch not in S.LEET else
+                [(x, S.READ) for x in S.LEET[ch]] + [("", S.DROP), (" ", S.END)] for ch in token]):
+            read = [i for i, (x, _) in enumerate(combo) if x.strip()]
+            a = b = 0
+            cost, text = 0.0, ""
+            for i, (x, more) in enumerate(combo):
+                cheap = token[i] in S.LEET and x != " " and ((i < lo and i < read[0]) or (i >= hi and i > read[-1]))
+                cost += S.EDGE if cheap else more
+                if x and not (x == " " and b == 0):
+                    c = 0 if x == " " else ord(x)
+                    cost, a, b, text = cost + d.cost(a, b, c), b, c, text + x
+            costs.append((cost + (d.cost(a, b, 0) if b else 0.0), text.split()))
+        best = min(c for c, _ in costs)
+        assert d.restore(token, (lo, hi)) in [w for c, w in costs if c < best + 1e-6], token
+
+
 def plain_best(decoder, token):
     """Cheapest reading over every combination of readings."""
     options = []
