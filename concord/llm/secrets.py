@@ -9,8 +9,9 @@ stand.  Three weak kinds are reported only next to their complements:
 * ``endpoint``  a URL, a host with a port, or an IPv4 address.
 
 Every part opens a scope: ``REACH`` code points before and after it in the same
-text.  Parts and scopes are interval-joined in Spark (equi-join on document and
-bin of ``REACH`` code points, then the exact distance).  A weak id counts with
+text; a part is in it if any of its characters is.  Parts and scopes are
+interval-joined in Spark (equi-join on document and every bin of ``REACH`` code
+points that they touch, then the exact distance).  A weak id counts with
 a secret in its scope (``assign``, ``hex`` or ``secret``); a weak secret with
 an identifier (``access`` or ``id``); an endpoint with both.  A scope holds a
 bounded number of parts, as parts of a kind do not overlap, so the join grows
@@ -99,8 +100,8 @@ def linked_parts(scanned: DataFrame, reach: int = REACH) -> DataFrame:
         "doc_id", "row_key", "kind", "start", "end", bins(F.greatest(F.col("start") - reach, F.lit(0)), F.col("end") + reach))
     parts = rows.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), F.col("kind").alias("kind2"),
                         F.col("start").alias("start2"), F.col("end").alias("end2"),
-                        bins(F.col("start"), F.col("start")))
-    near = (F.col("start2") < F.col("end") + reach) & (F.col("start2") >= F.col("start") - reach)
+                        bins(F.col("start"), F.col("end") - 1))
+    near = (F.col("start2") < F.col("end") + reach) & (F.col("end2") > F.col("start") - reach)
     met = scopes.join(parts, scopes.doc_id.eqNullSafe(parts.d) & (scopes.row_key == parts.k)
                       & (scopes.bin == parts.bin) & near)
     has = lambda *kinds: F.max(F.col("kind2").isin(*kinds))                                  # noqa: E731
