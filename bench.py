@@ -22,6 +22,7 @@ from concord.operators import cluster as C  # noqa: E402
 from concord.operators import consensus as cons  # noqa: E402
 from concord.operators import importance as I  # noqa: E402
 from concord.operators.features import assemble  # noqa: E402
+from concord.operators.layout import fixed_layout  # noqa: E402
 from concord.operators.portable import portable_assignments  # noqa: E402
 from concord.plans import catalog  # noqa: E402
 from concord.plans.fixtures import PART, USAGE_FEATURES, usage_table  # noqa: E402
