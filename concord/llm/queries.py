@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, langid, minhash, pieces, secrets, sharding, simhash, suffixes, toolcalls, toxicity
+from concord.llm import (decontaminate, langid, minhash, pieces, resampling, secrets, sharding, simhash, suffixes, tokencounts,
+                         toolcalls, toxicity, vectorcodes)
 from concord.llm.common import held_out
 from concord.sources.tables import read_table
 
@@ -67,6 +68,25 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
+def op11_batch_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its weight and score towards the benchmark's words, and its rank if it is drawn."""
+    docs = _documents(spark, sf_dir)
+    model = resampling.fit(docs, read_table(spark, sf_dir, "benchmark", ["text"]), n=1, buckets=10_000, seed=2024)
+    return resampling.draw(docs, model, percent=10, least_words=20).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_resynchronised_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its tokens as the library counts them in the whole text."""
+    counted = tokencounts.token_counts(_documents(spark, sf_dir), tokencounts.MODEL, limit=4096)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_laesa_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each whole vector: its code, its squared error and that of its label, and the digest of the codebooks."""
+    coded, books = vectorcodes.compress(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]))
+    return vectorcodes.label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_multipart_secrets": op2_multipart_secrets,
@@ -78,6 +98,9 @@ QUERIES = {
     "op8_simhash_vantage_forest": op8_simhash_vantage_forest,
     "op9_tool_call_linking": op9_tool_call_linking,
     "op10_feistel_sharding": op10_feistel_sharding,
+    "op11_batch_importance_resampling": op11_batch_importance_resampling,
+    "op12_resynchronised_token_counts": op12_resynchronised_token_counts,
+    "op13_laesa_vector_codes": op13_laesa_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
