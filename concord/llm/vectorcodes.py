@@ -40,8 +40,8 @@ SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 PIVOTS = 8
 #: Largest component (before scaling) for which distances stay exact in 64 bits.
 LARGEST = 1 << 17
-#: Vectors whose bounds are held at once, entries evaluated one at a time before the rest, pairs evaluated at once.
-SLICE, FIRST, PAIRS = 1024, 2, 1 << 16
+#: Vectors whose bounds are held at once, pairs measured at once, share of a slice's pairs from which a product measures them.
+SLICE, PAIRS, MANY = 1024, 1 << 16, 0.05
 _CLOSE = np.float32(2.0 ** -22)      # covers the rounding of distances to float32
 #: Copies of a label's sum, so that the rows of one label are joined in as many tasks.
 SALTS = 64
@@ -87,43 +87,47 @@ def pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def nearest(x: np.ndarray, to_pivots: np.ndarray, entries: np.ndarray, entry_pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(nearest entry, squared distance) of each row of ``x``, ties to the lower index, and how many pairs were measured.
 
-    ``to_pivots`` and ``entry_pivots`` are float32 distances of the rows and of the entries to the same pivots."""
+    ``to_pivots`` and ``entry_pivots`` are float32 distances of the rows and of the
+    entries to the same pivots.  Rows are taken in slices that share a nearest
+    pivot.  The entry with the least bound is measured first; entries whose bounds
+    lie above that distance are out.  Where many are left, the entries that some
+    row of the slice still needs are measured for the slice in one matrix product
+    (of integers below 2^53 in float64, so exactly), else pair by pair."""
     n, m = len(x), len(entries)
     which, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    # small numbers are squared in half the width, exactly
+    if not n:
+        return which, best, 0
     span = max(int(np.abs(x).max(initial=0)), int(np.abs(entries).max(initial=0)))
-    if 4 * span * span * max(x.shape[1], 1) < 2 ** 31:
-        x, entries = x.astype(np.int32), entries.astype(np.int32)
+    product = 4 * span * span * max(x.shape[1], 1) < 2 ** 53
+    if product:
+        xf, ef = x.astype(np.float64), np.ascontiguousarray(entries.T.astype(np.float64))
+        xx, ee = (xf * xf).sum(axis=1), (ef * ef).sum(axis=0)
     slack = (to_pivots.max(initial=0) + entry_pivots.max(initial=0)) * _CLOSE
-    measured = 0
+    measured = n
+    order = np.argsort(to_pivots.argmin(axis=1), kind="stable")
 
     def evaluate(r: np.ndarray, c: np.ndarray) -> np.ndarray:
         diff = x[r] - entries[c]
-        return np.einsum("ij,ij->i", diff, diff).astype(np.int64)
+        return (diff * diff).sum(axis=1)
 
     for lo in range(0, n, SLICE):
-        rows = np.arange(lo, min(lo + SLICE, n))
+        rows = order[lo: lo + SLICE]
         bound = np.zeros((len(rows), m), np.float32)
-        for j in range(to_pivots.shape[1]):
-            np.maximum(bound, np.abs(to_pivots[rows, j, None] - entry_pivots[None, :, j]), out=bound)
+        near = to_pivots[rows]
+        for j in range(near.shape[1]):
+            np.maximum(bound, np.abs(near[:, j, None] - entry_pivots[None, :, j]), out=bound)
         at = bound.argmin(axis=1)                          # the entry with the least bound comes first
         d = evaluate(rows, at)
-        measured += len(rows)
-        bound[np.arange(len(rows)), at] = np.inf
-        open_ = np.arange(len(rows))
-        for _ in range(FIRST - 1):                         # then the next ones, for rows where they can still win
-            c = bound[open_].argmin(axis=1)
-            can = bound[open_, c] <= _root(d[open_], slack)
-            open_, c = open_[can], c[can]
-            if not len(open_):
-                break
-            new = evaluate(rows[open_], c)
-            measured += len(open_)
-            bound[open_, c] = np.inf
-            wins = (new < d[open_]) | ((new == d[open_]) & (c < at[open_]))
-            d[open_[wins]], at[open_[wins]] = new[wins], c[wins]
-        # what the bounds have not ruled out by now, by rows and rising index
-        r, c = np.nonzero(bound <= _root(d, slack)[:, None])
+        left = bound <= _root(d, slack)[:, None]           # what that distance does not rule out, itself included
+        if product and np.count_nonzero(left) > MANY * left.size:
+            c = np.flatnonzero(left.any(axis=0))
+            square = ee[c] - 2 * (xf[rows] @ ef[:, c])     # but for the row's own square
+            measured += square.size
+            least = square.argmin(axis=1)
+            which[rows], best[rows] = c[least], (square[np.arange(len(rows)), least] + xx[rows]).astype(np.int64)
+            continue
+        left[np.arange(len(rows)), at] = False
+        r, c = np.nonzero(left)                            # by rows and rising index
         measured += len(r)
         for k in range(0, len(r), PAIRS):
             rk, ck = r[k: k + PAIRS], c[k: k + PAIRS]
