@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from concord.functions.vectors import sq_dist
 from concord.operators.features import to_features
-from concord.operators.layout import LAYOUT_PARTITIONS, fixed_layout
+from concord.operators.layout import fixed_layout
 
 # The three algorithms of the reference and their MLlib classes.
 ALGORITHMS = ("kmeans", "bisecting", "gmm")
@@ -36,7 +36,7 @@ class Fit:
     predictions: DataFrame
     features_col: str = "features"
     prediction_col: str = "prediction"
-    partitions: int = LAYOUT_PARTITIONS
+    partitions: int | None = None
 
 
 def estimator(algorithm: str, k: int, max_iter: int, seed: int = 1,
@@ -55,7 +55,7 @@ def model_class(algorithm: str):
 
 def fit(points: DataFrame, algorithm: str, k: int = 3, max_iter: int = 20, seed: int = 1,
         features_col: str = "features", prediction_col: str = "prediction",
-        partitions: int = LAYOUT_PARTITIONS, laid_out: bool = False) -> Fit:
+        partitions: int | None = None, laid_out: bool = False) -> Fit:
     """Fit, then append predictions to the input.
 
     The fit reads a written copy in a fixed layout (``laid_out``: the caller

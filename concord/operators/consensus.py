@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from concord.functions.masks import RunWords, popcount
 from concord.functions.ratio import N_BINS, consensus_ratio, ratio_bin
 from concord.functions.sampling import in_sample
-from concord.operators.layout import LAYOUT_PARTITIONS, fixed_layout
+from concord.operators.layout import fixed_layout
 from concord.session import materialize
 
 MODES = ("final", "cumulative")
@@ -61,6 +61,9 @@ TILES_PER_TASK = 2
 
 # --------------------------------------------------------------------------- K1
 
+#: Order in which fits are submitted; plug-ins (of unknown length) come with the longest.
+_LONGEST_FIRST = {"bisecting": 0, "gmm": 1, "kmeans": 2}
+
 Clusterer = Callable[[DataFrame, int, int, int], DataFrame]
 """Plug-in fit: (sampled points(point_id, features), k, max_iter, seed) -> (point_id, cluster)."""
 
@@ -80,7 +83,7 @@ def _mllib_clusterer(algorithm: str) -> Clusterer:
 
 def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_iter: int = 125,
                            seed: int = 1, runs: int = 20, sample_seed: int = 1, fraction: float = 0.9,
-                           parallel_fits: int = PARALLEL_FITS, partitions: int = LAYOUT_PARTITIONS) -> dict:
+                           parallel_fits: int = PARALLEL_FITS, partitions: int | None = None) -> dict:
     """R subsample fits per algorithm -> {algorithm: assignments(run, point_id, cluster)}.
 
     ``points`` needs ``point_id`` and ``x`` (array<double>) or ``features``
@@ -107,7 +110,8 @@ def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_
         return fits[name](sample, k, max_iter, seed).select(
             F.lit(run).cast("int").alias("run"), "point_id", F.col("cluster").cast("int").alias("cluster"))
 
-    jobs = [(name, r) for name in fits for r in range(runs)]
+    # the fits that take longest start first, so that none of them is left over at the end
+    jobs = [(name, r) for name in sorted(fits, key=lambda a: _LONGEST_FIRST.get(a, 0)) for r in range(runs)]
     with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
         done = dict(zip(jobs, pool.map(one, jobs)))
     out = {}
@@ -123,7 +127,7 @@ def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_
 def mllib_assignments(points: DataFrame, algorithm: str | Clusterer, k: int = 5,
                       max_iter: int = 125, seed: int = 1, runs: int = 20,
                       sample_seed: int = 1, fraction: float = 0.9,
-                      parallel_fits: int = PARALLEL_FITS, partitions: int = LAYOUT_PARTITIONS) -> DataFrame:
+                      parallel_fits: int = PARALLEL_FITS, partitions: int | None = None) -> DataFrame:
     """K1 for one algorithm (MLlib name or a ``Clusterer``)."""
     res = mllib_assignments_many(points, [algorithm], k, max_iter, seed, runs, sample_seed, fraction,
                                  parallel_fits, partitions)

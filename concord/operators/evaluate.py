@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from concord.operators import cluster as C
 from concord.operators.consensus import PARALLEL_FITS
 from concord.operators.features import to_features
-from concord.operators.layout import LAYOUT_PARTITIONS, fixed_layout
+from concord.operators.layout import fixed_layout
 
 
 def k_sweep(points: DataFrame, ks: list[int], algorithms=C.ALGORITHMS, max_iter: int = 20,
-            seed: int = 1, parallel_fits: int = PARALLEL_FITS, partitions: int = LAYOUT_PARTITIONS) -> DataFrame:
+            seed: int = 1, parallel_fits: int = PARALLEL_FITS, partitions: int | None = None) -> DataFrame:
     """Fit every (algorithm, k) and report its cost.
 
     Rows (algorithm, k, metric, value, change): ``wcss`` for the k-means

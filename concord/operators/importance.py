@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.operators.features import feature_names
-from concord.operators.layout import LAYOUT_PARTITIONS, fixed_layout
+from concord.operators.layout import fixed_layout
 from concord.operators.resample import train_test_split
 from concord.session import materialize
 
@@ -34,7 +34,7 @@ def relabel(predictions: DataFrame, prediction_col: str = "prediction", label_co
 
 
 def forest(labeled: DataFrame, features_col: str = "features", label_col: str = "label",
-           partitions: int = LAYOUT_PARTITIONS, id_col: str = "point_id", **params):
+           partitions: int | None = None, id_col: str = "point_id", **params):
     """The forest, fitted to a copy of the rows in a fixed layout."""
     p = dict(FOREST)
     p.update(params)
@@ -80,7 +80,7 @@ def fold_of(id_col: str, folds: int, seed: int = 5043) -> Column:
 
 def rf_cross_validate(labeled: DataFrame, id_col: str, features_col: str = "features", label_col: str = "label",
                       depths=(3, 5), trees=(10, 20), folds: int = 3, seed: int = 5043,
-                      partitions: int = LAYOUT_PARTITIONS) -> DataFrame:
+                      partitions: int | None = None) -> DataFrame:
     """I4: k-fold cross-validation over a small grid; (max_depth, num_trees, accuracy).
 
     Folds follow from the ids (``fold_of``) and the rows are written once in a

@@ -41,8 +41,6 @@ from concord.functions.masks import RunWords
 from concord.functions.sampling import hash_threshold, sample_masks
 from concord.session import materialize
 
-#: Partitions of the written points table (a parameter, so that it is the same on every input layout).
-PARTITIONS = 8
 #: Candidates for start centers looked at in each run, as a multiple of k, at first.
 _START_SPREAD = 40
 
@@ -89,13 +87,13 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int = 1, steps: int = 125,
-                         fraction: float = 0.9, digits: int = 9, tol: float = 0.0,
-                         partitions: int = PARTITIONS) -> DataFrame:
+                         fraction: float = 0.9, digits: int = 9, tol: float = 0.0) -> DataFrame:
     """points(point_id, x array<double>) -> assignments(run int, point_id, cluster int).
 
     The sampled points (N rows plus a bigint of run bits per 63 runs) are
-    written once, in ``partitions`` parts by point id, and read by every step;
-    the R-times larger table of (run, point) rows is never stored.  Between
+    written once, as they are partitioned, and read by every step (the rounded
+    means do not depend on the layout); the R-times larger table of (run, point)
+    rows is never stored.  Between
     steps only the R * k centers come to the driver, as in MLlib's k-means.  A
     run also ends when no center moves by more than ``tol`` (Euclidean); with
     0 the result is that of all ``steps``.  The result is a written table.
@@ -108,7 +106,7 @@ def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int =
         sampled = (F.col(c) != 0) if sampled is None else sampled | (F.col(c) != 0)
     base = materialize(
         points.select("point_id", F.col("x").cast("array<double>").alias("x"), *sample_masks(seed, "point_id", runs, fraction))
-        .where(sampled).repartition(partitions, "point_id"), "sampled-points")
+        .where(sampled), "sampled-points")
     centers = _start_centers(base, base.count(), k, runs, seed, words)
 
     def sums(active: dict[int, np.ndarray]) -> DataFrame:
