@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from concord.functions.vectors import sq_dist
 from concord.operators.features import to_features
-from concord.operators.layout import fixed_layout
+from concord.operators.layout import fixed_layout, layout_partitions
 
 # The three algorithms of the reference and their MLlib classes.
 ALGORITHMS = ("kmeans", "bisecting", "gmm")
@@ -36,7 +36,7 @@ class Fit:
     predictions: DataFrame
     features_col: str = "features"
     prediction_col: str = "prediction"
-    partitions: int | None = None
+    partitions: int | None = None      # of the layout it was fitted on; None where the caller laid it out
 
 
 def estimator(algorithm: str, k: int, max_iter: int, seed: int = 1,
@@ -63,6 +63,7 @@ def fit(points: DataFrame, algorithm: str, k: int = 3, max_iter: int = 20, seed:
     if features_col not in points.columns:
         points = to_features(points, "x", features_col)
     if not laid_out:
+        partitions = layout_partitions(points.count()) if partitions is None else partitions
         points = fixed_layout(points, partitions, features_col=features_col)
     model = estimator(algorithm, k, max_iter, seed, features_col, prediction_col).fit(points)
     return Fit(algorithm, k, model, model.transform(points), features_col, prediction_col, partitions)

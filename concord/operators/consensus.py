@@ -42,7 +42,7 @@ from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 from typing import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions.masks import RunWords, popcount
@@ -52,11 +52,16 @@ from concord.operators.layout import fixed_layout
 from concord.session import materialize
 
 MODES = ("final", "cumulative")
+_COUNT = "decimal(38,0)"
 #: Fits that run at once; a parameter of the fits.
 PARALLEL_FITS = 16
-#: Signatures in a block of the pair space, and tiles in a task.
+#: Signatures in a block of the pair space: at least and, from a million signatures on, at most.
 BLOCK_ROWS = 2048
+MOST_BLOCK_ROWS = 16384
+#: Pair cells that a tile's kernel holds at once, tiles in a task, and tasks beyond which a task takes more tiles.
+TILE_CELLS = 256 * BLOCK_ROWS
 TILES_PER_TASK = 2
+MOST_TILE_TASKS = 16384
 
 
 # --------------------------------------------------------------------------- K1
@@ -205,46 +210,61 @@ def _tile_list(blocked: DataFrame, cols: list[str], nb: int, skip: bool) -> Data
     return left.join(right, "bb").where(shared).select("ba", "bb")
 
 
-def _tiles(blocked: DataFrame, cols: list[str], m: int, nb: int, skip: bool) -> DataFrame:
-    """Copy each signature into the tiles it belongs to.
+def block_count(m: int, block_rows: int | None = None) -> int:
+    """Blocks of M signatures; blocks grow with M up to MOST_BLOCK_ROWS, so that a signature's copies grow slowly."""
+    if block_rows is None:
+        block_rows = min(MOST_BLOCK_ROWS, max(BLOCK_ROWS, -(-m // 64)))
+    return max(1, -(-m // block_rows))
+
+
+def _tiles(blocked: DataFrame, cols: list[str], kept: DataFrame, nb: int) -> DataFrame:
+    """Copy each signature into the tiles of ``kept`` (ba, bb) it belongs to.
 
     Tile (i, j), i <= j, pairs block i (side 0) with block j (side 1).  A
-    signature lands in nb + 1 tiles at most, and nb = M / block_rows, so the
-    copies do not depend on the number of cores."""
-    kept = _tile_list(blocked, cols, nb, skip)
+    signature lands in nb + 1 tiles at most, so the copies do not depend on the
+    number of cores."""
     keep = ["t", "sid", "w"] + cols
     left = blocked.join(kept, F.col("t") == F.col("ba")).select(*keep, F.lit(0).alias("side"), "ba", "bb")
     right = blocked.join(kept, F.col("t") == F.col("bb")).select(*keep, F.lit(1).alias("side"), "ba", "bb")
     # tiles are few bytes but heavy work: their partitions are fixed (AQE would
     # coalesce such a small shuffle into one task) at a few tiles each
-    return left.unionByName(right).repartition(max(1, -(-nb * (nb + 1) // 2 // TILES_PER_TASK)), "ba", "bb")
+    tasks = min(MOST_TILE_TASKS, -(-nb * (nb + 1) // 2 // TILES_PER_TASK))
+    return left.unionByName(right).repartition(max(1, tasks), "ba", "bb")
 
 
-def _tile_kernel(k: int, words: RunWords, mode: str, chunk: int = 256):
+def _tile_kernel(k: int, words: RunWords, by_run: bool = False):
     """Histogram of one tile with numpy: every (a in block i, b in block j)
     pair once (on the diagonal tile only sid_a <= sid_b), ordered-pair
     weights w_a w_b (both orders) or w (w - 1) for a signature with itself.
-    Works on ``chunk`` rows of side 0 at a time, so memory stays at
-    chunk x block_rows cells whatever the tile."""
+    Rows (ba, bb, run, bin, n): run = R, the histogram after all runs, or with
+    ``by_run`` those after the first 1, 2, ... R runs, for which the pair
+    counters go on from run to run.  Takes as many rows of side 0 at a time as
+    ``TILE_CELLS`` allow, so memory does not depend on the tile."""
     import numpy as np
     import pandas as pd
 
-    nw = words.n
-    # per prefix p = 1..R, the bits of every word that belong to the first p runs
-    prefixes = [[np.uint64(words.prefix_word(p, w)) for w in range(nw)] for p in range(1, words.runs + 1)]
+    nw, runs = words.n, words.runs
 
     def u64(series):
         return series.to_numpy(dtype=np.int64).view(np.uint64)
 
-    side = words.runs + 1
+    side = runs + 1
     # bin of every (c, s) cell, c <= s <= R: cells are counted first, binned once per tile
     cell_bin = np.array([0 if sv == 0 else min(N_BINS - 1, (10 * cv) // sv)
                          for cv in range(side) for sv in range(side)])
+    small = np.uint8 if side <= 256 else np.int32
+    cell = np.uint16 if side * side <= 2 ** 16 else np.int64
 
     def add(cells, code, w):
         # exact integer sums per cell: a float64 bincount is exact while every
         # partial sum stays below 2^53; otherwise add 21-bit limbs separately
-        code, w = code.ravel(), w.ravel()
+        code = code.ravel()
+        if w is None:                                              # all pairs weigh 2
+            part = 2 * np.bincount(code, minlength=side * side)
+            for c in np.flatnonzero(part).tolist():
+                cells[c] += int(part[c])
+            return
+        w = w.ravel()
         top = int(w.max(initial=0))
         for shift in ((0,) if top * w.size < 2 ** 53 else range(0, top.bit_length(), 21)):
             limb = w if top * w.size < 2 ** 53 else (w >> shift) & ((1 << 21) - 1)
@@ -252,43 +272,75 @@ def _tile_kernel(k: int, words: RunWords, mode: str, chunk: int = 256):
             for c in np.flatnonzero(part).tolist():
                 cells[c] += int(part[c]) << shift
 
+    def labels(part, missing):
+        """Cluster of each signature in each run [runs, signatures]; ``missing`` where it was not sampled."""
+        out = np.full((runs, len(part)), missing, np.int32)
+        for r in range(runs):
+            w, bit = r // words.bits, np.uint64(r % words.bits)
+            for j in range(k):
+                out[r, (u64(part[f"m{j}_{w}"]) >> bit & np.uint64(1)).astype(bool)] = j
+        return out
+
     def kernel(pdf: "pd.DataFrame") -> "pd.DataFrame":
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        cells = [0] * (side * side)
+        steps = range(runs) if by_run else (runs - 1,)
+        cells = {r: [0] * (side * side) for r in steps}
         # products of two weights past 2^62 are done in Python integers
         kind = object if 2 * int(pdf["w"].max()) ** 2 >= 2 ** 62 else np.int64
+        # every pair of two different blocks of single points weighs 2
+        equal = int(pdf["w"].max()) == 1 and pdf["ba"].iloc[0] != pdf["bb"].iloc[0]
         if len(left) and len(right):
             rt, rsid = right["t"].to_numpy()[None, :], right["sid"].to_numpy()[None, :]
             rw = right["w"].to_numpy(dtype=np.int64).astype(kind)[None, :]
-            rs = [u64(right[f"smask_{w}"])[None, :] for w in range(nw)]
-            rm = [[u64(right[f"m{j}_{w}"])[None, :] for j in range(k)] for w in range(nw)]
+            if by_run:
+                rl = labels(right, -2)
+            else:
+                rs = [u64(right[f"smask_{w}"])[None, :] for w in range(nw)]
+                rm = [[u64(right[f"m{j}_{w}"])[None, :] for j in range(k)] for w in range(nw)]
+            chunk = max(1, TILE_CELLS // len(right))
             for lo in range(0, len(left), chunk):
                 part = left.iloc[lo:lo + chunk]
-                lt, lsid = part["t"].to_numpy()[:, None], part["sid"].to_numpy()[:, None]
-                lw = part["w"].to_numpy(dtype=np.int64).astype(kind)[:, None]
-                keep = (lt < rt) | (lsid <= rsid)
-                wt = np.where(lsid == rsid, lw * (lw - 1), 2 * lw * rw) * keep
-                both, same = [], []                                # per word: co-sampled, co-clustered runs
-                for w in range(nw):
-                    both.append(u64(part[f"smask_{w}"])[:, None] & rs[w])
-                    sw = np.zeros_like(both[-1])
+                wt = None
+                if not equal:
+                    lt, lsid = part["t"].to_numpy()[:, None], part["sid"].to_numpy()[:, None]
+                    lw = part["w"].to_numpy(dtype=np.int64).astype(kind)[:, None]
+                    keep = (lt < rt) | (lsid <= rsid)
+                    wt = np.where(lsid == rsid, lw * (lw - 1), 2 * lw * rw) * keep
+                if by_run:
+                    ll = labels(part, -1)
+                    c = np.zeros((len(part), len(right)), small)
+                    s = np.zeros_like(c)
+                    for r in range(runs):                          # the counters of run r - 1 go on
+                        c += ll[r][:, None] == rl[r][None, :]
+                        s += (ll[r] >= 0)[:, None] & (rl[r] >= 0)[None, :]
+                        add(cells[r], c.astype(cell) * cell(side) + s, wt)
+                    continue
+                c = s = 0
+                for w in range(nw):                                # co-sampled and co-clustered runs of a word
+                    same = np.uint64(0)
                     for j in range(k):
-                        sw |= u64(part[f"m{j}_{w}"])[:, None] & rm[w][j]
-                    same.append(sw)
-                for pm in ([None] if mode == "final" else prefixes):
-                    s = sum(np.bitwise_count(x if pm is None else x & pm[w]).astype(np.int64)
-                            for w, x in enumerate(both))
-                    c = sum(np.bitwise_count(x if pm is None else x & pm[w]).astype(np.int64)
-                            for w, x in enumerate(same))
-                    add(cells, c * side + s, wt)
-        out = [0] * N_BINS
-        for c, x in enumerate(cells):
-            out[cell_bin[c]] += x
-        return pd.DataFrame({"bin": np.arange(N_BINS, dtype=np.int32), "n": [Decimal(x) for x in out]})
+                        same = same | (u64(part[f"m{j}_{w}"])[:, None] & rm[w][j])
+                    c = c + np.bitwise_count(same).astype(cell)
+                    s = s + np.bitwise_count(u64(part[f"smask_{w}"])[:, None] & rs[w]).astype(cell)
+                add(cells[runs - 1], c * cell(side) + s, wt)
+        out: dict[str, list] = {"ba": [], "bb": [], "run": [], "bin": [], "n": []}
+        for r, counted in cells.items():
+            bins = [0] * N_BINS
+            for c, x in enumerate(counted):
+                bins[cell_bin[c]] += x
+            for name, values in zip(out, ([int(pdf["ba"].iloc[0])] * N_BINS, [int(pdf["bb"].iloc[0])] * N_BINS, [r + 1] * N_BINS,
+                                          range(N_BINS), [Decimal(x) for x in bins])):
+                out[name] += values
+        return pd.DataFrame(out)
 
     return kernel
 
 
+def _tile_histograms(tiles: DataFrame, k: int, words: RunWords, by_run: bool = False) -> DataFrame:
+    """(ba, bb, run, bin, n) of every tile."""
+    return tiles.groupBy("ba", "bb").applyInPandas(_tile_kernel(k, words, by_run), f"ba int, bb int, run int, bin int, n {_COUNT}")
+
+
 def _tile_pairs_sql(tiles: DataFrame, cols: list[str]) -> DataFrame:
     """The same tiles joined with built-in operators (no Python): one row per
     signature pair, for engines without Arrow or for checking the kernel."""
@@ -323,8 +375,31 @@ def _pair_counts(k: int, words: RunWords, p: F.Column | None = None) -> tuple[F.
     return c, s
 
 
+def _prepared(assignments: DataFrame, n_points: int, k: int, runs: int, word_bits: int, block_rows: int | None,
+              skip_tiles: bool, least_blocks: int = 1) -> tuple[DataFrame, list[str], DataFrame, int]:
+    """(signatures in blocks, their mask columns, tiles to compute, number of blocks) of checked assignments."""
+    words = RunWords(runs, word_bits)
+    cols = mask_columns(k, words)
+    sigs = materialize(signatures(assignments, k, runs, word_bits)
+                       .withColumn("sid", F.monotonically_increasing_id()), "signatures")
+    m = _check(sigs, n_points)
+    nb = max(block_count(m, block_rows), min(m, least_blocks), 1)
+    blocked = _blocked(sigs, cols, nb)
+    return blocked, cols, _tile_list(blocked, cols, nb, skip_tiles), nb
+
+
+def _all_bins(hist: DataFrame, total: int) -> DataFrame:
+    """(bin, n) for all ten bins; what the counted pairs leave of ``total`` is in bin 0."""
+    zero = F.lit(0).cast(_COUNT)
+    rest = hist.agg((F.lit(Decimal(total)).cast(_COUNT) - F.coalesce(F.sum("n").cast(_COUNT), zero)).cast(_COUNT).alias("n")) \
+        .select(F.lit(0).cast("int").alias("bin"), "n")
+    zeros = hist.sparkSession.range(N_BINS).select(F.col("id").cast("int").alias("bin"), zero.alias("n"))
+    return (zeros.unionByName(hist.select("bin", "n")).unionByName(rest)
+            .groupBy("bin").agg(F.sum("n").cast(_COUNT).alias("n")))
+
+
 def consensus_histogram(assignments: DataFrame, n_points: int, k: int, runs: int,
-                        mode: str = "final", block_rows: int = BLOCK_ROWS, engine: str = "numpy",
+                        mode: str = "final", block_rows: int | None = None, engine: str = "numpy",
                         word_bits: int = 63, skip_tiles: bool = True) -> DataFrame:
     """Ten rows (bin int, n decimal(38, 0)) over all ordered pairs of the ``n_points`` points.
 
@@ -340,18 +415,10 @@ def consensus_histogram(assignments: DataFrame, n_points: int, k: int, runs: int
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     words = RunWords(runs, word_bits)
-    total = n_points * (n_points - 1) * (runs if mode == "cumulative" else 1)
-    spark = assignments.sparkSession
-    cols = mask_columns(k, words)
-    sigs = materialize(signatures(assignments, k, runs, word_bits)
-                       .withColumn("sid", F.monotonically_increasing_id()), "signatures")
-    m = _check(sigs, n_points)
-    nb = max(1, -(-m // block_rows))
-    tiles = _tiles(_blocked(sigs, cols, nb), cols, m, nb, skip_tiles)
-    count = "decimal(38,0)"
+    blocked, cols, kept, nb = _prepared(assignments, n_points, k, runs, word_bits, block_rows, skip_tiles)
+    tiles = _tiles(blocked, cols, kept, nb)
     if engine == "numpy":
-        hist = tiles.groupBy("ba", "bb").applyInPandas(_tile_kernel(k, words, mode), f"bin int, n {count}") \
-            .groupBy("bin").agg(F.sum("n").cast(count).alias("n"))
+        hist = _tile_histograms(tiles, k, words, mode == "cumulative").groupBy("bin").agg(F.sum("n").cast(_COUNT).alias("n"))
     else:
         pairs = _tile_pairs_sql(tiles, cols)
         if mode == "final":
@@ -361,13 +428,27 @@ def consensus_histogram(assignments: DataFrame, n_points: int, k: int, runs: int
             p = F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("p")
             c, s = _pair_counts(k, words, F.col("p"))
             per_bin = pairs.select("*", p).select(ratio_bin(c, s).alias("bin"), "weight")
-        hist = per_bin.groupBy("bin").agg(F.sum("weight").cast(count).alias("n"))
-    zero = F.lit(0).cast(count)
-    rest = hist.agg((F.lit(Decimal(total)).cast(count) - F.coalesce(F.sum("n").cast(count), zero)).cast(count).alias("n")) \
-        .select(F.lit(0).cast("int").alias("bin"), "n")
-    zeros = spark.range(N_BINS).select(F.col("id").cast("int").alias("bin"), zero.alias("n"))
-    return (zeros.unionByName(hist).unionByName(rest)
-            .groupBy("bin").agg(F.sum("n").cast(count).alias("n")))
+        hist = per_bin.groupBy("bin").agg(F.sum("weight").cast(_COUNT).alias("n"))
+    return _all_bins(hist, n_points * (n_points - 1) * (runs if mode == "cumulative" else 1))
+
+
+def consensus_histogram_by_run(assignments: DataFrame, n_points: int, k: int, runs: int, block_rows: int | None = None,
+                               word_bits: int = 63, skip_tiles: bool = True) -> DataFrame:
+    """R x 10 rows (run int, bin int, n decimal(38, 0)): the histogram of all ordered
+    pairs after the first ``run`` = 1 .. R runs, each with total N(N-1).
+
+    The last run's is the ``final`` histogram, the sum over the runs the
+    ``cumulative`` one; how the bins settle tells whether R runs are enough."""
+    blocked, cols, kept, nb = _prepared(assignments, n_points, k, runs, word_bits, block_rows, skip_tiles)
+    counted = _tile_histograms(_tiles(blocked, cols, kept, nb), k, RunWords(runs, word_bits), True)
+    hist = counted.groupBy("run", "bin").agg(F.sum("n").cast(_COUNT).alias("n"))
+    zero = F.lit(0).cast(_COUNT)
+    grid = assignments.sparkSession.range(runs * N_BINS).select(
+        (F.call_function("div", F.col("id"), F.lit(N_BINS)) + 1).cast("int").alias("run"), (F.col("id") % N_BINS).cast("int").alias("bin"))
+    known = grid.select("run", "bin", zero.alias("n")).unionByName(hist).groupBy("run", "bin").agg(F.sum("n").cast(_COUNT).alias("n"))
+    whole = F.sum("n").over(Window.partitionBy("run"))              # ten rows a run
+    rest = F.when(F.col("bin") == 0, F.lit(Decimal(n_points * (n_points - 1))).cast(_COUNT) - whole).otherwise(zero)
+    return known.select("run", "bin", (F.col("n") + rest).cast(_COUNT).alias("n"))
 
 
 # ----------------------------------------------------------- per-point totals

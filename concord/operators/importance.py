@@ -3,8 +3,10 @@ classes and read a random forest's feature importances."""
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler, VectorIndexer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,3 +98,34 @@ def rf_cross_validate(labeled: DataFrame, id_col: str, features_col: str = "feat
     rows = [(int(pm[rf.maxDepth]), int(pm[rf.numTrees]), float(m))
             for pm, m in zip(grid, cv.avgMetrics)]
     return labeled.sparkSession.createDataFrame(rows, "max_depth int, num_trees int, accuracy double")
+
+
+def class_pipeline(categorical: list[str], numeric: list[str], label: str, max_categories: int = 32, **params) -> Pipeline:
+    """I4: one ML pipeline from raw columns to the predicted class name.
+
+    String columns and the label are indexed, all features assembled, slots with
+    few values made categorical, the forest fitted, and its prediction turned back
+    into the label's name (``predicted``).  A value not seen in training gets an
+    index of its own.  The fitted pipeline is saved and loaded as one
+    (``sources.models``)."""
+    index = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep") for c in categorical]
+    target = StringIndexer(inputCol=label, outputCol="__label", handleInvalid="skip")
+    gather = VectorAssembler(inputCols=[*[f"{c}__idx" for c in categorical], *numeric], outputCol="__raw")
+    slots = VectorIndexer(inputCol="__raw", outputCol="__features", maxCategories=max_categories, handleInvalid="keep")
+    trees = RandomForestClassifier(featuresCol="__features", labelCol="__label", predictionCol="__prediction", **{**FOREST, **params})
+    return Pipeline(stages=[*index, target, gather, slots, trees])
+
+
+def fit_class_pipeline(rows: DataFrame, categorical: list[str], numeric: list[str], label: str, id_col: str,
+                       partitions: int | None = None, **params) -> PipelineModel:
+    """The fitted pipeline with the stage that names the classes; ``rows`` are laid out by their id first."""
+    laid = fixed_layout(rows.select(id_col, *categorical, *numeric, label), partitions, id_col)
+    fitted = class_pipeline(categorical, numeric, label, **params).fit(laid)
+    names = next(s.labels for s in fitted.stages if isinstance(s, StringIndexerModel) and s.getOutputCol() == "__label")
+    return PipelineModel([*[s for s in fitted.stages if not (isinstance(s, StringIndexerModel) and s.getOutputCol() == "__label")],
+                          IndexToString(inputCol="__prediction", outputCol="predicted", labels=names)])
+
+
+def predict_classes(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``rows`` (a label column is not needed) with ``predicted``; the pipeline's own columns are dropped."""
+    return model.transform(rows).select(*rows.columns, "predicted")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +51,17 @@ def keyed_points(df: DataFrame, cols: list[str], id_col: str | None = None) -> D
         return one.select("point_id", checked.alias("row")).select("point_id", *[F.col("row")[c].alias(c) for c in keep])
     d = df.select(*cols).distinct()
     return d.select(row_digest(cols).alias("point_id"), *cols)
+
+
+def vector_digest(features_col: str = "features") -> F.Column:
+    """sha-256 of a vector's values: the same for its dense and its sparse form, and for 0.0 and -0.0."""
+    values = F.transform(vector_to_array(features_col), lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast("string"))
+    return F.sha2(F.concat_ws(",", values), 256)
+
+
+def distinct_vectors(df: DataFrame, features_col: str = "features") -> DataFrame:
+    """R1 + R5 on vectors: one row (point_id, features, n_rows) a vector, whatever form its rows have.
+
+    ``distinct`` on the column itself counts a dense and a sparse form apart."""
+    keyed = df.select(vector_digest(features_col).alias("point_id"), F.col(features_col).alias("features"))
+    return keyed.groupBy("point_id").agg(F.first("features").alias("features"), F.count(F.lit(1)).alias("n_rows"))

@@ -12,14 +12,20 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concord.operators import cluster as C
 from concord.operators import consensus as cons
+from concord.operators import estimate as EST
 from concord.operators import evaluate as E
 from concord.operators import features as FT
 from concord.operators import importance as I
+from concord.operators import mixture as MIX
+from concord.operators import pairs as PR
 from concord.operators import points as P
 from concord.operators import resample as RS
+from concord.operators import stability as ST
+from concord.operators import strings as STR
 from concord.operators.layout import fixed_layout
 from concord.operators.portable import portable_assignments
 from concord.plans import oracles as O
@@ -151,6 +157,143 @@ def pair_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cons.item_totals(asg, pts).select("point_id", "consensus")
 
 
+_SUPPLIER_ASG = O.portable_sql(SUPPLIER, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=MAX_ITER_CONSENSUS)
+_PART_ASG = O.portable_sql(PART, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=MAX_ITER_CONSENSUS)
+LEAST_RATIO, LEAST_RATIO_PART = "0.8", "0.9"
+
+
+@query("pair_at_least", f"""WITH RECURSIVE {_SUPPLIER_ASG}
+SELECT a.point_id AS a, b.point_id AS b, CAST(count(*) AS BIGINT) AS s, CAST(sum(CASE WHEN a.cluster = b.cluster THEN 1 ELSE 0 END) AS BIGINT) AS c,
+       round(sum(CASE WHEN a.cluster = b.cluster THEN 1.0 ELSE 0.0 END) / count(*), 9) AS ratio
+FROM asg a JOIN asg b ON a.run = b.run AND a.point_id < b.point_id GROUP BY 1, 2
+HAVING 10 * sum(CASE WHEN a.cluster = b.cluster THEN 1 ELSE 0 END) >= 8 * count(*)""")
+def pair_at_least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3, K4, K5 as pairs: all suppliers that were together in at least 0.8 of the runs that had both."""
+    _, asg = _portable(spark, sf_dir, SUPPLIER)
+    return PR.expand(PR.links_at_least(asg, K_CONSENSUS, RUNS, LEAST_RATIO)).withColumn("ratio", F.round("ratio", 9))
+
+
+_PART_CLASSES = f"""WITH RECURSIVE {_PART_ASG},
+tok AS (SELECT point_id, string_agg(run || ':' || cluster, ',' ORDER BY run) AS t, count(*) AS n FROM asg GROUP BY 1),
+cls AS (SELECT t, min(point_id) AS class_id, min(n) AS n_runs, count(*) AS n_members FROM tok GROUP BY 1)"""
+
+
+@query("pair_links_at_least", f"""{_PART_CLASSES},
+rep AS (SELECT asg.* FROM asg JOIN cls ON asg.point_id = cls.class_id)
+SELECT a.point_id AS a, b.point_id AS b, CAST(count(*) AS BIGINT) AS s, CAST(sum(CASE WHEN a.cluster = b.cluster THEN 1 ELSE 0 END) AS BIGINT) AS c,
+       round(sum(CASE WHEN a.cluster = b.cluster THEN 1.0 ELSE 0.0 END) / count(*), 9) AS ratio
+FROM rep a JOIN rep b ON a.run = b.run AND a.point_id < b.point_id GROUP BY 1, 2
+HAVING 10 * sum(CASE WHEN a.cluster = b.cluster THEN 1 ELSE 0 END) >= 9 * count(*)""")
+def pair_links_at_least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3, K4, K5 on the parts: pairs of classes (parts with the same runs and clusters) with a ratio of 0.9 or more."""
+    links = PR.links_at_least(_portable(spark, sf_dir)[1], K_CONSENSUS, RUNS, LEAST_RATIO_PART)
+    return links.pairs.withColumn("ratio", F.round("ratio", 9))
+
+
+@query("pair_class_members", f"""{_PART_CLASSES}
+SELECT tok.point_id, class_id, CAST(n_runs AS BIGINT) AS n_runs, CAST(n_members AS BIGINT) AS n_members FROM tok JOIN cls USING (t)""")
+def pair_class_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every sampled part, named by its smallest member."""
+    return PR.links_at_least(_portable(spark, sf_dir)[1], K_CONSENSUS, RUNS, LEAST_RATIO_PART).members
+
+
+@query("pair_partners", f"""WITH RECURSIVE {_PART_ASG},
+pr AS (SELECT a.point_id FROM asg a JOIN asg b ON a.run = b.run AND a.point_id <> b.point_id GROUP BY a.point_id, b.point_id
+       HAVING 10 * sum(CASE WHEN a.cluster = b.cluster THEN 1 ELSE 0 END) >= 9 * count(*)),
+n AS (SELECT point_id, count(*) AS n FROM pr GROUP BY 1)
+SELECT p.point_id, CAST(coalesce(n, 0) AS BIGINT) AS n_partners FROM (SELECT DISTINCT point_id FROM asg) p LEFT JOIN n USING (point_id)""")
+def pair_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many other parts each part has a ratio of 0.9 or more with, from classes, without pairs of points."""
+    return PR.partner_counts(PR.links_at_least(_portable(spark, sf_dir)[1], K_CONSENSUS, RUNS, LEAST_RATIO_PART))
+
+
+@query("pair_of_points", f"""WITH RECURSIVE {_PART_ASG}
+SELECT a.point_id AS a, b.point_id AS b, CAST(count(*) AS BIGINT) AS s, CAST(sum(CASE WHEN a.cluster = b.cluster THEN 1 ELSE 0 END) AS BIGINT) AS c,
+       round(sum(CASE WHEN a.cluster = b.cluster THEN 1.0 ELSE 0.0 END) / count(*), 9) AS ratio
+FROM asg a JOIN asg b ON a.run = b.run AND a.point_id <> b.point_id WHERE a.point_id IN (1, 7, 50) GROUP BY 1, 2""")
+def pair_of_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5 under a point filter: three parts (the filter is the feature) against all others."""
+    out = PR.pairs_of_points(_portable(spark, sf_dir)[1], K_CONSENSUS, RUNS, [1, 7, 50])
+    return out.withColumn("ratio", F.round("ratio", 9))
+
+
+@query("consensus_histogram_by_run", f"""WITH RECURSIVE {_SUPPLIER_ASG},
+total AS (SELECT count(*) * (count(*) - 1) AS n FROM pts),
+upto AS (SELECT r.range + 1 AS run, a.point_id AS pa, b.point_id AS pb, count(*) AS s, sum(CASE WHEN a.cluster = b.cluster THEN 1 ELSE 0 END) AS c
+         FROM range({RUNS}) r JOIN asg a ON a.run <= r.range JOIN asg b ON a.run = b.run AND a.point_id <> b.point_id GROUP BY 1, 2, 3),
+h AS (SELECT run, least(9, (10 * c) // s) AS bin, count(*) AS n FROM upto GROUP BY 1, 2),
+grid AS (SELECT r.range + 1 AS run, b.range AS bin FROM range({RUNS}) r, range(10) b)
+SELECT CAST(g.run AS INTEGER) AS run, CAST(g.bin AS INTEGER) AS bin, CAST(coalesce(h.n, 0) + CASE WHEN g.bin = 0
+       THEN (SELECT n FROM total) - coalesce((SELECT sum(n) FROM h h2 WHERE h2.run = g.run), 0) ELSE 0 END AS BIGINT) AS n
+FROM grid g LEFT JOIN h ON g.run = h.run AND g.bin = h.bin""")
+def consensus_histogram_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8 opened up: the histogram after each of the 20 runs of the suppliers."""
+    pts, asg = _portable(spark, sf_dir, SUPPLIER)
+    return cons.consensus_histogram_by_run(asg, pts.count(), K_CONSENSUS, RUNS).withColumn("n", F.col("n").cast("bigint"))
+
+
+def _estimated(spark: SparkSession, sf_dir: str, fraction: float) -> DataFrame:
+    pts, asg = _portable(spark, sf_dir)
+    return EST.estimated_histogram(asg, pts.count(), K_CONSENSUS, RUNS, fraction).select(
+        "bin", *[F.col(c).cast("bigint").alias(c) for c in ("n", "low", "high")], "exact")
+
+
+@query("consensus_histogram_estimated_all", "SELECT bin, n, n AS low, n AS high, TRUE AS exact FROM ("
+       + O.histogram_final_sql(PART, K_CONSENSUS, RUNS, seed=SAMPLE_SEED, steps=MAX_ITER_CONSENSUS) + ")")
+def consensus_histogram_estimated_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7 by the estimator with all tiles taken: the exact histogram."""
+    return _estimated(spark, sf_dir, 1.0)
+
+
+@query("consensus_histogram_estimated")
+def consensus_histogram_estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7 estimated from a fifth of the tiles, with 95 % intervals (sampling is the feature)."""
+    return _estimated(spark, sf_dir, 0.2)
+
+
+K_RANGE = (2, 3, 4, 5, 6)
+_STABILITY_SQL = "WITH h AS (" + "\nUNION ALL ".join(
+    f"SELECT {k} AS k, bin, n FROM ({O.histogram_final_sql(SUPPLIER, k, RUNS, seed=SAMPLE_SEED, steps=MAX_ITER_CONSENSUS)})" for k in K_RANGE) + """),
+cum AS (SELECT k, bin, n, sum(n) OVER (PARTITION BY k ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY k) AS total FROM h),
+st AS (SELECT k, sum(CAST(upto AS DOUBLE) / CAST(total AS DOUBLE)) / 10 AS area,
+              sum(CASE WHEN bin BETWEEN 1 AND 8 THEN CAST(n AS DOUBLE) ELSE 0.0 END) / max(total) AS ambiguous FROM cum GROUP BY k)
+SELECT CAST(k AS INTEGER) AS k, round(area, 9) AS area,
+       round(coalesce((area - lag(area) OVER (ORDER BY k)) / lag(area) OVER (ORDER BY k), area), 9) AS change,
+       round(ambiguous, 9) AS ambiguous, row_number() OVER (ORDER BY round(ambiguous, 12), k) = 1 AS chosen FROM st"""
+
+
+@query("k_stability", _STABILITY_SQL)
+def k_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C10 with K7: which k of 2..6 clusters the suppliers most stably over 20 subsamples."""
+    table = ST.choose_k(SUPPLIER.load(spark, sf_dir), list(K_RANGE), runs=RUNS, max_iter=MAX_ITER_CONSENSUS,
+                        sample_seed=SAMPLE_SEED, fraction=FRACTION)
+    return table.select("k", *[F.round(c, 9).alias(c) for c in ("area", "change", "ambiguous")], "chosen")
+
+
+def above_mean(sample: DataFrame, k: int, max_iter: int, seed: int) -> DataFrame:
+    """A plug-in clusterer: which points lie above the sample's mean (to 9 digits) in their first feature."""
+    from pyspark.ml.functions import vector_to_array
+    x = sample.select("point_id", vector_to_array("features")[0].alias("x0"))
+    mean = x.agg(F.round(F.avg("x0"), 9).alias("m")).head()["m"]
+    return x.select("point_id", (F.col("x0") > F.lit(mean)).cast("int").alias("cluster"))
+
+
+@query("consensus_plugin", f"""WITH {O.sampled_sql(SUPPLIER, RUNS, SAMPLE_SEED, FRACTION)},
+m AS (SELECT run, round(avg(x0), 9) AS m FROM mem GROUP BY run),
+asg AS (SELECT run, point_id, CAST(x0 > m AS INTEGER) AS cluster FROM mem JOIN m USING (run)),
+pr AS (SELECT count(*) AS s, sum(CASE WHEN a.cluster = b.cluster THEN 1 ELSE 0 END) AS c
+       FROM asg a JOIN asg b ON a.run = b.run AND a.point_id <> b.point_id GROUP BY a.point_id, b.point_id),
+h AS (SELECT least(9, (10 * c) // s) AS bin, count(*) AS n FROM pr GROUP BY 1)
+SELECT CAST(g.range AS INTEGER) AS bin, CAST(coalesce(h.n, 0) + CASE WHEN g.range = 0
+       THEN (SELECT count(*) * (count(*) - 1) FROM pts) - (SELECT coalesce(sum(n), 0) FROM h) ELSE 0 END AS BIGINT) AS n
+FROM range(10) g LEFT JOIN h ON g.range = h.bin""")
+def consensus_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clusterer of one's own in the run loop (suppliers split at their sample's mean)."""
+    pts = materialize(SUPPLIER.load(spark, sf_dir), "points")
+    asg = cons.mllib_assignments(pts, above_mean, 2, 1, FIT_SEED, RUNS, SAMPLE_SEED, FRACTION)
+    return cons.consensus_histogram(asg, pts.count(), 2, RUNS).select("bin", F.col("n").cast("bigint").alias("n"))
+
+
 def _compare(spark: SparkSession, sf_dir: str, ps, k: int) -> DataFrame:
     pts = materialize(ps.load(spark, sf_dir), "points")
     n = pts.count()
@@ -197,6 +340,24 @@ def src_csv_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CSV.read_csv_typed(spark, path, part.schema)
 
 
+@query("src_csv_quarantine", """SELECT CASE WHEN p_partkey % 10 = 0 OR p_partkey % 15 = 5 THEN 'bad' ELSE 'good' END AS kind, CAST(count(*) AS BIGINT) AS n,
+  CAST(sum(CASE WHEN p_partkey % 10 = 0 OR p_partkey % 15 = 5 THEN length(CASE WHEN p_partkey % 10 = 0 THEN p_partkey || ',size ' || p_size
+       ELSE p_partkey || ',' || p_size || ',extra' END) ELSE p_size END) AS BIGINT) AS total FROM part GROUP BY 1""")
+def src_csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 with bad lines set aside: some parts are written with text for a number or one field too many; good rows are
+    counted with their sizes, bad ones with the length of their text."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    lines = F.when(F.col("p_partkey") % 10 == 0, F.concat(key, F.lit(",size "), size)).when(
+        F.col("p_partkey") % 15 == 5, F.concat(key, F.lit(","), size, F.lit(",extra"))).otherwise(F.concat_ws(",", key, size))
+    path = scratch_path(spark, "part-lines")
+    read_table(spark, sf_dir, "part", ["p_partkey", "p_size"]).select(lines.alias("value")).write.text(path)
+    schema = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_size", T.LongType())])
+    good, bad = CSV.read_csv_quarantined(spark, path, schema, header=False)
+    n = F.count(F.lit(1)).cast("bigint").alias("n")
+    return good.agg(F.lit("good").alias("kind"), n, F.sum("p_size").alias("total")).unionByName(
+        bad.agg(F.lit("bad").alias("kind"), n, F.sum(F.length("line")).alias("total")))
+
+
 _VIEW_SQL = """SELECT p_brand, CAST(count(*) AS BIGINT) AS n_parts, round(avg(p_retailprice), 6) AS avg_price,
        min(p_size) AS min_size, max(p_size) AS max_size
 FROM {view} GROUP BY p_brand"""
@@ -238,6 +399,13 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PROFILE.profile_columns(read_table(spark, sf_dir, "customer"))
 
 
+@query("profile_sample", """SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer
+ORDER BY md5('1:' || c_custkey) LIMIT 20""")
+def profile_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 rows to look at, the same on any layout (the limit is the feature)."""
+    return PROFILE.sample_rows(read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]), 20, ["c_custkey"])
+
+
 @query("model_save_load", f"SELECT {PURCHASE_GROUP} AS cluster, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def model_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S5 + S6: fit, save to the shared folder, load, predict; sizes of the
@@ -277,6 +445,33 @@ def feat_string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("c_custkey", "c_mktsegment", "segment_idx")
 
 
+_NAME_RANK = """WITH f AS (SELECT c_name, count(*) AS n FROM customer GROUP BY 1),
+r AS (SELECT c_name, CAST(row_number() OVER (ORDER BY n DESC, c_name) - 1 AS DOUBLE) AS name_idx FROM f)
+"""
+
+
+@query("feat_string_index_table", _NAME_RANK + "SELECT c.c_custkey, c.c_name, r.name_idx FROM customer c JOIN r USING (c_name)")
+def feat_string_index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 at any cardinality: customer names indexed without a label list on the driver."""
+    customers = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name"])
+    return STR.index_strings(customers, "c_name", STR.label_table(customers, "c_name"), "name_idx")
+
+
+_FLAG_RANK = """WITH f AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1),
+r AS (SELECT l_returnflag, CAST(row_number() OVER (ORDER BY n DESC, l_returnflag) - 1 AS DOUBLE) AS flag_idx FROM f)
+"""
+
+
+@query("feat_index_labels", _FLAG_RANK + """SELECT l_returnflag, flag_idx, l_returnflag AS flag_back, CAST(count(*) AS BIGINT) AS n
+FROM lineitem JOIN r USING (l_returnflag) GROUP BY 1, 2""")
+def feat_index_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 and F4 on a column whose few labels each hold much of the table: indexed and turned back, counted."""
+    lines = read_table(spark, sf_dir, "lineitem", ["l_returnflag"])
+    labels = STR.label_table(lines, "l_returnflag")
+    back = STR.index_labels(materialize(STR.index_strings(lines, "l_returnflag", labels, "flag_idx"), "indexed"), "flag_idx", labels, "flag_back")
+    return back.groupBy("l_returnflag", "flag_idx", "flag_back").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
 @query("feat_index_to_string", _SEGMENT_RANK +
        "SELECT c.c_custkey, r.segment_idx, c.c_mktsegment AS segment_back FROM customer c JOIN r USING (c_mktsegment)")
 def feat_index_to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,6 +511,17 @@ def points_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.count_points(read_table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"])
 
 
+@query("points_vectors", """SELECT CAST(2 * count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT (p_size, p_retailprice)) AS BIGINT) AS n_vectors FROM part""")
+def points_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 + R5 on vectors: every part as a dense vector and, read from LIBSVM, as a sparse one is one point."""
+    part = read_table(spark, sf_dir, "part", ["p_size", "p_retailprice"])
+    dense = FT.to_features(part.select("p_size", F.array(*[F.expr(e).cast("double") for e in PART.features]).alias("x")))
+    path = scratch_path(spark, "part-vectors")
+    LIBSVM.write_libsvm(dense, path, "p_size", "features")
+    both = dense.select("features").unionByName(LIBSVM.read_libsvm(spark, path, 2).select("features"))
+    return P.distinct_vectors(both).agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_vectors"))
+
+
 @query("points_keyed", "SELECT DISTINCT p_partkey AS point_id, p_size, p_retailprice FROM part")
 def points_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R5 with a natural key."""
@@ -455,6 +661,17 @@ def gmm_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.gmm_loglik(_mixture(spark, sf_dir)).select("k", F.round("log_likelihood", 6).alias("log_likelihood"))
 
 
+@query("gmm_loglik_loaded", f"""WITH {_MIXTURE_SQL}
+SELECT 2 AS k, total.n AS n, round(sum(st.n * (ln(st.n / CAST(total.n AS DOUBLE)) - 0.5 * ln(2 * pi() * v) - 0.5)), 6) AS log_likelihood
+FROM st, total GROUP BY total.n""")
+def gmm_loglik_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 of any mixture: the same model saved, loaded (without a summary) and evaluated from its parameters."""
+    f = _mixture(spark, sf_dir)
+    loaded = MODELS.load_model("gmm", MODELS.save_model(f.model, scratch_path(spark, "model-gmm")))
+    out = MIX.mixture_loglik(FIFTH.load(spark, sf_dir), MIX.Mixture.from_model(loaded))
+    return out.select("k", "n", F.round("log_likelihood", 6).alias("log_likelihood"))
+
+
 @query("gmm_parameters", f"""WITH {_MIXTURE_SQL}
 SELECT g AS component, 'weight' AS param, -1 AS i, -1 AS j, round(st.n / CAST(total.n AS DOUBLE), 6) AS value FROM st, total
 UNION ALL SELECT g, 'mean', 0, -1, round(m, 6) FROM st UNION ALL SELECT g, 'cov', 0, 0, round(v, 6) FROM st""")
@@ -596,6 +813,59 @@ def rf_holdout_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.rf_holdout_score(_uninformative(spark, sf_dir), "point_id").select("metric", F.round("value", 6).alias("value"))
 
 
+#: A part's group (one of five, by its key) and a class that follows it but for one part in seven.
+_NOISY = "((p_partkey % 5 IN (1, 3)) <> (p_partkey % 7 = 0))"
+
+
+def _informative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "part", ["p_partkey"]).select(
+        F.col("p_partkey").alias("point_id"), (F.col("p_partkey") % 5).cast("double").alias("g"),
+        F.expr(_NOISY).cast("double").alias("label"))
+    return FT.vector_index(FT.assemble(rows, ["g"], "raw"), "raw", "features", 8)[0].select("point_id", "features", "label")
+
+
+@query("rf_holdout_informative", f"""WITH s AS (SELECT p_partkey % 5 AS g, {_NOISY} AS label,
+  substr(md5(concat_ws(':', 'split', '5043', CAST(p_partkey AS VARCHAR))), 1, 8) < 'cccccccc' AS is_train FROM part),
+rule AS (SELECT g, avg(CAST(label AS INTEGER)) > 0.5 AS says FROM s WHERE is_train GROUP BY g),
+t AS (SELECT label, says FROM s JOIN rule USING (g) WHERE NOT is_train),
+per AS (SELECT l.label, (SELECT count(*) FROM t WHERE t.label = l.label) AS n,
+               (SELECT count(*) FROM t WHERE t.label = l.label AND t.says = l.label) AS hit,
+               (SELECT count(*) FROM t WHERE t.says = l.label) AS said FROM (SELECT DISTINCT label FROM t) l)
+SELECT 'accuracy' AS metric, round((SELECT avg(CASE WHEN label = says THEN 1.0 ELSE 0.0 END) FROM t), 6) AS value
+UNION ALL SELECT 'f1', round(sum(n * 2.0 * hit / (n + said)) / sum(n), 6) FROM per""")
+def rf_holdout_informative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4 on a feature that tells the class but for one part in seven: the forest says each group's majority."""
+    return I.rf_holdout_score(_informative(spark, sf_dir), "point_id").select("metric", F.round("value", 6).alias("value"))
+
+
+@query("rf_cross_validate_informative", f"""WITH s AS (SELECT p_partkey % 5 AS g, {_NOISY} AS label,
+  CAST(CAST('0x' || substr(md5(concat_ws(':', 'fold', '5043', CAST(p_partkey AS VARCHAR))), 1, 7) AS INTEGER) % 3 AS INTEGER) AS fold FROM part),
+f AS (SELECT DISTINCT fold FROM s),
+rule AS (SELECT f.fold, g, avg(CAST(label AS INTEGER)) > 0.5 AS says FROM f JOIN s ON s.fold <> f.fold GROUP BY 1, 2),
+acc AS (SELECT s.fold, avg(CASE WHEN s.label = r.says THEN 1.0 ELSE 0.0 END) AS p FROM s JOIN rule r ON s.fold = r.fold AND s.g = r.g GROUP BY 1)
+SELECT d.max_depth, t.num_trees, (SELECT round(avg(p), 6) FROM acc) AS accuracy
+FROM (VALUES (3), (5)) d(max_depth), (VALUES (10), (20)) t(num_trees)""")
+def rf_cross_validate_informative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4: the grid on the same feature; every fold's rule is the majority of each group in the other folds."""
+    cv = I.rf_cross_validate(_informative(spark, sf_dir), "point_id")
+    return cv.select("max_depth", "num_trees", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("rf_pipeline", """SELECT p_partkey AS point_id, CASE WHEN p_partkey % 5 IN (1, 3) THEN 'odd group' ELSE 'even group' END AS predicted,
+  TRUE AS same_when_loaded FROM part""")
+def rf_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4, F1-F4, S5, S6 as one: string and number columns indexed, assembled, a forest, its class named; the fitted
+    pipeline saved, loaded and asked again."""
+    rows = read_table(spark, sf_dir, "part", ["p_partkey"]).select(
+        F.col("p_partkey").alias("point_id"), F.concat(F.lit("g"), F.col("p_partkey") % 5).alias("grp"), F.lit(3.0).alias("constant"),
+        F.when(F.expr("p_partkey % 5 IN (1, 3)"), "odd group").otherwise("even group").alias("kind"))
+    model = I.fit_class_pipeline(rows, ["grp"], ["constant"], "kind", "point_id")
+    loaded = MODELS.load_model("pipeline", MODELS.save_model(model, scratch_path(spark, "model-pipeline")))
+    first = I.predict_classes(model, rows.drop("kind"))
+    again = I.predict_classes(loaded, rows.drop("kind")).select("point_id", F.col("predicted").alias("again"))
+    return first.join(again, "point_id").select("point_id", "predicted", (F.col("predicted") == F.col("again")).alias("same_when_loaded"))
+
+
 @query("rf_holdout_score_usage")
 def rf_holdout_score_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I4 on the clustered users."""

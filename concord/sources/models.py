@@ -6,6 +6,8 @@ again from its predictions (``concord.operators.cluster``).
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+
 from concord.operators.cluster import model_class
 
 
@@ -15,4 +17,5 @@ def save_model(model, path: str) -> str:
 
 
 def load_model(algorithm: str, path: str):
-    return model_class(algorithm).load(path)
+    """A saved ``kmeans``, ``bisecting`` or ``gmm`` model, or a whole ``pipeline``."""
+    return (PipelineModel if algorithm == "pipeline" else model_class(algorithm)).load(path)

@@ -36,3 +36,16 @@ def schema_rows(df: DataFrame) -> DataFrame:
     """The schema itself as rows (position, column_name, data_type, nullable)."""
     rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
     return df.sparkSession.createDataFrame(rows, "position int, column_name string, data_type string, nullable boolean")
+
+
+def sample_rows(df: DataFrame, n: int, key_cols: list[str], seed: int = 1) -> DataFrame:
+    """``n`` rows to look at (what ``show`` prints): those with the smallest hash of (seed, key columns).
+
+    The rows depend on their values alone, not on files, partitions or order, and
+    equal keys follow their other values.  Each task keeps its n smallest and the
+    driver merges n rows a task (a top-n, not a sort of the table)."""
+    if n < 0:
+        raise ValueError("n must not be negative")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols]
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
+    return df.orderBy(h, F.to_json(F.struct(*[F.col(c) for c in df.columns]))).limit(n)

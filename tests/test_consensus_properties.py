@@ -109,9 +109,31 @@ def test_kernel_counts_weights_beyond_bigint():
     from concord.functions.masks import RunWords
 
     w = 5_000_000_000
-    cols = {"t": [0, 0], "sid": [1, 1], "w": [w, w], "smask_0": [1, 1], "m0_0": [1, 1], "m1_0": [0, 0], "side": [0, 1]}
-    out = cons._tile_kernel(2, RunWords(1), "final")(pd.DataFrame(cols))
-    assert [int(x) for x in out["n"]] == [0] * 9 + [w * (w - 1)]
+    cols = {"t": [0, 0], "sid": [1, 1], "w": [w, w], "smask_0": [1, 1], "m0_0": [1, 1], "m1_0": [0, 0], "side": [0, 1],
+            "ba": [0, 0], "bb": [0, 0]}
+    for by_run in (False, True):
+        out = cons._tile_kernel(2, RunWords(1), by_run)(pd.DataFrame(cols))
+        assert [int(x) for x in out["n"]] == [0] * 9 + [w * (w - 1)]
+
+
+def test_after_every_run(spark):
+    """Each run's rows are the final histogram of the runs up to it; their sum is the cumulative one."""
+    rng = random.Random(5)
+    n, runs, k = 14, 6, 3
+    rows = [(r, p, rng.randrange(k)) for r in range(runs) for p in range(n - 1) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "run int, point_id bigint, cluster int")
+    for word_bits in (63, 4):
+        got = {(r["run"], r["bin"]): int(r["n"]) for r in cons.consensus_histogram_by_run(
+            df, n, k, runs, block_rows=3, word_bits=word_bits).collect()}
+        assert len(got) == runs * 10
+        for r in range(1, runs + 1):
+            assert [got[r, b] for b in range(10)] == brute_force([x for x in rows if x[0] < r], n, r, "final")
+        assert [sum(got[r, b] for r in range(1, runs + 1)) for b in range(10)] == brute_force(rows, n, runs, "cumulative")
+
+
+def test_blocks_grow_with_the_signatures():
+    assert [cons.block_count(m) for m in (0, 1, 2048, 2049, 10 ** 5, 10 ** 6, 10 ** 8)] == [1, 1, 1, 2, 49, 64, 6104]
+    assert cons.block_count(100, 7) == 15
 
 
 @pytest.mark.parametrize("rows,n,what", [
@@ -135,7 +157,7 @@ def test_tiles_without_common_clusters_are_skipped(spark):
     blocked = cons._blocked(sigs, cols, nb)
     kept, every = (cons._tile_list(blocked, cols, nb, s).count() for s in (True, False))
     assert kept < every
-    tiles = cons._tiles(blocked, cols, m, nb, False)
+    tiles = cons._tiles(blocked, cols, cons._tile_list(blocked, cols, nb, False), nb)
     assert tiles.groupBy("sid").count().agg(cons.F.max("count")).head()[0] <= nb + 1
 
 
