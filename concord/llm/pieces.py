@@ -125,17 +125,21 @@ class Pieces:
                 spelt = chunk[end - 1].encode("utf-8", "surrogatepass")
                 edges[end].append((end - 1, self.unknown, [self.byte_ids[b] for b in spelt]))
             best[end] = max(best[s] + w for s, w, _ in edges[end])
-        # (minus total, node, tie, score of the pieces after the node, the pieces after it)
-        heap = [(-best[-1], len(text), 0, 0.0, ())]
+        # (minus total, node, tie, score of the pieces after the node, these pieces as (first, (next, ...)))
+        heap: list[tuple] = [(-best[-1], len(text), 0, 0.0, None)]
         out, tie = [], 0
         while heap and len(out) < n:
             total, node, _, done, tail = heapq.heappop(heap)
             if node == 0:
-                out.append((-total, [i for part in tail for i in part]))
+                ids = []
+                while tail is not None:
+                    part, tail = tail
+                    ids += part
+                out.append((-total, ids))
                 continue
             for start, w, ids in edges[node]:
                 tie += 1
-                heapq.heappush(heap, (-(best[start] + w + done), start, tie, w + done, (ids, *tail)))
+                heapq.heappush(heap, (-(best[start] + w + done), start, tie, w + done, (ids, tail)))
         return out
 
     # ----------------------------------------------------- many lattices at once

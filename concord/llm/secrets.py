@@ -21,6 +21,8 @@ with the number of parts.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,11 +43,14 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 _ASSIGN_WORDS = ("passw", "secret", "token", "api_key", "apikey")
 
 _ID = re.compile(r"""(?:access|client|account|user|tenant)[_-]?(?:key[_-]?)?id["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{6,}"""
-                 r"""|\b(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{4,}""", re.I | re.A)
+                 r"""|(?-i:\b(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{4,})""", re.I | re.A)
 _ID_WORDS = ("id", "akia", "asia", "aida", "aroa")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-_ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,9}://[^\s"'<>]{4,}|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b"""
-                       r"""|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}\b""", re.A)
+_ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,9}://[^\s"'<>]{4,}|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b""", re.A)
+#: A whole run of host characters with a port behind it (tried once a run, so in linear time), and where a name may begin in it.
+_HOST_RUN = re.compile(r"(?<![a-z0-9.-])[a-z0-9.-]++(?=:\d{2,5}\b)", re.A)
+_HOST_START = re.compile(r"\b[a-z0-9-]", re.A)
+_PORT = re.compile(r":\d{2,5}", re.A)
 _PART = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 PARTS = "array<struct<kind: int, start: bigint, end: bigint>>"
 
@@ -72,8 +77,30 @@ def weak_parts(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int,
         if any(c.isdigit() for c in t) and t.lower() != t and t.upper() != t:
             out.append((4, m.start(), m.end()))
     if "." in text or "://" in text:
-        out += [(5, m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
-    return [p for p in out if not any(s < p[2] and p[1] < e for _, s, e in strong)]
+        out += _endpoints(text)
+    return _apart(out, [(s, e) for _, s, e in strong])
+
+
+def _endpoints(text: str) -> list[tuple[int, int, int]]:
+    """URLs and IPv4 addresses, and apart from them hosts of two or more labels with a port."""
+    found = [(5, m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
+    hosts = []
+    for m in _HOST_RUN.finditer(text):
+        a, b = max(m.start(), hosts[-1][2] if hosts else 0), m.end()
+        # the last labels without an empty one among them
+        a = max(a, text.rfind("..", a, b) + 2)
+        head = _HOST_START.search(text, a + text.startswith(".", a), b)
+        if head and text[b - 1] != "." and "." in text[head.start(): b]:
+            hosts.append((5, head.start(), _PORT.match(text, b).end()))
+    return found + _apart(hosts, [(s, e) for _, s, e in found])
+
+
+def _apart(parts: list[tuple[int, int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """The parts that overlap none of the spans."""
+    spans = sorted(spans)
+    starts = [s for s, _ in spans]
+    reach = list(accumulate((e for _, e in spans), max))           # the farthest end up to each span
+    return [p for p in parts if not (k := bisect_left(starts, p[2])) or reach[k - 1] <= p[1]]
 
 
 def _scan(texts: pa.Array) -> pa.Array:
@@ -118,7 +145,9 @@ def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     in code points, by start, then kind; ``spans`` has the linked weak parts too.
 
     Null and empty texts have empty arrays; every row of the input gives a row
-    (repeated rows equal ones).  ``row_key`` is ``_row_key`` of the row."""
+    (repeated rows equal ones), an empty table none.  Texts are scanned in time in
+    proportion to their length, however they repeat.  ``row_key`` is ``_row_key``
+    of the row."""
     scanned = materialize(docs.select("doc_id", _row_key().alias("row_key"), text_udf(_scan, PARTS)("text").alias("parts")),
                           "secret-parts")
     linked = linked_parts(scanned, reach)
@@ -147,17 +176,20 @@ def secret_report(docs: DataFrame) -> DataFrame:
         F.sha2(spans_text(F.col("strong")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
-def mask_spans(text: Column, spans: Column) -> Column:
-    """The text with every maximal run of overlapping spans replaced by ``MASK``."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    def step(acc: Column, p: Column) -> Column:
-        piece = F.substring(text, (acc["at"] + 1).cast("int"), (p["start"] - acc["at"]).cast("int"))
-        fresh = (p["start"] >= acc["at"])
-        return F.struct(F.greatest(acc["at"], p["end"]).alias("at"),
-                        F.when(fresh, F.concat(acc["out"], piece, F.lit(MASK))).otherwise(acc["out"]).alias("out"))
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(
-        acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+def masked(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with every maximal run of overlapping spans (by start) replaced by ``MASK``."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], MASK]
+        at = max(at, end)
+    return "".join([*out, text[at:]]) if out else text
+
+
+def _masked_texts(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """``masked`` for rows with a text and spans (kind, start, end); null for others."""
+    return pa.array([None if t is None or not p else masked(t, [(x["start"], x["end"]) for x in p])
+                     for t, p in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
@@ -166,5 +198,6 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key"), F.col("spans").alias("__spans")).distinct()
     keyed = docs.withColumn("__row", _row_key())
     met = keyed.join(found, keyed.doc_id.eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__key")), "left")
-    return met.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(
-        mask_spans(F.col("text"), F.col("__spans")))).drop("__doc", "__key", "__spans", "__row")
+    # only texts with spans go to the Python worker
+    sent = F.when(F.col("__spans").isNotNull(), F.col("text"))
+    return met.withColumn("text", F.coalesce(F.arrow_udf(_masked_texts, "string")(sent, F.col("__spans")), F.col("text"))).drop("__doc", "__key", "__spans", "__row")

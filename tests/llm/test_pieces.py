@@ -102,3 +102,17 @@ def test_whole_table_round_trip(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     bad = S.decode(S.encode(docs, n=1), "encoded.ids").where(F.col("decoded") != F.col("text"))
     assert bad.count() == 0
+
+
+def test_long_runs_without_blanks(model):
+    """200 KB of one run: the search keeps linked states, so memory and time grow with the run."""
+    import tracemalloc
+    rng = random.Random(6)
+    text = "".join(rng.choices("ABCDEFGHabcdefgh0123+/", k=200_000))
+    tracemalloc.start()
+    found = model.nbest_chunk(text, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2 and found[0][0] >= found[1][0]
+    assert all(model.decode(ids) == text[1:] for _, ids in found)
+    assert peak < 1 << 30

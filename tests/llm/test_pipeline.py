@@ -7,7 +7,7 @@ from concord.llm.queries import ORACLES, QUERIES
 from concord.session import materialize
 
 from .cases import odd
-from .test_secrets import plain_linked
+from .test_secrets import linked_by_gaps
 from .test_simhash import plain_fingerprint, plain_groups
 
 SF = "/root/testdata/sf0.001"
@@ -37,7 +37,7 @@ def test_run_equals_plain_code(spark, docs):
     p = pieces.load(pieces.read_model())
     want = {}
     for r in left:
-        text, spans = r["text"], [s.split(":") for s in plain_linked(r["text"]).split(",") if s]
+        text, spans = r["text"], [s.split(":") for s in linked_by_gaps(r["text"]).split(",") if s]
         out, at = "", 0
         for _, a, b in spans:
             if int(a) >= at:

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from concord.llm import secrets as S
@@ -29,12 +31,13 @@ def test_strong_spans_equal_plain_search(spark):
         assert r["n_assign"] + r["n_access"] + r["n_hex"] == (want[r["doc_id"]].count(",") + 1 if want[r["doc_id"]] else 0)
 
 
-def plain_linked(text, reach=S.REACH):
+def linked_by_gaps(text, reach=S.REACH):
+    """Links by the characters between two parts, whichever comes first and however long they are."""
     strong = S.strong_parts(text)
     parts = strong + S.weak_parts(text, strong)
     out = []
     for k, a, b in parts:
-        near = {k2 for k2, a2, _ in parts if a - reach <= a2 < b + reach}
+        near = {k2 for k2, a2, b2 in parts if max(a2 - b, a - b2) < reach}
         if k < 3 or (k == 3 and near & {0, 2, 4}) or (k == 4 and near & {1, 3}) or (k == 5 and near & {0, 2, 4} and near & {1, 3}):
             out.append((a, k, b))
     return ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
@@ -48,23 +51,11 @@ def test_links_only_complementary_parts(spark):
              "key wJalrXUtnFEMI/K7MDENGbPxRfiCYEXAMPLEKEY alone", "é" * 190 + "account_id=abcdef99 " + "secret: abcdefabcdefabcd " * 40]
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
     got = {r["doc_id"]: r["spans"] for r in S.secret_report(docs).collect()}
-    assert got == {k: plain_linked(t) for k, t in enumerate(texts)}
+    assert got == {k: linked_by_gaps(t) for k, t in enumerate(texts)}
     assert "endpoint" in got[0] and "id:" in got[0] and got[1] == "" and "secret:" in got[2]
     assert "id:" not in got[3] and got[4] == "" and got[5] == ""
 
 
-def linked_by_gaps(text, reach=S.REACH):
-    """Links by the characters between two parts, whichever comes first and however long they are."""
-    strong = S.strong_parts(text)
-    parts = strong + S.weak_parts(text, strong)
-    out = []
-    for k, a, b in parts:
-        near = {k2 for k2, a2, b2 in parts if max(a2 - b, a - b2) < reach}
-        if k < 3 or (k == 3 and near & {0, 2, 4}) or (k == 4 and near & {1, 3}) or (k == 5 and near & {0, 2, 4} and near & {1, 3}):
-            out.append((a, k, b))
-    return ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
-
-
 def test_long_parts_link_from_their_ends(spark):
     key, weak = "eyJhbGciOiJ9.aZ0-" * 36, "aZ0b" * 500
     texts = [f"token={key} client_id=abc12345", f"client_id=abc12345 token={key}",
@@ -94,3 +85,42 @@ def test_odd_rows_and_empty_table(spark):
     assert {r["base_sha256"] for r in rows} == {hashlib.sha256(b"").hexdigest()}
     assert S.secret_report(empty(spark)).count() == 0
     assert S.mask_secrets(empty(spark)).withColumn("z", F.lit(1)).count() == 0
+
+
+OLD_ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,9}://[^\s"'<>]{4,}|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b"""
+                          r"""|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}\b""", re.A)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="ab1-.:X_8 /", max_size=40) | st.text(alphabet="a.:80", max_size=12))
+def test_hosts_equal_one_backtracking_pattern(text):
+    """The linear search against the plain pattern tried at every place (texts with an address before a host apart)."""
+    got = [(a, b) for _, a, b in S._endpoints(text)]
+    want = [m.span() for m in OLD_ENDPOINT.finditer(text)]
+    if not any(S._ENDPOINT.finditer(text)):
+        assert got == want
+    assert all(not (a < d and c < b) for i, (a, b) in enumerate(got) for c, d in got[i + 1:])
+
+
+def test_key_ids_are_upper_case():
+    assert [p for p in S.weak_parts("ein asiatisches Akia1234 asiatiques", []) if p[0] == 3] == []
+    assert [p[0] for p in S.weak_parts("ASIA12345678", [])] == [3]
+
+
+def test_megabyte_texts_take_linear_time():
+    import time
+    for unit in ("a-", "a.", "id ", "token ", "ab1", "1.2.", "x.y:80 ", "client_id=abcdef12 "):
+        text = unit * (1_000_000 // len(unit))
+        t0 = time.process_time()
+        strong = S.strong_parts(text)
+        S.weak_parts(text, strong)
+        assert time.process_time() - t0 < 20, unit
+    spans = [(10 * i, 10 * i + 4) for i in range(100_000)]
+    t0 = time.process_time()
+    assert S.masked("x" * 1_000_000, spans).count(S.MASK) == 100_000
+    assert time.process_time() - t0 < 5
+
+
+def test_masked_runs():
+    assert S.masked("0123456789", [(1, 3), (2, 5), (5, 6), (8, 9)]) == f"0{S.MASK}{S.MASK}67{S.MASK}9"
+    assert S.masked("abc", []) == "abc" and S.masked("abc", [(0, 3)]) == S.MASK
