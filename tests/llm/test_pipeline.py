@@ -72,5 +72,5 @@ def test_stages_on_an_empty_table(spark, docs):
 
 def test_registered_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
     assert 4 <= len(P.STAGES) <= 5
