@@ -22,6 +22,11 @@ def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
+def test_entry_without_the_training_data_operators(monkeypatch):
+    monkeypatch.setattr(E, "find_spec", lambda name: None)
+    assert set(E.queries()) == set(catalog.QUERIES) and E.oracle_sql() == catalog.ORACLES
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
