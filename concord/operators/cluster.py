@@ -55,9 +55,12 @@ def model_class(algorithm: str):
 
 def fit(points: DataFrame, algorithm: str, k: int = 3, max_iter: int = 20, seed: int = 1,
         features_col: str = "features", prediction_col: str = "prediction",
-        partitions: int | None = None, laid_out: bool = False) -> Fit:
+        partitions: int | None = None, laid_out: bool = False, restarts: int = 1) -> Fit:
     """Fit, then append predictions to the input.
 
+    With ``restarts`` the model is the best of as many fits, from the seeds
+    ``seed``, ``seed + 1``, ...: the largest log-likelihood of a mixture, else the
+    least training cost (ties: the first), as one start may end in a poor optimum.
     The fit reads a written copy in a fixed layout (``laid_out``: the caller
     passes one), so the model does not depend on the input's partitioning."""
     if features_col not in points.columns:
@@ -65,7 +68,8 @@ def fit(points: DataFrame, algorithm: str, k: int = 3, max_iter: int = 20, seed:
     if not laid_out:
         partitions = layout_partitions(points.count()) if partitions is None else partitions
         points = fixed_layout(points, partitions, features_col=features_col)
-    model = estimator(algorithm, k, max_iter, seed, features_col, prediction_col).fit(points)
+    models = [estimator(algorithm, k, max_iter, seed + i, features_col, prediction_col).fit(points) for i in range(restarts)]
+    model = models[0] if restarts == 1 else min(models, key=lambda m: -m.summary.logLikelihood if algorithm == "gmm" else m.summary.trainingCost)
     return Fit(algorithm, k, model, model.transform(points), features_col, prediction_col, partitions)
 
 

@@ -15,7 +15,8 @@ from concord.operators.layout import fixed_layout
 
 
 def k_sweep(points: DataFrame, ks: list[int], algorithms=C.ALGORITHMS, max_iter: int = 20,
-            seed: int = 1, parallel_fits: int = PARALLEL_FITS, partitions: int | None = None) -> DataFrame:
+            seed: int = 1, parallel_fits: int = PARALLEL_FITS, partitions: int | None = None,
+            restarts: int = 1) -> DataFrame:
     """Fit every (algorithm, k) and report its cost.
 
     Rows (algorithm, k, metric, value, change): ``wcss`` for the k-means
@@ -32,7 +33,7 @@ def k_sweep(points: DataFrame, ks: list[int], algorithms=C.ALGORITHMS, max_iter:
 
     def one(job):
         a, k = job
-        f = C.fit(pts, a, k, max_iter, seed, partitions=partitions, laid_out=True)
+        f = C.fit(pts, a, k, max_iter, seed, partitions=partitions, laid_out=True, restarts=restarts)
         if a == "gmm":
             return (a, k, "log_likelihood", float(f.model.summary.logLikelihood))
         return (a, k, "wcss", float(C.wcss(f).first()["wcss"]))

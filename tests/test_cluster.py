@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from concord.operators import cluster as C
 from concord.operators import evaluate as E
 from concord.operators import features as FT
-from concord.plans.fixtures import PART, PURCHASE, PURCHASE_GROUP
+from concord.plans.fixtures import FIFTH, PART, PURCHASE, PURCHASE_GROUP
 from concord.session import scratch_path
 from concord.sources import models as M
 from concord.sources.tables import read_table
@@ -100,3 +100,12 @@ def test_model_round_trip(spark, purchase):
     a = f.predictions.select("point_id", "prediction")
     b = loaded.transform(purchase.select("point_id", "x").transform(FT.to_features)).select("point_id", "prediction")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_restarts_take_the_best_model(spark):
+    from concord.operators.layout import fixed_layout
+    pts = fixed_layout(C.to_features(FIFTH.load(spark, SF001)))
+    costs = [C.fit(pts, "gmm", 2, 30, seed, laid_out=True).model.summary.logLikelihood for seed in (1, 2, 3)]
+    assert C.fit(pts, "gmm", 2, 30, 1, laid_out=True, restarts=3).model.summary.logLikelihood == max(costs)
+    costs = [C.fit(pts, "kmeans", 5, 2, seed, laid_out=True).model.summary.trainingCost for seed in (1, 2, 3)]
+    assert C.fit(pts, "kmeans", 5, 2, 1, laid_out=True, restarts=3).model.summary.trainingCost == min(costs)
