@@ -18,7 +18,14 @@ bound are dropped, first by item (with its least bound and widest band), then
 by needle.  Verification: a banded alignment of the needle (both ends free in
 the text) in each kept band, for all bands of a piece of text at once.  Regions
 of an item that overlap on about one diagonal are one region, whose edits are
-the distance to the part of the item that its needles cover.
+the distance to the part of the item that its needles cover.  A piece of text
+with many shared q-grams is met in overlapping stretches of text and of items,
+each of which holds whole needles, so that a step holds a bounded number of
+them whatever the texts repeat.
+
+An item of fewer than 24 folded characters is a phrase: it is found where it
+stands whole and without edits, between ends of words (anywhere in scripts that
+put no blanks between words), by the hashes of the runs that begin at a word.
 
 The items are the query set: they are collected in blocks of bounded size
 and every block's index travels to the tasks; the texts are never shuffled.
@@ -27,10 +34,11 @@ and every block's index travels to the tasks; the texts are never shuffled.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import text_udf
@@ -39,11 +47,14 @@ Q = 8
 EDIT_RATE = 0.1
 NEEDLE = 80
 STRIDE = 16              # at most twice the budget of a window: see above
-MIN_NEEDLE = 24          # folded characters; a shorter item says too little to be a leak
+MIN_NEEDLE = 24          # folded characters; a shorter item is a phrase: found without edits only
 BLOCK_BYTES = 4 << 20    # benchmark text in one block
+HITS = 1 << 20           # shared q-grams that a step holds together
 _FILTER_BITS = 20
 _P = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+# scripts that put no blanks between words: Thai and Lao, Burmese, Khmer, kana and Han
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF),
+             (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
 LEAKS = "array<struct<item_id: bigint, start: bigint, end: bigint, edits: int>>"
 _alnum: np.ndarray | None = None
 
@@ -107,6 +118,11 @@ class Needles:
         """[needles, longest] code points (what follows a shorter needle is not part of it)."""
         return self.joined[self.start[:, None] + np.arange(self.length.max())[None, :]]
 
+    @cached_property
+    def posting_keys(self) -> np.ndarray:
+        """Rising: number of the q-gram and place of every posting."""
+        return np.repeat(np.arange(len(self.grams)), np.diff(self.first)) * len(self.joined) + self.at
+
 
 def index(items: list[tuple[int, str]], edit_rate: float = EDIT_RATE) -> Needles | None:
     """Lay needles over items and index the items' q-grams; None if there is no needle."""
@@ -169,10 +185,43 @@ def candidates(points: np.ndarray, first: np.ndarray, nd: Needles) -> tuple[np.n
     spots, g, text = spots[inside], g[inside], text[inside]
     if not len(spots):
         return none, none, none
-    n = nd.first[g + 1] - nd.first[g]
-    at, spots, text = nd.at[_spread(nd.first[g], n)], np.repeat(spots, n), np.repeat(text, n)
-    shift, texts = len(nd.joined), len(first)
+    before = np.concatenate([[0], np.cumsum(nd.first[g + 1] - nd.first[g])])
+    # stretches of text and of items; what overlaps holds any needle whole, with all diagonals of a band
+    longest = int(nd.length.max())
+    region, size = longest + 2 * (int(nd.budget.max()) + 1), len(nd.joined)
+    work, keys = [(0, len(points), 0, size)], []
+    while work:
+        x, y, a, b = work.pop()
+        lo, hi = np.searchsorted(spots, (x, y))
+        if before[hi] - before[lo] > HITS and y - x > 4 * region:
+            mid = (x + y) // 2
+            work += [(x, mid + region, a, b), (mid, y, a, b)]
+            continue
+        start, n = nd.first[g[lo:hi]], nd.first[g[lo:hi] + 1] - nd.first[g[lo:hi]]
+        if n.sum() > HITS:
+            start, stop = (np.searchsorted(nd.posting_keys, g[lo:hi] * size + p) for p in (a, b))
+            n = stop - start
+            if n.sum() > HITS and b - a > 4 * longest:
+                mid = (a + b) // 2
+                work += [(x, y, a, mid + longest), (x, y, mid, b)]
+                continue
+        keys.append(_bands(np.repeat(spots[lo:hi], n), np.repeat(text[lo:hi], n), nd.at[_spread(start, n)],
+                           len(points), len(first), nd))
+    key = np.unique(np.concatenate(keys))
+    shift, texts = size, len(first)
     top = len(points) + shift + 2
+    text, needle, band = key % texts, key // texts // top, key // texts % top
+    return text, needle, band * (nd.budget[needle] + 1) - shift + nd.start[needle]
+
+
+def _bands(spots: np.ndarray, text: np.ndarray, at: np.ndarray, length: int, texts: int, nd: Needles) -> np.ndarray:
+    """(needle * top + band) * texts + text of the bands that meet the bound, from shared
+    q-grams at ``spots`` of the texts and ``at`` of the items."""
+    none = np.zeros(0, np.int64)
+    shift = len(nd.joined)
+    top = length + shift + 2
+    if not len(at):
+        return none
     diagonal = spots - at + shift                                 # not negative
     # by item: what any of its needles shares with a region is in one of these bands
     owner = nd.owner[at].astype(np.int64)
@@ -184,7 +233,7 @@ def candidates(points: np.ndarray, first: np.ndarray, nd: Needles) -> tuple[np.n
     good = (count + np.maximum(beside(1), beside(-1)) >= nd.least[found // texts // top])[band]
     at, text, diagonal, owner = at[good], text[good], diagonal[good], owner[good]
     if not len(at):
-        return none, none, none
+        return none
     # by needle: the windows that hold the q-gram, and the tile if one does
     starts, tiles = nd.start[: nd.windows], nd.start[nd.windows:]
     lo = np.searchsorted(starts, np.maximum(at + Q - NEEDLE, nd.begin[owner]))
@@ -197,12 +246,10 @@ def candidates(points: np.ndarray, first: np.ndarray, nd: Needles) -> tuple[np.n
     band = diagonal[hit] // (nd.budget[needle] + 1)
     key = (needle * top + band) * texts + text[hit]
     found, count = np.unique(np.concatenate([key, key - texts]), return_counts=True)   # band and the one below
-    text, rest = found % texts, found // texts
-    needle, band = rest // top, rest % top
+    needle = found // texts // top
     good = (needle >= 0) & (needle < len(nd.item))
     good[good] = count[good] >= nd.bound[needle[good]]
-    text, needle, band = text[good], needle[good], band[good]
-    return text, needle, band * (nd.budget[needle] + 1) - shift + nd.start[needle]
+    return found[good]
 
 
 def align(points: np.ndarray, first: np.ndarray, nd: Needles, text: np.ndarray, needle: np.ndarray,
@@ -270,9 +317,76 @@ def distance(a: np.ndarray, b: np.ndarray, guess: int = 8) -> int:
         k *= 2
 
 
-def find_leaks(texts: list[str], nd: Needles) -> list[list[dict]]:
+@dataclass
+class Phrases:
+    """Items too short for needles, by length."""
+    hashes: dict[int, np.ndarray]     # of each length, sorted
+    items: dict[int, np.ndarray]      # item_id of each
+    points: dict[int, np.ndarray]     # [phrases, length] code points of each
+
+
+def phrases(items: list[tuple[int, str]]) -> Phrases | None:
+    """The items of fewer than ``MIN_NEEDLE`` folded characters; None if there is none."""
+    folded, _, first = fold([t for _, t in items])
+    by_length: dict[int, list] = {}
+    for k, (item, _) in enumerate(items):
+        points = folded[first[k]: first[k + 1]]
+        points = points[: len(points) - 1] if len(points) and points[-1] == 32 else points
+        if 0 < len(points) < MIN_NEEDLE:
+            by_length.setdefault(len(points), []).append((item, points))
+    if not by_length:
+        return None
+    out = Phrases({}, {}, {})
+    for n, rows in by_length.items():
+        points = np.stack([p for _, p in rows])
+        h = np.zeros(len(rows), np.uint64)
+        for k in range(n):
+            h = h * _P + points[:, k]
+        order = np.argsort(h, kind="stable")
+        out.hashes[n], out.points[n] = h[order], points[order]
+        out.items[n] = np.array([i for i, _ in rows], np.int64)[order]
+    return out
+
+
+def find_phrases(points: np.ndarray, first: np.ndarray, ph: Phrases) -> list[tuple[int, int, int, int]]:
+    """(text, item_id, first place, place after the last) of every phrase in the folded texts."""
+    spaced = points != 32
+    for lo, hi in _UNSPACED:
+        spaced &= (points < lo) | (points > hi)
+    edge = np.ones(len(points) + 1, bool)                         # no word goes on here
+    edge[1:-1] = ~(spaced[:-1] & spaced[1:])
+    edge[first] = True
+    start = np.flatnonzero(edge[:-1] & (points != 32))
+    text = np.searchsorted(first, start, side="right") - 1
+    h = np.zeros(len(start), np.uint64)
+    out = []
+    for n in range(1, max(ph.hashes) + 1):
+        on = start + n <= first[text + 1]
+        start, text, h = start[on], text[on], h[on]
+        h = h * _P + points[start + n - 1]
+        if n in ph.hashes:
+            lo = np.searchsorted(ph.hashes[n], h)
+            count = np.where(edge[start + n], np.searchsorted(ph.hashes[n], h, side="right") - lo, 0)
+            k, at, of = _spread(lo, count), np.repeat(start, count), np.repeat(text, count)
+            same = (points[at[:, None] + np.arange(n)] == ph.points[n][k]).all(axis=1)
+            out += zip(of[same].tolist(), ph.items[n][k[same]].tolist(), at[same].tolist(), (at[same] + n).tolist())
+    return out
+
+
+def find_leaks(texts: list[str], nd: Needles | None, ph: Phrases | None = None) -> list[list[dict]]:
     """Regions (item_id, start, end, edits) of each text, in code points, by start."""
     points, place, first = fold(texts)
+    out: list[list[dict]] = [[] for _ in texts]
+    if ph is not None and len(points):
+        for t, item, s, f in find_phrases(points, first, ph):
+            out[t].append({"item_id": item, "start": int(place[s]), "end": int(place[f - 1]) + 1, "edits": 0})
+    if nd is not None:
+        _find_regions(points, place, first, nd, out)
+    return [sorted(r, key=lambda r: (r["start"], r["item_id"])) for r in out]
+
+
+def _find_regions(points: np.ndarray, place: np.ndarray, first: np.ndarray, nd: Needles, out: list[list[dict]]) -> None:
+    """Add the regions of the needles to ``out``."""
     text, needle, diagonal = candidates(points, first, nd)
     order = np.argsort(nd.length[needle], kind="stable")
     text, needle, diagonal = text[order], needle[order], diagonal[order]
@@ -298,7 +412,6 @@ def find_leaks(texts: list[str], nd: Needles) -> list[list[dict]]:
         else:
             open_.append([t, o, s, f, lo, hi, slope, e, True])
             chains.append(open_[-1])
-    out: list[list[dict]] = [[] for _ in texts]
     kept: list[list] = []
     for c in sorted(chains, key=lambda c: (c[0], c[1], c[2] - c[3])):   # an item's self-likeness shows inside longer regions
         kept = [x for x in kept if x[0] == c[0] and x[1] == c[1]]
@@ -309,10 +422,9 @@ def find_leaks(texts: list[str], nd: Needles) -> list[list[dict]]:
         edits = 0 if straight and not most else distance(nd.joined[lo:hi], points[s:f], most)
         out[t].append({"item_id": int(nd.item[np.searchsorted(nd.start[: nd.windows], nd.begin[o])]),
                        "start": int(place[s]), "end": int(place[f - 1]) + 1, "edits": edits})
-    return [sorted(r, key=lambda r: (r["start"], r["item_id"])) for r in out]
 
 
-def benchmark_blocks(benchmark: DataFrame) -> list[Needles]:
+def benchmark_blocks(benchmark: DataFrame) -> list[tuple[Needles | None, Phrases | None]]:
     """The benchmark (item_id, text) as indexes of about ``BLOCK_BYTES`` of text each."""
     items = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
@@ -320,20 +432,29 @@ def benchmark_blocks(benchmark: DataFrame) -> list[Needles]:
     blocks = []
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        blocks.append(index(sorted((-1 if r["item_id"] is None else r["item_id"], r["text"]) for r in rows)))
-    return [b for b in blocks if b]
+        block = sorted((-1 if r["item_id"] is None else r["item_id"], r["text"]) for r in rows)
+        blocks.append((index(block), phrases(block)))
+    return [b for b in blocks if b != (None, None)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") -> DataFrame:
     """Add ``column``: array of (item_id, start, end, edits), empty for a clean text.
 
-    Null and empty texts are clean; rows are kept one for one; a benchmark
-    without usable items leaves all clean; an item without id counts as -1; an
+    Null and empty texts are clean; rows are kept one for one; items without a
+    letter or digit are not looked for, and a benchmark of such items or none
+    leaves all clean; an item without id counts as -1; of items with equal texts
+    each is reported; a very long text is met in stretches of bounded work; an
     existing column of that name is replaced."""
-    found = [text_udf(lambda texts, nd=nd: pa.array(find_leaks([t or "" for t in texts.to_pylist()], nd), _KIND),
-                      LEAKS)("text") for nd in benchmark_blocks(benchmark)]
+    found = [text_udf(lambda texts, b=b: pa.array(find_leaks([t or "" for t in texts.to_pylist()], *b), _KIND),
+                      LEAKS)("text") for b in benchmark_blocks(benchmark)]
     every = F.concat(*found) if len(found) > 1 else found[0] if found else F.array().cast(LEAKS)
     return docs.withColumn(column, every)
 
 
+def has_passage(column: str = "leaks") -> Column:
+    """True if a region of ``column`` is a passage: more than one word of a script with blanks."""
+    word = r"^[\p{L}\p{N}&&[^\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uA4CF]]+$"
+    return F.exists(column, lambda r: ~F.substring("text", r["start"] + 1, r["end"] - r["start"]).rlike(word))
+
+
 _KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))

@@ -26,9 +26,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; an item of a single word is no passage."""
     found = benchmarks.leaks(docs, read_table(spark, sf_dir, "benchmark"), "__leaks")
-    return found.where(F.size("__leaks") == 0).drop("__leaks")
+    return found.where(~benchmarks.has_passage("__leaks")).drop("__leaks")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,6 +87,69 @@ def test_regions_of_one_passage_are_one_row_with_its_edits():
     assert [r["edits"] for r in twice] == [0, 0] and twice[1]["end"] == 2 * len(item) + 16
 
 
+def test_short_items_are_found_whole():
+    items = [(1, "Who wrote Hamlet?"), (2, "谁写了哈姆雷特"), (3, "a1"), (4, "WHO WROTE, HAMLET"), (5, "!!!"), (6, "ไทย ก")]
+    texts = ["So: who -- wrote\nhamlet, then", "who wrote hamlets", "我问谁写了哈姆雷特?", "a1 b a12 xa1 A1", "", "!!! who", "เมืองไทย กา",
+             "who wrote", "hamlet"]
+    assert D.index(items) is None
+    got = [[(r["item_id"], t[r["start"]: r["end"]], r["edits"]) for r in rows]
+           for t, rows in zip(texts, D.find_leaks(texts, None, D.phrases(items)))]
+    hamlet = "who -- wrote\nhamlet"
+    assert got == [[(1, hamlet, 0), (4, hamlet, 0)], [], [(2, "谁写了哈姆雷特", 0)], [(3, "a1", 0), (3, "A1", 0)], [], [],
+                   [(6, "ไทย ก", 0)], [], []]
+    assert D.phrases([(1, "x" * 24), (2, "?"), (3, "")]) is None and D.index([(1, "x" * 24)]) is not None
+
+
+def plain_phrases(items, text):
+    """Whole runs of words of the folded text, one by one."""
+    words = "".join(map(chr, D.fold([text])[0])).split()
+    return sorted(i for i, t in items for k in range(len(words)) if words[k: k + len(t.split())] == t.split())
+
+
+def test_phrases_equal_plain_runs_of_words():
+    rng = random.Random(9)
+    items = [(i, t) for i in range(200) if len(t := _text(rng, rng.randrange(1, 4))) < D.MIN_NEEDLE]
+    texts = [_text(rng, rng.randrange(40)) for _ in range(30)]
+    for text, rows in zip(texts, D.find_leaks(texts, None, D.phrases(items))):
+        assert sorted(r["item_id"] for r in rows) == plain_phrases(items, text)
+
+
+def test_stretches_find_the_same(monkeypatch):
+    rng = random.Random(10)
+    line = _text(rng, 18)
+    items = [(i, line + " " + _text(rng, 40) + " " + line) for i in range(12)]
+    nd = D.index(items)
+    texts = [" ".join([line] * 30), _text(rng, 300) + items[3][1] + _text(rng, 300), "", _edit(rng, items[5][1], 9) * 3]
+    whole = D.find_leaks(texts, nd)
+    assert any(r["item_id"] == 3 for r in whole[1]) and len(whole[0]) >= 12
+    points, _, first = D.fold(texts)
+    bands = set(zip(*(x.tolist() for x in D.candidates(points, first, nd))))
+    monkeypatch.setattr(D, "HITS", 1000)
+    assert set(zip(*(x.tolist() for x in D.candidates(points, first, nd)))) == bands
+    assert D.find_leaks(texts, nd) == whole
+
+
+def test_long_repetitive_texts_in_bounded_memory(monkeypatch):
+    """One line over and over that stands in every item: no step holds more than ``HITS`` shared q-grams."""
+    rng = random.Random(11)
+    line = _text(rng, 5)
+    nd = D.index([(i, line + " " + _text(rng, 20)) for i in range(40)])
+    seen = []
+    bands = D._bands
+    monkeypatch.setattr(D, "_bands", lambda spots, *rest: (seen.append(len(spots)), bands(spots, *rest))[1])
+    monkeypatch.setattr(D, "HITS", 1 << 16)
+    text = (line + " ") * (60_000 // len(line)) + _text(rng, 5)
+    assert D.find_leaks([text], nd) == [[]] and max(seen) <= D.HITS and sum(seen) > 20 * D.HITS
+
+
+def test_stage_keeps_documents_with_a_single_word(spark):
+    bench = spark.createDataFrame([(1, "hamlet"), (2, "who wrote it"), (3, "谁写了哈姆雷特")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "hamlet is a play"), (2, "Who wrote it?"), (3, "我问谁写了哈姆雷特"), (4, None)], "doc_id long, text string")
+    found = D.leaks(docs, bench)
+    assert {r["doc_id"]: r["item_id"] for r in found.select("doc_id", "leaks.item_id").collect()} == {1: [1], 2: [2], 3: [3], 4: []}
+    assert {r["doc_id"] for r in found.where(D.has_passage()).collect()} == {2, 3}
+
+
 def test_odd_rows_blocks_and_clean_documents(spark, monkeypatch):
     rng = random.Random(6)
     items = [(i, _text(rng, 20)) for i in range(6)] + [(None, _text(rng, 20)), (50, None), (51, ""), (52, "short"), (0, _text(rng, 20))]
