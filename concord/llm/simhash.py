@@ -15,9 +15,15 @@ distances and asks the shards whose distances lie within rho: only its own for
 rho = 0, the boundary-overlapping ones too for rho > 0.  Inside a shard pairs
 are compared on all 64 bits, so the links are exact for any choice of bands.
 
+A band of 16 bits has 65,536 values, so its shards grow with the corpus.  A
+shard over ``tile`` rows is cut by a second forest over the bits outside its
+band, again in one part more than the radius has bits: of two neighbours one
+part is equal.  Shards of both levels stand for 28 bits, so 2^28 times as many
+fingerprints as a tile holds are met in tiles.
+
 Work is on distinct fingerprints: a group of equal ones, however large, is one
-row.  Small shards are joined on the shard key; a shard over ``tile`` rows is
-cut into blocks, and a task compares two blocks with numpy and returns a
+row.  Small shards are joined on the shard key; larger ones are cut into blocks
+of ``tile`` rows, and a task compares two blocks with numpy and returns a
 spanning forest of their links, at most one edge for each row: neither all pairs nor
 a whole shard ever meet in one place.
 """
@@ -97,6 +103,22 @@ def shards(fp: Column, bands: int, levels: int, radius: int, probes: bool) -> Co
     return F.concat(*trees)
 
 
+def deeper_shards(bands: int, levels: int, radius: int) -> Column:
+    """array<struct(tree, leaf)>: the leaves of the second level that store ``fp`` of shard (``tree``, ``leaf``)."""
+    width, parts = 64 // bands, radius + 1
+    turn = f"cast({width} * (tree + 1) as int)"                   # the shard's own band comes to the top
+    rest = F.expr(f"shiftrightunsigned(fp, {turn}) | shiftleft(fp, 64 - {turn})")
+    cuts = [(64 - width) * k // parts for k in range(parts + 1)]
+    trees = []
+    for u, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        part = F.shiftrightunsigned(rest, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+        leaf = F.col("leaf")
+        for v in _vantage_points(levels, hi - lo, 128 + u):
+            leaf = _path(leaf, F.bit_count(part.bitwiseXOR(F.lit(v))).cast("bigint"))
+        trees.append(F.struct(((F.col("tree") + 1) * 64 + u).cast("int").alias("tree"), leaf.alias("leaf")))
+    return F.array(*trees)
+
+
 def _forest(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
     """Links between a tile's asking and stored rows, thinned to a spanning forest."""
     fp = pdf["fp"].to_numpy(np.int64)
@@ -124,6 +146,12 @@ def _forest(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
+def _counted(rows: DataFrame, asking: DataFrame) -> DataFrame:
+    """``rows`` of the shards that two or more rows ask, with their number."""
+    sizes = asking.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(sizes, ["tree", "leaf"])
+
+
 def links(fps: DataFrame, radius: int = RADIUS, bands: int = 4, levels: int = 12, small: int = 64,
           tile: int = 4096) -> DataFrame:
     """fps(fp bigint, distinct) -> links(a, b): connects exactly the fingerprints
@@ -132,19 +160,24 @@ def links(fps: DataFrame, radius: int = RADIUS, bands: int = 4, levels: int = 12
         raise ValueError("bands must divide 64")
     stored = fps.select("fp", F.explode(shards(F.col("fp"), bands, levels, radius, False)).alias("s")) \
         .select("fp", "s.tree", "s.leaf")
-    asking = stored if radius < bands else fps.select(
-        "fp", F.explode(shards(F.col("fp"), bands, levels, radius, True)).alias("s")).select("fp", "s.tree", "s.leaf")
-    sizes = asking.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    few = sizes.where(F.col("n") <= small).select("tree", "leaf")
-    many = sizes.where(F.col("n") > small)
-
-    left = asking.join(few, ["tree", "leaf"]).select("tree", "leaf", F.col("fp").alias("a"))
-    right = stored.select("tree", "leaf", F.col("fp").alias("b"))
+    if radius < bands:                     # asking and stored rows are the same
+        met = materialize(_counted(stored, stored), "shards")
+        deep = met.where(F.col("n") > tile).select("fp", F.explode(deeper_shards(bands, levels, radius)).alias("s")) \
+            .select("fp", "s.tree", "s.leaf")
+        asking = stored = met.where(F.col("n") <= tile).unionByName(materialize(_counted(deep, deep), "deeper-shards"))
+    else:
+        probes = fps.select("fp", F.explode(shards(F.col("fp"), bands, levels, radius, True)).alias("s")).select(
+            "fp", "s.tree", "s.leaf")
+        asking, stored = _counted(probes, probes), _counted(stored, probes)
+
+    left = asking.where(F.col("n") <= small).select("tree", "leaf", F.col("fp").alias("a"))
+    right = stored.where(F.col("n") <= small).select("tree", "leaf", F.col("fp").alias("b"))
+    once = F.col("a") < F.col("b") if radius < bands else F.col("a") != F.col("b")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    pairs = left.join(right, ["tree", "leaf"]).where(close & (F.col("a") != F.col("b"))).select("a", "b")
+    pairs = left.join(right, ["tree", "leaf"]).where(close & once).select("a", "b")
 
     def blocks(rows: DataFrame, side: int) -> DataFrame:
-        cut = rows.join(many, ["tree", "leaf"]).withColumn(
+        cut = rows.where(F.col("n") > small).withColumn(
             "blocks", F.ceil(F.col("n") / F.lit(tile)).cast("int")).withColumn(
             "own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -152,7 +185,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bands: int = 4, levels: int = 12
         return cut.select("tree", "leaf", "fp", F.lit(side).alias("side"), *ij)
 
     tiles = blocks(asking, 0).union(blocks(stored, 1))
-    if radius < bands:                     # asking and stored rows are the same: half the tiles suffice
+    if radius < bands:                     # half the tiles suffice
         tiles = tiles.where("i <= j")
     forest = tiles.groupBy("tree", "leaf", "i", "j").applyInPandas(partial(_forest, radius=radius), "a long, b long")
     return pairs.union(forest)

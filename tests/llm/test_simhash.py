@@ -59,6 +59,25 @@ def test_links_equal_brute_force(spark, options):
     assert sorted(tuple(sorted(g)) for g in got.values()) == want
 
 
+@pytest.mark.parametrize("bands", [4, 8])
+def test_crowded_shards_are_cut_again(spark, bands):
+    """All fingerprints agree in a band: shards of the second level find the same links with fewer comparisons."""
+    rng = random.Random(5)
+    low = rng.getrandbits(64 // bands)
+    fps = {f >> (64 // bands) << (64 // bands) | low for f in _near(rng, 60)} | _near(rng, 5)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    got = {}
+    for r in connected_components(S.links(df, 3, bands=bands, small=4, tile=16)).collect():
+        got.setdefault(r["component"], set()).add(r["node"] % (1 << 64))
+    assert sorted(tuple(sorted(g)) for g in got.values()) == [g for g in plain_groups(list(fps)) if len(g) > 1]
+    shard = df.selectExpr("fp", "0 as tree", "7L as leaf").select("fp", S.deeper_shards(bands, 12, 3).alias("s")).collect()
+    leaves = {r["fp"]: {(x["tree"], x["leaf"]) for x in r["s"]} for r in shard}
+    pairs = [(a, b) for a in signed for b in signed if a < b and (a ^ b) % (1 << 64 // bands) == 0]
+    met = [p for p in pairs if leaves[p[0]] & leaves[p[1]]]
+    assert {p for p in pairs if ((p[0] ^ p[1]) % (1 << 64)).bit_count() <= 3} <= set(met) and len(met) < len(pairs) / 10
+
+
 def _plain(docs):
     fps = {f: None for f in (plain_fingerprint(t) for _, t in docs)}
     least = {}
