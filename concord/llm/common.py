@@ -65,13 +65,22 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(filled.buffers()[2], dtype=np.uint8)[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def range_cuts(docs: DataFrame, ranges: int) -> np.ndarray:
-    """At most ranges - 1 ids that occur in ``doc_id`` and cut it into ranges of about as many rows."""
+#: Bytes that one vote of ``range_cuts`` stands for.
+VOTE_BYTES = 1 << 10
+
+
+def range_cuts(docs: DataFrame, ranges: int, size: Column | None = None) -> np.ndarray:
+    """At most ranges - 1 ids that occur in ``doc_id`` and cut it into ranges of about as many
+    rows, or as much ``size``: a row votes once for each ``VOTE_BYTES`` of it, the rest by its hash."""
     if ranges < 2:
         return np.zeros(0, np.int64)
+    if size is not None:
+        votes = F.floor((size + F.pmod(F.xxhash64("doc_id", size), F.lit(VOTE_BYTES))) / VOTE_BYTES).cast("int")
+        docs = docs.select("doc_id", votes.alias("votes")).where("votes > 0").select(
+            "doc_id", F.explode(F.sequence(F.lit(1), "votes")))
     shares = [k / ranges for k in range(1, ranges)]
     got = docs.agg(F.percentile_approx("doc_id", shares, 100 * ranges).alias("q")).head()["q"] or []
-    return np.array(sorted(set(got)), np.int64)
+    return np.array(sorted({i for i in got if i is not None}), np.int64)
 
 
 def range_udf(cuts: np.ndarray):

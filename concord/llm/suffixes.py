@@ -10,8 +10,8 @@ for any two places i, j some d < v brings both i + d and j + d into D.  If the
 strings at i and j are equal, so are the cover samples at i + d and j + d of
 ``width - v + 1`` bytes.  Hence
 
-1. the documents are cut into blocks by ranges of doc_id (a bucketed table: all
-   later steps read a block without shuffling text again);
+1. the documents are cut into blocks of about as many bytes by ranges of doc_id
+   (a bucketed table: all later steps read a block without shuffling text again);
 2. every block ranks its cover samples (sorted keys, repeats left out);
 3. buckets of sample keys meet, one bucket in a task, and tell every block which
    of its samples tie with another block's, one bit a sample;
@@ -22,10 +22,11 @@ strings at i and j are equal, so are the cover samples at i + d and j + d of
 6. the blocks mark and cut the bytes; ties inside a block are settled there.
 
 Exact copies of a smaller document are known from a digest and skip all that.
-Keys cross the network packed: per bucket the count of keys with each leading
-part, and the rest of each key (2 bytes of a sample's, 6 of a suffix's).  A
-task holds one block (about ``BLOCK_BYTES``) or one bucket; a string that
-stands in a third of all documents is one key a block.
+Keys cross the network as the steps between a bucket's sorted keys, about 3
+bytes a sample and 6 a suffix, 8 at most: what a block sends depends on its own
+keys, however many buckets the corpus has.  A task holds one block (about
+``BLOCK_BYTES``) or one bucket; a string that stands in a third of all
+documents is one key a block.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,11 +50,12 @@ WIDTH = 50
 MODULUS, COVER = 21, (3, 6, 7, 12, 14)
 BLOCK_BYTES = 16 << 20
 BUCKET_KEYS = 1 << 22
-_LOW = 16                              # bits of a key that a bucket spells out (suffix keys: 48)
+#: Files of the table of blocks; more blocks share a file, and a task takes them one after the other.
+BLOCK_FILES = 20_000
 _P = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-PACKED = "bucket int, block int, counts binary, rest binary"
+PACKED = "bucket int, block int, width int, steps binary"
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,29 +82,31 @@ def string_keys(raw: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def pack(keys: np.ndarray, bits: int, buckets: int, low_bytes: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Sorted keys of ``bits`` bits -> (bucket, counts by leading part, low bytes of each key)."""
-    low = 8 * low_bytes
-    slices = 1 << (bits - low)
-    counts = np.bincount((keys >> np.uint64(low)).astype(np.int64), minlength=slices)
-    rest = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low_bytes]
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    per = slices // buckets
-    kind = np.uint8 if counts.max(initial=0) < 256 else np.uint32
-    for b in range(buckets):
-        lo, hi = ends[b * per], ends[(b + 1) * per]
-        if hi > lo:
-            yield b, bytes([np.dtype(kind).itemsize]) + counts[b * per: (b + 1) * per].astype(kind).tobytes(), \
-                np.ascontiguousarray(rest[lo:hi]).tobytes()
+def bucket_of(keys: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, int]:
+    """(bucket of each key of ``bits`` bits, bits of a key within its bucket)."""
+    inner = bits - (buckets.bit_length() - 1)
+    return (keys >> np.uint64(inner) if buckets > 1 else np.zeros(len(keys), np.uint64)).astype(np.int64), inner
 
 
-def unpack(counts: bytes, rest: bytes, low_bytes: int) -> np.ndarray:
-    """Sorted keys of one block in one bucket (leading part counted from the bucket's first)."""
-    n = np.frombuffer(counts, np.uint8 if counts[0] == 1 else np.uint32, offset=1)
-    out = np.zeros((len(rest) // low_bytes, 8), np.uint8)
-    out[:, :low_bytes] = np.frombuffer(rest, np.uint8).reshape(-1, low_bytes)
-    lead = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-    return out.view("<u8").ravel() + (lead << np.uint64(8 * low_bytes))
+def pack(keys: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, int, pa.Array]:
+    """Sorted different keys of ``bits`` bits -> (buckets that hold some, bytes of a step, their steps):
+    a bucket's first step is its first key less the bucket's leading part, each other the way from the key before."""
+    bucket, inner = bucket_of(keys, bits, buckets)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[first] = keys[first] & np.uint64((1 << inner) - 1)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    data = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    offsets = np.append(first, len(keys)).astype(np.int64) * width
+    packed = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return bucket[first], width, packed.cast(pa.binary())
+
+
+def unpack(steps: bytes, width: int) -> np.ndarray:
+    """Sorted keys of one block in one bucket (counted from the bucket's first)."""
+    out = np.zeros((len(steps) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(steps, np.uint8).reshape(-1, width)
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
 class Block:
@@ -150,22 +155,21 @@ class Block:
             runs.append((first, raw, offsets, starts, text[starts] + first))
         return np.concatenate(keys), runs
 
-    def answers(self, step: int, keys: np.ndarray, bits: int, buckets: int, low_bytes: int) -> np.ndarray:
+    def answers(self, step: int, keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
         """The bits that came back for the sorted, different ``keys``."""
-        per = bits - int(math.log2(buckets))
-        bucket = (keys >> np.uint64(per)).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
+        bucket = bucket_of(keys, bits, buckets)[0]
         out = np.zeros(len(keys), bool)
-        ends = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b, packed in self.bits[step].items():
-            n = ends[b + 1] - ends[b]
-            out[ends[b]: ends[b + 1]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
+        said = sorted(self.bits[step])
+        begin, end = np.searchsorted(bucket, said), np.searchsorted(bucket, said, side="right")
+        for b, lo, hi in zip(said, begin.tolist(), end.tolist()):
+            out[lo:hi] = np.unpackbits(np.frombuffer(self.bits[step][b], np.uint8), count=hi - lo).astype(bool)
         return out
 
     def suffixes(self, plan: dict) -> tuple[np.ndarray, list]:
         """(key of every suffix that holds a tied sample, [(first text, offsets, starts)])."""
         keys, runs = self.samples(plan["sample_bits"])
         found, where = np.unique(keys, return_inverse=True)
-        tied = self.answers(0, found, plan["sample_bits"], plan["sample_buckets"], 2)
+        tied = self.answers(0, found, plan["sample_bits"], plan["sample_buckets"])
         text = np.concatenate([np.zeros(0, np.int64), *[r[4] for r in runs]])
         low = np.full(len(found), len(self.order) + 1)
         high = np.full(len(found), -1)
@@ -193,14 +197,14 @@ class Block:
         """The result rows of the block."""
         keys, runs = self.suffixes(plan)
         found, where = np.unique(keys, return_inverse=True)
-        earlier = self.answers(1, found, 64, plan["suffix_buckets"], 6)
+        earlier = self.answers(1, found, 64, plan["suffix_buckets"])
         rank = np.concatenate([np.zeros(0, np.int64), *[
             self.rank[first + np.searchsorted(offsets, begin, side="right") - 1] for first, _, offsets, begin in runs]])
         least = np.full(len(found), len(self.order) + 1)
         np.minimum.at(least, where, rank)
         gone = earlier[where] | (rank > least[where])
         n = self.docs.num_rows
-        size = np.array([len(t.encode("utf-8", "surrogatepass")) for t in self.docs.column("text").to_pylist()], np.int64)
+        size = pc.binary_length(self.docs.column("text").cast(pa.large_binary())).to_numpy().astype(np.int64)
         removed, spans = np.where(self.copy, size, 0), self.copy.astype(np.int64)
         digests = [hashlib.sha256(b"").hexdigest()] * n
         at = 0
@@ -223,18 +227,19 @@ class Block:
                          "n_spans": spans, "kept_sha256": digests})
 
 
-def _packed(block: int, keys: np.ndarray, bits: int, buckets: int, low_bytes: int) -> pa.Table:
-    rows = list(pack(np.unique(keys), bits, buckets, low_bytes))
-    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()),
-                     "counts": pa.array([r[1] for r in rows], pa.binary()), "rest": pa.array([r[2] for r in rows], pa.binary())})
+def _packed(block: int, keys: np.ndarray, bits: int, buckets: int) -> pa.Table:
+    bucket, width, steps = pack(np.unique(keys), bits, buckets)
+    n = len(bucket)
+    return pa.table({"bucket": bucket.astype(np.int32), "block": np.full(n, block, np.int32),
+                     "width": np.full(n, width, np.int32), "steps": steps})
 
 
-def _meet(step: int, low_bytes: int, smaller: bool):
+def _meet(step: int, smaller: bool):
     """One bucket's keys of all blocks -> for each block one bit a key: does another
     (``smaller``: a smaller) block have it?"""
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("block")
-        lists = [unpack(c, r, low_bytes) for c, r in zip(rows.column("counts").to_pylist(), rows.column("rest").to_pylist())]
+        lists = [unpack(s, w) for s, w in zip(rows.column("steps").to_pylist(), rows.column("width").to_pylist())]
         keys = np.concatenate(lists)
         order = np.argsort(keys, kind="stable")               # ties stay in the order of blocks
         first = np.ones(len(keys), bool)
@@ -264,7 +269,8 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys:
     known, lost = rows.where("doc_id is not null"), rows.where("doc_id is null")
     total = known.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
     n = max(1, -(-total // block_bytes))
-    block_of = range_udf(range_cuts(known.select("doc_id"), n))
+    files = min(n, BLOCK_FILES)
+    block_of = range_udf(range_cuts(known, n, F.octet_length("text")))
     keyed = known.withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("block", block_of("doc_id"))
     # exact copies: narrow columns only
     narrow = keyed.where(F.octet_length("text") >= WIDTH).select("block", "doc_id", "row_key", F.md5(F.col("text").cast("binary")).alias("digest"))
@@ -273,14 +279,13 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys:
         F.collect_list("row_key").alias("copies")), "copies")
 
     name = f"suffix_blocks_{uuid.uuid4().hex}"
-    (keyed.select("block", "doc_id", "row_key", "text").repartition(n, "block").write.bucketBy(n, "block")
+    (keyed.select("block", "doc_id", "row_key", "text").repartition(files, "block").write.bucketBy(files, "block")
      .option("path", scratch_path(spark, "suffix-blocks")).option("compression", "zstd").saveAsTable(name))
     try:
         samples = total * len(COVER) // MODULUS + 1
         # a sample key has 9 bits more than it takes to number the samples: about one in 500 ties by chance
-        plan = {"sample_bits": min(48, max(20, samples.bit_length() + 9)),
+        plan = {"sample_bits": min(64, max(20, samples.bit_length() + 9)),
                 "sample_buckets": _power_of_two(samples / bucket_keys, 4), "suffix_buckets": _power_of_two(total / 4 / bucket_keys, 16)}
-        plan["sample_buckets"] = min(plan["sample_buckets"], 1 << (plan["sample_bits"] - _LOW))
         note = lambda df, **cols: df.select("block", *[                                         # noqa: E731
             cols.get(c, F.lit(None)).cast(t).alias(c) for c, t in
             (("step", "int"), ("bucket", "int"), ("bits", "binary"), ("copies", "array<bigint>"))])
@@ -291,14 +296,14 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys:
 
         def samples_of(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows:
-                return _packed(0, np.zeros(0, np.uint64), 20, 1, 2)
+                return _packed(0, np.zeros(0, np.uint64), 20, 1)
             return _packed(left.column("block")[0].as_py(), Block(left, right).samples(plan["sample_bits"])[0],
-                           plan["sample_bits"], plan["sample_buckets"], 2)
+                           plan["sample_bits"], plan["sample_buckets"])
 
         def suffixes_of(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows:
-                return _packed(0, np.zeros(0, np.uint64), 64, 1, 6)
-            return _packed(left.column("block")[0].as_py(), Block(left, right).suffixes(plan)[0], 64, plan["suffix_buckets"], 6)
+                return _packed(0, np.zeros(0, np.uint64), 64, 1)
+            return _packed(left.column("block")[0].as_py(), Block(left, right).suffixes(plan)[0], 64, plan["suffix_buckets"])
 
         def cut_of(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows:
@@ -307,8 +312,8 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_keys:
             return Block(left, right).cut(plan)
 
         met = "block int, step int, bucket int, bits binary"
-        for step, make, low, smaller in ((0, samples_of, 2, False), (1, suffixes_of, 6, True)):
-            bits = materialize(on_blocks(make, said, PACKED).groupBy("bucket").applyInArrow(_meet(step, low, smaller), met),
+        for step, make, smaller in ((0, samples_of, False), (1, suffixes_of, True)):
+            bits = materialize(on_blocks(make, said, PACKED).groupBy("bucket").applyInArrow(_meet(step, smaller), met),
                                "ties")
             said = said.union(note(bits, step=F.col("step"), bucket=F.col("bucket"), bits=F.col("bits")))
         result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

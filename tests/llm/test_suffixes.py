@@ -3,8 +3,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from concord.llm import suffixes as S
+from concord.llm.common import range_cuts
 
 from .cases import ODD, SCHEMA, empty, odd
 
@@ -55,9 +57,32 @@ def test_the_cover_meets_every_pair_of_residues():
     assert pairs == set(range(S.MODULUS))
 
 
-def test_packed_keys_come_back():
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 30, 5000, dtype=np.uint64))
-    back = []
-    for b, counts, rest in S.pack(keys, 30, 8, 2):
-        back.append(S.unpack(counts, rest, 2) + (np.uint64(b) << np.uint64(27)))
+@pytest.mark.parametrize("bits, buckets", [(30, 8), (64, 1), (64, 1 << 14), (20, 1)])
+def test_packed_keys_come_back(bits, buckets):
+    keys = np.unique(np.random.default_rng(1).integers(0, (1 << bits) - 1, 5000, dtype=np.uint64))
+    found, width, steps = S.pack(keys, bits, buckets)
+    inner = bits - (buckets.bit_length() - 1)
+    back = [S.unpack(x, width) + (np.uint64(b << inner) if inner < 64 else np.uint64(0))
+            for b, x in zip(found.tolist(), steps.to_pylist())]
     assert (np.concatenate(back) == keys).all()
+    assert len(S.pack(keys[:0], bits, buckets)[0]) == 0
+
+
+def test_a_block_sends_as_much_whatever_the_corpus_holds():
+    """Plans of about 0.5, 30 and 1600 GB: what a block of 200,000 samples packs stays under 5 bytes a key."""
+    for total in (5e8, 3e10, 1.6e12):
+        samples = int(total * len(S.COVER) / S.MODULUS)
+        bits, buckets = samples.bit_length() + 9, S._power_of_two(samples / S.BUCKET_KEYS, 4)
+        keys = np.unique(np.random.default_rng(2).integers(0, 1 << bits, 200_000, dtype=np.uint64))
+        found, width, steps = S.pack(keys, bits, buckets)
+        assert steps.nbytes <= 5 * len(keys) + 4 * (len(found) + 1)
+
+
+def test_blocks_are_cut_by_bytes(spark):
+    """One document in a hundred is long: cut by rows, the block with it would hold nearly all bytes."""
+    rows = [(d, "x" * (400_000 if d % 100 == 0 else 100)) for d in range(1000)]
+    rows += [(d, "x" * 1000) for d in range(1000, 5000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cuts = range_cuts(df, 16, F.octet_length("text"))
+    size = np.bincount(np.searchsorted(cuts, [d for d, _ in rows]), weights=[len(t) for _, t in rows])
+    assert size.max() <= 2 * 400_000 + size.sum() / 16
