@@ -137,22 +137,23 @@ class Block:
             first += len(p)
 
     @staticmethod
-    def places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, place in it) of every byte."""
-        size = np.diff(offsets)
-        text = np.repeat(np.arange(len(size)), size)
-        return text, np.arange(offsets[-1]) - offsets[text]
+    def cover_places(offsets: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, text) of every cover sample of ``span`` bytes that ends within its text."""
+        room = np.maximum(np.diff(offsets) - span + 1, 0)
+        within = np.add.outer(np.arange(0, room.max(initial=0), MODULUS), COVER).ravel()
+        count = np.searchsorted(within, room)
+        text = np.repeat(np.arange(len(room)), count)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        return within[nth] + np.repeat(offsets[:-1], count), text
 
     def samples(self, bits: int) -> tuple[np.ndarray, list]:
         """(key of each cover sample, [(first text, bytes, offsets, starts)])."""
         span = WIDTH - MODULUS + 1
-        in_cover = np.isin(np.arange(MODULUS), COVER)
         keys, runs = [np.zeros(0, np.uint64)], []
         for first, raw, offsets in self.parts():
-            text, place = self.places(offsets)
-            starts = np.flatnonzero(in_cover[place % MODULUS] & (place + span <= np.diff(offsets)[text]))
+            starts, text = self.cover_places(offsets, span)
             keys.append(string_keys(raw, starts, span) >> np.uint64(64 - bits))
-            runs.append((first, raw, offsets, starts, text[starts] + first))
+            runs.append((first, raw, offsets, starts, text + first))
         return np.concatenate(keys), runs
 
     def answers(self, step: int, keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
@@ -171,10 +172,10 @@ class Block:
         found, where = np.unique(keys, return_inverse=True)
         tied = self.answers(0, found, plan["sample_bits"], plan["sample_buckets"])
         text = np.concatenate([np.zeros(0, np.int64), *[r[4] for r in runs]])
-        low = np.full(len(found), len(self.order) + 1)
-        high = np.full(len(found), -1)
-        np.minimum.at(low, where, text)
-        np.maximum.at(high, where, text)
+        # texts ascend and the last value stays: backwards the first text of a key, forwards its last
+        low, high = np.empty(len(found), np.int64), np.empty(len(found), np.int64)
+        low[where[::-1]] = text[::-1]
+        high[where] = text
         tied |= high > low                                     # in two texts of this block
         good = tied[where]
         out, spans, at = [np.zeros(0, np.uint64)], [], 0
@@ -185,9 +186,7 @@ class Block:
             lo = np.maximum(s - MODULUS + 1, offsets[t])
             hi = np.minimum(s, offsets[t + 1] - WIDTH)
             ok = hi >= lo
-            edge = np.zeros(len(raw) + 2, np.int32)
-            np.add.at(edge, lo[ok], 1)
-            np.add.at(edge, hi[ok] + 1, -1)
+            edge = np.bincount(lo[ok], minlength=len(raw) + 2) - np.bincount(hi[ok] + 1, minlength=len(raw) + 2)
             begin = np.flatnonzero(np.cumsum(edge)[: len(raw)] > 0)
             out.append(string_keys(raw, begin, WIDTH))
             spans.append((first, raw, offsets, begin))
@@ -200,8 +199,8 @@ class Block:
         earlier = self.answers(1, found, 64, plan["suffix_buckets"])
         rank = np.concatenate([np.zeros(0, np.int64), *[
             self.rank[first + np.searchsorted(offsets, begin, side="right") - 1] for first, _, offsets, begin in runs]])
-        least = np.full(len(found), len(self.order) + 1)
-        np.minimum.at(least, where, rank)
+        least = np.empty(len(found), np.int64)
+        least[where[::-1]] = rank[::-1]                        # ranks ascend, so the first of a key is its least
         gone = earlier[where] | (rank > least[where])
         n = self.docs.num_rows
         size = pc.binary_length(self.docs.column("text").cast(pa.large_binary())).to_numpy().astype(np.int64)
@@ -212,8 +211,8 @@ class Block:
             b = begin[gone[at: at + len(begin)]]
             at += len(begin)
             edge = np.zeros(len(raw) + 2, np.int32)
-            np.add.at(edge, b, 1)
-            np.add.at(edge, b + WIDTH, -1)
+            edge[b] += 1                                       # places are different
+            edge[b + WIDTH] -= 1
             out = np.cumsum(edge)[: len(raw)] > 0
             for k in range(len(offsets) - 1):
                 mask, text = out[offsets[k]: offsets[k + 1]], raw[offsets[k]: offsets[k + 1]]
@@ -228,7 +227,8 @@ class Block:
 
 
 def _packed(block: int, keys: np.ndarray, bits: int, buckets: int) -> pa.Table:
-    bucket, width, steps = pack(np.unique(keys), bits, buckets)
+    keys = np.sort(keys)                                       # faster than np.unique, which hashes first
+    bucket, width, steps = pack(keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys, bits, buckets)
     n = len(bucket)
     return pa.table({"bucket": bucket.astype(np.int32), "block": np.full(n, block, np.int32),
                      "width": np.full(n, width, np.int32), "steps": steps})
