@@ -39,8 +39,11 @@ from pyspark.sql import types as T
 
 from concord.functions.masks import RunWords
 from concord.functions.sampling import hash_threshold, sample_masks
+from concord.operators.layout import layout_partitions
 from concord.session import materialize
 
+#: Points in a part of the copy that every step reads.
+PART_ROWS = 1 << 15
 #: Candidates for start centers looked at in each run, as a multiple of k, at first.
 _START_SPREAD = 40
 
@@ -65,12 +68,23 @@ def _start_centers(base: DataFrame, n: int, k: int, runs: int, seed: int, words:
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Index of the nearest center of each row; dimensions are added in order."""
-    dist = np.zeros((len(x), len(centers)))
-    for i in range(x.shape[1]):
-        diff = x[:, i, None] - centers[None, :, i]
-        dist = diff * diff if i == 0 else dist + diff * diff
-    return dist.argmin(axis=1)
+    """Index of the nearest center of each column of x [d, points]; dimensions are added in order, ties to the smaller index."""
+    def distance(center: np.ndarray) -> np.ndarray:
+        out = None
+        for row, c in zip(x, center):
+            diff = row - c
+            diff *= diff
+            out = diff if out is None else np.add(out, diff, out=out)
+        return out
+
+    if not np.isfinite(centers).all():                        # a NaN distance counts as the least, as for argmin
+        return np.stack([distance(c) for c in centers]).argmin(axis=0)
+    best, of = distance(centers[0]), np.zeros(x.shape[1], np.int64)
+    for j in range(1, len(centers)):
+        d = distance(centers[j])
+        of[d < best] = j
+        np.minimum(best, d, out=best)
+    return of
 
 
 def _runs_of(batch: pa.RecordBatch, words: RunWords, runs: list[int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -82,8 +96,9 @@ def _runs_of(batch: pa.RecordBatch, words: RunWords, runs: list[int]) -> Iterato
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """[d, points], each dimension contiguous."""
     x = batch.column("x")
-    return x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1)
+    return np.ascontiguousarray(x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1).T)
 
 
 def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int = 1, steps: int = 125,
@@ -91,9 +106,10 @@ def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int =
     """points(point_id, x array<double>) -> assignments(run int, point_id, cluster int).
 
     The sampled points (N rows plus a bigint of run bits per 63 runs) are
-    written once, as they are partitioned, and read by every step (the rounded
-    means do not depend on the layout); the R-times larger table of (run, point)
-    rows is never stored.  Between
+    written once, dealt into parts of about ``PART_ROWS`` rows whatever the input's
+    own files (the rounded means do not depend on the layout), and read by every
+    step, so that all cores share its work; a task returns one sum per (run, cluster,
+    dimension).  The R-times larger table of (run, point) rows is never stored.  Between
     steps only the R * k centers come to the driver, as in MLlib's k-means.  A
     run also ends when no center moves by more than ``tol`` (Euclidean); with
     0 the result is that of all ``steps``.  The result is a written table.
@@ -104,27 +120,27 @@ def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int =
     sampled = None
     for c in words.names("smask"):
         sampled = (F.col(c) != 0) if sampled is None else sampled | (F.col(c) != 0)
+    parts = layout_partitions(points.count(), PART_ROWS)
     base = materialize(
-        points.select("point_id", F.col("x").cast("array<double>").alias("x"), *sample_masks(seed, "point_id", runs, fraction))
-        .where(sampled), "sampled-points")
+        points.select("point_id", F.col("x").cast("array<double>").alias("x")).repartition(parts)
+        .select("*", *sample_masks(seed, "point_id", runs, fraction)).where(sampled), "sampled-points")
     centers = _start_centers(base, base.count(), k, runs, seed, words)
 
     def sums(active: dict[int, np.ndarray]) -> DataFrame:
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}                     # run -> [cluster, points and sum of each dimension]
             for batch in batches:
                 x = _matrix(batch)
-                out: dict[str, list] = {"run": [], "cluster": [], "dim": [], "n": [], "s": []}
                 for run, rows in _runs_of(batch, words, sorted(active)):
-                    of = _nearest(x[rows], active[run])
-                    for j in np.unique(of).tolist():
-                        own = x[rows[of == j]]
-                        d = own.shape[1]
-                        for name, values in zip(out, ([run] * d, [j] * d, range(d), [len(own)] * d, own.sum(axis=0).tolist())):
-                            out[name] += values
-                yield pa.RecordBatch.from_pydict({
-                    "run": pa.array(out["run"], pa.int32()), "cluster": pa.array(out["cluster"], pa.int32()),
-                    "dim": pa.array(out["dim"], pa.int32()), "n": pa.array(out["n"], pa.int64()),
-                    "s": pa.array(out["s"], pa.float64())})
+                    own = x[:, rows]
+                    of = _nearest(own, active[run])
+                    part = np.stack([np.bincount(of, w, minlength=k) for w in (None, *own)], axis=1)
+                    total[run] = total[run] + part if run in total else part
+            cells = [(run, j, i, int(t[j, 0]), t[j, i + 1]) for run, t in total.items() for j in np.flatnonzero(t[:, 0]).tolist()
+                     for i in range(t.shape[1] - 1)]
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], kind) for i, kind in enumerate(kinds)],
+                                             ["run", "cluster", "dim", "n", "s"])
 
         return base.mapInArrow(step, "run int, cluster int, dim int, n long, s double").groupBy("run", "cluster", "dim").agg(
             F.round(F.sum("s") / F.sum("n"), digits).alias("mean"))
@@ -147,6 +163,6 @@ def portable_assignments(points: DataFrame, k: int, runs: int = 20, seed: int =
             for run, rows in _runs_of(batch, words, sorted(centers)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(rows), run, np.int32)), batch.column("point_id").take(pa.array(rows)),
-                     pa.array(_nearest(x[rows], centers[run]).astype(np.int32))], ["run", "point_id", "cluster"])
+                     pa.array(_nearest(x[:, rows], centers[run]).astype(np.int32))], ["run", "point_id", "cluster"])
 
     return materialize(base.mapInArrow(assign, kind), "portable-assignments")

@@ -2,10 +2,12 @@
 depend on partitioning."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from concord.functions.sampling import hash_threshold, in_sample, sample_mask
+from concord.operators import portable as PO
 from concord.operators import resample as RS
 from concord.operators.portable import portable_assignments
 from concord.plans import oracles as O
@@ -77,3 +79,25 @@ def test_mllib_consensus_is_reproducible(spark):
     b = cons.mllib_assignments(pts.repartition(3), "kmeans", k=3, max_iter=10, runs=3)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert sorted(r["run"] for r in a.select("run").distinct().collect()) == [0, 1, 2]
+
+
+def test_portable_deals_points_over_parts(spark, monkeypatch):
+    """One input file must not leave every step to one task."""
+    written, real = {}, PO.materialize
+    monkeypatch.setattr(PO, "PART_ROWS", 50, raising=False)
+    monkeypatch.setattr(PO, "materialize", lambda df, tag: written.setdefault(tag, real(df, tag)))
+    pts = spark.range(200).selectExpr("id AS point_id", "array(id / 10.0D, id % 7 / 1.0D) AS x").coalesce(1)
+    dealt = sorted(tuple(r) for r in portable_assignments(pts, k=3, runs=4, steps=6).collect())
+    assert len(written["sampled-points"].inputFiles()) == 4
+    monkeypatch.setattr(PO, "PART_ROWS", 10_000, raising=False)
+    assert dealt == sorted(tuple(r) for r in portable_assignments(pts, k=3, runs=4, steps=6).collect())
+
+
+def test_nearest_equals_argmin_of_all_distances():
+    rng = np.random.default_rng(1)
+    for odd in (0.0, np.nan, np.inf):
+        x, centers = rng.integers(0, 4, (200, 3)).astype(float), rng.integers(0, 4, (5, 3)).astype(float)
+        x[5, 1] = odd
+        for c in (centers, np.where(np.arange(5)[:, None] == 2, np.nan, centers)):
+            want = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            assert PO._nearest(np.ascontiguousarray(x.T), c).tolist() == want.tolist()
