@@ -13,12 +13,13 @@ Candidates come from prefixes:
 * With n_a and n_b tokens out of R runs, s >= max(1, n_a + n_b - R), so a pair
   needs at least t = ceil(ratio * max(1, n_a + n_b - R)) common tokens; sizes with
   t > min(n_a, n_b) never meet.
-* Tokens have one order, rarest first.  If the l-th common token stands at place
-  p of a class (from 0), only n - p more can be common, so p <= n - t + l - 1.
-  Classes therefore list the l-subsets of their first n - t + l tokens as keys
-  (l = 2 where every pair needs two, else 1) and meet on equal keys.
+* Tokens have one order, rarest first.  If the first common token stands at place
+  p of a class (from 0), only n - p can be common, so p <= n - t.  Classes therefore
+  list, for every size that a partner may have, their first n - t + 1 tokens as keys
+  with both sizes, and meet on equal keys: a few small classes do not lengthen the
+  prefixes that the others meet each other by.
 * Two classes may share several keys; the pair counts only under the key of their
-  first common tokens, which their token bits show, so no pair is made twice and
+  first common token, which their token bits show, so no pair is made twice and
   none needs to be removed afterwards.
 
 A key that many classes list is cut into blocks, and the pairs of two blocks meet
@@ -41,7 +42,7 @@ from concord.operators.skew import keyed_lookup
 from concord.session import materialize
 
 #: Classes of a key that meet in one place.
-BLOCK = 2048
+BLOCK = 8192
 #: Most point pairs that ``expand`` writes out unless it is told otherwise.
 MOST_PAIRS = 10 ** 9
 #: Most points that ``pairs_of_points`` compares with all others (their bits travel in the plan).
@@ -52,9 +53,11 @@ MOST_POINTS = 1000
 class Links:
     """What ``links_at_least`` found: ``pairs`` (a, b, s, c, ratio) of classes, a < b, and
     ``members`` (point_id, class_id, n_runs, n_members).  Points of one class were in the same
-    runs and clusters: with each other they have s = c = n_runs."""
+    runs and clusters: with each other they have s = c = n_runs.  ``ends`` (class_id, n_members)
+    has two rows a pair: each class with the size of the other."""
     pairs: DataFrame
     members: DataFrame
+    ends: DataFrame
 
 
 def _slots(assignments: DataFrame, k: int, runs: int, n_points: int | None) -> list[int]:
@@ -110,20 +113,17 @@ def _share(ratio: float | str) -> Fraction:
     return share
 
 
-def _keys(classes: DataFrame, tw: RunWords, share: Fraction, runs: int, smallest: int, shared: int) -> DataFrame:
-    """Every class once under each of its keys (k1 < k2, tokens by their place in the order; k1 = -1 for keys of one
-    token) with ``place``, where the key's last token stands among the class's tokens."""
+def _keys(classes: DataFrame, tw: RunWords, share: Fraction, runs: int, sizes: list[int]) -> DataFrame:
+    """Every class once under each of its keys (k, lo, hi): a token by its place in the order, and the sizes of the
+    class and of the partners that it is listed for."""
     bit_set = [f"(shiftright(t_{w}, cast(b - {w * tw.bits} as int)) & 1) = 1" for w in range(tw.n)]
     # tokens of the class in order: the set bits of its words
     of_word = [f"filter(sequence({w * tw.bits}, {min(tw.runs, (w + 1) * tw.bits) - 1}), b -> {bit_set[w]})" for w in range(tw.n)]
-    tokens = F.expr(f"concat({', '.join(of_word)})")
-    most = F.col("n") - _needed(share, runs, F.col("n"), F.lit(smallest)) + F.lit(shared)
-    listed = classes.withColumn("__tokens", F.slice(tokens, F.lit(1), F.greatest(F.lit(0), most).cast("int")))
-    last = listed.select("*", F.posexplode("__tokens").alias("place", "k2"))
-    if shared == 1:
-        return last.withColumn("k1", F.lit(-1)).drop("__tokens")
-    before = F.slice("__tokens", F.lit(1), F.col("place"))
-    return last.where("place > 0").select("*", F.explode(before).alias("k1")).drop("__tokens")
+    need = _needed(share, runs, F.col("n"), F.col("__m"))
+    listed = classes.withColumn("__tokens", F.expr(f"concat({', '.join(of_word)})")).select(
+        "*", F.explode(F.array(*[F.lit(m).cast("bigint") for m in sizes])).alias("__m")).where(need <= F.least("n", "__m"))
+    first = F.slice("__tokens", F.lit(1), (F.col("n") - need + 1).cast("int"))
+    return listed.select(*classes.columns, F.least("n", "__m").alias("lo"), F.greatest("n", "__m").alias("hi"), F.explode(first).alias("k"))
 
 
 def links_at_least(assignments: DataFrame, k: int, runs: int, ratio: float | str, block: int = BLOCK) -> Links:
@@ -143,48 +143,43 @@ def links_at_least(assignments: DataFrame, k: int, runs: int, ratio: float | str
     if not sizes:
         empty = classes.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), *[F.lit(0).cast("bigint").alias(c) for c in "sc"],
                                F.lit(0.0).alias("ratio"))
-        return Links(empty.where("false"), members)
-    smallest = min(sizes)
-    needs = -(-share.numerator * max(1, 2 * smallest - runs) // share.denominator)      # of the pair that needs fewest
-    shared = 2 if needs >= 2 else 1
-    listed = materialize(_keys(classes.drop("w"), tw, share, runs, smallest, shared), "class-keys")
-    postings = listed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("__n")).withColumn(
-        "__blocks", F.ceil(F.col("__n") / F.lit(block)).cast("int"))
-    listed = keyed_lookup(listed, materialize(postings, "key-sizes"), ["k1", "k2"], "__n", listed.count())
-    mine = listed.withColumn("__block", F.pmod(F.xxhash64("class_id"), F.col("__blocks")).cast("int"))
-    keep = ["class_id", "n", "place", *words]
-    left = mine.select("k1", "k2", F.col("__block").alias("__i"), F.explode(F.sequence("__block", F.col("__blocks") - 1)).alias("__j"),
-                       *[F.col(c).alias(f"a_{c}") for c in keep])
-    right = mine.select("k1", "k2", F.explode(F.sequence(F.lit(0), "__block")).alias("__i"), F.col("__block").alias("__j"),
-                        *[F.col(c).alias(f"b_{c}") for c in keep])
-    met = left.join(right.hint("merge"), ["k1", "k2", "__i", "__j"])
-    need = _needed(share, runs, F.col("a_n"), F.col("b_n"))
-    near = ((F.col("__i") < F.col("__j")) | (F.col("a_class_id") < F.col("b_class_id"))) \
-        & (need <= F.least("a_n", "b_n")) & (F.col("a_place") <= F.col("a_n") - need + shared - 1) \
-        & (F.col("b_place") <= F.col("b_n") - need + shared - 1)
-    # only under the key of the first common tokens: below the key's last token, only its first one is common
+        return Links(empty.where("false"), members, members.select("class_id", "n_members").where("false"))
+    listed = materialize(_keys(classes, tw, share, runs, sorted(sizes)), "class-keys")
+    cut = lambda size: F.ceil(F.sum(F.when(F.col("n") == F.col(size), 1).otherwise(0)) / F.lit(block)).cast("int")     # noqa: E731
+    # R * k tokens and (R + 1) sizes twice bound the keys, however many classes there are
+    key = ["k", "lo", "hi"]
+    blocks = listed.groupBy(*key).agg(cut("lo").alias("__ni"), cut("hi").alias("__nj")).where("__ni > 0 AND __nj > 0")
+    listed = listed.join(F.broadcast(materialize(blocks, "key-sizes")), key)
+    one_size, own = F.col("lo") == F.col("hi"), F.xxhash64("class_id")
+    keep = ["class_id", "n", "w", *words]
+    mine = listed.withColumn("__i", F.pmod(own, F.col("__ni")).cast("int")).withColumn("__j", F.pmod(own, F.col("__nj")).cast("int"))
+    left = mine.where("n = lo").select(*key, "__i", F.explode(F.sequence(F.when(one_size, F.col("__i")).otherwise(0), F.col("__nj") - 1)).alias("__j"),
+                                       *[F.col(c).alias(f"a_{c}") for c in keep])
+    right = mine.where("n = hi").select(*key, F.explode(F.sequence(F.lit(0), F.when(one_size, F.col("__j")).otherwise(F.col("__ni") - 1))).alias("__i"),
+                                        "__j", *[F.col(c).alias(f"b_{c}") for c in keep])
+    met = left.join(right.hint("merge"), [*key, "__i", "__j"])
+    once = (F.col("lo") < F.col("hi")) | (F.col("__i") < F.col("__j")) | (F.col("a_class_id") < F.col("b_class_id"))
+    # only under the key of the first common token: none is common below it
     below = None
     for w, name in enumerate(tw.names("t")):
-        b = popcount(F.col(f"a_{name}").bitwiseAND(F.col(f"b_{name}")).bitwiseAND(tw.prefix_word_col(F.col("k2"), w)))
-        below = b if below is None else below + b
+        b = F.col(f"a_{name}").bitwiseAND(F.col(f"b_{name}")).bitwiseAND(tw.prefix_word_col(F.col("k"), w))
+        below = b if below is None else below.bitwiseOR(b)
     c, s = _count(tw, "t", "a_", "b_"), _count(rw, "s", "a_", "b_")
-    pairs = (met.where(near & (below == shared - 1))
-             .select("a_class_id", "b_class_id", s.alias("s"), c.alias("c"))
-             .where((F.col("s") > 0) & (F.col("c") * F.lit(share.denominator) >= F.col("s") * F.lit(share.numerator)))
-             .select(F.least("a_class_id", "b_class_id").alias("a"), F.greatest("a_class_id", "b_class_id").alias("b"),
-                     "s", "c", consensus_ratio("c", "s").alias("ratio")))
-    return Links(pairs, members)
+    found = (met.where(once & (below == 0))
+             .select("a_class_id", "b_class_id", "a_w", "b_w", s.alias("s"), c.alias("c"))
+             .where((F.col("s") > 0) & (F.col("c") * F.lit(share.denominator) >= F.col("s") * F.lit(share.numerator))))
+    pairs = found.select(F.least("a_class_id", "b_class_id").alias("a"), F.greatest("a_class_id", "b_class_id").alias("b"),
+                         "s", "c", consensus_ratio("c", "s").alias("ratio"))
+    end = lambda mine, other: F.struct(F.col(f"{mine}_class_id").alias("class_id"), F.col(f"{other}_w").alias("n_members"))     # noqa: E731
+    return Links(pairs, members, found.select(F.inline(F.array(end("a", "b"), end("b", "a")))))
 
 
 def partner_counts(links: Links) -> DataFrame:
     """(point_id, n_partners): how many other points each sampled point has a sufficient ratio with.
 
     One row a point, from class sizes; copies are not expanded."""
-    classes = links.members.select("class_id", "n_members").distinct()
-    ends = links.pairs.select(F.col("a").alias("class_id"), F.col("b").alias("other")).unionByName(
-        links.pairs.select(F.col("b").alias("class_id"), F.col("a").alias("other")))
-    sums = ends.join(classes.select(F.col("class_id").alias("other"), "n_members"), "other").groupBy("class_id").agg(
-        F.sum("n_members").alias("n_others"))
+    # the pairs are made once, and added up by class before anything is shuffled
+    sums = links.ends.groupBy("class_id").agg(F.sum("n_members").alias("n_others"))
     return links.members.join(sums, "class_id", "left").select(
         "point_id", (F.coalesce("n_others", F.lit(0)) + F.col("n_members") - 1).cast("bigint").alias("n_partners"))
 

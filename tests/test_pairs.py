@@ -129,3 +129,33 @@ def test_keyed_lookup_with_a_hot_and_a_null_key(spark):
     got = keyed_lookup(rows, table, ["k"], "n", len(keys))
     assert got.columns == ["k", "i", "v"]
     assert sorted((r["i"], r["v"]) for r in got.collect()) == [(i, (-1 if k is None else k) * 10) for i, k in enumerate(keys)]
+
+
+def test_small_classes_do_not_lengthen_the_keys_of_others(spark):
+    """One point sampled in few runs: the others still list only the tokens that they need for each other's sizes."""
+    rows = some_rows(40, 20, 4, 7, fraction=1.0, noise=0.1)
+    def listed(rows):
+        made = []
+        real, P.materialize = P.materialize, lambda df, tag: made.append((tag, real(df, tag))) or made[-1][1]
+        try:
+            links = P.links_at_least(_written(spark, rows), 4, 20, 0.9)
+        finally:
+            P.materialize = real
+        full = dict(made)["class-keys"].where("n = 20")
+        return sorted(tuple(r) for r in links.pairs.collect()), full.count() / full.select("class_id").distinct().count()
+    pairs, few = listed(rows)
+    with_odd, more = listed(rows + [(r, 999, 0) for r in range(3)])
+    # 20 tokens against 3 need 3 in common, so 18 keys of that kind; against 20, 18 in common, so 3 keys
+    assert few == 3 and more <= 3 + 18
+    assert pairs == [p for p in with_odd if 999 not in p[:2]]
+
+
+def test_partner_counts_make_the_pairs_once(spark):
+    links = P.links_at_least(_written(spark, some_rows(60, 12, 2, 8, noise=0.1, copies=3)), 2, 12, 0.8)
+    want = {}
+    sizes = {r["class_id"]: r["n_members"] for r in links.members.collect()}
+    for r in links.pairs.collect():
+        want[r["a"]] = want.get(r["a"], 0) + sizes[r["b"]]
+        want[r["b"]] = want.get(r["b"], 0) + sizes[r["a"]]
+    got = {r["class_id"]: r["n"] for r in links.ends.groupBy("class_id").agg(F.sum("n_members").alias("n")).collect()}
+    assert got == want
