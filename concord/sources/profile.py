@@ -3,7 +3,9 @@ as rows: (column_name, data_type, n_rows, n_nulls, n_distinct, min_value,
 max_value), one aggregate pass over the table.
 
 Exact distinct counts of several columns make Spark expand every row once
-per column before one shuffle; ``exact=False`` uses HyperLogLog sketches
+per column before one shuffle.  A task gathers the distinct values of its rows
+first, so the rows are dealt into parts of about ``PART_ROWS`` whatever the
+table's files: what a task holds does not grow with the table.  ``exact=False`` uses HyperLogLog sketches
 instead (one pass, no expansion) for very wide or very large tables.
 """
 
@@ -12,6 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concord.operators.layout import layout_partitions
+
+#: Rows whose distinct values a task gathers.
+PART_ROWS = 1 << 16
+
 
 def profile_columns(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
     cols = cols or df.columns
@@ -22,6 +29,9 @@ def profile_columns(df: DataFrame, cols: list[str] | None = None, exact: bool =
                  (F.count_distinct(F.col(c)) if exact else F.approx_count_distinct(F.col(c))).alias(f"nd{i}"),
                  F.min(F.col(c)).cast("string").alias(f"mn{i}"),
                  F.max(F.col(c)).cast("string").alias(f"mx{i}")]
+    if exact:
+        # by place in the scan, so that equal rows do not meet in one part
+        df = df.select(*cols).repartition(layout_partitions(df.count(), PART_ROWS), F.monotonically_increasing_id())
     one = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"),
                               F.col("__n").cast("bigint").alias("n_rows"),

@@ -103,3 +103,14 @@ def test_session_is_left_alone_and_scratch_is_cleared(spark):
     kept, session._made[:] = session._made[:mark], [path]
     assert session.clear_scratch(spark) == 1 and not os.path.exists(path.removeprefix("file:"))
     session._made[:] = kept
+
+
+def test_profile_deals_rows_into_bounded_parts(spark, monkeypatch):
+    """A task gathers the distinct values of a bounded number of rows, however few files the table has."""
+    from concord.sources import profile
+    monkeypatch.setattr(profile, "PART_ROWS", 100, raising=False)
+    df = spark.range(1000).selectExpr("id AS a", "id % 7 AS b", "CASE WHEN id % 2 = 0 THEN 'x' END AS c").coalesce(1)
+    got = profile.profile_columns(df)
+    assert ", 10), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[2:] for r in got.collect()] == [(1000, 0, 1000, "0", "999"), (1000, 0, 7, "0", "6"), (1000, 500, 1, "x", "x")]
+    assert [tuple(r)[2:5] for r in profile.profile_columns(df.where("false")).collect()] == [(0, 0, 0)] * 3
