@@ -6,12 +6,13 @@ document frequency, and scaled to length 1.  Every language has several
 centroids (spherical k-means over its training texts); a text gets the language
 of the centroid with the largest cosine.  A text whose best cosine is below the
 threshold for its amount of n-grams is rejected: thresholds are half the
-smallest cosine that training texts, cut down by chance to as many different
-n-grams, reach with their own language.
+cosine with their own language that all but one in ``ODD_SHARE`` of the training
+texts, cut down by chance to as many different n-grams, reach.
 
-Centroids are fitted to a documented, bounded sample (``per_language`` labelled
-texts of each language, the smallest by hash of doc_id); document frequencies
-are counted over all rows that may be learned from; prediction reads whole texts.
+Document frequencies, centroids and thresholds each come from all rows that may
+be learned from, in one pass each.  Only the places where the k-means starts are
+taken from few rows (``per_language`` texts of each language, the smallest by
+hash of doc_id).  Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ from concord.llm.common import held_out, pieces, text_udf
 
 DIMS = 8192
 UNKNOWN = "und"
+#: One training text in so many may lie below what a threshold is half of; steps of a cosine.
+ODD_SHARE, COSINE_STEPS = 1000, 4096
+#: Sums of vectors are taken in whole numbers of this unit, so that they do not depend on their order.
+UNIT = float(1 << 32)
 #: Odd multipliers of the hash, one for each place in an n-gram.
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _letters: np.ndarray | None = None
@@ -50,16 +56,19 @@ def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 0) | (c[:-1] != 0)              # a run of other characters is one word end
     c, row = c[keep].astype(np.uint64), row[keep]
-    out = np.zeros(len(texts) * DIMS, np.float32)
+    cells = []
     total = np.zeros(len(texts), np.int64)
     shift = np.uint64(64 - DIMS.bit_length() + 1)
+    mixed = [c * mix for mix in _MIX]
     for n in (1, 2, 3):
         m = len(c) - n + 1
         if m <= 0:
             continue
-        h = np.full(m, np.uint64(n))
-        for k in range(n):
-            h = (h ^ (c[k: m + k] * _MIX[k])) * _MIX[0]
+        h = mixed[0][:m] ^ np.uint64(n)
+        h *= _MIX[0]
+        for k in range(1, n):
+            h ^= mixed[k][k: m + k]
+            h *= _MIX[0]
         if n == 1:
             good = c[:m] != 0
         elif n == 2:
@@ -69,9 +78,10 @@ def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # the middle letter (first of a pair that is one) names the text: separators stand between texts
         owner = row[(n - 1) // 2: m + (n - 1) // 2] if n != 2 else np.where(c[:m] != 0, row[:m], row[1:m + 1])
         owner, h = owner[good], (h[good] >> shift).astype(np.int64)
-        out += np.bincount(owner * DIMS + h, minlength=len(out)).astype(np.float32)
+        cells.append(owner * DIMS + h)
         total += np.bincount(owner, minlength=len(texts))
-    return out.reshape(len(texts), DIMS), total
+    counted = np.bincount(np.concatenate(cells), minlength=len(texts) * DIMS) if cells else np.zeros(len(texts) * DIMS)
+    return counted.astype(np.float32).reshape(len(texts), DIMS), total
 
 
 @dataclass
@@ -82,8 +92,9 @@ class Model:
     thresholds: np.ndarray          # by floor(log2(different n-grams))
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        v = np.log1p(counts, dtype=np.float32)
-        v *= self.idf
+        v = np.zeros(counts.shape, np.float32)
+        at = np.flatnonzero(counts)
+        v.reshape(-1)[at] = np.log1p(counts.reshape(-1)[at], dtype=np.float32) * self.idf[at % DIMS]
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
         return v
 
@@ -187,12 +198,12 @@ def _dense(rows: list[bytes]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, per_language: int = 250, clusters: int = 3, seed: int = 4) -> Model:
-    """Learn centroids from text and lang of ``docs`` (doc_id, text, lang).
+    """Learn from text and lang of all rows of ``docs`` (doc_id, text, lang) that may be learned from.
 
-    Document frequencies are counted over all rows that may be learned from.  At
-    most ``per_language`` texts a language come to the driver, each as the
-    n-gram counts that are not 0, made on the executors.  No labelled row: a
-    model without languages, which rejects everything."""
+    The k-means of each language starts from at most ``per_language`` of its texts,
+    which come to the driver as the n-gram counts that are not 0, made on the
+    executors; the centroids are then the means of all texts nearest to each start.
+    No labelled row: a model without languages, which rejects everything."""
     def counted(texts: pa.Array) -> pa.Array:
         out = []
         for r in ngram_counts(texts.to_pylist())[0]:
@@ -217,36 +228,113 @@ def fit(docs: DataFrame, per_language: int = 250, clusters: int = 3, seed: int =
         c = _sphere_means(model.vectors(counts[langs == lang]), clusters, rng)
         centers.append(c)
         model.languages += [str(lang)] * len(c)
+    del counts
     model.centroids = np.concatenate(centers).astype(np.float32)
-    model.thresholds = _thresholds(model, counts, langs, rng)
+    model.centroids = centroid_means(learnable(docs), model)
+    model.thresholds = cosine_thresholds(learnable(docs), model)
     return model
 
 
-def _thresholds(model: Model, counts: np.ndarray, langs: np.ndarray, rng: np.random.Generator, slice_rows: int = 100) -> np.ndarray:
-    """Half the least cosine with its own language that a training text cut down by
-    chance to 1, 2, 4, ... n-grams reaches, by the amount of different n-grams.
+def _labelled(batch: pa.RecordBatch):
+    """(texts, langs) of bounded pieces of a batch (lang, text)."""
+    at = 0
+    for p in pieces(batch.column("text")):
+        yield p.to_pylist(), np.array(batch.column("lang").slice(at, len(p)).to_pylist())
+        at += len(p)
 
-    Texts that lie nearer to another language are left out (wrong labels).  Works
-    on ``slice_rows`` texts at a time, so the driver holds little beside the counts."""
+
+def centroid_means(rows: DataFrame, model: Model) -> np.ndarray:
+    """The means, scaled to length 1, of the texts of all ``rows`` (lang, text) nearest to each centroid of their own language.
+
+    Each task adds up its own texts, in whole numbers of 1 / UNIT; a centroid without texts stays."""
     names = np.array(model.languages)
-    lows: dict[int, float] = {}
-    for lo in range(0, len(counts), slice_rows):
-        part, own = counts[lo: lo + slice_rows], names[None, :] == langs[lo: lo + slice_rows, None]
-        nearest = names[(model.vectors(part) @ model.centroids.T).argmax(axis=1)]
-        right = nearest == langs[lo: lo + slice_rows]
-        part, own = part[right], own[right]
-        if not len(part):
-            continue
-        cumulated = np.cumsum(part, axis=1, dtype=np.float64)
-        drawn = np.empty_like(part)
-        for size in range(14):
-            for i, c in enumerate(cumulated):
-                drawn[i] = np.bincount(np.searchsorted(c, rng.random(1 << size) * c[-1], side="right"), minlength=DIMS)[:DIMS]
-            cosine = np.where(own, model.vectors(drawn) @ model.centroids.T, -1).max(axis=1)
-            for amount, x in zip(_amount(drawn).tolist(), cosine.tolist()):
-                lows[amount] = min(lows.get(amount, 1.0), 0.5 * max(x, 0.0))
+
+    def add(batches):
+        total = np.zeros(model.centroids.shape, np.int64)
+        for batch in batches:
+            for texts, langs in _labelled(batch):
+                v = model.vectors(ngram_counts(texts)[0])
+                of = np.where(names[None, :] == langs[:, None], v @ model.centroids.T, -2).argmax(axis=1)
+                for j in np.unique(of).tolist():
+                    total[j] += np.rint(v[of == j].sum(axis=0, dtype=np.float64) * UNIT).astype(np.int64)
+        j, slot = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(total[j, slot])],
+                                         ["j", "slot", "v"])
+
+    # DIMS numbers a centroid come to the driver
+    sums = rows.select("lang", "text").mapInArrow(add, "j int, slot int, v long").groupBy("j", "slot").agg(F.sum("v").alias("v"))
+    out = np.zeros(model.centroids.shape, np.float64)
+    for r in sums.collect():
+        out[r["j"], r["slot"]] = r["v"]
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.where(length > 0, out / np.maximum(length, 1e-9), model.centroids).astype(np.float32)
+
+
+def _halved(n: np.ndarray, random: np.ndarray) -> np.ndarray:
+    """How many of n n-grams are left when each goes by chance: as many as ``random`` (uint64) has ones among
+    min(n, 64) bits, and half of those past 64."""
+    bits = np.minimum(n, 64).astype(np.uint64)
+    ones = np.where(bits > 0, random >> (np.uint64(64) - np.maximum(bits, np.uint64(1))), np.uint64(0))
+    return np.bitwise_count(ones).astype(np.int64) + np.maximum(n - 64, 0) // 2
+
+
+def cut_cosines(model: Model, texts: list[str], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(amounts, cosines with the own language) of every text halved by chance again and again, as long as n-grams are left.
+
+    Chance is a hash of the text, so that the result does not depend on where a text
+    stands.  Texts that lie nearer to another language are left out (wrong labels)."""
+    counts, _ = ngram_counts(texts)
+    names = np.array(model.languages)
+    right = names[(model.vectors(counts) @ model.centroids.T).argmax(axis=1)] == langs
+    seeds = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
+    # the centroids of each text's own language, over again where it has fewer than others
+    own = {lang: np.flatnonzero(names == lang) for lang in set(langs[right].tolist())}
+    most = max(map(len, own.values()), default=0)
+    mine = np.array([np.resize(own[lang], most) if ok else np.zeros(most, int) for lang, ok in zip(langs.tolist(), right)]).reshape(-1, most)
+    row, slot = np.nonzero(np.where(right[:, None], counts, 0))
+    n, step, amounts, cosines = counts[row, slot].astype(np.int64), 0, [], []
+    while len(n):
+        v = np.log1p(n) * model.idf[slot]
+        length = np.sqrt(np.bincount(row, v * v, minlength=len(texts)))
+        dots = [np.bincount(row, v * model.centroids[mine[row, k], slot], minlength=len(texts)) for k in range(most)]
+        best = np.max(dots, axis=0) / np.maximum(length, 1e-9)
+        different = np.bincount(row, minlength=len(texts))
+        there = different > 0
+        amounts.append(np.log2(different[there]).astype(int))
+        cosines.append(best[there])
+        h = (seeds[row] ^ (slot.astype(np.uint64) * _MIX[1])) + np.uint64((step + 1) * int(_MIX[2]) % (1 << 64))
+        for _ in range(2):
+            h = (h ^ (h >> np.uint64(31))) * _MIX[0]
+        n, step = _halved(n, h ^ (h >> np.uint64(32))), step + 1
+        row, slot, n = row[n > 0], slot[n > 0], n[n > 0]
+    if not amounts:
+        return np.zeros(0, int), np.zeros(0)
+    return np.concatenate(amounts), np.concatenate(cosines)
+
+
+def cosine_thresholds(rows: DataFrame, model: Model) -> np.ndarray:
+    """Thresholds by floor(log2(different n-grams)) from all ``rows`` (lang, text): half the cosine that all but one in
+    ``ODD_SHARE`` of the cut texts of that amount reach with their own language (``cut_cosines``)."""
+    def count(batches):
+        total = np.zeros((DIMS.bit_length(), COSINE_STEPS), np.int64)
+        for batch in batches:
+            for texts, langs in _labelled(batch):
+                amount, cosine = cut_cosines(model, texts, langs)
+                np.add.at(total, (amount, np.clip(cosine * COSINE_STEPS, 0, COSINE_STEPS - 1).astype(int)), 1)
+        amount, step = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(amount.astype(np.int32)), pa.array(step.astype(np.int32)), pa.array(total[amount, step])],
+                                         ["amount", "step", "n"])
+
+    # at most COSINE_STEPS counts an amount come to the driver
+    total = np.zeros((DIMS.bit_length(), COSINE_STEPS), np.int64)
+    for r in rows.select("lang", "text").mapInArrow(count, "amount int, step int, n long").groupBy("amount", "step").agg(
+            F.sum("n").alias("n")).collect():
+        total[r["amount"], r["step"]] = r["n"]
+    seen = np.flatnonzero(total.sum(axis=1))
+    below = np.cumsum(total, axis=1) > total.sum(axis=1, keepdims=True) / ODD_SHARE
+    lows = 0.5 * below.argmax(axis=1) / COSINE_STEPS
     # a longer text is never held to less than a shorter one
-    return np.maximum.accumulate(np.array([lows.get(a, 0.0) for a in range(max(lows, default=0) + 1)]))
+    return np.maximum.accumulate(lows[: seen.max() + 1]) if len(seen) else np.zeros(1)
 
 
 def predict(docs: DataFrame, model: Model, column: str = "language") -> DataFrame:

@@ -102,3 +102,26 @@ def test_every_centroid_holds_a_share_of_the_rows():
     assert sorted(centers.argmax(axis=1).tolist()) == [0, 1, 2]
     assert len(langid._sphere_means(v[:1], 3, rng)) == 1
     assert len(langid._sphere_means(np.repeat(v[:1], 9, axis=0), 3, rng)) == 1
+
+
+def test_model_comes_from_all_rows(spark):
+    """Centroids are the means of all training texts of a language, not of those that the k-means starts from."""
+    docs = spark.createDataFrame([(i, text, "en") for i, text in enumerate(
+        f"the cat number {'abcdefghij'[i % 10] * (1 + i // 10)} sat on the mat" for i in range(120))], "doc_id long, text string, lang string")
+    learned = [r["text"] for r in langid.learnable(docs).collect()]
+    model = langid.fit(docs, per_language=5, clusters=1)
+    mean = model.vectors(langid.ngram_counts(learned)[0]).astype(float).sum(axis=0)
+    assert np.allclose(model.centroids[0], mean / np.linalg.norm(mean), atol=1e-5)
+    again = langid.fit(docs.repartition(7), per_language=5, clusters=1)
+    assert np.allclose(model.centroids, again.centroids, atol=1e-6) and np.allclose(model.thresholds, again.thresholds, atol=2 / langid.COSINE_STEPS)
+    amount, cosine = langid.cut_cosines(model, learned, np.array(["en"] * len(learned)))
+    assert len(model.thresholds) == amount.max() + 1
+    for a in range(len(model.thresholds)):
+        assert model.thresholds[a] <= max(0.5 * cosine[amount == b].min() for b in set(amount.tolist()) if b <= a) + 1e-9
+
+
+def test_halving_keeps_about_half():
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 200, 20_000)
+    left = langid._halved(n, rng.integers(0, 1 << 64, len(n), dtype=np.uint64))
+    assert (left <= n).all() and (left >= 0).all() and abs(left.sum() / n.sum() - 0.5) < 0.01
