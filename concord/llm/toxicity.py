@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -211,21 +212,27 @@ class Restorer:
         line = " ".join(run.split())
         return self.decoder.restore(line, _core(line))
 
-    def restored(self, text: str) -> Counter:
-        """How often each word stands in the restored text."""
+    def tokens(self, text: str) -> tuple[list[str], Counter]:
+        """(restored words of letters with blanks between, how often each other token stands in the text)."""
         text = text.lower()
-        out: Counter = Counter()
+        spaced: list[str] = []
         if _SPACED.search(text):
             parts, at = [], 0
             for m in _SPACED.finditer(text):
                 parts.append(text[at: m.start()])
-                out.update(self.spaced(m[0]))
+                spaced += self.spaced(m[0])
                 at = m.end()
             text = " ".join([*parts, text[at:]])
+        return spaced, Counter(text.split())
+
+    def restored(self, text: str) -> Counter:
+        """How often each word stands in the restored text."""
+        spaced, tokens = self.tokens(text)
+        out: Counter = Counter(spaced)
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
-        for token, n in Counter(text.split()).items():
+        for token, n in tokens.items():
             words = cache.get(token)
             if words is None:
                 words = cache[token] = self.words(token)
@@ -253,6 +260,10 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in names]
 
 
+#: What the tasks of one Python worker have looked up with the latest model: key -> (restorer, entries of tokens).
+_shared: dict[str, tuple] = {}
+
+
 @dataclass
 class Model:
     counts: np.ndarray                           # of the character model
@@ -262,6 +273,7 @@ class Model:
     length_weight: float = 0.0
     entries: dict[str, tuple] = field(default_factory=dict)
     restorer: Restorer | None = None
+    key: str = ""                                # names counts and lexicon; without one nothing is shared
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "entries": {}, "restorer": None}
@@ -269,23 +281,37 @@ class Model:
     def lexicon_counts(self, text: str) -> tuple[int, dict[int, int]]:
         """(words, count of each lexicon entry) of the restored text."""
         if self.restorer is None:
-            self.restorer = Restorer(self.counts)
+            if self.key not in _shared:
+                _shared.clear()
+                _shared[self.key] = Restorer(self.counts), {}
+            self.restorer, self.entries = _shared[self.key] if self.key else (Restorer(self.counts), {})
         if len(self.entries) > CACHE:
             self.entries.clear()
-        total, found = 0, {}
-        entries, lexicon = self.entries, self.lexicon
-        for word, n in self.restorer.restored(text).items():
-            total += n
-            hits = entries.get(word)
-            if hits is None:
-                hits = entries[word] = tuple(lexicon[f] for f in features(word) if f in lexicon)
+        spaced, tokens = self.restorer.tokens(text)
+        total, found = len(spaced), {}
+        for k in self._hits(spaced):
+            found[k] = found.get(k, 0) + 1
+        # a token's words and their entries are looked up together
+        entries = self.entries
+        for token, n in tokens.items():
+            known = entries.get(token)
+            if known is None:
+                words = self.restorer.words(token)
+                known = entries[token] = len(words), self._hits(words)
+            words, hits = known
+            total += n * words
             for k in hits:
                 found[k] = found.get(k, 0) + n
         return total, found
 
+    def _hits(self, words) -> tuple[int, ...]:
+        return tuple(self.lexicon[f] for word in words for f in features(word) if f in self.lexicon)
+
     def score(self, text: str) -> float:
         n, found = self.lexicon_counts(text)
-        z = self.bias + self.length_weight * _length(n) + sum(self.weights[k] * _value(c, n) for k, c in found.items())
+        # one call for all entries; added up in their order
+        values = _value(np.array(list(found.values()), float), n) * self.weights[list(found)] if found else ()
+        z = self.bias + self.length_weight * _length(n) + sum(values)
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
 
 
@@ -341,6 +367,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 4
         tied = rows.select(is_toxic.alias("y"), F.explode(text_udf(seen, "array<bigint>")("text")).alias("feature")) \
             .groupBy("feature").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
         model.lexicon = _lexicon(tied, toxic, clean)
+        model.key = uuid.uuid4().hex
 
         def counted(texts: pa.Array) -> pa.Array:
             out = [model.lexicon_counts(t or "") for t in texts.to_pylist()]

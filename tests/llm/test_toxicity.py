@@ -169,3 +169,32 @@ def test_odd_rows_labels_and_empty_tables(spark):
     assert nothing.lexicon == {} and S.score(docs, nothing).where(F.col("toxicity") >= 0.7).count() == 0
     assert S.score(empty(spark), model).count() == 0
     assert np.all(S.fit(empty(spark), labels).counts >= 0)
+
+
+def test_lexicon_counts_equal_counts_by_word():
+    """Tokens looked up with their words and entries against every restored word on its own."""
+    counts = S.count_trigrams(["you are a stupid idiot and a fool", "the cat sat on the mat"] * 5)
+    words = ["stupid", "idiot", "cat", "sat", "you"]
+    lexicon = {f: k for k, f in enumerate(dict.fromkeys(f for w in words for f in S.features(w)))}
+    model = S.Model(counts, lexicon, np.linspace(-1, 2, len(lexicon)))
+    for text in ("You st0pid st0pid id!ot, s t u p i d cat", "", "the cat--sat catsat", "0000 !!! you"):
+        restored = S.Restorer(counts).restored(text)
+        want = {}
+        for word, n in restored.items():
+            for f in S.features(word):
+                if f in lexicon:
+                    want[lexicon[f]] = want.get(lexicon[f], 0) + n
+        n, found = model.lexicon_counts(text)
+        assert (n, found) == (sum(restored.values()), want) and list(found) == list(want)
+        z = model.bias + model.length_weight * S._length(n) + sum(model.weights[k] * S._value(c, n) for k, c in want.items())
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_tasks_of_a_worker_share_what_they_looked_up():
+    counts = S.count_trigrams(["the cat sat on the mat"] * 5)
+    lexicon = {f: k for k, f in enumerate(S.features("cat"))}
+    a, b = S.Model(counts, lexicon, key="one"), S.Model(counts, lexicon, key="one")
+    assert a.lexicon_counts("the c4t sat") == b.lexicon_counts("the c4t sat") and a.entries is b.entries and "c4t" in b.entries
+    other = S.Model(counts, {}, key="two")
+    assert other.lexicon_counts("the cat")[1] == {} and list(S._shared) == ["two"]
+    assert S.Model(counts, lexicon).lexicon_counts("cat")[1] and S.Model(counts, {}).lexicon_counts("cat")[1] == {}
