@@ -88,7 +88,8 @@ def _endpoints(text: str) -> list[tuple[int, int, int]]:
     for m in _HOST_RUN.finditer(text):
         a, b = max(m.start(), hosts[-1][2] if hosts else 0), m.end()
         # the last labels without an empty one among them
-        a = max(a, text.rfind("..", a, b) + 2)
+        if (gap := text.rfind("..", a, b)) >= 0:
+            a = gap + 2
         head = _HOST_START.search(text, a + text.startswith(".", a), b)
         if head and text[b - 1] != "." and "." in text[head.start(): b]:
             hosts.append((5, head.start(), _PORT.match(text, b).end()))

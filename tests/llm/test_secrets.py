@@ -124,3 +124,8 @@ def test_megabyte_texts_take_linear_time():
 def test_masked_runs():
     assert S.masked("0123456789", [(1, 3), (2, 5), (5, 6), (8, 9)]) == f"0{S.MASK}{S.MASK}67{S.MASK}9"
     assert S.masked("abc", []) == "abc" and S.masked("abc", [(0, 3)]) == S.MASK
+
+
+def test_host_at_the_very_start_of_a_text():
+    for text in ("0.0:00", "db.local:5432", "a..db.local:5432"):
+        assert [(a, b) for _, a, b in S._endpoints(text)] == [m.span() for m in OLD_ENDPOINT.finditer(text)] != []
