@@ -48,6 +48,7 @@ from pyspark.sql import functions as F
 from concord.functions.masks import RunWords, popcount
 from concord.functions.ratio import N_BINS, consensus_ratio, ratio_bin
 from concord.functions.sampling import in_sample
+from concord.operators.bisecting import bisecting_assignments
 from concord.operators.layout import fixed_layout
 from concord.session import materialize
 
@@ -96,8 +97,10 @@ def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_
     submitted to one driver thread pool of ``parallel_fits`` (each fit caches its
     own 90 % sample: use fewer where these do not fit in memory together), so
     the cluster works on several fits at once.  Each run reads the fixed layout through the hash filter, so a run
-    is the same rows however often it is evaluated.  Each algorithm's
-    assignments are written once to the shared folder.
+    is the same rows however often it is evaluated.  The bisecting fits, whose
+    updates MLlib never ends early, are made together (``bisecting_assignments``:
+    MLlib's rules, one pass for all runs).  Each algorithm's assignments are
+    written once to the shared folder.
     """
     from pyspark.ml.functions import array_to_vector
 
@@ -116,11 +119,17 @@ def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_
             F.lit(run).cast("int").alias("run"), "point_id", F.col("cluster").cast("int").alias("cluster"))
 
     # the fits that take longest start first, so that none of them is left over at the end
-    jobs = [(name, r) for name in sorted(fits, key=lambda a: _LONGEST_FIRST.get(a, 0)) for r in range(runs)]
+    together = "bisecting" in algorithms
+    jobs = [(name, r) for name in sorted(fits, key=lambda a: _LONGEST_FIRST.get(a, 0)) for r in range(runs)
+            if not (together and name == "bisecting")]
     with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
+        bisecting = pool.submit(bisecting_assignments, laid, k, max_iter, seed, runs, sample_seed, fraction) if together else None
         done = dict(zip(jobs, pool.map(one, jobs)))
     out = {}
     for name in fits:
+        if together and name == "bisecting":
+            out[name] = bisecting.result()
+            continue
         per_run = [done[(name, r)] for r in range(runs)]
         u = per_run[0]
         for df in per_run[1:]:
