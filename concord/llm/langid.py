@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from concord.llm.common import held_out, pieces, text_udf
 
 DIMS = 8192
+#: Texts whose counts are made together: tables of so many rows stay in a core's cache.
+ROWS = 32
 UNKNOWN = "und"
 #: One training text in so many may lie below what a threshold is half of; steps of a cosine.
 ODD_SHARE, COSINE_STEPS = 1000, 4096
@@ -35,7 +37,10 @@ ODD_SHARE, COSINE_STEPS = 1000, 4096
 UNIT = float(1 << 32)
 #: Odd multipliers of the hash, one for each place in an n-gram.
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+#: Letters (with the word end) of which all n-grams are looked up: 64 ** 3 slots.  A letter that is not among them yet.
+MOST_LETTERS, _NEW = 64, 255
 _letters: np.ndarray | None = None
+_alphabet: tuple[np.ndarray, np.ndarray, list[np.ndarray]] | None = None
 
 
 def letter_table() -> np.ndarray:
@@ -46,42 +51,83 @@ def letter_table() -> np.ndarray:
     return _letters
 
 
+def _slots(grams: list[np.ndarray]) -> np.ndarray:
+    """Slot of each n-gram, given the code points of its 1 to 3 places (arrays that broadcast; 0: word end); DIMS for what is none."""
+    h = grams[0] * _MIX[0] ^ np.uint64(len(grams))
+    h *= _MIX[0]
+    for k in range(1, len(grams)):
+        h = h ^ grams[k] * _MIX[k]
+        h *= _MIX[0]
+    # the middle letter names the text, as separators stand between texts; of a pair, either place may be the letter
+    good = (grams[0] != 0) | (grams[1] != 0) if len(grams) == 2 else grams[len(grams) // 2] != 0
+    return np.where(good, (h >> np.uint64(64 - DIMS.bit_length() + 1)).astype(np.int64), DIMS)
+
+
 def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(counts [texts, DIMS] float32, n-grams in each text)."""
+    counts = np.zeros((len(texts), DIMS), np.float32)
+    total = np.zeros(len(texts), np.int64)
+    for i in range(0, len(texts), ROWS):
+        part = _count(texts[i: i + ROWS])
+        counts[i: i + ROWS] = part
+        total[i: i + ROWS] = part.sum(axis=1)
+    return counts, total
+
+
+def _tabled(points: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]] | None:
+    """(place of each code point in an alphabet, 0: no letter; slots of all its 1-, 2- and 3-grams), or None with too many letters.
+
+    The alphabet is kept in the process and grows with the letters met, or starts
+    anew where all of them are too many."""
+    global _alphabet
+    if _alphabet is None:
+        _alphabet = np.zeros(1, np.uint64), np.where(letter_table(), _NEW, 0).astype(np.uint8), []
+    letters, place, slots = _alphabet
+    c = place[points]
+    if not slots or (c == _NEW).any():
+        present = np.unique(points[letter_table()[points]]).astype(np.uint64)
+        letters = next((a for a in (np.union1d(letters, present), np.append(np.uint64(0), present)) if len(a) <= MOST_LETTERS), None)
+        if letters is None:
+            return None
+        place = np.where(letter_table(), _NEW, 0).astype(np.uint8)
+        place[letters.astype(np.int64)] = np.arange(len(letters))
+        slots = [_slots([letters.reshape([-1 if k == i else 1 for k in range(n)]) for i in range(n)]).reshape(-1).astype(np.int32)
+                 for n in (1, 2, 3)]
+        _alphabet = letters, place, slots
+        c = place[points]
+    return c, slots
+
+
+def _count(texts: list[str]) -> np.ndarray:
+    """Counts [texts, DIMS] of a few texts.  The slots of all n-grams of a small alphabet are hashed once and looked up."""
     lowered = [t.lower() for t in texts]
     points = np.frombuffer("\0".join(["", *lowered, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    row = np.repeat(np.arange(len(texts) + 1), [1, *(len(t) + 1 for t in lowered)])[: len(points)] - 1
-    row = np.maximum(row, 0)
-    c = np.where(letter_table()[points], points, 0)
+    if (tabled := _tabled(points)) is not None:
+        c, slots = tabled
+    else:
+        c, slots = np.where(letter_table()[points], points, 0), []
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 0) | (c[:-1] != 0)              # a run of other characters is one word end
-    c, row = c[keep].astype(np.uint64), row[keep]
-    cells = []
-    total = np.zeros(len(texts), np.int64)
-    shift = np.uint64(64 - DIMS.bit_length() + 1)
-    mixed = [c * mix for mix in _MIX]
+    at = np.flatnonzero(keep)
+    c = c[at].astype(np.int32 if slots else np.uint64)
+    # a text begins behind the word end that divides it from the one before, its own word end is its last place
+    begin = np.cumsum([1, *(len(t) + 1 for t in lowered)])
+    begin[0] = 0
+    row = np.repeat(np.arange(len(texts)) * (DIMS + 1), np.diff(np.searchsorted(at, begin)))
+    code, cells = c, []
     for n in (1, 2, 3):
         m = len(c) - n + 1
         if m <= 0:
             continue
-        h = mixed[0][:m] ^ np.uint64(n)
-        h *= _MIX[0]
-        for k in range(1, n):
-            h ^= mixed[k][k: m + k]
-            h *= _MIX[0]
-        if n == 1:
-            good = c[:m] != 0
-        elif n == 2:
-            good = (c[:m] != 0) | (c[1:m + 1] != 0)
+        if slots:
+            if n > 1:
+                code = code[:m] * np.int32(len(slots[0])) + c[n - 1:]
+            slot = slots[n - 1][code]
         else:
-            good = c[1:m + 1] != 0
-        # the middle letter (first of a pair that is one) names the text: separators stand between texts
-        owner = row[(n - 1) // 2: m + (n - 1) // 2] if n != 2 else np.where(c[:m] != 0, row[:m], row[1:m + 1])
-        owner, h = owner[good], (h[good] >> shift).astype(np.int64)
-        cells.append(owner * DIMS + h)
-        total += np.bincount(owner, minlength=len(texts))
-    counted = np.bincount(np.concatenate(cells), minlength=len(texts) * DIMS) if cells else np.zeros(len(texts) * DIMS)
-    return counted.astype(np.float32).reshape(len(texts), DIMS), total
+            slot = _slots([c[k: m + k] for k in range(n)])
+        # a word end behind a letter belongs to the letter's text, so the second place names the text of a pair too
+        cells.append(slot + row[n // 2: m + n // 2])
+    return np.bincount(np.concatenate(cells), minlength=len(texts) * (DIMS + 1)).reshape(len(texts), DIMS + 1)[:, :DIMS]
 
 
 @dataclass
@@ -92,11 +138,13 @@ class Model:
     thresholds: np.ndarray          # by floor(log2(different n-grams))
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        v = np.zeros(counts.shape, np.float32)
-        at = np.flatnonzero(counts)
-        v.reshape(-1)[at] = np.log1p(counts.reshape(-1)[at], dtype=np.float32) * self.idf[at % DIMS]
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        return v
+        out = np.zeros(counts.shape, np.float32)
+        for i in range(0, len(counts), ROWS):
+            n, v = counts[i: i + ROWS].reshape(-1), out[i: i + ROWS]
+            at = np.flatnonzero(n != 0)                   # much faster over booleans than over numbers
+            v.reshape(-1)[at] = np.log1p(n[at], dtype=np.float32) * self.idf[at % DIMS]
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, cosine 0 to 1, rejected) of each text."""
@@ -291,7 +339,9 @@ def cut_cosines(model: Model, texts: list[str], langs: np.ndarray) -> tuple[np.n
     own = {lang: np.flatnonzero(names == lang) for lang in set(langs[right].tolist())}
     most = max(map(len, own.values()), default=0)
     mine = np.array([np.resize(own[lang], most) if ok else np.zeros(most, int) for lang, ok in zip(langs.tolist(), right)]).reshape(-1, most)
-    row, slot = np.nonzero(np.where(right[:, None], counts, 0))
+    at = np.flatnonzero(counts != 0)
+    at = at[right[at // DIMS]]
+    row, slot = at // DIMS, at % DIMS
     n, step, amounts, cosines = counts[row, slot].astype(np.int64), 0, [], []
     while len(n):
         v = np.log1p(n) * model.idf[slot]

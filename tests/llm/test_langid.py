@@ -125,3 +125,20 @@ def test_halving_keeps_about_half():
     n = rng.integers(0, 200, 20_000)
     left = langid._halved(n, rng.integers(0, 1 << 64, len(n), dtype=np.uint64))
     assert (left <= n).all() and (left >= 0).all() and abs(left.sum() / n.sum() - 0.5) < 0.01
+
+
+def test_slots_of_a_small_alphabet_are_hashed_once(monkeypatch):
+    texts = ["Der schnelle braune Fuchs springt über den faulen Hund, 12 mal. " * 20, "", "a", "the cat\0sat on\nthe mat " * 30] * 20
+    hashed, real = [], langid._slots
+    monkeypatch.setattr(langid, "_alphabet", None)
+    monkeypatch.setattr(langid, "_slots", lambda grams: hashed.append(len(grams)) or real(grams))
+    counts, total = langid.ngram_counts(texts)
+    assert hashed == [1, 2, 3]                                   # 80 texts in three groups
+    again, _ = langid.ngram_counts(texts[:3] + ["日本語 и русский " * 3])     # letters that are new join the alphabet
+    assert hashed == [1, 2, 3] * 2 and (again[:3] == counts[:3]).all()
+    monkeypatch.setattr(langid, "MOST_LETTERS", 5)
+    monkeypatch.setattr(langid, "_alphabet", None)
+    plain, plain_total = langid.ngram_counts(texts)
+    assert (plain == counts).all() and (plain_total == total).all()
+    for text, row in zip(texts[:4], counts):
+        assert {s: n for s, n in enumerate(row.tolist()) if n} == _plain_counts(text)
