@@ -312,15 +312,15 @@ h AS (SELECT CAST(range AS INTEGER) AS bin, CAST(CASE range WHEN 9 THEN (SELECT
 SELECT bin, n AS kmeans, n AS bisecting, n AS gmm FROM h""")
 def consensus_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1 + K11 with MLlib: KMeans, bisecting k-means and Gaussian mixture, 20
-    subsample fits each (k=2, maxIter=125, seed 1), final histograms side by
-    side.  The parts lie in two far-apart groups: pairs of one group that were
+    subsample fits each (k=2, maxIter=125, seed 1; the bisecting fits by MLlib's
+    rules, all runs in one pass a step), final histograms side by side.  The parts lie in two far-apart groups: pairs of one group that were
     ever sampled together are always together, all others never."""
     return _compare(spark, sf_dir, PARITY, 2)
 
 
 @query("consensus_compare_part")
 def consensus_compare_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1 + K11 with MLlib on the parts as they are (k=5)."""
+    """K1 + K11 as in ``consensus_compare`` on the parts as they are (k=5)."""
     return _compare(spark, sf_dir, PART, K_CONSENSUS)
 
 
