@@ -28,15 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.masks import RunWords
-from concord.functions.sampling import sample_masks
-from concord.operators.portable import _matrix, _runs_of
+from concord.operators.blocks import added_by_key, finite_matrix, point_blocks, read_blocks, sampled_points, task_sums
+from concord.operators.portable import _runs_of
 from concord.session import materialize
 
 _EPSILON = 2.0 ** -52
@@ -44,6 +41,7 @@ _EPSILON = 2.0 ** -52
 _LEVELS = 62
 #: Below this error bound a squared distance is taken from the lengths and the product.
 _PRECISION = 1e-6
+_KEYS = ("run", "node")
 
 
 class _Random:
@@ -164,49 +162,37 @@ class _Tree:
         return kept, ids
 
 
-def _points(batch: pa.RecordBatch) -> np.ndarray:
-    x = _matrix(batch)
-    if not np.isfinite(x).all():
-        raise ValueError("features must not be NaN or infinite")
-    return x
-
-
 def bisecting_assignments(laid: DataFrame, k: int, max_iter: int = 125, seed: int = 1, runs: int = 20, sample_seed: int = 1,
-                          fraction: float = 0.9) -> DataFrame:
-    """laid(point_id, features), in its fixed layout -> assignments(run int, point_id, cluster int), written."""
+                          fraction: float = 0.9, sampled: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """laid(point_id, features), in its fixed layout -> assignments(run int, point_id, cluster int), written.
+
+    ``sampled``: the ``sampled_points`` of the same layout, runs, seed and fraction and their ``point_blocks``, where they are written already."""
     words = RunWords(runs)
-    sampled = F.lit(False)
-    for c in words.names("smask"):
-        sampled = sampled | (F.col(c) != 0)
-    base = materialize(laid.select("point_id", vector_to_array("features").alias("x"), *sample_masks(sample_seed, "point_id", runs, fraction))
-                       .where(sampled), "sampled-points")
+    if sampled is None:
+        base = sampled_points(laid, runs, sample_seed, fraction)
+        sampled = base, point_blocks(base, runs)
+    base, blocks = sampled
 
     def sums(trees: dict[int, tuple[dict, set]]) -> DataFrame:
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[tuple[int, int], np.ndarray] = {}
-            for batch in batches:
-                x = _points(batch)
+            for x, masks in read_blocks(batches):
                 length = _length(x)
-                for run, rows in _runs_of(batch, words, sorted(trees)):
-                    tree, split = trees[run]
+                for run, (tree, split) in sorted(trees.items()):
+                    rows = np.flatnonzero(masks[run // words.bits] >> (run % words.bits) & 1)
+                    if not len(rows):
+                        continue
                     own, size = x[:, rows], length[rows]
                     nodes, of = np.unique(_leaves(own, size, tree), return_inverse=True)
                     before = [total.get((run, node), np.zeros(len(x) + 2)) for node in nodes.tolist()]
-                    # what is summed so far comes first, so that rows are added one by one whatever the batches
+                    # what is summed so far comes first, so that rows are added one by one whatever the blocks
                     of = np.concatenate([np.arange(len(nodes)), of])
                     part = np.stack([np.bincount(of, np.concatenate([[b[i] for b in before], w]))
                                      for i, w in enumerate((np.ones(len(rows)), *own, size * size))], axis=1)
                     total |= {(run, node): s for node, s in zip(nodes.tolist(), part) if node // 2 in split}
-            at = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([run for run, _ in total], pa.int32()), pa.array([node for _, node in total], pa.int64()),
-                 pa.array([at] * len(total), pa.int32()), pa.array([s.tolist() for s in total.values()], pa.list_(pa.float64()))],
-                ["run", "node", "part", "sums"])
+            yield task_sums(list(total), list(total.values()), _KEYS)
 
-        parts = base.mapInArrow(step, "run int, node long, part int, sums array<double>").groupBy("run", "node").agg(
-            F.sort_array(F.collect_list(F.struct("part", "sums"))).alias("parts"))
-        zero = F.transform(F.col("parts")[0]["sums"], lambda _: F.lit(0.0))
-        return parts.select("run", "node", F.aggregate("parts", zero, lambda a, p: F.zip_with(a, p["sums"], lambda u, v: u + v)).alias("sums"))
+        return added_by_key(blocks.mapInArrow(step, "run int, node long, part int, sums array<double>"), _KEYS)
 
     parts = laid.rdd.getNumPartitions()
     trees = {run: _Tree(k, max_iter, seed, parts) for run in range(runs)}
@@ -224,7 +210,7 @@ def bisecting_assignments(laid: DataFrame, k: int, max_iter: int = 125, seed: in
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _points(batch)
+            x = finite_matrix(batch)
             length = _length(x)
             for run, rows in _runs_of(batch, words, sorted(ended)):
                 tree, ids = ended[run]

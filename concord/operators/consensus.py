@@ -49,6 +49,8 @@ from concord.functions.masks import RunWords, popcount
 from concord.functions.ratio import N_BINS, consensus_ratio, ratio_bin
 from concord.functions.sampling import in_sample
 from concord.operators.bisecting import bisecting_assignments
+from concord.operators.blocks import point_blocks, sampled_points
+from concord.operators.gaussian import gaussian_assignments
 from concord.operators.layout import fixed_layout
 from concord.session import materialize
 
@@ -67,17 +69,17 @@ MOST_TILE_TASKS = 16384
 
 # --------------------------------------------------------------------------- K1
 
-#: Order in which fits are submitted; plug-ins (of unknown length) come with the longest.
-_LONGEST_FIRST = {"bisecting": 0, "gmm": 1, "kmeans": 2}
+#: Fits that are made for all runs together; they start first, as they take longest.
+_TOGETHER = {"gmm": gaussian_assignments, "bisecting": bisecting_assignments}
 
 Clusterer = Callable[[DataFrame, int, int, int], DataFrame]
 """Plug-in fit: (sampled points(point_id, features), k, max_iter, seed) -> (point_id, cluster)."""
 
 
 def _mllib_clusterer(algorithm: str) -> Clusterer:
-    from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+    from pyspark.ml.clustering import KMeans
 
-    cls = {"kmeans": KMeans, "bisecting": BisectingKMeans, "gmm": GaussianMixture}[algorithm]
+    cls = {"kmeans": KMeans}[algorithm]
 
     def fit(sample: DataFrame, k: int, max_iter: int, seed: int) -> DataFrame:
         model = cls(k=k, maxIter=max_iter, seed=seed, featuresCol="features",
@@ -98,7 +100,8 @@ def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_
     own 90 % sample: use fewer where these do not fit in memory together), so
     the cluster works on several fits at once.  Each run reads the fixed layout through the hash filter, so a run
     is the same rows however often it is evaluated.  The bisecting fits, whose
-    updates MLlib never ends early, are made together (``bisecting_assignments``:
+    updates MLlib never ends early, and the mixtures, whose steps are the most
+    work, are each made together (``bisecting_assignments``, ``gaussian_assignments``:
     MLlib's rules, one pass for all runs).  Each algorithm's assignments are
     written once to the shared folder.
     """
@@ -110,7 +113,8 @@ def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_
         points = points.withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
     laid = fixed_layout(points.select("point_id", "features"), partitions)
     fits = {(a if isinstance(a, str) else getattr(a, "__name__", "custom")):
-            (_mllib_clusterer(a) if isinstance(a, str) else a) for a in algorithms}
+            (a if callable(a) else _TOGETHER.get(a) or _mllib_clusterer(a)) for a in algorithms}
+    together = [name for name in _TOGETHER if name in algorithms]
 
     def one(job) -> DataFrame:
         name, run = job
@@ -118,17 +122,18 @@ def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_
         return fits[name](sample, k, max_iter, seed).select(
             F.lit(run).cast("int").alias("run"), "point_id", F.col("cluster").cast("int").alias("cluster"))
 
-    # the fits that take longest start first, so that none of them is left over at the end
-    together = "bisecting" in algorithms
-    jobs = [(name, r) for name in sorted(fits, key=lambda a: _LONGEST_FIRST.get(a, 0)) for r in range(runs)
-            if not (together and name == "bisecting")]
+    jobs = [(name, r) for name in fits if name not in together for r in range(runs)]
+    sampled = None
+    if together:
+        base = sampled_points(laid, runs, sample_seed, fraction)
+        sampled = base, point_blocks(base, runs)
     with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
-        bisecting = pool.submit(bisecting_assignments, laid, k, max_iter, seed, runs, sample_seed, fraction) if together else None
+        of_all = {name: pool.submit(fits[name], laid, k, max_iter, seed, runs, sample_seed, fraction, sampled) for name in together}
         done = dict(zip(jobs, pool.map(one, jobs)))
     out = {}
     for name in fits:
-        if together and name == "bisecting":
-            out[name] = bisecting.result()
+        if name in together:
+            out[name] = of_all[name].result()
             continue
         per_run = [done[(name, r)] for r in range(runs)]
         u = per_run[0]
