@@ -163,10 +163,11 @@ class _Tree:
 
 
 def bisecting_assignments(laid: DataFrame, k: int, max_iter: int = 125, seed: int = 1, runs: int = 20, sample_seed: int = 1,
-                          fraction: float = 0.9, sampled: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+                          fraction: float = 0.9, sampled: tuple[DataFrame, DataFrame] | None = None, parallel_fits: int = 1) -> DataFrame:
     """laid(point_id, features), in its fixed layout -> assignments(run int, point_id, cluster int), written.
 
-    ``sampled``: the ``sampled_points`` of the same layout, runs, seed and fraction and their ``point_blocks``, where they are written already."""
+    ``sampled``: the ``sampled_points`` of the same layout, runs, seed and fraction and their ``point_blocks``, where they are written already.
+    All runs are one fit here, whatever ``parallel_fits``."""
     words = RunWords(runs)
     if sampled is None:
         base = sampled_points(laid, runs, sample_seed, fraction)

@@ -51,6 +51,7 @@ from concord.functions.sampling import in_sample
 from concord.operators.bisecting import bisecting_assignments
 from concord.operators.blocks import point_blocks, sampled_points
 from concord.operators.gaussian import gaussian_assignments
+from concord.operators.kmeans import kmeans_assignments
 from concord.operators.layout import fixed_layout
 from concord.session import materialize
 
@@ -61,34 +62,23 @@ PARALLEL_FITS = 16
 #: Signatures in a block of the pair space: at least and, from a million signatures on, at most.
 BLOCK_ROWS = 2048
 MOST_BLOCK_ROWS = 16384
-#: Pair cells that a tile's kernel holds at once, tiles in a task, and tasks beyond which a task takes more tiles.
+#: Pair cells that a tile's kernel holds at once (few enough for a core's cache when only the last run is counted),
+#: tiles in a task, and tasks beyond which a task takes more tiles.
 TILE_CELLS = 256 * BLOCK_ROWS
+CACHE_CELLS = 1 << 16
 TILES_PER_TASK = 2
 MOST_TILE_TASKS = 16384
 
 
 # --------------------------------------------------------------------------- K1
 
-#: Fits that are made for all runs together; they start first, as they take longest.
-_TOGETHER = {"gmm": gaussian_assignments, "bisecting": bisecting_assignments}
+#: MLlib's algorithms, made or at least labelled for all runs together; the longest start first.
+_TOGETHER = {"gmm": gaussian_assignments, "bisecting": bisecting_assignments, "kmeans": kmeans_assignments}
 
 Clusterer = Callable[[DataFrame, int, int, int], DataFrame]
 """Plug-in fit: (sampled points(point_id, features), k, max_iter, seed) -> (point_id, cluster)."""
 
 
-def _mllib_clusterer(algorithm: str) -> Clusterer:
-    from pyspark.ml.clustering import KMeans
-
-    cls = {"kmeans": KMeans}[algorithm]
-
-    def fit(sample: DataFrame, k: int, max_iter: int, seed: int) -> DataFrame:
-        model = cls(k=k, maxIter=max_iter, seed=seed, featuresCol="features",
-                    predictionCol="cluster").fit(sample)
-        return model.transform(sample).select("point_id", F.col("cluster").cast("int"))
-
-    return fit
-
-
 def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_iter: int = 125,
                            seed: int = 1, runs: int = 20, sample_seed: int = 1, fraction: float = 0.9,
                            parallel_fits: int = PARALLEL_FITS, partitions: int | None = None) -> dict:
@@ -102,7 +92,8 @@ def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_
     is the same rows however often it is evaluated.  The bisecting fits, whose
     updates MLlib never ends early, and the mixtures, whose steps are the most
     work, are each made together (``bisecting_assignments``, ``gaussian_assignments``:
-    MLlib's rules, one pass for all runs).  Each algorithm's assignments are
+    MLlib's rules, one pass for all runs); k-means is fitted by MLlib and labelled in
+    one pass (``kmeans_assignments``).  Each algorithm's assignments are
     written once to the shared folder.
     """
     from pyspark.ml.functions import array_to_vector
@@ -113,7 +104,7 @@ def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_
         points = points.withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
     laid = fixed_layout(points.select("point_id", "features"), partitions)
     fits = {(a if isinstance(a, str) else getattr(a, "__name__", "custom")):
-            (a if callable(a) else _TOGETHER.get(a) or _mllib_clusterer(a)) for a in algorithms}
+            (a if callable(a) else _TOGETHER[a]) for a in algorithms}
     together = [name for name in _TOGETHER if name in algorithms]
 
     def one(job) -> DataFrame:
@@ -128,7 +119,8 @@ def mllib_assignments_many(points: DataFrame, algorithms: list, k: int = 5, max_
         base = sampled_points(laid, runs, sample_seed, fraction)
         sampled = base, point_blocks(base, runs)
     with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
-        of_all = {name: pool.submit(fits[name], laid, k, max_iter, seed, runs, sample_seed, fraction, sampled) for name in together}
+        of_all = {name: pool.submit(fits[name], laid, k, max_iter, seed, runs, sample_seed, fraction, sampled, parallel_fits)
+                  for name in together}
         done = dict(zip(jobs, pool.map(one, jobs)))
     out = {}
     for name in fits:
@@ -253,7 +245,7 @@ def _tile_kernel(k: int, words: RunWords, by_run: bool = False):
     Rows (ba, bb, run, bin, n): run = R, the histogram after all runs, or with
     ``by_run`` those after the first 1, 2, ... R runs, for which the pair
     counters go on from run to run.  Takes as many rows of side 0 at a time as
-    ``TILE_CELLS`` allow, so memory does not depend on the tile."""
+    ``TILE_CELLS`` (``CACHE_CELLS``) allow, so memory does not depend on the tile."""
     import numpy as np
     import pandas as pd
 
@@ -295,48 +287,89 @@ def _tile_kernel(k: int, words: RunWords, by_run: bool = False):
                 out[r, (u64(part[f"m{j}_{w}"]) >> bit & np.uint64(1)).astype(bool)] = j
         return out
 
-    def kernel(pdf: "pd.DataFrame") -> "pd.DataFrame":
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        steps = range(runs) if by_run else (runs - 1,)
-        cells = {r: [0] * (side * side) for r in steps}
+    def packed(part, turn):
+        """Per word: the sampled runs, and the cluster masks, as many in a bigint as it has room for; columns if ``turn``.
+        Masks of two signatures that share a bigint keep to their own bits, and as a point has one cluster in a run,
+        those of different bigints have no bit in common either: their ANDs can be OR-ed before counting."""
+        out = []
+        for w in range(nw):
+            n = words.word_runs(w)[1]
+            per = 64 // n
+            groups = [np.bitwise_or.reduce([u64(part[f"m{j}_{w}"]) << np.uint64(n * (j - lo)) for j in range(lo, min(k, lo + per))])
+                      for lo in range(0, k, per)]
+            out.append([(x[:, None] if turn else x[None, :]) for x in (u64(part[f"smask_{w}"]), *groups)])
+        return out
+
+    def last_cells(left, right, cells):
+        """Ordered pairs after the last run: off the diagonal both orders of a pair at once, on it the whole
+        square of the block less each point with itself."""
+        own = left["ba"].iloc[0] == left["bb"].iloc[0]
+        times = 1 if own else 2
+        lw, rw = (part["w"].to_numpy(dtype=np.int64) for part in (left, right))
+        single = int(lw.max()) == 1 and int(rw.max()) == 1
+        exact = int(lw.max()) * int(rw.max()) * CACHE_CELLS < 2 ** 53 and len(right) <= CACHE_CELLS
+        a, b = packed(left, True), packed(right, False)
+        lf, rf = lw.astype(np.float64)[:, None], rw.astype(np.float64)[None, :]
+        chunk = max(1, CACHE_CELLS // len(right))
+        for lo in range(0, len(left), chunk):
+            code = 0
+            for (sa, *ga), (sb, *gb) in zip(a, b):
+                same = ga[0][lo:lo + chunk] & gb[0]
+                for x, y in zip(ga[1:], gb[1:]):
+                    same |= x[lo:lo + chunk] & y
+                part = np.bitwise_count(same).astype(np.intp)
+                part *= side
+                part += np.bitwise_count(sa[lo:lo + chunk] & sb)
+                code = code + part if nw > 1 else part
+            if single:
+                found = np.bincount(code.ravel(), minlength=side * side)
+            elif exact:                                            # sums stay below 2^53
+                found = np.bincount(code.ravel(), weights=(lf[lo:lo + chunk] * rf).ravel(), minlength=side * side)
+            else:
+                # a weight past that is added in its own digits
+                add(cells, code, times * lw[lo:lo + chunk, None].astype(object) * rw.astype(object)[None, :])
+                continue
+            for c in np.flatnonzero(found).tolist():
+                cells[c] += times * int(found[c])
+        if own:
+            alone = sum(np.bitwise_count(x[0][:, 0]).astype(np.intp) for x in a) * (side + 1)
+            for c, w in zip(alone.tolist(), lw.tolist()):
+                cells[c] -= w
+
+    def cells_by_run(left, right, cells):
         # products of two weights past 2^62 are done in Python integers
-        kind = object if 2 * int(pdf["w"].max()) ** 2 >= 2 ** 62 else np.int64
+        top = max(int(left["w"].max()), int(right["w"].max()))
+        kind = object if 2 * top ** 2 >= 2 ** 62 else np.int64
         # every pair of two different blocks of single points weighs 2
-        equal = int(pdf["w"].max()) == 1 and pdf["ba"].iloc[0] != pdf["bb"].iloc[0]
+        equal = top == 1 and left["ba"].iloc[0] != left["bb"].iloc[0]
+        rt, rsid = right["t"].to_numpy()[None, :], right["sid"].to_numpy()[None, :]
+        rw = right["w"].to_numpy(dtype=np.int64).astype(kind)[None, :]
+        rl = labels(right, -2)
+        chunk = max(1, TILE_CELLS // len(right))
+        for lo in range(0, len(left), chunk):
+            part = left.iloc[lo:lo + chunk]
+            wt = None
+            if not equal:
+                lt, lsid = part["t"].to_numpy()[:, None], part["sid"].to_numpy()[:, None]
+                lw = part["w"].to_numpy(dtype=np.int64).astype(kind)[:, None]
+                keep = (lt < rt) | (lsid <= rsid)
+                wt = np.where(lsid == rsid, lw * (lw - 1), 2 * lw * rw) * keep
+            ll = labels(part, -1)
+            c = np.zeros((len(part), len(right)), small)
+            s = np.zeros_like(c)
+            for r in range(runs):                                  # the counters of run r - 1 go on
+                c += ll[r][:, None] == rl[r][None, :]
+                s += (ll[r] >= 0)[:, None] & (rl[r] >= 0)[None, :]
+                add(cells[r], c.astype(cell) * cell(side) + s, wt)
+
+    def kernel(pdf: "pd.DataFrame") -> "pd.DataFrame":
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        cells = {r: [0] * (side * side) for r in (range(runs) if by_run else (runs - 1,))}
         if len(left) and len(right):
-            rt, rsid = right["t"].to_numpy()[None, :], right["sid"].to_numpy()[None, :]
-            rw = right["w"].to_numpy(dtype=np.int64).astype(kind)[None, :]
             if by_run:
-                rl = labels(right, -2)
+                cells_by_run(left, right, cells)
             else:
-                rs = [u64(right[f"smask_{w}"])[None, :] for w in range(nw)]
-                rm = [[u64(right[f"m{j}_{w}"])[None, :] for j in range(k)] for w in range(nw)]
-            chunk = max(1, TILE_CELLS // len(right))
-            for lo in range(0, len(left), chunk):
-                part = left.iloc[lo:lo + chunk]
-                wt = None
-                if not equal:
-                    lt, lsid = part["t"].to_numpy()[:, None], part["sid"].to_numpy()[:, None]
-                    lw = part["w"].to_numpy(dtype=np.int64).astype(kind)[:, None]
-                    keep = (lt < rt) | (lsid <= rsid)
-                    wt = np.where(lsid == rsid, lw * (lw - 1), 2 * lw * rw) * keep
-                if by_run:
-                    ll = labels(part, -1)
-                    c = np.zeros((len(part), len(right)), small)
-                    s = np.zeros_like(c)
-                    for r in range(runs):                          # the counters of run r - 1 go on
-                        c += ll[r][:, None] == rl[r][None, :]
-                        s += (ll[r] >= 0)[:, None] & (rl[r] >= 0)[None, :]
-                        add(cells[r], c.astype(cell) * cell(side) + s, wt)
-                    continue
-                c = s = 0
-                for w in range(nw):                                # co-sampled and co-clustered runs of a word
-                    same = np.uint64(0)
-                    for j in range(k):
-                        same = same | (u64(part[f"m{j}_{w}"])[:, None] & rm[w][j])
-                    c = c + np.bitwise_count(same).astype(cell)
-                    s = s + np.bitwise_count(u64(part[f"smask_{w}"])[:, None] & rs[w]).astype(cell)
-                add(cells[runs - 1], c * cell(side) + s, wt)
+                last_cells(left, right, cells[runs - 1])
         out: dict[str, list] = {"ba": [], "bb": [], "run": [], "bin": [], "n": []}
         for r, counted in cells.items():
             bins = [0] * N_BINS
